@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
-from tesserae.llm import langid, packing
+from tesserae.llm import langid, licences, packing, quotes, topk
 
 QUERIES = {
+    "op4_quotation_links": quotes.op4_quotation_links,
     "op6_pack_sequences": packing.op6_pack_sequences,
+    "op8_top_k": topk.op8_top_k,
+    "op9_licences": licences.op9_licences,
     "op10_language_id": langid.op10_language_id,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op4_quotation_links": quotes.ORACLE,
+    "op8_top_k": topk.ORACLE,
+    "op9_licences": licences.ORACLE,
+}
