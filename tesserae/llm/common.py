@@ -10,6 +10,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -192,3 +193,110 @@ def split_by(bucket: np.ndarray, n: int):
 def with_block(docs: DataFrame, blocks: int, *keys: str) -> DataFrame:
     """Deal rows to blocks by a hash of their key. A block is what one Python call sees at a time."""
     return docs.withColumn("block", F.pmod(F.xxhash64(*keys), F.lit(blocks)).cast("int"))
+
+
+# ---------------------------------------------------------------- packed exchange
+#
+# Keys of many windows travel packed: a block of documents sends each bucket one row with all its keys as bytes, and gets one row
+# back. Both ends derive the same order of keys from the same documents, so an answer is a bit for each key sent.
+
+#: Bytes of text that a block holds, about.
+BLOCK_BYTES = 32 << 20
+PACKED = "bucket int, block int, kind int, payload binary"
+PACKED_ARROW = pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("kind", pa.int32()), ("payload", pa.binary())])
+
+
+def block_count(docs: DataFrame) -> int:
+    """As many blocks as shuffle partitions, and more if they would hold over BLOCK_BYTES of text."""
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(shuffle_width(docs.sparkSession), -(-total // BLOCK_BYTES))
+
+
+def in_blocks(docs: DataFrame, blocks: int, *more: str) -> DataFrame:
+    """(block, doc_id, text, ...): rows dealt by their id. Used more than once in a plan, its exchange is reused."""
+    return docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int").alias("block"), F.col("doc_id").cast("long").alias("doc_id"), "text", *more)
+
+
+def ordered(part: pa.Table) -> pa.Table:
+    """The rows of a block in an order that depends on nothing but their content."""
+    return part.take(pa.compute.sort_indices(part, sort_keys=[("doc_id", "ascending"), ("text", "ascending")]))
+
+
+def packed_rows(rows: list[tuple[int, int, int, bytes]]) -> pa.Table:
+    columns = zip(*rows, strict=True) if rows else ((), (), (), ())
+    return pa.table([pa.array(c, f.type) for c, f in zip(columns, PACKED_ARROW, strict=True)], schema=PACKED_ARROW)
+
+
+def send(block: int, bucket: np.ndarray, buckets: int, *columns: np.ndarray) -> list[tuple[int, int, int, bytes]]:
+    """A row for each bucket that has keys: the number of keys, then each column's values for it."""
+    order, bounds = split_by(bucket, buckets)
+    sorted_columns = [c[order] for c in columns]
+    out = []
+    for b in np.flatnonzero(np.diff(bounds)):
+        lo, hi = bounds[b], bounds[b + 1]
+        out.append((int(b), block, 0, np.int64(hi - lo).tobytes() + b"".join(c[lo:hi].tobytes() for c in sorted_columns)))
+    return out
+
+
+def receive(payloads: list[bytes], *kinds: type) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The number of keys of each payload, and each column over all payloads."""
+    sizes = np.array([np.frombuffer(p, np.int64, 1)[0] for p in payloads], np.int64)
+    columns = []
+    at = np.full(len(payloads), 8, np.int64)
+    for kind in kinds:
+        width = np.dtype(kind).itemsize
+        columns.append(np.concatenate([np.frombuffer(p, kind, n, a) for p, n, a in zip(payloads, sizes, at, strict=True)]) if len(payloads) else np.zeros(0, kind))
+        at += sizes * width
+    return sizes, columns
+
+
+def answer(bucket: int, blocks: list[int], sizes: np.ndarray, flags: np.ndarray) -> list[tuple[int, int, int, bytes]]:
+    """The flags of the keys that each block has sent, as bits."""
+    ends = np.cumsum(sizes)
+    return [(bucket, block, 0, np.packbits(flags[e - n : e]).tobytes()) for block, n, e in zip(blocks, sizes, ends, strict=True)]
+
+
+def answered(rows: pa.Table, bucket: np.ndarray, buckets: int) -> np.ndarray:
+    """The bits that came back, in the order of the keys that were sent."""
+    order, bounds = split_by(bucket, buckets)
+    out = np.zeros(len(bucket), bool)
+    for b, kind, payload in zip(rows["bucket"].to_pylist(), rows["kind"].to_pylist(), rows["payload"].to_pylist(), strict=True):
+        if kind == 0:
+            n = bounds[b + 1] - bounds[b]
+            out[order[bounds[b] : bounds[b + 1]]] = np.unpackbits(np.frombuffer(payload, np.uint8), count=int(n)).astype(bool)
+    return out
+
+
+def bucket_of(key: np.ndarray, buckets: int) -> np.ndarray:
+    return ((key >> _U(40)) % _U(buckets)).astype(np.int32)
+
+
+def repeated(key: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Whether the weights of each key's equals sum to two or more."""
+    if len(key) == 0:
+        return np.zeros(0, bool)
+    order = np.argsort(key, kind="stable")
+    k = key[order]
+    starts = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+    total = np.add.reduceat(weight[order].astype(np.int64), starts)
+    out = np.zeros(len(key), bool)
+    out[order] = np.repeat(total >= 2, np.diff(np.append(starts, len(k))))
+    return out
+
+
+def grouped(function, **fixed):
+    """function(key, rows, **fixed) in the plain form that applyInArrow takes."""
+
+    def call(key, rows):
+        return function(key, rows, **fixed)
+
+    return call
+
+
+def paired(function, **fixed):
+    """function(key, left, right, **fixed) in the plain form that cogrouped applyInArrow takes."""
+
+    def call(key, left, right):
+        return function(key, left, right, **fixed)
+
+    return call

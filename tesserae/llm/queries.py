@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tesserae.llm import langid, licences, packing, quotes, topk
+from tesserae.llm import langid, licences, packing, quotes, substring, topk
 
 QUERIES = {
+    "op2_repeated_words": substring.op2_repeated_words,
     "op4_quotation_links": quotes.op4_quotation_links,
     "op6_pack_sequences": packing.op6_pack_sequences,
     "op8_top_k": topk.op8_top_k,
@@ -13,6 +14,7 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op2_repeated_words": substring.ORACLE,
     "op4_quotation_links": quotes.ORACLE,
     "op8_top_k": topk.ORACLE,
     "op9_licences": licences.ORACLE,
