@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from tesserae.llm import langid, licences, packing, quotes, substring, topk
+from tesserae.llm import langid, licences, packing, quotes, substring, suffixes, topk
 
 QUERIES = {
     "op2_repeated_words": substring.op2_repeated_words,
     "op4_quotation_links": quotes.op4_quotation_links,
     "op6_pack_sequences": packing.op6_pack_sequences,
+    "op7_repeated_bytes": suffixes.op7_repeated_bytes,
     "op8_top_k": topk.op8_top_k,
     "op9_licences": licences.op9_licences,
     "op10_language_id": langid.op10_language_id,
