@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from tesserae.llm import langid, licences, packing, quotes, substring, suffixes, topk
+from tesserae.llm import langid, licences, packing, personal, quotes, substring, suffixes, tiling, topk
 
 QUERIES = {
     "op2_repeated_words": substring.op2_repeated_words,
+    "op3_personal_data": personal.op3_personal_data,
     "op4_quotation_links": quotes.op4_quotation_links,
+    "op5_contaminated": tiling.op5_contaminated,
     "op6_pack_sequences": packing.op6_pack_sequences,
     "op7_repeated_bytes": suffixes.op7_repeated_bytes,
     "op8_top_k": topk.op8_top_k,
