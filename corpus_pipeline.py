@@ -1,13 +1,63 @@
-"""The corpus pipeline: language filter, near-duplicate removal, decontamination, masking of personal data, packing."""
+"""The corpus pipeline: language filter, near-duplicate removal, decontamination, masking of personal data, packing.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame: all but the last one with the columns of documents. A stage that reads
+its documents more than once expects them to be stored; run() writes each stage's rows to the shared folder and reads them again.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tesserae.llm import common, langid, neardup, packing, personal, tiling
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a language go: null texts and texts without a letter. Labels are learned from the documents themselves."""
+    found = langid.identify(docs, *langid.train(docs), carry=docs.columns)
+    return found.where(F.col("lang_pred") != "und").select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of near-duplicates the document with the smallest id stays. Rows of one id are one document; without an id they stay."""
+    kept = neardup.classes(docs).where(F.col("doc_id") == F.col("class_id")).select("doc_id").distinct()
+    stay = docs.join(kept, "doc_id", "left_semi")
+    if not docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").isEmpty():
+        stay = stay.dropDuplicates(["doc_id"])
+    return stay.unionByName(docs.where("doc_id IS NULL")).select(*docs.columns)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that cover a benchmark item go."""
+    return tiling.uncontaminated(docs, common.table(spark, sf_dir, "benchmark"))
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data are masked."""
+    return personal.mask(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents and their places in sequences."""
+    return packing.pack(docs, packing.default_tokenizer())
+
+
+STAGES = [
+    ("language", language),
+    ("near_duplicates", near_duplicates),
+    ("decontaminate", decontaminate),
+    ("personal_data", personal_data),
+    ("pack", pack),
+]
+
+#: Shingling, sampling, tiling and estimation can't be stated in SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents")
+    for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k + 1 < len(STAGES):
+            docs = common.materialize(docs, name)
     return docs

@@ -143,12 +143,13 @@ def score_batch(data: np.ndarray, offsets: np.ndarray, matrix: np.ndarray, find:
 
 
 def identify(docs: DataFrame, languages: list[str], matrix: np.ndarray, carry: list[str] | None = None) -> DataFrame:
-    """Add lang_pred and score to the rows of docs; only their text is looked at. carry: the columns to keep (default doc_id).
+    """Add lang_pred and score to the rows of docs; only their text is looked at. carry: the columns to keep (default doc_id);
+    columns of docs that are called lang_pred or score are replaced.
 
     lang_pred is `und` with score 0 if text is null or has no letter, or if nothing could be learned; else the language of the
     largest decision value d, the first by name among equals, with score (d + 1) / 2 held within 0 and 1.
     """
-    carry = ["doc_id"] if carry is None else carry
+    carry = ["doc_id"] if carry is None else [c for c in carry if c not in ("lang_pred", "score")]
     shared = docs.sparkSession.sparkContext.broadcast((languages, matrix))
     text_at = len(carry)
     schema = docs.select(*carry).schema.add("lang_pred", "string").add("score", "double")

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tesserae.llm import langid, licences, packing, personal, quotes, substring, suffixes, tiling, topk
+from tesserae.llm import langid, licences, neardup, packing, personal, quotes, substring, suffixes, tiling, topk
 
 QUERIES = {
+    "op1_near_duplicates": neardup.op1_near_duplicates,
     "op2_repeated_words": substring.op2_repeated_words,
     "op3_personal_data": personal.op3_personal_data,
     "op4_quotation_links": quotes.op4_quotation_links,

@@ -117,6 +117,49 @@ def _passes(benchmark: DataFrame) -> Iterator[tuple[np.ndarray, list[np.ndarray]
         yield np.array(ids, np.int64), kept
 
 
+class _Finder:
+    """Finds (row, item id, coverage) in batches of texts, for one pass of benchmark items."""
+
+    def __init__(self, ids: np.ndarray, items: list[np.ndarray], threshold: float):
+        sizes = np.array([len(x) for x in items])
+        self.ids, self.threshold = ids, threshold
+        self.first = np.concatenate([[0], np.cumsum(sizes)])
+        self.every = np.concatenate(items)
+        seeds = common.mix(common.window_hashes(self.every, MIN_MATCH))
+        place = np.flatnonzero(np.repeat(self.first[1:], sizes)[: len(seeds)] - np.arange(len(seeds)) >= MIN_MATCH)
+        order = np.argsort(seeds[place], kind="stable")
+        self.keys, self.places = seeds[place][order], place[order]
+        self.bits = max(16, int(len(self.keys)).bit_length() + 4)
+
+    def __call__(self, texts) -> Iterator[tuple[int, int, float]]:
+        keys, first, every = self.keys, self.first, self.every
+        sieve = np.zeros(1 << self.bits, bool)
+        sieve[(keys >> _U(64 - self.bits)).astype(np.int64)] = True
+        data, offsets = common.text_buffer(texts)
+        for lo, hi in common.chunks_by_bytes(offsets):
+            hashes, starts = tokens(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+            grams = common.mix(common.window_hashes(hashes, MIN_MATCH))
+            at = np.flatnonzero(sieve[(grams >> _U(64 - self.bits)).astype(np.int64)])
+            at = at[keys[np.minimum(np.searchsorted(keys, grams[at]), len(keys) - 1)] == grams[at]]
+            doc = np.searchsorted(starts, at, "right") - 1
+            ok = at + MIN_MATCH <= starts[doc + 1]
+            at, doc = at[ok], doc[ok]
+            edges = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1], [True]])) if len(doc) else []
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                d, found = int(doc[a]), np.unique(grams[at[a:b]])
+                left, right = np.searchsorted(keys, found), np.searchsorted(keys, found, "right")
+                seeds = np.concatenate([self.places[x:y] for x, y in zip(left, right, strict=True)])
+                item = np.searchsorted(first, seeds, "right") - 1
+                for i in np.unique(item):
+                    most = np.zeros(first[i + 1] - first[i], bool)
+                    for s in seeds[item == i] - first[i]:
+                        most[s : s + MIN_MATCH] = True
+                    if most.mean() >= self.threshold:
+                        share = coverage(every[first[i] : first[i + 1]], hashes[starts[d] : starts[d + 1]])
+                        if share >= self.threshold:
+                            yield lo + d, int(self.ids[i]), share
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = COVERAGE) -> DataFrame:
     """Pairs of a document and a benchmark item whose coverage in it is at least threshold: doc_id, item_id, coverage.
 
@@ -124,58 +167,38 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = COVER
     give no rows; further columns are ignored. A pair is tiled only if the tokens of its shared seeds, which all tiles are made of,
     reach the threshold. Documents aren't shuffled.
     """
-    spark = docs.sparkSession
-    schema = "doc_id long, item_id long, coverage double"
-    out = None
+    spark, schema, out = docs.sparkSession, "doc_id long, item_id long, coverage double", None
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     for ids, items in _passes(benchmark):
-        sizes = np.array([len(x) for x in items])
-        first = np.concatenate([[0], np.cumsum(sizes)])
-        every = np.concatenate(items)
-        seeds = common.mix(common.window_hashes(every, MIN_MATCH))
-        inside = np.repeat(first[1:], sizes)[: len(seeds)] - np.arange(len(seeds)) >= MIN_MATCH
-        place = np.flatnonzero(inside)
-        order = np.argsort(seeds[place], kind="stable")
-        shared = spark.sparkContext.broadcast((ids, every, first, seeds[place][order], place[order]))
+        shared = spark.sparkContext.broadcast(_Finder(ids, items, threshold))
 
         def find(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            ids, every, first, keys, places = shared.value
-            bits = max(16, int(len(keys)).bit_length() + 4)
-            sieve = np.zeros(1 << bits, bool)
-            sieve[(keys >> _U(64 - bits)).astype(np.int64)] = True
             for batch in batches:
-                data, offsets = common.text_buffer(batch.column(1))
-                rows = ([], [], [])
-                for lo, hi in common.chunks_by_bytes(offsets):
-                    some = data[offsets[lo] : offsets[hi]]
-                    hashes, starts = tokens(some, offsets[lo : hi + 1] - offsets[lo])
-                    grams = common.mix(common.window_hashes(hashes, MIN_MATCH))
-                    at = np.flatnonzero(sieve[(grams >> _U(64 - bits)).astype(np.int64)])
-                    left = np.searchsorted(keys, grams[at])
-                    at = at[keys[np.minimum(left, len(keys) - 1)] == grams[at]]
-                    doc = np.searchsorted(starts, at, "right") - 1
-                    ok = at + MIN_MATCH <= starts[doc + 1]
-                    at, doc = at[ok], doc[ok]
-                    for d in np.unique(doc):
-                        found = np.unique(grams[at[doc == d]])
-                        left, right = np.searchsorted(keys, found), np.searchsorted(keys, found, "right")
-                        seeds = np.concatenate([places[a:b] for a, b in zip(left, right, strict=True)])
-                        item = np.searchsorted(first, seeds, "right") - 1
-                        for i in np.unique(item):
-                            most = np.zeros(first[i + 1] - first[i], bool)
-                            for s in seeds[item == i] - first[i]:
-                                most[s : s + MIN_MATCH] = True
-                            if most.mean() < threshold:
-                                continue
-                            share = coverage(every[first[i] : first[i + 1]], hashes[starts[d] : starts[d + 1]])
-                            if share >= threshold:
-                                for column, value in zip(rows, (batch.column(0)[lo + int(d)].as_py(), int(ids[i]), share), strict=True):
-                                    column.append(value)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, (pa.int64(), pa.int64(), pa.float64()), strict=True)], ["doc_id", "item_id", "coverage"])
-
-        part = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(find, schema)
+                rows = list(shared.value(batch.column(1)))
+                doc_ids = batch.column(0).take(pa.array([r for r, _, _ in rows], pa.int64()))
+                yield pa.RecordBatch.from_arrays([doc_ids, pa.array([i for _, i, _ in rows], pa.int64()), pa.array([c for _, _, c in rows], pa.float64())], ["doc_id", "item_id", "coverage"])
+
+        part = source.mapInArrow(find, schema)
         out = part if out is None else out.unionByName(part)
     return out if out is not None else spark.createDataFrame([], schema)
 
 
+def uncontaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = COVERAGE) -> DataFrame:
+    """The rows of docs, with all their columns, that contaminated() has no pair of. No shuffle."""
+    columns = docs.columns
+    for ids, items in _passes(benchmark):
+        shared = docs.sparkSession.sparkContext.broadcast(_Finder(ids, items, threshold))
+
+        def keep(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                good = np.ones(batch.num_rows, bool)
+                for row, _, _ in shared.value(batch.column(columns.index("text"))):
+                    good[row] = False
+                yield batch.filter(pa.array(good))
+
+        docs = docs.mapInArrow(keep, docs.schema)
+    return docs
+
+
 def op5_contaminated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
