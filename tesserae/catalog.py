@@ -1,4 +1,6 @@
 """Every query of the engine and its SQL counterpart, by name."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from tesserae.plans import policies
+
+QUERIES: dict = {**policies.QUERIES}
+ORACLES: dict = {**policies.ORACLES}
