@@ -1,6 +1,6 @@
 """Every query of the engine and its SQL counterpart, by name."""
 
-from tesserae.plans import policies
+from tesserae.plans import estimation, ingestion, policies
 
-QUERIES: dict = {**policies.QUERIES}
-ORACLES: dict = {**policies.ORACLES}
+QUERIES: dict = {**policies.QUERIES, **estimation.QUERIES, **ingestion.QUERIES}
+ORACLES: dict = {**policies.ORACLES, **estimation.ORACLES, **ingestion.ORACLES}
