@@ -68,7 +68,7 @@ def text_buffer(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndar
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def chunks_by_bytes(offsets: np.ndarray, most: int = 4 << 20):
+def chunks_by_bytes(offsets: np.ndarray, most: int = 1 << 20):
     """Ranges (lo, hi) of documents of about `most` bytes; a longer document stands alone."""
     lo, n = 0, len(offsets) - 1
     while lo < n:
@@ -201,7 +201,7 @@ def with_block(docs: DataFrame, blocks: int, *keys: str) -> DataFrame:
 # back. Both ends derive the same order of keys from the same documents, so an answer is a bit for each key sent.
 
 #: Bytes of text that a block holds, about.
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 4 << 20
 PACKED = "bucket int, block int, kind int, payload binary"
 PACKED_ARROW = pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("kind", pa.int32()), ("payload", pa.binary())])
 

@@ -222,12 +222,13 @@ def _spans(data: np.ndarray, prefix_at, a, lo, hi, length: int):
     last = a[of] - q * SPAN
     first = last - (SPAN - 1)
     absent_left, absent_right = np.maximum(0, lo[of] - first), np.maximum(0, last - hi[of])
-    near = np.arange(SPAN - 1)
     sides = []
-    for begin, absent, gone in ((first, absent_left, near[None, :] < absent_left[:, None]), (first + length, absent_right, near[None, :] >= (SPAN - 1 - absent_right)[:, None])):
-        at = np.clip(begin[:, None] + near[None, :], 0, max(0, len(data) - 1))
+    for begin, absent, before in ((first, absent_left, True), (first + length, absent_right, False)):
         side = np.zeros((len(of), 8), np.uint8)
-        side[:, : SPAN - 1] = np.where(gone, 0, data[at])
+        for j in range(SPAN - 1):  # a column at a time, so that no wide table of places is made
+            byte = data[np.clip(begin + j, 0, max(0, len(data) - 1))]
+            byte[j < absent if before else j >= SPAN - 1 - absent] = 0
+            side[:, j] = byte
         side[:, 7] = absent
         sides.append(side.view(_U)[:, 0])
     return of, first, prefix_at(last, first + length), *sides
@@ -341,11 +342,12 @@ def _remove(key, part: pa.Table, rows: pa.Table, length: int, buckets: int, **_)
         np.add.at(change, hi_sure + length, -1)
         asked = _Asked(block, a, lo, hi, lo_hot, hi_hot, length)
         bits = _bytes_back(rows, 0, common.bucket_of(asked.core, buckets), buckets)[asked.inverse]
-        start = asked.first[:, None] + np.arange(SPAN)[None, :]
-        good = ((bits[:, None] >> np.arange(SPAN, dtype=np.uint8)[None, :]) & 1).astype(bool)
-        good &= (start >= lo[asked.of][:, None]) & (start <= hi[asked.of][:, None])
+        for j in range(SPAN):
+            start = asked.first + j
+            good = ((bits >> np.uint8(j)) & 1).astype(bool) & (start >= lo[asked.of]) & (start <= hi[asked.of])
+            change += np.bincount(start[good], minlength=len(change)) - np.bincount(start[good] + length, minlength=len(change))
         again = _bytes_back(rows, 2, common.bucket_of(asked.key, buckets), buckets)[asked.single].astype(bool)
-        at = np.concatenate([start[good], asked.start[again]])
+        at = asked.start[again]
         np.add.at(change, at, 1)
         np.add.at(change, at + length, -1)
     removed = np.cumsum(change[:-1]) > 0
