@@ -20,7 +20,7 @@ def read_csv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
         raise ValueError(f"header {names} is not {columns}")
     schema = ", ".join(f"`{c}` string" for c in columns)
     out = spark.read.csv(path, header=True, schema=schema, multiLine=True, mode="FAILFAST", enforceSchema=False, quote='"', escape='"')
-    return out.repartition() if path.endswith(".gz") else out
+    return out.repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))) if path.endswith(".gz") else out
 
 
 def project_csv(spark: SparkSession, path: str, columns: list[str], keep: list[str], out: str) -> None:
