@@ -2,16 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def _checkpoints(spark: SparkSession) -> None:
+    """Checkpoints go to the folder that the cluster names; only where it names none, as in local runs, to one of our own."""
+    place = spark.conf.get("spark.checkpoint.dir", None)
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(place or tempfile.mkdtemp(prefix="tesserae-"))
+
+
 def by_tokens(pairs: DataFrame) -> DataFrame:
     """(node, component) from rows (node, token): the smallest node that is reached over shared tokens.
 
     Each token links its nodes to the smallest of them, so a token of n nodes makes n - 1 edges. Labels then travel along the edges
     and jump over the labels' own labels; checkpoints cut the lineage of each round. Null nodes or tokens link nothing.
     """
+    _checkpoints(pairs.sparkSession)
     rows = pairs.where("node IS NOT NULL AND token IS NOT NULL").distinct()
     least = rows.groupBy("token").agg(F.min("node").alias("hub"))
     spokes = rows.join(least, "token").where("node <> hub").select("node", "hub").distinct()
