@@ -26,13 +26,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_own_dir: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset (local runs)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, as in local runs, one of our own."""
     place = spark.conf.get("spark.checkpoint.dir", None)
-    if not place:
-        place = tempfile.mkdtemp(prefix="tesserae-")
-        spark.conf.set("spark.checkpoint.dir", place)
-    return place.rstrip("/")
+    if place:
+        return place.rstrip("/")
+    if not _own_dir:
+        _own_dir.append(tempfile.mkdtemp(prefix="tesserae-"))
+    return _own_dir[0]
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
