@@ -290,3 +290,66 @@ def shard_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
         return part.assign(shard=place)[["lot", "conv_id", "turn", "bytes", "shard"]]
 
     return rows.groupBy("lot").applyInPandas(pack, "lot long, conv_id long, turn long, bytes int, shard int")
+
+
+# ---------------------------------------------------------------- requests, responses, prices
+
+
+@query("uri_split", "SELECT page_id, regexp_extract(url, '^([a-z][a-z0-9+.-]*)://([^/]*)/?(.*)$', 1) AS scheme, regexp_extract(url, '^([a-z][a-z0-9+.-]*)://([^/]*)/?(.*)$', 2) AS host, regexp_extract(url, '^([a-z][a-z0-9+.-]*)://([^/]*)/?(.*)$', 3) AS path FROM pages")
+def uri_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = lambda k: F.regexp_extract("url", r"^([a-z][a-z0-9+.-]*)://([^/]*)/?(.*)$", k)
+    return frames.table(spark, sf_dir, "pages").select("page_id", part(1).alias("scheme"), part(2).alias("host"), part(3).alias("path"))
+
+
+_CODE = "CASE event_id % 6 WHEN 0 THEN 200 WHEN 1 THEN 400 WHEN 2 THEN 401 WHEN 3 THEN 429 WHEN 4 THEN 500 ELSE 503 END"
+_CLASS = "CASE WHEN code < 400 THEN 'none' WHEN code IN (401, 403) THEN 'fatal' WHEN code = 429 OR code >= 500 THEN 'retryable' ELSE 'definite' END"
+
+
+@query("error_classes", f"SELECT {_CLASS} AS class, count(*) AS n FROM (SELECT {_CODE} AS code FROM events) GROUP BY 1")
+def error_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Response codes as definite, retryable or fatal errors."""
+    return events(spark, sf_dir).select(F.expr(_CODE).alias("code")).groupBy(F.expr(_CLASS).alias("class")).agg(F.count("*").alias("n"))
+
+
+@query("yes_no_mass", """WITH m AS (SELECT vec_id, list_transform(embedding, lambda x: exp(-20 * abs(CAST(x AS DOUBLE)))) AS e FROM embeddings),
+    s AS (SELECT vec_id, list_sum(list_filter(e, lambda x, i: i % 2 = 1)) AS yes, list_sum(list_filter(e, lambda x, i: i % 2 = 0)) AS no FROM m)
+    SELECT vec_id, round(yes / (yes + no), 6) AS score, yes / (yes + no) >= 0.5 AS label FROM s WHERE yes + no > 0.0001""")
+def yes_no_mass(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Probability mass of two classes of tokens from their log probabilities, within arrays; positions stand for tokens here."""
+    e = F.transform("embedding", lambda x: F.exp(-20 * F.abs(x.cast("double"))))
+    part = lambda odd: F.aggregate(F.filter("e", lambda x, i: i % 2 == odd), F.lit(0.0), lambda a, x: a + x)
+    rows = frames.table(spark, sf_dir, "embeddings").select("vec_id", e.alias("e")).select("vec_id", part(0).alias("yes"), part(1).alias("no")).where("yes + no > 0.0001")
+    share = F.col("yes") / (F.col("yes") + F.col("no"))
+    return rows.select("vec_id", F.round(share, 6).alias("score"), (share >= 0.5).alias("label"))
+
+
+PRICES = (("batch", 50), ("online", 100), ("cached", 25))
+_PRICES = ", ".join(f"('{n}', {p})" for n, p in PRICES)
+
+
+@query("token_stats", f"""WITH t AS (SELECT lang, length(text) AS n FROM documents WHERE text IS NOT NULL), p(scenario, rate) AS (VALUES {_PRICES}), s AS (SELECT lang, count(*) AS calls, CAST(sum(n) AS BIGINT) AS total, CAST(min(n) AS BIGINT) AS least, round(quantile_cont(n, 0.5), 6) AS median, round(quantile_cont(n, 0.95), 6) AS p95, CAST(max(n) AS BIGINT) AS most FROM t GROUP BY 1)
+    SELECT s.*, scenario, CAST(total * rate AS BIGINT) AS nano FROM s CROSS JOIN p""")
+def token_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Length statistics of requests, priced under a few scenarios."""
+    n = F.length("text").cast("long")
+    s = documents(spark, sf_dir).where("text IS NOT NULL").groupBy("lang").agg(F.count("*").alias("calls"), F.sum(n).alias("total"), F.min(n).alias("least"), F.round(F.percentile(n, 0.5), 6).alias("median"), F.round(F.percentile(n, 0.95), 6).alias("p95"), F.max(n).alias("most"))
+    prices = F.explode(F.array(*[F.struct(F.lit(k).alias("scenario"), F.lit(p).alias("rate")) for k, p in PRICES])).alias("price")
+    return s.select("*", prices).select("lang", "calls", "total", "least", "median", "p95", "most", F.col("price.scenario").alias("scenario"), (F.col("total") * F.col("price.rate")).alias("nano"))
+
+
+@query("page_channels", "SELECT regexp_extract(url, '^[a-z]+://([^/]*)', 1) AS host, count(*) AS pages, CAST(sum(length(html)) AS BIGINT) AS chars FROM pages GROUP BY 1")
+def page_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An inventory by a grammar of names: channels and what each holds."""
+    return frames.table(spark, sf_dir, "pages").groupBy(F.regexp_extract("url", "^[a-z]+://([^/]*)", 1).alias("host")).agg(F.count("*").alias("pages"), F.sum(F.length("html")).alias("chars"))
+
+
+@query("rubric_award_check", """SELECT l_returnflag AS category, count(*) AS items, count(*) FILTER (award <> weight * value) AS wrong_awards, CAST(sum(value) AS BIGINT) AS passes FROM (SELECT l_returnflag, CAST(l_tax AS DECIMAL(18, 6)) AS weight,
+    CASE WHEN l_returnflag = 'N' THEN CASE WHEN l_quantity < 3 THEN 1 ELSE 0 END ELSE CASE WHEN l_quantity > 6 THEN 1 ELSE 0 END END AS value,
+    CASE WHEN l_quantity = 9 THEN CAST(0 AS DECIMAL(18, 6)) ELSE CAST(l_tax AS DECIMAL(18, 6)) * CASE WHEN l_returnflag = 'N' THEN CASE WHEN l_quantity < 3 THEN 1 ELSE 0 END ELSE CASE WHEN l_quantity > 6 THEN 1 ELSE 0 END END END AS award FROM lineitem) GROUP BY 1""")
+def rubric_award_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Full credit as a bit, by the item's scoring mode, and awards held against weight times bit in exact decimals."""
+    weight = F.col("l_tax").cast("decimal(18,6)")
+    value = F.when(F.col("l_returnflag") == "N", (F.col("l_quantity") < 3).cast("int")).otherwise((F.col("l_quantity") > 6).cast("int"))
+    rows = frames.table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("category"), "l_quantity", weight.alias("weight"), value.alias("value"))
+    award = F.when(F.col("l_quantity") == 9, F.lit(0).cast("decimal(18,6)")).otherwise(F.col("weight") * F.col("value"))
+    return rows.withColumn("award", award).groupBy("category").agg(F.count("*").alias("items"), F.count_if(F.col("award") != F.col("weight") * F.col("value")).alias("wrong_awards"), F.sum("value").alias("passes"))
