@@ -4,8 +4,10 @@
    the counts above one back. Texts with equal tokens are found on the way; one of each goes on.
 2. A text whose shingles that occur elsewhere too weigh under the threshold can't have a partner. The others are sampled: only
    shingles that occur elsewhere are, as no other can be shared, so the chance to be a candidate can only rise.
-3. Texts that share a band are candidates. All members of a band's group are first compared with its first member; groups that still
-   hold several classes are compared with further members, and at last all pairs between their classes, so no link is lost to a cap.
+3. Texts that share a band are candidates. Within a band's group, samples estimate similarities; each text is first verified against
+   its best estimate among smaller keys. Then, classes of these links being known, all candidates of different classes whose estimate
+   isn't clearly too low are verified, each pair once, so no link between classes is lost to a cap. Groups of more than GROUP members
+   are dealt out as pairs of chunks.
 4. Classes are the connected components of the links.
 """
 
@@ -27,8 +29,12 @@ ROWS = 4
 #: Weight of a shingle: times in the text * (1 + DAMP * log((1 + N) / (1 + df)) / log(1 + N)). Damped, so that a large group of near
 #: copies, whose shared shingles are frequent just for that, isn't pulled apart by its few edits.
 DAMP = 0.2
-#: Rounds of comparing groups with one more member; then pairs between classes of a group are all compared.
-PIVOT_ROUNDS = 6
+#: A pair that just reaches the threshold has some expected number x of unequal samples; it is verified up to x + DEVIATIONS * sqrt(x) + 2
+#: of them, which such a pair exceeds once in some 10,000 times at most.
+DEVIATIONS = 4.0
+#: Members of a band's group, or of a chunk of it, that one call compares; members of all groups that go to a call, about.
+GROUP = 2048
+LOT = 50_000
 _U = np.uint64
 
 
@@ -137,8 +143,8 @@ def sample(hashes: np.ndarray, weights: np.ndarray, first: np.ndarray, samples:
     return out
 
 
-SKETCH = "doc_id long, text_key long, weight double, bands array<bigint>, vector binary"
-SKETCH_ARROW = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("weight", pa.float64()), ("bands", pa.list_(pa.int64())), ("vector", pa.binary())])
+SKETCH = "doc_id long, text_key long, weight double, shared double, bands array<int>, samples binary, vector binary"
+SKETCH_ARROW = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("weight", pa.float64()), ("shared", pa.float64()), ("bands", pa.list_(pa.int32())), ("samples", pa.binary()), ("vector", pa.binary())])
 
 
 def _sketch(key, part: pa.Table, rows: pa.Table, size: int, buckets: int, n_docs: int, threshold: float, bands: int, band_rows: int) -> pa.Table:
@@ -171,8 +177,10 @@ def _sketch(key, part: pa.Table, rows: pa.Table, size: int, buckets: int, n_docs
         signature = common.mix(signature * _U(0x9E3779B97F4A7C15) + drawn[:, j::band_rows] + np.arange(bands, dtype=_U))
     all_bands: list = [None] * len(going)
     vectors: list = [None] * len(going)
+    samples: list = [None] * len(going)
     for i, d in enumerate(chosen):
-        all_bands[d] = signature[i].view(np.int64)
+        all_bands[d] = (signature[i] >> _U(33)).astype(np.int32)
+        samples[d] = (drawn[i] >> _U(48)).astype(np.uint16).tobytes()
         a, b = block.first[d], block.first[d + 1]
         ids = block.hash[a:b].astype(np.uint32)
         by_id = np.argsort(ids, kind="stable")
@@ -180,7 +188,7 @@ def _sketch(key, part: pa.Table, rows: pa.Table, size: int, buckets: int, n_docs
         starts = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
         vectors[d] = ids[starts].tobytes() + np.add.reduceat(weight[a:b][by_id], starts).astype(np.float32).tobytes()
     # a text without tokens is alone; its key is made of its place, apart from all keys of texts
-    return pa.table([block.part["doc_id"], pa.array(np.where(np.diff(block.first) > 0, block.text_key, -1)), pa.array(total), pa.array(all_bands, pa.list_(pa.int64())), pa.array(vectors, pa.binary())], schema=SKETCH_ARROW)
+    return pa.table([block.part["doc_id"], pa.array(np.where(np.diff(block.first) > 0, block.text_key, -1)), pa.array(total), pa.array(in_common), pa.array(all_bands, pa.list_(pa.int32())), pa.array(samples, pa.binary()), pa.array(vectors, pa.binary())], schema=SKETCH_ARROW)
 
 
 def weighted_jaccard(left: bytes, right: bytes) -> float:
@@ -194,14 +202,94 @@ def weighted_jaccard(left: bytes, right: bytes) -> float:
     return float(low / (x.sum() + y.sum() - low))
 
 
+PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+
+def _pairs_within(first: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of rows (smaller, larger) within groups [first[g], first[g + 1]), some `most` of them at a time."""
+    last = np.repeat(first[1:], np.diff(first))
+    todo = last - np.arange(len(last)) - 1  # pairs that each row makes with later ones
+    ends = np.cumsum(todo)
+    lo = 0
+    while lo < len(todo):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + most, "right")))
+        many = todo[lo:hi]
+        left = np.repeat(np.arange(lo, hi), many)
+        yield left, left + 1 + np.arange(len(left)) - np.repeat(np.cumsum(many) - many, many)
+        lo = hi
+
+
+def _candidates(key, rows: pa.Table, threshold: float, every: bool) -> pa.Table:
+    """Pairs (smaller key, larger key) worth verifying, within the groups (band, lo, hi) of a lot.
+
+    every: all pairs between different classes, each in the first band that both share; else the best one of each text. A group may
+    be a pair of chunks, then only pairs across it count.
+    """
+    rows = rows.sort_by([("band", "ascending"), ("lo", "ascending"), ("hi", "ascending"), ("text_key", "ascending")])
+    band, lo, hi, ids, weight, shared, comp, chunk = (np.asarray(rows[c]) for c in ("band", "lo", "hi", "text_key", "weight", "shared", "comp", "chunk"))
+    bands = np.asarray(rows["bands"].combine_chunks().flatten(), np.int32).reshape(len(ids), -1)
+    samples = np.frombuffer(b"".join(rows["samples"].to_pylist()), np.uint16).reshape(len(ids), -1)
+    edge = np.flatnonzero(np.concatenate([[True], (band[1:] != band[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])]))
+    size, found = samples.shape[1], []
+    best, best_of = np.zeros(len(ids), np.int64), np.full(len(ids), -1)
+    for i, j in _pairs_within(np.append(edge, len(ids)), 200_000):
+        # what both must have in common to reach the threshold, and what that is as a similarity of the sampled parts
+        common_weight = (threshold - 1e-6) / (1 + threshold) * (weight[i] + weight[j])
+        ok = (common_weight <= np.minimum(shared[i], shared[j])) & (ids[i] != ids[j])
+        ok &= (lo[i] == hi[i]) | (chunk[i] != chunk[j])
+        if every:
+            ok &= comp[i] != comp[j]
+        i, j, common_weight = i[ok], j[ok], common_weight[ok]
+        unlike = size * (1 - common_weight / (shared[i] + shared[j] - common_weight))
+        same = (samples[i] == samples[j]).sum(1)
+        near = size - same <= unlike + DEVIATIONS * np.sqrt(np.maximum(unlike, 0)) + 2
+        i, j, same = i[near], j[near], same[near]
+        if every:
+            here = (bands[i] == bands[j]).argmax(1) == (band[i] & 31)
+            found.append((ids[i[here]], ids[j[here]]))
+        else:
+            order = np.lexsort((i, -same, j))
+            i, j, same = i[order], j[order], same[order]
+            top = np.flatnonzero(np.concatenate([[True], j[1:] != j[:-1]])) if len(j) else np.zeros(0, np.int64)
+            top = top[same[top] > best[j[top]]]
+            best[j[top]], best_of[j[top]] = same[top], i[top]
+    if not every:
+        has = np.flatnonzero(best_of >= 0)
+        found.append((ids[best_of[has]], ids[has]))
+    empty = np.zeros(0, np.int64)
+    return pa.table([pa.array(np.concatenate([empty, *(x for x, _ in found)])), pa.array(np.concatenate([empty, *(y for _, y in found)]))], schema=PAIRS)
+
+
+def _compared(members: DataFrame, sketches: DataFrame, labels: DataFrame | None, threshold: float) -> DataFrame:
+    """Candidate pairs from all groups: the best of each text without labels, else all between different classes."""
+    about = sketches.select("text_key", "weight", "shared", "bands", "samples")
+    if labels is None:
+        about = about.withColumn("comp", F.col("text_key"))
+    else:
+        about = about.join(labels, "text_key", "left").withColumn("comp", F.coalesce("comp", "text_key"))
+        # groups of one class have nothing left to compare
+        known = members.join(labels, "text_key", "left").withColumn("comp", F.coalesce("comp", "text_key"))
+        open_ = known.groupBy("band").agg((F.min("comp") != F.max("comp")).alias("open")).where("open").select("band")
+        members = members.join(open_, "band")
+    rows = members.join(about, "text_key")
+    chunk = F.when(F.col("chunks") > 1, F.pmod(F.xxhash64("text_key", "band"), F.col("chunks"))).otherwise(0).cast("int")
+    rows = rows.withColumn("chunk", chunk)
+    if labels is None:
+        rows = rows.withColumns({"lo": F.col("chunk"), "hi": F.col("chunk")})
+    else:
+        other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
+        rows = rows.withColumn("other", other).withColumns({"lo": F.least("chunk", "other"), "hi": F.greatest("chunk", "other")}).drop("other")
+    # many groups go to a call together, about LOT rows of them
+    lots = max(common.shuffle_width(sketches.sparkSession), -(-members.count() // LOT))
+    rows = rows.withColumn("lot", F.pmod(F.xxhash64("band", "lo", "hi"), F.lit(lots)))
+    pairs = rows.groupBy("lot").applyInArrow(common.grouped(_candidates, threshold=threshold, every=labels is not None), "a long, b long")
+    return pairs if labels is not None else pairs.distinct()
+
+
 def _verified(pairs: DataFrame, sketches: DataFrame, threshold: float, name: str) -> DataFrame:
     """The pairs (a, b) whose texts are similar enough."""
-    left = sketches.select(F.col("text_key").alias("a"), F.col("vector").alias("va"), F.col("weight").alias("wa"))
-    right = sketches.select(F.col("text_key").alias("b"), F.col("vector").alias("vb"), F.col("weight").alias("wb"))
-    sized = pairs.join(left.select("a", "wa"), "a").join(right.select("b", "wb"), "b")
-    # the smaller over the larger weight bounds the similarity
-    near = sized.where(F.least("wa", "wb") >= (threshold - 1e-6) * F.greatest("wa", "wb")).select("a", "b")
-    joined = near.join(right.select("b", "vb"), "b").join(left.select("a", "va"), "a").select("a", "b", "va", "vb")
+    left, right = (sketches.select(F.col("text_key").alias(k), F.col("vector").alias(f"v{k}")) for k in "ab")
+    joined = pairs.join(right, "b").join(left, "a").select("a", "b", "va", "vb")
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -212,19 +300,20 @@ def _verified(pairs: DataFrame, sketches: DataFrame, threshold: float, name: str
     return common.materialize(joined.mapInArrow(judge, "a long, b long"), name)
 
 
-def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(text_key, comp) for nodes (text_key), with comp the smallest key of the connected component under edges (a, b).
+def components(edges: DataFrame) -> DataFrame:
+    """(text_key, comp) for the texts of edges (a, b), with comp the smallest key of the connected component.
 
-    Labels travel along edges, and each round then follows labels to the labels' own, so long chains take few rounds.
+    Labels travel along edges, and each round then follows labels to the labels' own, so long chains take few rounds. Texts without
+    an edge take no part.
     """
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b")
-    both = common.materialize(both.distinct(), "edges")
-    labels = common.materialize(nodes.select("text_key", F.col("text_key").alias("comp")), "labels")
+    back = edges.select(F.col("b").alias("a"), F.col("a").alias("b"))
+    both = common.materialize(edges.select("a", "b").unionByName(back).distinct(), "edges")
+    labels = common.materialize(both.groupBy(F.col("a").alias("text_key")).agg(F.least(F.min("b"), F.col("a")).alias("comp")), "labels")
     while True:
         heard = both.join(labels.select(F.col("text_key").alias("b"), "comp"), "b").groupBy(F.col("a").alias("text_key")).agg(F.min("comp").alias("heard"))
-        least = labels.join(heard, "text_key", "left").select("text_key", "comp", F.least("comp", F.coalesce("heard", "comp")).alias("low"))
         jump = labels.select(F.col("text_key").alias("low"), F.col("comp").alias("further"))
-        moved = least.join(jump, "low", "left").select("text_key", F.least("low", F.coalesce("further", "low")).alias("comp"), F.col("comp").alias("before"))
+        moved = labels.join(heard, "text_key").select("text_key", F.col("comp").alias("before"), F.least("comp", "heard").alias("low"))
+        moved = moved.join(jump, "low").select("text_key", F.least("low", "further").alias("comp"), "before")
         moved = common.materialize(moved, "labels")
         labels = moved.select("text_key", "comp")
         if moved.where("comp <> before").isEmpty():
@@ -232,38 +321,19 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def links(sketches: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
-    """Verified links between texts, and the components (text_key, comp)."""
-    members = common.materialize(sketches.select("text_key", F.explode("bands").alias("band")).distinct(), "bands")
-    shared = members.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
-    members = common.materialize(members.join(shared, "band"), "members")
-    nodes = sketches.select("text_key")
-    found, labels = None, nodes.select("text_key", F.col("text_key").alias("comp"))
-    for n in range(PIVOT_ROUNDS + 1):
-        known = members.join(labels, "text_key")
-        if n == 0:
-            pivots = known.groupBy("band").agg(F.min("text_key").alias("pivot"), F.min_by("comp", "text_key").alias("pivot_comp"))
-            pairs = known.join(pivots, "band").where("text_key <> pivot").select(F.col("pivot").alias("a"), F.col("text_key").alias("b"))
-        else:
-            sizes = known.groupBy("band", "comp").agg(F.count("*").alias("m"), F.min("text_key").alias("least"))
-            groups = sizes.groupBy("band").agg(F.count("*").alias("classes"), F.sum("m").alias("n"), F.sum(F.col("m") * F.col("m")).alias("sq"), F.min(F.struct("m", "least", "comp")).alias("small"))
-            groups = common.materialize(groups.where("classes > 1"), f"groups-{n}")
-            total = groups.agg(F.sum((F.col("n") * F.col("n") - F.col("sq")) / 2).alias("open"), F.sum("n").alias("rows")).first()
-            if not total["rows"]:
-                break
-            if n == PIVOT_ROUNDS or total["open"] <= 8 * total["rows"]:
-                mixed = known.join(groups.select("band"), "band")
-                other = mixed.select("band", F.col("text_key").alias("a"), F.col("comp").alias("ca"))
-                pairs = mixed.join(other, "band").where("ca <> comp AND a < text_key").select("a", F.col("text_key").alias("b"))
-                found = found.unionByName(_verified(pairs.distinct(), sketches, threshold, "links-all"))
-                labels = components(nodes, found)
-                break
-            pivots = groups.select("band", F.col("small.least").alias("pivot"), F.col("small.comp").alias("pivot_comp"))
-            pairs = known.join(pivots, "band").where("comp <> pivot_comp").select(F.col("pivot").alias("a"), F.col("text_key").alias("b"))
-        ordered = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        more = _verified(ordered, sketches, threshold, f"links-{n}")
-        found = more if found is None else found.unionByName(more)
-        labels = components(nodes, found)
-    return found, labels
+    """Verified links that make up the classes, and the components (text_key, comp) of the texts that have any."""
+    # a group's key is the band's number in the low bits and its value above them
+    key = F.explode(F.transform("bands", lambda x, i: F.shiftleft(x.cast("long"), 5).bitwiseOR(i.cast("long")))).alias("band")
+    members = sketches.select("text_key", key)
+    sizes = members.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band", F.ceil(F.col("n") / GROUP).cast("int").alias("chunks"))
+    members = common.materialize(members.join(sizes, "band"), "members")
+    found = _verified(_compared(members, sketches, None, threshold), sketches, threshold, "links-best")
+    labels = components(found)
+    more = _verified(_compared(members, sketches, labels, threshold), sketches, threshold, "links-rest")
+    if more.isEmpty():
+        return found, labels
+    found = found.unionByName(more)
+    return found, components(found)
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD, size: int = SHINGLE, bands: int = BANDS, band_rows: int = ROWS) -> DataFrame:
@@ -282,7 +352,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, size: int = SHINGLE,
     counted = asked.groupBy("bucket").applyInArrow(common.grouped(_count), common.PACKED)
     sketch = common.paired(_sketch, n_docs=n_docs, threshold=threshold, bands=bands, band_rows=band_rows, **p)
     rows = common.materialize(dealt.groupBy("block").cogroup(counted.groupBy("block")).applyInArrow(sketch, SKETCH), "sketches")
-    _, labels = links(rows.where("bands IS NOT NULL").select("text_key", "weight", "bands", "vector"), threshold)
+    _, labels = links(rows.where("bands IS NOT NULL").select("text_key", "weight", "shared", "bands", "samples", "vector"), threshold)
     texts = rows.where("text_key >= 0").groupBy("text_key").agg(F.min("doc_id").alias("least"))
     named = texts.join(labels, "text_key", "left").withColumn("comp", F.coalesce("comp", "text_key"))
     least = named.groupBy("comp").agg(F.min("least").alias("class_id"))
