@@ -151,7 +151,7 @@ def identify(docs: DataFrame, languages: list[str], matrix: np.ndarray, carry: l
     """
     carry = ["doc_id"] if carry is None else [c for c in carry if c not in ("lang_pred", "score")]
     shared = docs.sparkSession.sparkContext.broadcast((languages, matrix))
-    text_at = len(carry)
+    text_at = carry.index("text") if "text" in carry else len(carry)
     schema = docs.select(*carry).schema.add("lang_pred", "string").add("score", "double")
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,14 +162,15 @@ def identify(docs: DataFrame, languages: list[str], matrix: np.ndarray, carry: l
             has = np.array([bool(t and _LETTER.search(t)) for t in texts.to_pylist()], bool)
             data, offsets = common.text_buffer(texts)
             best, score = np.full(len(has), len(langs)), np.zeros(len(has))
-            if langs:
-                d = score_batch(data, offsets, weights, find)
+            if langs and len(has):
+                parts = [score_batch(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], weights, find) for a, b in common.chunks_by_bytes(offsets)]
+                d = np.concatenate([np.zeros((0, len(langs))), *parts])
                 best = np.where(has, d.argmax(1), len(langs))
                 score = np.where(has, np.clip((d.max(1) + 1) / 2, 0, 1), 0.0)
-            columns = [batch.column(i) for i in range(text_at)]
+            columns = [batch.column(i) for i in range(len(carry))]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(names[best], pa.string()), pa.array(score)], [*carry, "lang_pred", "score"])
 
-    source = docs.select(*carry, F.col("text").alias("_text"))
+    source = docs.select(*carry) if "text" in carry else docs.select(*carry, F.col("text").alias("_text"))
     return source.mapInArrow(predict, schema)
 
 

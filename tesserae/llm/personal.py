@@ -246,14 +246,15 @@ def find(docs: DataFrame, *carry: str) -> DataFrame:
     carry are ignored. The corpus is read once; its candidates are kept as a table for the second step.
     """
     schema = T.StructType(docs.select(*carry).schema.fields + T.StructType.fromDDL(f"spans {_SPAN_DDL}").fields)
-    at = len(carry)
+    width, at = len(carry), carry.index("text") if "text" in carry else len(carry)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [candidates(t) for t in batch.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(at)), pa.array(found, _SPAN)], [*carry, "spans"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(width)), pa.array(found, _SPAN)], [*carry, "spans"])
 
-    made = common.materialize(docs.select(*carry, F.col("text").alias("_text")).mapInArrow(scan, schema), "spans")
+    source = docs.select(*carry) if "text" in carry else docs.select(*carry, F.col("text").alias("_text"))
+    made = common.materialize(source.mapInArrow(scan, schema), "spans")
     counts = {r["code"]: r["count"] for r in made.select(F.explode("spans.code").alias("code")).groupBy("code").count().collect()}
     good = [c for c, p in train(counts).items() if p >= ACCEPT]
     accepted = F.array(*[F.lit(c) for c in good]).cast("array<int>")
