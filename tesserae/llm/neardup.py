@@ -320,6 +320,18 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def _roots(parents: DataFrame) -> DataFrame:
+    """(text_key, comp) from (text_key, comp) with a smaller comp: the root above each, by doubling. Roots themselves have no row."""
+    labels = common.materialize(parents, "parents")
+    while True:
+        up = labels.select(F.col("text_key").alias("comp"), F.col("comp").alias("further"))
+        moved = labels.join(up, "comp", "left").select("text_key", F.coalesce("further", "comp").alias("comp"), F.col("further").isNotNull().alias("moved"))
+        moved = common.materialize(moved, "parents")
+        labels = moved.select("text_key", "comp")
+        if moved.where("moved").isEmpty():
+            return labels
+
+
 def links(sketches: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
     """Verified links that make up the classes, and the components (text_key, comp) of the texts that have any."""
     # a group's key is the band's number in the low bits and its value above them
@@ -328,12 +340,20 @@ def links(sketches: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame,
     sizes = members.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band", F.ceil(F.col("n") / GROUP).cast("int").alias("chunks"))
     members = common.materialize(members.join(sizes, "band"), "members")
     found = _verified(_compared(members, sketches, None, threshold), sketches, threshold, "links-best")
-    labels = components(found)
+    # each text hangs on one smaller key; links that this leaves out are found again between the classes
+    labels = _roots(found.groupBy(F.col("b").alias("text_key")).agg(F.min("a").alias("comp")))
     more = _verified(_compared(members, sketches, labels, threshold), sketches, threshold, "links-rest")
-    if more.isEmpty():
-        return found, labels
-    found = found.unionByName(more)
-    return found, components(found)
+    of = lambda k: F.coalesce(f"c{k}", k).alias(k)
+    ends = more
+    for k in "ab":
+        ends = ends.join(labels.select(F.col("text_key").alias(k), F.col("comp").alias(f"c{k}")), k, "left")
+    joined = common.materialize(ends.select(of("a"), of("b")).where("a <> b").distinct(), "joined")
+    if joined.isEmpty():
+        return found.unionByName(more), labels
+    top = components(joined)
+    above = top.select(F.col("text_key").alias("comp"), F.col("comp").alias("top"))
+    lower = labels.join(above, "comp", "left").select("text_key", F.coalesce("top", "comp").alias("comp"))
+    return found.unionByName(more), common.materialize(lower.unionByName(top), "labels-all")
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD, size: int = SHINGLE, bands: int = BANDS, band_rows: int = ROWS) -> DataFrame:
