@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import functools
 import json
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -25,6 +26,8 @@ CAPACITY = 1024
 END_ID = 2
 #: Pieces of one length that one window partition ranks, about.
 RANKED_TOGETHER = 100_000
+#: White-space runs that tiktoken isn't given: its regex engine keeps a state for each character of a run and ends the task at a million.
+LONG_RUN = re.compile(r"(?<!\s)\s{100000}")
 
 
 @functools.cache
@@ -32,9 +35,10 @@ def encoder(path: str):
     """A function from text to ids of a byte-level BPE file of the tokenizers library.
 
     The vocabulary and its special strings are read from that file; the merging itself is done by tiktoken, whose merge order is
-    that of the ids, as in this kind of file, and which is several times faster. Tests hold the ids against the other library's.
+    that of the ids, as in this kind of file, and which is several times faster. Tests hold the ids against the other library's. Texts with a LONG_RUN go to the tokenizers library.
     """
     import tiktoken
+    from tokenizers import Tokenizer
 
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
@@ -47,7 +51,11 @@ def encoder(path: str):
 
     coder = tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
+    other = functools.cache(lambda: Tokenizer.from_file(path))
+
     def encode(text: str) -> list[int]:
+        if LONG_RUN.search(text):
+            return other().encode(text, add_special_tokens=False).ids
         if any(s in text for s in special):
             return coder.encode(text, allowed_special=set(special))
         return coder.encode_ordinary(text)

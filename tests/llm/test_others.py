@@ -130,6 +130,16 @@ def test_tokens_are_those_of_the_library(spark):
         assert list(encode(t)) == other.encode(t, add_special_tokens=False).ids
 
 
+def test_long_white_space_is_encoded():
+    from tokenizers import Tokenizer
+
+    path = packing.default_tokenizer()
+    other, encode = Tokenizer.from_file(path), packing.encoder(path)
+    for run in (" " * 3_000_000, "\n" * 2_000_000, " \t\n" * 700_000, "\u3000" * 1_100_000, " " * 99_999, " " * 100_000):
+        for t in ("a b" + run + "c", run + "<|endoftext|>", run):
+            assert list(encode(t)) == other.encode(t, add_special_tokens=False).ids
+
+
 def test_packing(spark):
     docs = documents(spark, mixed() + ["w" * 3, prose(random.Random(2), 9000)])
     got = packing.pack(clashing(docs), packing.default_tokenizer(), keep_ids=True).collect()
