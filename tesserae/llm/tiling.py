@@ -1,12 +1,14 @@
 """Benchmark decontamination by greedy string tiling.
 
-Documents and benchmark items that share a seed of MIN_MATCH consecutive tokens are tiled: the longest match of tokens that are in no
+Documents and benchmark items that share a seed of MIN_MATCH consecutive tokens (or a whole item of fewer) are tiled: the longest match of tokens that are in no
 tile yet becomes a tile, again and again, found by running Karp-Rabin over windows of a falling search length. The share of an
 item's tokens that lie in tiles is its coverage, whatever the order of its parts in the document.
 """
 
 from __future__ import annotations
 
+import functools
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,18 +31,61 @@ _FOLD[0x30:0x3A] = np.arange(0x30, 0x3A)
 _FOLD[0x61:0x7B] = np.arange(0x61, 0x7B)
 _FOLD[0x41:0x5B] = np.arange(0x61, 0x7B)
 
+#: Scripts that are written without spaces, as ranges of code points: Thai, Lao, Myanmar, Khmer, Tai, Balinese, kana, Bopomofo, Han, Yi, Javanese, ...
+_UNSPACED = [(0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x1950, 0x19DF), (0x1A20, 0x1AAF), (0x1B00, 0x1B7F), (0x2E80, 0x2FDF), (0x3005, 0x3007), (0x3021, 0x3029), (0x3031, 0x312F), (0x31A0, 0x31BF), (0x31F0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0xA4CF), (0xA980, 0xA9FF), (0xAA60, 0xAADF), (0xF900, 0xFAFF), (0xFF66, 0xFF9F), (0x16FE0, 0x18DFF), (0x1AFF0, 0x1B2FF), (0x20000, 0x3FFFF)]
+
+
+@functools.cache
+def _unicode() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each code point: what it folds to (a space, or its lower case), whether its script has no spaces, whether it is a mark."""
+    fold, mark, unspaced = np.full(1 << 21, 0x20, np.uint32), np.zeros(1 << 21, bool), np.zeros(1 << 21, bool)
+    for c in [*range(0xD800), *range(0xE000, 0x40000), *range(0xE0000, 0xE0200)]:
+        kind = unicodedata.category(chr(c))[0]
+        if kind in "LMN":
+            low = chr(c).lower()
+            fold[c], mark[c] = ord(low) if len(low) == 1 else c, kind == "M"
+    for a, b in _UNSPACED:
+        unspaced[a : b + 1] = True
+    return fold, unspaced, mark
+
+
+def _code_points(data: np.ndarray, lead: np.ndarray) -> np.ndarray:
+    """The code points whose first bytes stand at `lead`."""
+    out = data[lead].astype(np.uint32)
+    for least, most, more, bits in ((0xC0, 0xE0, 1, 0x1F), (0xE0, 0xF0, 2, 0x0F), (0xF0, 0x100, 3, 0x07)):
+        at = np.flatnonzero((out >= least) & (out < most) & (data[lead] >= 0xC0))
+        value = data[lead[at]].astype(np.uint32) & np.uint32(bits)
+        for k in range(1, more + 1):
+            value = (value << np.uint32(6)) | (data[np.minimum(lead[at] + k, len(data) - 1)] & np.uint8(0x3F))
+        out[at] = value | np.uint32(1 << 31)
+    return out & np.uint32((1 << 31) - 1)
+
 
 def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all tokens, and the index of each document's first one (len + 1).
 
-    Tokens are runs of ASCII letters and digits and of bytes over 127, in lower case as far as ASCII and Latin-1 letters go.
+    Tokens are runs of letters, digits and the marks on them, by Unicode class and in lower case. In scripts that are written without
+    spaces each character, with its marks, is a token.
     """
-    folded = _FOLD[data]
-    if len(data) > 1:
-        upper = (data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97)
-        folded[1:][upper] += 0x20
-    starts, ends, first = common.word_spans(folded, offsets)
-    return common.word_hashes(folded, starts, ends), first
+    if not (data > 0x7F).any():
+        folded = _FOLD[data]
+        starts, ends, first = common.word_spans(folded, offsets)
+        return common.word_hashes(folded, starts, ends), first
+    fold, unspaced, mark = _unicode()
+    lead = np.flatnonzero((data & 0xC0) != 0x80)
+    points, edges = _code_points(data, lead), np.searchsorted(lead, offsets)
+    folded, alone = fold[points], unspaced[points]
+    ink = folded != 0x20
+    edge = np.zeros(len(points) + 1, bool)
+    edge[edges] = True
+    new = edge[:-1].copy()
+    new[1:] |= ~ink[:-1] | ((alone[1:] | alone[:-1]) & ~mark[points[1:]])
+    new &= ink
+    new[:1] |= ink[:1]
+    last = ink.copy()
+    last[:-1] &= ~ink[1:] | new[1:]
+    starts, ends = np.flatnonzero(new), np.flatnonzero(last) + 1
+    return common.word_hashes(folded, starts, ends), np.searchsorted(starts, edges)
 
 
 def _free(marked: np.ndarray, length: int) -> np.ndarray:
@@ -105,7 +150,7 @@ def _passes(benchmark: DataFrame) -> Iterator[tuple[np.ndarray, list[np.ndarray]
     for row in benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text IS NOT NULL AND item_id IS NOT NULL").orderBy("item_id", "text").toLocalIterator():
         data = np.frombuffer(row["text"].encode("utf-8"), np.uint8)
         hashes, _ = tokens(data, np.array([0, len(data)]))
-        if len(hashes) < MIN_MATCH:
+        if not len(hashes):
             continue
         ids.append(row["item_id"])
         kept.append(hashes)
@@ -125,45 +170,65 @@ class _Finder:
         self.ids, self.threshold = ids, threshold
         self.first = np.concatenate([[0], np.cumsum(sizes)])
         self.every = np.concatenate(items)
-        seeds = common.mix(common.window_hashes(self.every, MIN_MATCH))
-        place = np.flatnonzero(np.repeat(self.first[1:], sizes)[: len(seeds)] - np.arange(len(seeds)) >= MIN_MATCH)
-        order = np.argsort(seeds[place], kind="stable")
-        self.keys, self.places = seeds[place][order], place[order]
-        self.bits = max(16, int(len(self.keys)).bit_length() + 4)
+        # tables of seeds (length, keys in order, places): those of MIN_MATCH tokens, and items of fewer tokens as a whole
+        self.seeds = []
+        for length in range(1, MIN_MATCH + 1):
+            fit = np.repeat(sizes >= MIN_MATCH if length == MIN_MATCH else sizes == length, sizes)
+            keys = common.mix(common.window_hashes(self.every, length))
+            room = np.repeat(self.first[1:], sizes)[: len(keys)] - np.arange(len(keys))
+            place = np.flatnonzero(fit[: len(keys)] & (room >= length))
+            order = np.argsort(keys[place], kind="stable")
+            if len(place):
+                self.seeds.append((length, keys[place][order], place[order]))
 
     def __call__(self, texts) -> Iterator[tuple[int, int, float]]:
-        keys, first, every = self.keys, self.first, self.every
-        sieve = np.zeros(1 << self.bits, bool)
-        sieve[(keys >> _U(64 - self.bits)).astype(np.int64)] = True
+        tables = []
+        for length, keys, places in self.seeds:
+            bits = max(16, int(len(keys)).bit_length() + 4)
+            sieve = np.zeros(1 << bits, bool)
+            sieve[(keys >> _U(64 - bits)).astype(np.int64)] = True
+            tables.append((length, keys, places, sieve, _U(64 - bits)))
         data, offsets = common.text_buffer(texts)
         for lo, hi in common.chunks_by_bytes(offsets):
             hashes, starts = tokens(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
-            grams = common.mix(common.window_hashes(hashes, MIN_MATCH))
-            at = np.flatnonzero(sieve[(grams >> _U(64 - self.bits)).astype(np.int64)])
-            at = at[keys[np.minimum(np.searchsorted(keys, grams[at]), len(keys) - 1)] == grams[at]]
-            doc = np.searchsorted(starts, at, "right") - 1
-            ok = at + MIN_MATCH <= starts[doc + 1]
-            at, doc = at[ok], doc[ok]
-            edges = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1], [True]])) if len(doc) else []
-            for a, b in zip(edges[:-1], edges[1:], strict=True):
-                d, found = int(doc[a]), np.unique(grams[at[a:b]])
-                left, right = np.searchsorted(keys, found), np.searchsorted(keys, found, "right")
-                seeds = np.concatenate([self.places[x:y] for x, y in zip(left, right, strict=True)])
-                item = np.searchsorted(first, seeds, "right") - 1
-                for i in np.unique(item):
-                    most = np.zeros(first[i + 1] - first[i], bool)
-                    for s in seeds[item == i] - first[i]:
-                        most[s : s + MIN_MATCH] = True
-                    if most.mean() >= self.threshold:
-                        share = coverage(every[first[i] : first[i + 1]], hashes[starts[d] : starts[d + 1]])
-                        if share >= self.threshold:
-                            yield lo + d, int(self.ids[i]), share
+            for table in tables:
+                for d, i, share in self._in_chunk(hashes, starts, *table):
+                    yield lo + d, int(self.ids[i]), share
+
+    def _in_chunk(self, hashes: np.ndarray, starts: np.ndarray, length: int, keys: np.ndarray, places: np.ndarray, sieve: np.ndarray, shift: np.uint64) -> Iterator[tuple[int, int, float]]:
+        """(document, item, coverage) of a chunk's tokens, for the seeds of one length."""
+        first, every = self.first, self.every
+        grams = common.mix(common.window_hashes(hashes, length))
+        at = np.flatnonzero(sieve[(grams >> shift).astype(np.int64)])
+        at = at[keys[np.minimum(np.searchsorted(keys, grams[at]), len(keys) - 1)] == grams[at]]
+        doc = np.searchsorted(starts, at, "right") - 1
+        ok = at + length <= starts[doc + 1]
+        at, doc = at[ok], doc[ok]
+        edges = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1], [True]])) if len(doc) else []
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            d, (found, where) = int(doc[a]), np.unique(grams[at[a:b]], return_index=True)
+            left, right = np.searchsorted(keys, found), np.searchsorted(keys, found, "right")
+            seeds = np.concatenate([places[x:y] for x, y in zip(left, right, strict=True)])
+            item = np.searchsorted(first, seeds, "right") - 1
+            if length < MIN_MATCH:  # the seed is the whole item
+                text = np.repeat(at[a:b][where], right - left)
+                same = (every[seeds[:, None] + np.arange(length)] == hashes[text[:, None] + np.arange(length)]).all(1)
+                yield from ((d, int(i), 1.0) for i in item[same])
+                continue
+            for i in np.unique(item):
+                most = np.zeros(first[i + 1] - first[i], bool)
+                for s in seeds[item == i] - first[i]:
+                    most[s : s + MIN_MATCH] = True
+                if most.mean() >= self.threshold:
+                    share = coverage(every[first[i] : first[i + 1]], hashes[starts[d] : starts[d + 1]])
+                    if share >= self.threshold:
+                        yield d, int(i), share
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = COVERAGE) -> DataFrame:
     """Pairs of a document and a benchmark item whose coverage in it is at least threshold: doc_id, item_id, coverage.
 
-    Null texts and items under MIN_MATCH tokens match nothing; rows that repeat give pairs each; a null doc_id stays; empty tables
+    Null texts and items without tokens match nothing; an item of under MIN_MATCH tokens has to stand in the document as a whole; rows that repeat give pairs each; a null doc_id stays; empty tables
     give no rows; further columns are ignored. A pair is tiled only if the tokens of its shared seeds, which all tiles are made of,
     reach the threshold. Documents aren't shuffled.
     """

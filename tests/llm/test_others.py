@@ -94,6 +94,25 @@ def test_tiling_takes_several_passes(spark, monkeypatch):
     assert rows(tiling.contaminated(docs, bench), "doc_id", "item_id") == once == [(i, 5 - i) for i in range(6)]
 
 
+def test_short_and_unspaced_items(spark):
+    items = ["What is love?", "敏捷的棕色狐狸跳过了懒狗", "yes", "...", "what IS", "สวัสดีครับผม"]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    texts = ["So what is love, they asked", "我说敏捷的棕色狐狸跳过了懒狗吗", "yesterday", "Yes\u2014\u201cYES\u201d", "love is what", "what\nis\u00a0LOVE", "พูดว่าสวัสดีครับผมแล้ว", None]
+    assert rows(tiling.contaminated(documents(spark, texts), bench), "doc_id", "item_id") == [(0, 0), (0, 4), (1, 1), (3, 2), (5, 0), (5, 4), (6, 5)]
+    assert [r["doc_id"] for r in tiling.uncontaminated(documents(spark, texts), bench).orderBy("doc_id").collect()] == [2, 4, 7]
+
+
+def test_tokens_go_by_unicode_class():
+    def cut(*texts):
+        data = [t.encode() for t in texts]
+        return [x.tolist() for x in tiling.tokens(np.frombuffer(b"".join(data), np.uint8), np.cumsum([0, *map(len, data)]))]
+
+    plain = cut("it s a no break space 7", "x")
+    assert plain == cut("\u201cIt\u2019s a\u00a0no\u2014break\u2026 space 7\u201d", "X") and plain[1] == [0, 7, 8]
+    assert cut("ЁЖ É")[0] == cut("ёж é")[0] and len(cut("e\u0301a हिन्दी")[0]) == 2
+    assert len(cut("漢字aかな 1")[0]) == 6 and len(cut("ก้ข a🙂b")[0]) == 4
+
+
 def greedy(item, text, least=5):
     """Greedy string tiling by its definition."""
     a, b, covered = [False] * len(item), [False] * len(text), 0
