@@ -51,8 +51,9 @@ class Block:
             sums = np.concatenate([[0], np.cumsum(common.mix(hashes ^ _U(0x1234567)) * common.powers(common.BYTE_BASE, len(hashes)))]).astype(_U)
             inverse = common.powers(common.BYTE_INV, len(hashes) + 1)
             texts.append((sums[first[1:]] - sums[first[:-1]]) * inverse[first[:-1]] + np.diff(first).astype(_U))
-            for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
-                own = grams[a : b - size + 1] if b - a >= size else hashes[a:b].sum(keepdims=True) * _U(3) if b > a else grams[:0]
+            short = common.mix(texts[-1] ^ _U(0x7654321))  # a short text is one shingle, its tokens in their order
+            for k, (a, b) in enumerate(zip(first[:-1].tolist(), first[1:].tolist(), strict=True)):
+                own = grams[a : b - size + 1] if b - a >= size else short[k : k + 1] if b > a else grams[:0]
                 parts.append(np.sort(own))
         self.text_key = common.mix(np.concatenate([np.zeros(0, _U), *texts])).view(np.int64) & 0x7FFFFFFFFFFFFFFF  # not negative
         sizes = np.array([len(p) for p in parts], np.int64)

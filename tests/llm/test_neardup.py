@@ -67,6 +67,12 @@ def test_repeated_and_missing_ids(spark):
     assert neardup.classes(documents(spark, [])).collect() == []
 
 
+def test_short_texts_in_another_order_differ(spark):
+    texts = ["a b c", "c a b", "A, b. C!", "b c", "c b", "x", "x x", "d e f g", "g f e d"] + [prose(random.Random(3), 40)]
+    got = rows(neardup.classes(documents(spark, texts)), "doc_id", "class_id")
+    assert got == brute(texts) == sorted([(i, 0 if i == 2 else i) for i in range(10)], key=repr)
+
+
 def test_sampling_estimates_the_weighted_similarity():
     rng = np.random.default_rng(0)
     hashes = rng.integers(0, 1 << 63, 60).astype(np.uint64)
