@@ -15,7 +15,8 @@ from tesserae.llm import common, langid, neardup, packing, personal, tiling
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a language go: null texts and texts without a letter. Labels are learned from the documents themselves."""
     found = langid.identify(docs, *langid.train(docs), carry=docs.columns)
-    return found.where(F.col("lang_pred") != "und").select(*docs.columns)
+    # where no labels are, nothing is learned: texts with letters stay nevertheless
+    return found.where((F.col("lang_pred") != "und") | F.col("text").rlike(r"\p{L}")).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

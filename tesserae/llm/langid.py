@@ -19,11 +19,14 @@ from pyspark.sql import functions as F
 
 from tesserae.llm import common
 
-#: Bounds of the fit: rows of each language, characters of a row taken for training, landmarks over all languages, languages.
+#: Bounds of the fit: rows of each language, characters of a row taken for training, landmarks over all languages.
 ROWS_PER_LANGUAGE = 600
 TRAIN_CHARS = 20_000
 LANDMARKS = 200
-MOST_LANGUAGES = 64
+#: Every language is learned. With over 64 of them (or 66), the rows of each are fewer and the landmarks more.
+ALL_ROWS = 64 * ROWS_PER_LANGUAGE
+LEAST_ROWS = 50
+LANDMARKS_PER_LANGUAGE = 3
 RIDGE = 1e-4
 #: Bits of the places for 3- and 4-grams; single bytes and pairs have a place each.
 BITS = {3: 16, 4: 17}
@@ -77,16 +80,30 @@ def is_held_out(doc_id) -> F.Column:
 
 
 def training_sample(docs: DataFrame, rows: int = ROWS_PER_LANGUAGE, chars: int = TRAIN_CHARS) -> list[tuple[str, str]]:
-    """A bounded sample (lang, text) of the labelled rows that aren't held out: of each language those with the smallest id hashes."""
-    known = docs.where(F.col("lang").isNotNull() & ~is_held_out(F.col("doc_id")) & F.col("text").rlike(r"\p{L}") & (F.length("text") <= chars))
-    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()}
-    share = F.lit(0.0)
-    for lang, n in counts.items():
-        share = F.when(F.col("lang") == lang, min(1.0, (1.2 * rows + 20) / n)).otherwise(share)
+    """A bounded sample (lang, text) of the labelled rows that aren't held out: of each language those with the smallest id hashes.
+
+    Texts of over `chars` characters fill up languages that have too few others, by an excerpt from their first letter on.
+    """
+    spark = docs.sparkSession
+    known = docs.where(F.col("lang").isNotNull() & ~is_held_out(F.col("doc_id")) & F.col("text").rlike(r"\p{L}"))
+    known = known.select("doc_id", "lang", "text", (F.length("text") > chars).alias("long"))
+    counts = {r["lang"]: (r["short"], r["long"]) for r in known.groupBy("lang").agg(F.count_if(~F.col("long")).alias("short"), F.count_if("long").alias("long")).collect()}
+    if not counts:
+        return []
+    rows = max(min(rows, LEAST_ROWS), min(rows, ALL_ROWS // len(counts)))
+    shares = []
+    for lang, (short, many) in counts.items():
+        if short:
+            shares.append((lang, False, min(1.0, (1.2 * rows + 20) / short)))
+        if many and short < rows:
+            shares.append((lang, True, min(1.0, (1.2 * (rows - short) + 20) / many)))
     place = F.pmod(F.xxhash64(F.lit("train"), "doc_id"), F.lit(1 << 30))
-    picked = known.withColumn("place", place).where(F.col("place") < share * (1 << 30)).select("lang", "place", "text").limit(2 * (rows + 40) * MOST_LANGUAGES).collect()
+    known = known.join(F.broadcast(spark.createDataFrame(shares, "lang string, long boolean, share double")), ["lang", "long"])
+    excerpt = F.substring(F.regexp_replace("text", r"^\P{L}+", ""), 1, chars)
+    picked = known.withColumn("place", place).where(F.col("place") < F.col("share") * (1 << 30)).select("lang", "long", "place", F.when(F.col("long"), excerpt).otherwise(F.col("text")).alias("text"))
+    picked = picked.limit(2 * (rows + 40) * len(counts)).collect()
     out, used = [], dict.fromkeys(counts, 0)
-    for r in sorted(picked, key=lambda r: (r["place"], r["lang"], r["text"])):
+    for r in sorted(picked, key=lambda r: (r["long"], r["place"], r["lang"], r["text"])):
         if used[r["lang"]] < rows:
             used[r["lang"]] += 1
             out.append((r["lang"], r["text"]))
@@ -102,6 +119,7 @@ def fit(sample: list[tuple[str, str]], landmarks: int = LANDMARKS, ridge: float
     for _, text in sample:
         grams.append(find(fold(np.frombuffer(text.encode("utf-8"), np.uint8))))
     norm = np.sqrt([max(1, len(g)) for g in grams])
+    landmarks = max(landmarks, LANDMARKS_PER_LANGUAGE * len(langs))
     # landmarks turn by turn from each language, in the order of the sample
     turn, seen = [], dict.fromkeys(langs, 0)
     for i, (lang, _) in enumerate(sample):

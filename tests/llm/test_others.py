@@ -273,5 +273,25 @@ def test_held_out_labels_are_never_read(spark):
     assert {lang for lang, _ in langid.training_sample(documents(spark, texts, langs))} == {"y"}
 
 
+def test_every_language_is_learned(spark):
+    rng = random.Random(11)
+    sounds = {f"l{k:02d}": [prose(rng, 1)[:2] + chr(97 + k % 26) + chr(97 + (7 * k + k // 26) % 26) for _ in range(4)] for k in range(80)}
+    langs = [x for x in sounds for _ in range(12)]
+    texts = [" ".join(rng.choice(sounds[x]) for _ in range(30)) for x in langs]
+    sample = langid.training_sample(documents(spark, texts, langs))
+    assert {lang for lang, _ in sample} == set(sounds)
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.identify(documents(spark, texts), *langid.fit(sample)).collect()}
+    held = [i for i in range(len(langs)) if langid.held_out_by_hand(i)]
+    assert sum(got[i] == langs[i] for i in held) / len(held) > 0.9
+
+
+def test_long_texts_are_taken_by_excerpt(spark):
+    long = ["1 " * 15_000 + "schrich ung " * 2_000, "ka lo mi tu " * 2_000, "ka lo mi"]
+    ids = [i for i in range(40) if not langid.held_out_by_hand(i)][:3]
+    sample = langid.training_sample(documents(spark, long, ["bb", "aa", "aa"], ids))
+    assert sorted((lang, len(text), text[:5]) for lang, text in sample) == [("aa", 8, "ka lo"), ("aa", 20_000, "ka lo"), ("bb", 20_000, "schri")]
+    assert {r["lang_pred"] for r in langid.identify(documents(spark, long[:1]), *langid.fit(sample)).collect()} == {"bb"}
+
+
 def test_digest_of_no_spans():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")

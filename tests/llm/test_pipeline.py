@@ -41,3 +41,8 @@ def test_stages_keep_the_columns(spark, tmp_path):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, str(tmp_path)).dtypes == docs.dtypes
         assert stage(spark, docs.limit(0), str(tmp_path)).collect() == []
+
+
+def test_language_keeps_texts_with_letters_without_labels(spark, tmp_path):
+    docs = documents(spark, ["some words here", "12 34", None, ""], [None] * 4)
+    assert [r["doc_id"] for r in corpus_pipeline.language(spark, docs, str(tmp_path)).collect()] == [0]
