@@ -20,12 +20,21 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near-duplicates the document with the smallest id stays. Rows of one id are one document; without an id they stay."""
-    kept = neardup.classes(docs).where(F.col("doc_id") == F.col("class_id")).select("doc_id").distinct()
-    stay = docs.join(kept, "doc_id", "left_semi")
-    if not docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").isEmpty():
-        stay = stay.dropDuplicates(["doc_id"])
-    return stay.unionByName(docs.where("doc_id IS NULL")).select(*docs.columns)
+    """Of each class of near-duplicates the document with the smallest id stays. Documents without an id stay.
+
+    Rows of one id and text are one document; where an id has several texts, each is a document of its own, and of a class the
+    smallest (id, text) stays.
+    """
+    if docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").isEmpty():
+        kept = neardup.classes(docs).where(F.col("doc_id") == F.col("class_id")).select("doc_id").distinct()
+        return docs.join(kept, "doc_id", "left_semi").unionByName(docs.where("doc_id IS NULL")).select(*docs.columns)
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    known = docs.where("doc_id IS NOT NULL").groupBy("doc_id", "text").agg(F.min(F.struct(F.lit(0).alias("_"), *rest)).alias("_rest"))
+    known = known.select("doc_id", "text", *[F.col("_rest")[c].alias(c) for c in rest])
+    each = common.materialize(known.unionByName(docs.where("doc_id IS NULL")).withColumn("_row", F.monotonically_increasing_id()), "rows")
+    found = neardup.classes(each.select(F.col("_row").alias("doc_id"), "text")).select(F.col("doc_id").alias("_row"), "class_id")
+    first = each.where("doc_id IS NOT NULL").join(found, "_row").groupBy("class_id").agg(F.min_by("_row", F.struct("doc_id", "text")).alias("_row"))
+    return each.join(first.select("_row"), "_row", "left_semi").unionByName(each.where("doc_id IS NULL")).select(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -46,3 +46,15 @@ def test_stages_keep_the_columns(spark, tmp_path):
 def test_language_keeps_texts_with_letters_without_labels(spark, tmp_path):
     docs = documents(spark, ["some words here", "12 34", None, ""], [None] * 4)
     assert [r["doc_id"] for r in corpus_pipeline.language(spark, docs, str(tmp_path)).collect()] == [0]
+
+
+def test_texts_of_a_repeated_id_are_kept(spark, tmp_path):
+    rng = random.Random(14)
+    one, other, third, fourth = (prose(rng, 40 + k) for k in range(4))
+    texts, ids = [one, other, one, third, third, None, None, fourth, fourth], [1, 1, 2, 3, 3, 4, 4, 5, None]
+    want = sorted([(1, one), (1, other), (3, third), (4, None), (5, fourth), (None, fourth)], key=repr)
+    for order in (1, -1):
+        docs = documents(spark, texts[::order], ids=ids[::order])
+        kept = corpus_pipeline.near_duplicates(spark, docs, str(tmp_path))
+        assert kept.dtypes == docs.dtypes
+        assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=repr) == want
