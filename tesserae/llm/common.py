@@ -5,6 +5,8 @@ Texts are handled as UTF-8 buffers of Arrow columns, many documents at a time, s
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -27,15 +29,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 _own_dir: list[str] = []
+_made: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, as in local runs, one of our own."""
-    place = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share: spark.checkpoint.dir, or the one given to setCheckpointDir.
+
+    Where neither is set a local master gets a folder of our own, which goes when Python ends; any other master is an error, as its
+    executors couldn't read what they write to folders of their own.
+    """
+    place = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if place:
         return place.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError(f"set spark.checkpoint.dir to a folder that driver and executors share: master is {master}")
     if not _own_dir:
         _own_dir.append(tempfile.mkdtemp(prefix="tesserae-"))
+        atexit.register(shutil.rmtree, _own_dir[0], ignore_errors=True)
     return _own_dir[0]
 
 
@@ -44,9 +55,23 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tesserae/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _made.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def made() -> list[str]:
+    """The folders that materialize() has written and nothing has removed."""
+    return list(_made)
+
+
+def release(spark: SparkSession, paths: list[str]) -> None:
+    """Remove such folders, once nothing reads them any more."""
+    for path in paths:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+        _made.remove(path)
+
+
 def shuffle_width(spark: SparkSession) -> int:
     """spark.sql.shuffle.partitions, the one size knob: blocks and buckets are multiples of it, so they grow with the cluster's setting."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -217,8 +242,12 @@ def block_count(docs: DataFrame) -> int:
 
 
 def in_blocks(docs: DataFrame, blocks: int, *more: str) -> DataFrame:
-    """(block, doc_id, text, ...): rows dealt by their id. Used more than once in a plan, its exchange is reused."""
-    return docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int").alias("block"), F.col("doc_id").cast("long").alias("doc_id"), "text", *more)
+    """(block, doc_id, text, ...): rows dealt by id and text, so that neither rows without an id nor those of one id are one block.
+
+    Used more than once in a plan, its exchange is reused.
+    """
+    block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int")
+    return docs.select(block.alias("block"), F.col("doc_id").cast("long").alias("doc_id"), "text", *more)
 
 
 def ordered(part: pa.Table) -> pa.Table:

@@ -1,13 +1,13 @@
 """Near-duplicates by improved consistent weighted sampling over TF-IDF shingles, banded, verified by weighted Jaccard similarity.
 
-1. Blocks of documents send the hashes of their shingles, packed, to buckets that count in how many documents each occurs, and get
-   the counts above one back. Texts with equal tokens are found on the way; one of each goes on.
+1. Equal texts are merged by 128 bits of hash; one of each goes on. Blocks of texts send the hashes of their shingles, packed, to
+   buckets that count in how many texts each occurs, and get the counts above one back. Texts with equal tokens are found on the way.
 2. A text whose shingles that occur elsewhere too weigh under the threshold can't have a partner. The others are sampled: only
    shingles that occur elsewhere are, as no other can be shared, so the chance to be a candidate can only rise.
-3. Texts that share a band are candidates. Within a band's group, samples estimate similarities; each text is first verified against
-   its best estimate among smaller keys. Then, classes of these links being known, all candidates of different classes whose estimate
-   isn't clearly too low are verified, each pair once, so no link between classes is lost to a cap. Groups of more than GROUP members
-   are dealt out as pairs of chunks.
+3. Texts that share a band are candidates. Samples estimate their similarities. First a spanning forest of the best estimates is
+   verified in each band's group: of a group of n texts n - 1 pairs at most, and its links make up most classes. Then every pair of
+   different classes whose estimate isn't clearly too low is verified, so no link between classes is lost. Large groups are dealt
+   out in chunks; only members that aren't of the group's largest class meet all chunks.
 4. Classes are the connected components of the links.
 """
 
@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,9 +27,6 @@ SHINGLE = 5
 THRESHOLD = 0.8
 BANDS = 20
 ROWS = 4
-#: Weight of a shingle: times in the text * (1 + DAMP * log((1 + N) / (1 + df)) / log(1 + N)). Damped, so that a large group of near
-#: copies, whose shared shingles are frequent just for that, isn't pulled apart by its few edits.
-DAMP = 0.2
 #: A pair that just reaches the threshold has some expected number x of unequal samples; it is verified up to x + DEVIATIONS * sqrt(x) + 2
 #: of them, which such a pair exceeds once in some 10,000 times at most.
 DEVIATIONS = 4.0
@@ -39,16 +37,16 @@ _U = np.uint64
 
 
 class Block:
-    """The distinct shingles of each document of a block (hash, times), sorted by hash; and a hash of each document's tokens."""
+    """The distinct shingles of each text of a block (hash, times), sorted by hash; and a hash of each text's tokens."""
 
     def __init__(self, part: pa.Table, size: int):
-        self.part = common.ordered(part)
+        self.part = part.take(pa.compute.sort_indices(part, sort_keys=[("h1", "ascending"), ("h2", "ascending")]))
         data, offsets = common.text_buffer(self.part["text"])
         parts, texts = [], []
         for lo, hi in common.chunks_by_bytes(offsets):
             hashes, first = tiling.tokens(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
             grams = common.mix(common.window_hashes(hashes, size))
-            sums = np.concatenate([[0], np.cumsum(common.mix(hashes ^ _U(0x1234567)) * common.powers(common.BYTE_BASE, len(hashes)))]).astype(_U)
+            sums = np.concatenate([np.zeros(1, _U), np.cumsum(common.mix(hashes ^ _U(0x1234567)) * common.powers(common.BYTE_BASE, len(hashes)), dtype=_U)])
             inverse = common.powers(common.BYTE_INV, len(hashes) + 1)
             texts.append((sums[first[1:]] - sums[first[:-1]]) * inverse[first[:-1]] + np.diff(first).astype(_U))
             short = common.mix(texts[-1] ^ _U(0x7654321))  # a short text is one shingle, its tokens in their order
@@ -144,11 +142,16 @@ def sample(hashes: np.ndarray, weights: np.ndarray, first: np.ndarray, samples:
     return out
 
 
-SKETCH = "doc_id long, text_key long, weight double, shared double, bands array<int>, samples binary, vector binary"
-SKETCH_ARROW = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("weight", pa.float64()), ("shared", pa.float64()), ("bands", pa.list_(pa.int32())), ("samples", pa.binary()), ("vector", pa.binary())])
+SKETCH = "h1 long, h2 long, text_key long, weight double, shared double, bands array<long>, samples binary, vector binary"
+SKETCH_ARROW = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("text_key", pa.int64()), ("weight", pa.float64()), ("shared", pa.float64()), ("bands", pa.list_(pa.int64())), ("samples", pa.binary()), ("vector", pa.binary())])
 
 
-def _sketch(key, part: pa.Table, rows: pa.Table, size: int, buckets: int, n_docs: int, threshold: float, bands: int, band_rows: int) -> pa.Table:
+def tf_idf(times: np.ndarray, df: np.ndarray, n_texts: int) -> np.ndarray:
+    """Times in the text by smoothed inverse document frequency, over distinct texts: copies don't make a shingle common."""
+    return times * (1 + np.log((1 + n_texts) / (1 + df)))
+
+
+def _sketch(key, part: pa.Table, rows: pa.Table, size: int, buckets: int, n_texts: int, threshold: float, bands: int, band_rows: int) -> pa.Table:
     block = Block(part, size)
     keys, inverse, _, bucket = block.sent(buckets)
     order, bounds = common.split_by(bucket, buckets)
@@ -164,7 +167,7 @@ def _sketch(key, part: pa.Table, rows: pa.Table, size: int, buckets: int, n_docs
     mine = np.zeros(len(block.text_key), bool)
     mine[row_of[common.answered(owned, where, buckets)]] = True
     df = df[inverse]
-    weight = block.times * (1 + DAMP * np.log((1 + n_docs) / (1 + df)) / np.log(1 + n_docs))
+    weight = tf_idf(block.times, df, n_texts)
     shared = df > 1
     sums = lambda x: np.diff(np.concatenate([[0], np.cumsum(x)])[block.first])
     total, in_common = sums(weight), sums(np.where(shared, weight, 0))
@@ -173,23 +176,26 @@ def _sketch(key, part: pa.Table, rows: pa.Table, size: int, buckets: int, n_docs
     keep = going[block.doc] & shared
     first = np.concatenate([[0], np.cumsum(np.bincount(block.doc[keep], minlength=len(going))[chosen])]).astype(np.int64)
     drawn = sample(block.hash[keep], weight[keep], first, bands * band_rows)
+    # samples go by 16 bits, in bands as well: who shares a band is then seen by the samples alone
+    drawn = (drawn >> _U(48)).astype(np.uint16)
     signature = np.zeros((len(chosen), bands), _U)
     for j in range(band_rows):
-        signature = common.mix(signature * _U(0x9E3779B97F4A7C15) + drawn[:, j::band_rows] + np.arange(bands, dtype=_U))
+        signature = common.mix(signature * _U(0x9E3779B97F4A7C15) + drawn[:, j::band_rows].astype(_U) + np.arange(bands, dtype=_U))
+    signature = (signature >> _U(6) << _U(5)) | np.arange(bands, dtype=_U)  # the band's number in the low bits
     all_bands: list = [None] * len(going)
     vectors: list = [None] * len(going)
     samples: list = [None] * len(going)
     for i, d in enumerate(chosen):
-        all_bands[d] = (signature[i] >> _U(33)).astype(np.int32)
-        samples[d] = (drawn[i] >> _U(48)).astype(np.uint16).tobytes()
+        all_bands[d] = signature[i].astype(np.int64)
+        samples[d] = drawn[i].tobytes()
         a, b = block.first[d], block.first[d + 1]
         ids = block.hash[a:b].astype(np.uint32)
         by_id = np.argsort(ids, kind="stable")
         ids = ids[by_id]
         starts = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
         vectors[d] = ids[starts].tobytes() + np.add.reduceat(weight[a:b][by_id], starts).astype(np.float32).tobytes()
-    # a text without tokens is alone; its key is made of its place, apart from all keys of texts
-    return pa.table([block.part["doc_id"], pa.array(np.where(np.diff(block.first) > 0, block.text_key, -1)), pa.array(total), pa.array(in_common), pa.array(all_bands, pa.list_(pa.int32())), pa.array(samples, pa.binary()), pa.array(vectors, pa.binary())], schema=SKETCH_ARROW)
+    # a text without tokens is alone, whatever its key
+    return pa.table([block.part["h1"], block.part["h2"], pa.array(np.where(np.diff(block.first) > 0, block.text_key, -1)), pa.array(total), pa.array(in_common), pa.array(all_bands, pa.list_(pa.int64())), pa.array(samples, pa.binary()), pa.array(vectors, pa.binary())], schema=SKETCH_ARROW)
 
 
 def weighted_jaccard(left: bytes, right: bytes) -> float:
@@ -220,70 +226,94 @@ def _pairs_within(first: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np
         lo = hi
 
 
-def _candidates(key, rows: pa.Table, threshold: float, every: bool) -> pa.Table:
-    """Pairs (smaller key, larger key) worth verifying, within the groups (band, lo, hi) of a lot.
-
-    every: all pairs between different classes, each in the first band that both share; else the best one of each text. A group may
-    be a pair of chunks, then only pairs across it count.
+def _forest(n: int, i: np.ndarray, j: np.ndarray, same: np.ndarray) -> np.ndarray:
+    """Places of the edges of a spanning forest of greatest estimates, by rounds in which each tree takes its best edge."""
+    order = np.argsort(-same.astype(np.int64), kind="stable")  # a rank for each edge, so that no two are equal and no cycle closes
+    rank = np.empty(len(i), np.int64)
+    rank[order] = np.arange(len(i))
+    label, out, live = np.arange(n), [], np.arange(len(i))
+    while True:
+        live = live[label[i[live]] != label[j[live]]]
+        if not len(live):
+            return np.concatenate([np.zeros(0, np.int64), *out])
+        best = np.full(n, len(i))
+        np.minimum.at(best, label[i[live]], rank[live])
+        np.minimum.at(best, label[j[live]], rank[live])
+        taken = order[np.unique(best[best < len(i)])]
+        out.append(taken)
+        up = np.arange(n)
+        for x, y in zip(label[i[taken]].tolist(), label[j[taken]].tolist(), strict=True):
+            while up[x] != x:
+                x = up[x]
+            while up[y] != y:
+                y = up[y]
+            up[max(x, y)] = min(x, y)
+        while (up[up] != up).any():
+            up = up[up]
+        label = up[label]
+
+
+def _candidates(key, rows: pa.Table, threshold: float, band_rows: int, every: bool) -> pa.Table:
+    """Pairs (smaller key, larger key) worth verifying, within the groups (band, chunk) of a lot.
+
+    every: all pairs between different classes, each in the first band that both share, and in the chunk that is home to the one of
+    the group's largest class, or else to the larger key; otherwise the edges of a spanning forest of each group.
     """
-    rows = rows.sort_by([("band", "ascending"), ("lo", "ascending"), ("hi", "ascending"), ("text_key", "ascending")])
-    band, lo, hi, ids, weight, shared, comp, chunk = (np.asarray(rows[c]) for c in ("band", "lo", "hi", "text_key", "weight", "shared", "comp", "chunk"))
-    bands = np.asarray(rows["bands"].combine_chunks().flatten(), np.int32).reshape(len(ids), -1)
+    rows = rows.sort_by([("band", "ascending"), ("chunk", "ascending"), ("text_key", "ascending")])
+    band, chunk, ids, weight, shared = (np.asarray(rows[c]) for c in ("band", "chunk", "text_key", "weight", "shared"))
     samples = np.frombuffer(b"".join(rows["samples"].to_pylist()), np.uint16).reshape(len(ids), -1)
-    edge = np.flatnonzero(np.concatenate([[True], (band[1:] != band[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])]))
-    size, found = samples.shape[1], []
-    best, best_of = np.zeros(len(ids), np.int64), np.full(len(ids), -1)
-    for i, j in _pairs_within(np.append(edge, len(ids)), 200_000):
+    edge = np.flatnonzero(np.concatenate([[True], (band[1:] != band[:-1]) | (chunk[1:] != chunk[:-1])]))
+    size, left, right, sames = samples.shape[1], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    comp, home, minor = (np.asarray(rows[c]) for c in ("comp", "home", "minor")) if every else (ids, None, None)
+    for i, j in _pairs_within(np.append(edge, len(ids)), 400_000):
         # what both must have in common to reach the threshold, and what that is as a similarity of the sampled parts
         common_weight = (threshold - 1e-6) / (1 + threshold) * (weight[i] + weight[j])
-        ok = (common_weight <= np.minimum(shared[i], shared[j])) & (ids[i] != ids[j])
-        ok &= (lo[i] == hi[i]) | (chunk[i] != chunk[j])
+        ok = (common_weight <= np.minimum(shared[i], shared[j])) & (comp[i] != comp[j])
         if every:
-            ok &= comp[i] != comp[j]
+            ok &= np.where(minor[i], home[j], home[i])
         i, j, common_weight = i[ok], j[ok], common_weight[ok]
         unlike = size * (1 - common_weight / (shared[i] + shared[j] - common_weight))
-        same = (samples[i] == samples[j]).sum(1)
-        near = size - same <= unlike + DEVIATIONS * np.sqrt(np.maximum(unlike, 0)) + 2
-        i, j, same = i[near], j[near], same[near]
-        if every:
-            here = (bands[i] == bands[j]).argmax(1) == (band[i] & 31)
-            found.append((ids[i[here]], ids[j[here]]))
-        else:
-            order = np.lexsort((i, -same, j))
-            i, j, same = i[order], j[order], same[order]
-            top = np.flatnonzero(np.concatenate([[True], j[1:] != j[:-1]])) if len(j) else np.zeros(0, np.int64)
-            top = top[same[top] > best[j[top]]]
-            best[j[top]], best_of[j[top]] = same[top], i[top]
+        most = unlike + DEVIATIONS * np.sqrt(np.maximum(unlike, 0)) + 2
+        for a in range(0, len(i), 50_000):
+            x, y = i[a : a + 50_000], j[a : a + 50_000]
+            equal = samples[x] == samples[y]
+            same = equal.sum(1)
+            near = size - same <= most[a : a + 50_000]
+            if every:
+                shares = equal[near].reshape(-1, size // band_rows, band_rows).all(2)
+                number = band[x[near]] & 31
+                near[near] = (shares.argmax(1) == number) & shares[np.arange(len(number)), number]
+            left.append(x[near])
+            right.append(y[near])
+            sames.append(same[near])
+    i, j = np.concatenate(left), np.concatenate(right)
     if not every:
-        has = np.flatnonzero(best_of >= 0)
-        found.append((ids[best_of[has]], ids[has]))
-    empty = np.zeros(0, np.int64)
-    return pa.table([pa.array(np.concatenate([empty, *(x for x, _ in found)])), pa.array(np.concatenate([empty, *(y for _, y in found)]))], schema=PAIRS)
-
-
-def _compared(members: DataFrame, sketches: DataFrame, labels: DataFrame | None, threshold: float) -> DataFrame:
-    """Candidate pairs from all groups: the best of each text without labels, else all between different classes."""
-    about = sketches.select("text_key", "weight", "shared", "bands", "samples")
-    if labels is None:
-        about = about.withColumn("comp", F.col("text_key"))
-    else:
-        about = about.join(labels, "text_key", "left").withColumn("comp", F.coalesce("comp", "text_key"))
-        # groups of one class have nothing left to compare
-        known = members.join(labels, "text_key", "left").withColumn("comp", F.coalesce("comp", "text_key"))
-        open_ = known.groupBy("band").agg((F.min("comp") != F.max("comp")).alias("open")).where("open").select("band")
-        members = members.join(open_, "band")
-    rows = members.join(about, "text_key")
+        kept = _forest(len(ids), i, j, np.concatenate(sames))
+        i, j = i[kept], j[kept]
+    return pa.table([pa.array(ids[i]), pa.array(ids[j])], schema=PAIRS)
+
+
+def _compared(members: DataFrame, sketches: DataFrame, labels: DataFrame | None, threshold: float, band_rows: int) -> DataFrame:
+    """Candidate pairs from all groups: forests of the best estimates without labels, else all between different classes."""
+    spark = sketches.sparkSession
+    about = sketches.select("text_key", "weight", "shared", "samples")
     chunk = F.when(F.col("chunks") > 1, F.pmod(F.xxhash64("text_key", "band"), F.col("chunks"))).otherwise(0).cast("int")
-    rows = rows.withColumn("chunk", chunk)
-    if labels is None:
-        rows = rows.withColumns({"lo": F.col("chunk"), "hi": F.col("chunk")})
-    else:
-        other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
-        rows = rows.withColumn("other", other).withColumns({"lo": F.least("chunk", "other"), "hi": F.greatest("chunk", "other")}).drop("other")
+    rows = members.withColumn("chunk", chunk)
+    if labels is not None:
+        known = rows.join(labels, "text_key", "left").withColumn("comp", F.coalesce("comp", "text_key"))
+        known = common.materialize(known, "members-known")
+        # groups of one class have nothing left to compare
+        sizes = known.groupBy("band", "comp").agg(F.count("*").alias("n"))
+        largest = sizes.groupBy("band").agg(F.max(F.struct("n", "comp"))["comp"].alias("major"), F.count("*").alias("classes"))
+        largest = common.materialize(largest.where("classes > 1").select("band", "major"), "members-open")
+        rows = known.join(largest, "band").withColumn("minor", F.col("comp") != F.col("major")).drop("major")
+        each = F.when(F.col("minor"), F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(F.array("chunk"))
+        rows = rows.withColumn("home_chunk", F.col("chunk")).withColumn("chunk", F.explode(each)).withColumn("home", F.col("chunk") == F.col("home_chunk")).drop("home_chunk")
     # many groups go to a call together, about LOT rows of them
-    lots = max(common.shuffle_width(sketches.sparkSession), -(-members.count() // LOT))
-    rows = rows.withColumn("lot", F.pmod(F.xxhash64("band", "lo", "hi"), F.lit(lots)))
-    pairs = rows.groupBy("lot").applyInArrow(common.grouped(_candidates, threshold=threshold, every=labels is not None), "a long, b long")
+    lots = max(common.shuffle_width(spark), -(-members.count() // LOT))
+    rows = rows.join(about, "text_key").withColumn("lot", F.pmod(F.xxhash64("band", "chunk"), F.lit(lots)))
+    call = common.grouped(_candidates, threshold=threshold, band_rows=band_rows, every=labels is not None)
+    pairs = rows.groupBy("lot").applyInArrow(call, "a long, b long")
     return pairs if labels is not None else pairs.distinct()
 
 
@@ -321,40 +351,46 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _roots(parents: DataFrame) -> DataFrame:
-    """(text_key, comp) from (text_key, comp) with a smaller comp: the root above each, by doubling. Roots themselves have no row."""
-    labels = common.materialize(parents, "parents")
-    while True:
-        up = labels.select(F.col("text_key").alias("comp"), F.col("comp").alias("further"))
-        moved = labels.join(up, "comp", "left").select("text_key", F.coalesce("further", "comp").alias("comp"), F.col("further").isNotNull().alias("moved"))
-        moved = common.materialize(moved, "parents")
-        labels = moved.select("text_key", "comp")
-        if moved.where("moved").isEmpty():
-            return labels
-
-
-def links(sketches: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
+def links(sketches: DataFrame, threshold: float = THRESHOLD, band_rows: int = ROWS) -> tuple[DataFrame, DataFrame]:
     """Verified links that make up the classes, and the components (text_key, comp) of the texts that have any."""
-    # a group's key is the band's number in the low bits and its value above them
-    key = F.explode(F.transform("bands", lambda x, i: F.shiftleft(x.cast("long"), 5).bitwiseOR(i.cast("long")))).alias("band")
-    members = sketches.select("text_key", key)
+    members = sketches.select("text_key", F.explode("bands").alias("band"))
     sizes = members.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band", F.ceil(F.col("n") / GROUP).cast("int").alias("chunks"))
-    members = common.materialize(members.join(sizes, "band"), "members")
-    found = _verified(_compared(members, sketches, None, threshold), sketches, threshold, "links-best")
-    # each text hangs on one smaller key; links that this leaves out are found again between the classes
-    labels = _roots(found.groupBy(F.col("b").alias("text_key")).agg(F.min("a").alias("comp")))
-    more = _verified(_compared(members, sketches, labels, threshold), sketches, threshold, "links-rest")
-    of = lambda k: F.coalesce(f"c{k}", k).alias(k)
+    members = common.materialize(members.join(common.materialize(sizes, "bands"), "band"), "members")
+    # only texts that share a band are looked up from here on
+    sketches = common.materialize(sketches.drop("bands").join(members.select("text_key").distinct(), "text_key", "left_semi"), "candidates")
+    found = _verified(_compared(members, sketches, None, threshold, band_rows), sketches, threshold, "links-best")
+    labels = components(found)
+    more = _verified(_compared(members, sketches, labels, threshold, band_rows), sketches, threshold, "links-rest")
     ends = more
     for k in "ab":
         ends = ends.join(labels.select(F.col("text_key").alias(k), F.col("comp").alias(f"c{k}")), k, "left")
+    of = lambda k: F.coalesce(f"c{k}", k).alias(k)
     joined = common.materialize(ends.select(of("a"), of("b")).where("a <> b").distinct(), "joined")
     if joined.isEmpty():
         return found.unionByName(more), labels
     top = components(joined)
     above = top.select(F.col("text_key").alias("comp"), F.col("comp").alias("top"))
     lower = labels.join(above, "comp", "left").select("text_key", F.coalesce("top", "comp").alias("comp"))
-    return found.unionByName(more), common.materialize(lower.unionByName(top), "labels-all")
+    alone = top.join(labels, "text_key", "left_anti")  # classes of one text, which have no label of before
+    return found.unionByName(more), common.materialize(lower.unionByName(alone), "labels-all")
+
+
+def _hashed(docs: DataFrame) -> DataFrame:
+    """doc_id, text and 128 bits of the text's hash; null for a null or empty text."""
+    some = F.col("text") != ""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.when(some, F.xxhash64("text")).alias("h1"), F.when(some, F.xxhash64(F.lit(7), "text")).alias("h2"))
+
+
+def _first_seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each text once for a task: copies are dropped before they travel."""
+    seen: set[tuple[int, int]] = set()
+    for batch in batches:
+        keys, new = zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True), []
+        for i, k in enumerate(keys):
+            if k not in seen:
+                seen.add(k)
+                new.append(i)
+        yield batch.take(pa.array(new, pa.int64()))
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD, size: int = SHINGLE, bands: int = BANDS, band_rows: int = ROWS) -> DataFrame:
@@ -363,23 +399,28 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, size: int = SHINGLE,
     Tokens are lower-cased runs of letters and digits, shingles are `size` of them; a text of fewer tokens is one shingle. Texts of
     equal tokens are of one class, and so are texts linked by a weighted Jaccard similarity of at least threshold, directly or over
     others. Null, empty and token-less texts are alone. Repeated rows get the same class; a null doc_id gets the class of its text,
-    which is null if no row of it has an id; empty tables give no rows; further columns are ignored.
+    which is null if no row of it has an id; empty tables give no rows; further columns are ignored. A very long text is taken whole,
+    in a block of its own size.
     """
-    blocks = common.block_count(docs)
-    dealt = common.in_blocks(docs, blocks)
-    n_docs = max(1, docs.count())
+    keyed = _hashed(docs)
+    texts = keyed.where("h1 IS NOT NULL").groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.max(F.octet_length("text")).alias("bytes"))
+    texts = common.materialize(texts, "texts")
+    n_texts, total = texts.agg(F.count("*"), F.coalesce(F.sum("bytes"), F.lit(0))).first()
+    blocks = max(common.shuffle_width(docs.sparkSession), -(-total // common.BLOCK_BYTES))
+    once = keyed.where("h1 IS NOT NULL").select("text", "h1", "h2").mapInArrow(_first_seen, "text string, h1 long, h2 long")
+    dealt = once.withColumn("block", F.pmod("h1", F.lit(blocks)).cast("int")).repartition("block").groupBy("block", "h1", "h2").agg(F.first("text").alias("text"))
     p = {"size": size, "buckets": blocks}
     asked = dealt.groupBy("block").applyInArrow(common.grouped(_ask, **p), common.PACKED)
     counted = asked.groupBy("bucket").applyInArrow(common.grouped(_count), common.PACKED)
-    sketch = common.paired(_sketch, n_docs=n_docs, threshold=threshold, bands=bands, band_rows=band_rows, **p)
+    sketch = common.paired(_sketch, n_texts=max(1, n_texts), threshold=threshold, bands=bands, band_rows=band_rows, **p)
     rows = common.materialize(dealt.groupBy("block").cogroup(counted.groupBy("block")).applyInArrow(sketch, SKETCH), "sketches")
-    _, labels = links(rows.where("bands IS NOT NULL").select("text_key", "weight", "shared", "bands", "samples", "vector"), threshold)
-    texts = rows.where("text_key >= 0").groupBy("text_key").agg(F.min("doc_id").alias("least"))
-    named = texts.join(labels, "text_key", "left").withColumn("comp", F.coalesce("comp", "text_key"))
-    least = named.groupBy("comp").agg(F.min("least").alias("class_id"))
-    of_text = named.join(least, "comp").select("text_key", "class_id")
-    some = rows.where("text_key >= 0").join(of_text, "text_key").select("doc_id", "class_id")
-    return some.unionByName(rows.where("text_key < 0").select("doc_id", F.col("doc_id").alias("class_id")))
+    _, labels = links(rows.where("bands IS NOT NULL").select("text_key", "weight", "shared", "bands", "samples", "vector"), threshold, band_rows)
+    known = texts.join(rows.where("text_key >= 0").select("h1", "h2", "text_key"), ["h1", "h2"])
+    known = common.materialize(known.join(labels, "text_key", "left").select("h1", "h2", "least", F.coalesce("comp", "text_key").alias("comp")), "known")
+    least = known.groupBy("comp").agg(F.min("least").alias("class_id"))
+    of_text = known.select("h1", "h2", "comp").join(least, "comp").select("h1", "h2", "class_id", F.lit(True).alias("known"))
+    named = keyed.drop("text").join(common.materialize(of_text, "classes"), ["h1", "h2"], "left")
+    return named.select("doc_id", F.when(F.col("known"), F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"))
 
 
 def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

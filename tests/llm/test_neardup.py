@@ -18,8 +18,9 @@ def tokens(text):
 def brute(texts, threshold=0.8):
     toks = [tokens(t) for t in texts]
     bags = [Counter(t[j : j + 5] for j in range(len(t) - 4)) if len(t) >= 5 else Counter([t]) if t else Counter() for t in toks]
-    n, df = len(texts), Counter(s for b in bags for s in b)
-    w = [{s: c * (1 + neardup.DAMP * math.log((1 + n) / (1 + df[s])) / math.log(1 + n)) for s, c in b.items()} for b in bags]
+    once = {t: b for t, b in zip(texts, bags, strict=True) if t}  # copies of a text count once
+    n, many, df = len(texts), len(once), Counter(s for b in once.values() for s in b)
+    w = [{s: c * (1 + math.log((1 + many) / (1 + df[s]))) for s, c in b.items()} for b in bags]
     root = list(range(n))
 
     def find(x):
@@ -60,6 +61,42 @@ def test_chunks_of_large_groups_are_compared_with_each_other(spark, monkeypatch)
     assert rows(neardup.classes(documents(spark, texts)), "doc_id", "class_id") == brute(texts)
 
 
+def test_a_large_group_with_strays(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "GROUP", 16)
+    rng = random.Random(9)
+    base = prose(rng, 120).split()
+    texts = []
+    for k in range(150):  # copies with an edit each, and some with so many that they stand alone or with a few
+        t = list(base)
+        for _ in range(1 if k % 10 else 6):
+            t[rng.randrange(len(t))] = f"w{rng.randrange(60)}"
+        texts.append(" ".join(t))
+    want = brute(texts)
+    assert len({c for _, c in want}) > 1
+    assert rows(neardup.classes(documents(spark, texts)), "doc_id", "class_id") == want
+
+
+def test_a_forest_is_of_greatest_estimates():
+    rng = np.random.default_rng(5)
+    for n in (2, 5, 12, 40):
+        i, j = np.array([(a, b) for a in range(n) for b in range(a + 1, n) if rng.random() < 0.5] or [(0, 1)]).T
+        same = rng.integers(0, 6, len(i))
+        root = list(range(n))
+
+        def find(x, root=root):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        weight = 0
+        for e in np.argsort(-same, kind="stable"):
+            a, b = find(i[e]), find(j[e])
+            if a != b:
+                root[a], weight = b, weight + same[e]
+        got = neardup._forest(n, i, j, same)
+        assert same[got].sum() == weight and len(got) == n - len({find(x) for x in range(n)})
+
+
 def test_repeated_and_missing_ids(spark):
     text = prose(random.Random(1), 50)
     got = rows(neardup.classes(documents(spark, [text, text, text, None], ids=[7, 7, None, None])), "doc_id", "class_id")
