@@ -13,7 +13,11 @@ from tesserae.llm import common, langid, neardup, packing, personal, tiling
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language go: null texts and texts without a letter. Labels are learned from the documents themselves."""
+    """Documents without a language go: null texts and texts without a letter. Labels are learned from the documents themselves.
+
+    Texts of every language stay, very long ones are read whole, repeated rows stay or go together, null ids stay, an empty table
+    gives an empty one; further columns stay as they are.
+    """
     found = langid.identify(docs, *langid.train(docs), carry=docs.columns)
     # where no labels are, nothing is learned: texts with letters stay nevertheless
     return found.where((F.col("lang_pred") != "und") | F.col("text").rlike(r"\p{L}")).select(*docs.columns)
@@ -38,17 +42,25 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that cover a benchmark item go."""
+    """Documents that cover a benchmark item go.
+
+    Null and empty texts cover none and stay, and so do all where the benchmark is empty; repeated rows stay or go together; texts
+    are read whole, however long; columns stay as they are.
+    """
     return tiling.uncontaminated(docs, common.table(spark, sf_dir, "benchmark"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data are masked."""
+    """Personal data are masked. Every row stays, with null and empty texts as they are; n_chars is counted anew."""
     return personal.mask(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents and their places in sequences."""
+    """Pieces of the documents and their places in sequences, one row for each piece.
+
+    A null or empty text is a piece of one token, a very long one has many pieces, repeated rows are packed each, an empty table
+    gives no rows, and further columns are left out.
+    """
     return packing.pack(docs, packing.default_tokenizer())
 
 
@@ -65,9 +77,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages, one after the other, over all documents. What a stage has written for itself goes when its rows are stored."""
     docs = common.table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
+        before = common.made()
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
+            own = [path for path in common.made() if path not in before]
             docs = common.materialize(docs, name)
+            common.release(spark, own)
     return docs
