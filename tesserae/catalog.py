@@ -1,6 +1,6 @@
 """Every query of the engine and its SQL counterpart, by name."""
 
-from tesserae.plans import estimation, ingestion, policies
+from tesserae.plans import estimation, grid, ingestion, policies, studies
 
-QUERIES: dict = {**policies.QUERIES, **estimation.QUERIES, **ingestion.QUERIES}
-ORACLES: dict = {**policies.ORACLES, **estimation.ORACLES, **ingestion.ORACLES}
+QUERIES: dict = {**policies.QUERIES, **grid.QUERIES, **estimation.QUERIES, **ingestion.QUERIES, **studies.QUERIES}
+ORACLES: dict = {**policies.ORACLES, **grid.ORACLES, **estimation.ORACLES, **ingestion.ORACLES, **studies.ORACLES}

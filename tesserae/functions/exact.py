@@ -103,6 +103,7 @@ def waterfill(total: int, weights: list[float], capacities: list[int], least: li
 
 def pilot_sizes(sizes: list[int], cap: int) -> list[int] | None:
     """Charged pilot: two of each stratum, a fifth of the budget in all, one left for each stratum that isn't used up; None if too dear."""
+    # the rule is fixed: other sizes would give other variances
     two = [min(2, n) for n in sizes]
     later = sum(n > b for n, b in zip(sizes, two, strict=True))
     if cap < sum(two) + later:
@@ -125,6 +126,10 @@ def neyman(cap: int, sizes: list[int], pilot: list[int], agreed: list[int]) -> l
     return waterfill(cap - sum(pilot), [n * math.sqrt(r * (1 - r)) for n, r in zip(rest, rates, strict=True)], rest, [int(n > 0) for n in rest])
 
 
+#: Pilot outcomes that are summed up at most; more are an error, not an approximation.
+MOST_OUTCOMES = 2_000_000
+
+
 def design_variance(sizes: list[int], correct: list[int], cap: int, design: str) -> tuple[float, int, float]:
     """Exact variance of the agreement estimate under a design; with the pilot outcomes that were summed up, and their mass."""
     total = sum(sizes)
@@ -141,6 +146,8 @@ def design_variance(sizes: list[int], correct: list[int], cap: int, design: str)
     for n, k, a in zip(sizes, correct, pilot, strict=True):
         whole = _log_choose(n, a)
         supports.append([(t, math.exp(_log_choose(k, t) + _log_choose(n - k, a - t) - whole)) for t in range(max(0, a - n + k), min(a, k) + 1)])
+    if math.prod(map(len, supports)) > MOST_OUTCOMES:
+        raise ValueError(f"over {MOST_OUTCOMES} pilot outcomes")
     terms, mass = [], []
     for outcome in product(*supports):
         p = math.prod(q for _, q in outcome)

@@ -136,7 +136,7 @@ def half_and_random(frame: DataFrame, cap_share: int = 20, seed: int = 1) -> Dat
     first = ranking.transcript(frame, "sc_judge", "random", seed).crossJoin(F.broadcast(caps)).where("qnum <= floor(cap / 2)").select("task_id", "slot")
     size = first.agg(F.count("*").alias("n_first")).crossJoin(caps)
     left = frame.join(first, ["task_id", "slot"], "left_anti").withColumn("key", ranking.priority("fresh", seed, "task_id", "slot"))
-    rest = ranking.global_offset(left, *ranking.by_hash("key")).crossJoin(F.broadcast(size)).where("offset < cap - n_first").select("task_id", "slot")
+    rest = ranking.global_offset(left, ranking.by_hash(left, "key"), ["key"]).crossJoin(F.broadcast(size)).where("offset < cap - n_first").select("task_id", "slot")
     return first.withColumn("phase", F.lit("certify")).unionByName(rest.withColumn("phase", F.lit("random")))
 
 

@@ -2,36 +2,29 @@
 
 from __future__ import annotations
 
-import tempfile
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def _checkpoints(spark: SparkSession) -> None:
-    """Checkpoints go to the folder that the cluster names; only where it names none, as in local runs, to one of our own."""
-    place = spark.conf.get("spark.checkpoint.dir", None)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(place or tempfile.mkdtemp(prefix="tesserae-"))
+from tesserae.operators import storage
 
 
 def by_tokens(pairs: DataFrame) -> DataFrame:
     """(node, component) from rows (node, token): the smallest node that is reached over shared tokens.
 
     Each token links its nodes to the smallest of them, so a token of n nodes makes n - 1 edges. Labels then travel along the edges
-    and jump over the labels' own labels; checkpoints cut the lineage of each round. Null nodes or tokens link nothing.
+    and jump over the labels' own labels; each round's labels are stored. Null nodes or tokens link nothing.
     """
-    _checkpoints(pairs.sparkSession)
     rows = pairs.where("node IS NOT NULL AND token IS NOT NULL").distinct()
     least = rows.groupBy("token").agg(F.min("node").alias("hub"))
     spokes = rows.join(least, "token").where("node <> hub").select("node", "hub").distinct()
-    edges = spokes.unionByName(spokes.select(F.col("hub").alias("node"), F.col("node").alias("hub"))).checkpoint()
-    labels = pairs.where("node IS NOT NULL").select("node", F.col("node").alias("component")).distinct().checkpoint()
+    edges = storage.stored(spokes.unionByName(spokes.select(F.col("hub").alias("node"), F.col("node").alias("hub"))), "edges")
+    labels = storage.stored(pairs.where("node IS NOT NULL").select("node", F.col("node").alias("component")).distinct(), "labels")
     while True:
         heard = edges.join(labels.withColumnRenamed("node", "hub"), "hub").groupBy("node").agg(F.min("component").alias("heard"))
         low = labels.join(heard, "node", "left").select("node", "component", F.least("component", F.coalesce("heard", "component")).alias("low"))
         above = labels.select(F.col("node").alias("low"), F.col("component").alias("above"))
-        moved = low.join(above, "low", "left").select("node", "component", F.least("low", F.coalesce("above", "low")).alias("now")).checkpoint()
+        moved = low.join(above, "low", "left").select("node", "component", F.least("low", F.coalesce("above", "low")).alias("now"))
+        moved = storage.stored(moved, "labels")
         labels = moved.select("node", F.col("now").alias("component"))
         if moved.where("now <> component").isEmpty():
             return labels

@@ -1,12 +1,12 @@
 """Priorities from hashes, and ranks over a whole table without a single-task window.
 
-A global rank is taken in two steps: rows are counted by ordered buckets, the few buckets are summed up, and rows are numbered within
-their bucket.
+A global rank is taken by levels: rows are numbered within ordered buckets of bounded size, buckets within coarser ones, and only the
+totals of the coarsest, which are few at any size of the table, are summed up in one place.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -19,21 +19,56 @@ def priority(purpose: str, seed: int, *ids: str) -> Column:
     return F.sha2(F.concat_ws("|", F.lit(purpose), F.lit(str(seed)), *[F.col(i).cast("string") for i in ids]), 256)
 
 
-def global_offset(df: DataFrame, buckets: list[Column], order: list, weight: Column | None = None, name: str = "offset") -> DataFrame:
-    """df with the summed weight (default 1) of all rows before each, by buckets and then by order."""
-    weight = F.lit(1).cast("long") if weight is None else weight.cast("long")
-    names = [f"_b{i}" for i in range(len(buckets))]
-    rows = df.withColumns({**dict(zip(names, buckets, strict=True)), "_w": weight})
-    counts = rows.groupBy(*names).agg(F.sum("_w").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(W.orderBy(*names).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    base = counts.select(*names, before.alias("_base"))
-    inside = F.coalesce(F.sum("_w").over(W.partitionBy(*names).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    return rows.withColumn("_in", inside).join(base, names).withColumn(name, F.col("_base") + F.col("_in")).drop(*names, "_w", "_base", "_in")
-
+def global_offset(df: DataFrame, levels: list[list[Column]], order: list, weight: Column | None = None, name: str = "offset", within: tuple[str, ...] = ()) -> DataFrame:
+    """df with the summed weight (default 1) of all rows before each, by the levels' buckets and then by order.
 
-def by_hash(column: str) -> tuple[list[Column], list]:
-    """Buckets (4096, in order) and order for a column of hex digests."""
-    return [F.substring(column, 1, 3)], [column]
+    levels go from coarse to fine; each is a list of columns that refines the ones before it and is ordered as they are. within: runs
+    that are ranked apart.
+    """
+    weight = F.lit(1).cast("long") if weight is None else weight.cast("long")
+    names, columns = [], {}
+    for i, level in enumerate(levels):
+        names.append([f"_b{i}_{j}" for j in range(len(level))])
+        columns |= dict(zip(names[-1], level, strict=True))
+    rows = df.withColumns({**columns, "_w": weight})
+    so_far = [[*within, *(n for level in names[: i + 1] for n in level)] for i in range(len(levels))]
+    sums, base = rows, None
+    before = lambda part, by, c: F.coalesce(F.sum(c).over(W.partitionBy(*part).orderBy(*by).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    tables = []
+    for keys in reversed(so_far):  # totals of each level, from those of the next finer one
+        sums = sums.groupBy(*keys).agg(F.sum("_w").alias("_w"))
+        tables.append(sums)
+    for i, (keys, table) in enumerate(zip(so_far, reversed(tables), strict=True)):
+        above = so_far[i - 1] if i else list(within)
+        table = table.withColumn(f"_o{i}", before(above, names[i], "_w")).drop("_w")
+        base = table if base is None else table.join(base, above)
+    base = base.withColumn("_base", sum((F.col(f"_o{i}") for i in range(1, len(levels))), F.col("_o0"))).drop(*[f"_o{i}" for i in range(len(levels))])
+    inside = rows.withColumn("_in", before(so_far[-1], order, "_w"))
+    return inside.join(base, so_far[-1]).withColumn(name, F.col("_base") + F.col("_in")).drop(*[n for level in names for n in level], "_w", "_base", "_in")
+
+
+def digits(spark: SparkSession) -> int:
+    """Hex digits of a hash that make its buckets: some 16 to 256 for each shuffle partition, an even number."""
+    partitions, n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))), 2
+    while 16**n < 16 * partitions:
+        n += 2
+    return n
+
+
+def by_hash(df: DataFrame, column: str, *first: Column) -> list[list[Column]]:
+    """Levels for a column of hex digests, below the columns `first` that are ordered before it: half of the digits, then all."""
+    n = digits(df.sparkSession)
+    return [[*first, F.substring(column, 1, n // 2)], [F.substring(column, n // 2 + 1, n - n // 2)]]
+
+
+def by_number(column: str, *first: Column) -> list[list[Column]]:
+    """Levels for a whole number: 4096 * 4096 values, then 4096. Of 10**12 distinct ones the coarse level has 60,000."""
+    return [[*first, F.floor(F.col(column) / (1 << 24))], [F.floor(F.col(column) / (1 << 12))]]
+
+
+def by_time(column: str) -> list[list[Column]]:
+    """Levels for a timestamp: hours, then seconds."""
+    return [[F.date_trunc("hour", column)], [F.date_trunc("second", column)]]
 
 
 def flagged() -> Column:
@@ -41,23 +76,23 @@ def flagged() -> Column:
     return F.exists("secondary", lambda x: x != F.col("prediction"))
 
 
-def task_priority(frame: DataFrame, task_order: str, seed: int) -> tuple[DataFrame, list[Column], list]:
-    """A row for each task with what it is ordered by; the buckets and the order."""
+def task_priority(frame: DataFrame, task_order: str, seed: int) -> tuple[DataFrame, list[list[Column]], list]:
+    """A row for each task with what it is ordered by; the levels of buckets and the order."""
     if task_order not in TASK_ORDERS:
         raise ValueError(f"unknown task order {task_order}")
     tasks = frame.groupBy("task_id").agg(F.sum(1 - F.col("prediction")).alias("fail_count")).withColumn("task_key", priority("task", seed, "task_id"))
     if task_order == "release":
-        return tasks, [F.floor(F.col("task_id") / 4096)], ["task_id"]
+        return tasks, by_number("task_id"), ["task_id"]
     if task_order == "random" or seed:
-        tie = ["task_key", "task_id"]
-        return (tasks, [F.substring("task_key", 1, 3)], tie) if task_order == "random" else (tasks, [F.col("fail_count"), F.substring("task_key", 1, 2)], ["fail_count", *tie])
-    return tasks, [F.col("fail_count"), F.floor(F.col("task_id") / 4096)], ["fail_count", "task_id"]
+        first = [] if task_order == "random" else ["fail_count"]
+        return tasks, by_hash(tasks, "task_key", *map(F.col, first)), [*first, "task_key", "task_id"]
+    return tasks, by_number("task_id", F.col("fail_count")), ["fail_count", "task_id"]
 
 
 def task_order(frame: DataFrame, order: str = "random", seed: int = 1) -> DataFrame:
     """(task_id, task_rank from 0)."""
-    tasks, buckets, keys = task_priority(frame, order, seed)
-    return global_offset(tasks, buckets, keys, name="task_rank").select("task_id", "task_rank")
+    tasks, levels, keys = task_priority(frame, order, seed)
+    return global_offset(tasks, levels, keys, name="task_rank").select("task_id", "task_rank")
 
 
 def transcript(frame: DataFrame, policy: str, task_order: str = "random", seed: int = 1) -> DataFrame:
@@ -70,7 +105,7 @@ def transcript(frame: DataFrame, policy: str, task_order: str = "random", seed:
     rows = frame.withColumn("item_key", priority("criterion", seed, "task_id", "slot")).withColumn("flag", flagged())
     out = ["qnum", "task_id", "slot", "gold", "prediction", "category", "base_id"]
     if policy == "random_criterion":
-        return global_offset(rows, *by_hash("item_key")).withColumn("qnum", F.col("offset") + 1).select(*out)
+        return global_offset(rows, by_hash(rows, "item_key"), ["item_key"]).withColumn("qnum", F.col("offset") + 1).select(*out)
     tie = "slot" if seed == 0 else "item_key"
     tier = F.when(F.col("flag"), 0).when(F.col("prediction") == 0, 1).otherwise(2)
     within = {"sc_natural": ["slot"], "sc_random": ["item_key", "slot"], "sc_judge": ["prediction", tie, "slot"], "sc_disagreement": [tier, tie, "slot"]}.get(policy, [tie, "slot"])
@@ -79,14 +114,14 @@ def transcript(frame: DataFrame, policy: str, task_order: str = "random", seed:
     if policy.startswith("sc_"):
         stop = F.min(F.when(F.col("gold") == 0, F.col("pos"))).over(W.partitionBy("task_id"))
         asked = asked.withColumn("stop", stop).where("stop IS NULL OR pos <= stop")
-    tasks, buckets, keys = task_priority(frame, task_order, seed)
+    tasks, levels, keys = task_priority(frame, task_order, seed)
     sizes = asked.groupBy("task_id").agg(F.count("*").alias("asked"))
-    starts = global_offset(tasks.join(sizes, "task_id"), buckets, keys, F.col("asked"), "start").select("task_id", "start")
+    starts = global_offset(tasks.join(sizes, "task_id"), levels, keys, F.col("asked"), "start").select("task_id", "start")
     first = asked.join(starts, "task_id").withColumn("qnum", F.col("start") + F.col("pos")).select(*out)
     if policy != "disagreement_then_random":
         return first
     total = rows.where("flag").agg(F.count("*").alias("n_flagged"))
-    rest = global_offset(rows.where(~F.col("flag")), *by_hash("item_key")).crossJoin(F.broadcast(total))  # one row
+    rest = global_offset(rows.where(~F.col("flag")), by_hash(rows, "item_key"), ["item_key"]).crossJoin(F.broadcast(total))  # one row
     return first.unionByName(rest.withColumn("qnum", F.col("n_flagged") + F.col("offset") + 1).select(*out))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -84,8 +86,8 @@ def permuted_gold_margins(frame: DataFrame) -> DataFrame:
     """
     rows = frame.join(frame.groupBy("task_id").agg(F.count("*").alias("k")), "task_id").withColumns({"h1": ranking.priority("permute", 1, "task_id", "slot"), "h2": ranking.priority("permute", 2, "task_id", "slot")})
     strata = [F.col("k"), F.col("prediction"), F.col("category")]
-    to = ranking.global_offset(rows, [*strata, F.substring("h1", 1, 2)], ["h1"], name="r").select("r", "task_id", "prediction")
-    of = ranking.global_offset(rows, [*strata, F.substring("h2", 1, 2)], ["h2"], name="r").select("r", "gold")
+    to = ranking.global_offset(rows, ranking.by_hash(rows, "h1", *strata), ["h1"], name="r").select("r", "task_id", "prediction")
+    of = ranking.global_offset(rows, ranking.by_hash(rows, "h2", *strata), ["h2"], name="r").select("r", "gold")
     tasks = to.join(of, "r").groupBy("task_id").agg(F.min("gold").alias("reference_pass"), F.min("prediction").alias("predicted_pass"))
     return tasks.groupBy("reference_pass", "predicted_pass").agg(F.count("*").alias("tasks"))
 
@@ -98,7 +100,7 @@ _SPLIT = ", bases AS (SELECT base_id, row_number() OVER (ORDER BY sha256('split|
 def split(frame: DataFrame, share: float = 0.2) -> DataFrame:
     """(base_id, pilot): the first floor(share * families) families by salted hash are the pilot."""
     bases = frame.select("base_id").distinct().withColumn("key", ranking.priority("split", 1, "base_id"))
-    ranked = ranking.global_offset(bases, [F.substring("key", 1, 3)], ["key", "base_id"])
+    ranked = ranking.global_offset(bases, ranking.by_hash(bases, "key"), ["key", "base_id"])
     total = bases.agg(F.count("*").alias("n"))
     return ranked.crossJoin(F.broadcast(total)).select("base_id", (F.col("offset") < F.floor(F.col("n") * share)).alias("pilot"))  # one row
 
@@ -209,7 +211,7 @@ def task_srs_estimates(frame: DataFrame) -> DataFrame:
     agree = frame.groupBy("task_id").agg(F.count_if(F.col("gold") == F.col("prediction")).alias("agree"))
     tasks = accounting.tasks(frame).join(agree, "task_id").withColumn("key", ranking.priority("sample", 1, "task_id"))
     total = tasks.agg(F.count("*").alias("N"), F.sum("k").alias("M"))
-    rows = ranking.global_offset(tasks, [F.substring("key", 1, 3)], ["key", "task_id"]).crossJoin(F.broadcast(total)).where("offset < floor(0.2 * N)")  # one row
+    rows = ranking.global_offset(tasks, ranking.by_hash(tasks, "key"), ["key", "task_id"]).crossJoin(F.broadcast(total)).where("offset < floor(0.2 * N)")  # one row
     n, big_n, m = F.count("*"), F.max("N"), F.max("M")
     return rows.agg(
         n.alias("sample"), big_n.alias("population"), F.sum("k").alias("queries"), _r(F.avg((F.col("gf") == 0).cast("double"))).alias("pass_estimate"), _r(big_n * F.sum("agree") / (n * m)).alias("total_estimate"),
@@ -236,7 +238,7 @@ def strata_proportional(frame: DataFrame) -> DataFrame:
     keyed = frame.withColumn("key", ranking.priority("strata", 1, "task_id", "slot"))
     out = None
     for s in names:
-        rows = ranking.global_offset(keyed.where(F.col("prediction") == s), *ranking.by_hash("key")).where(F.col("offset") < take[s])
+        rows = ranking.global_offset(keyed.where(F.col("prediction") == s), ranking.by_hash(keyed, "key"), ["key"]).where(F.col("offset") < take[s])
         rows = rows.agg(F.lit(s).alias("prediction"), F.lit(sizes[s]).cast("long").alias("size"), F.lit(take[s]).cast("long").alias("take"), F.count_if(F.col("gold") == s).alias("agree"))
         out = rows if out is None else out.unionByName(rows)
     return out if out is not None else frame.sparkSession.createDataFrame([], "prediction int, size long, take long, agree long")
@@ -292,42 +294,43 @@ def neyman_allocation(frame: DataFrame) -> DataFrame:
 
 @query("design_variance_exact")
 def design_variance_exact(frame: DataFrame) -> DataFrame:
-    """Exact variance of the agreement estimate under three designs, all outcomes of the pilot summed up."""
+    """Exact variance of the agreement estimate under three designs for one query in a hundred, all outcomes of the pilot summed up."""
 
     def one(producer, sizes, correct):
-        cap = min(sum(sizes), 400)
+        cap = max(1, sum(sizes) // 100)
         rows = [(producer, d, *exact.design_variance(sizes, correct, cap, d)) for d in ("random", "proportional", "charged_neyman")]
         return pd.DataFrame([(p, d, round(v, 12), n, round(m, 9)) for p, d, v, n, m in rows], columns=["producer", "design", "variance", "outcomes", "mass"])
 
     return _design(frame, one, "producer string, design string, variance double, outcomes long, mass double")
 
 
-@query("composition_bootstrap")
-def composition_bootstrap(frame: DataFrame) -> DataFrame:
-    """Whole families drawn anew with Poisson weights, 20 replicates: pass rates of reference and prediction in each."""
-    tasks = accounting.tasks(frame).groupBy("base_id").agg(F.count("*").alias("n"), F.count_if(F.expr("gf = 0")).alias("g"), F.count_if(F.expr("pf = 0")).alias("p"))
-    u = (F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit("boot"), "rep", "base_id"), 256), 1, 8), 16, 10).cast("double") + 0.5) / 2**32
-    # thresholds of the Poisson distribution with mean one
-    steps, total, term = F.lit(0), 0.0, 0.36787944117144233
+REPLICATES = 399
+
+
+def _poisson_steps() -> list[float]:
+    """Where the distribution function of the Poisson distribution with mean one steps from k to k + 1."""
+    out, total, term = [], 0.0, math.exp(-1)
     for k in range(8):
         total += term
-        steps = steps + F.when(u >= total, 1).otherwise(0)
+        out.append(total)
         term /= k + 1
-    rows = tasks.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(20)))).withColumn("w", steps)
-    return rows.groupBy("rep").agg((F.sum(F.col("w") * F.col("n"))).cast("long").alias("tasks"), _r(F.sum(F.col("w") * F.col("g")) / F.sum(F.col("w") * F.col("n"))).alias("reference_rate"), _r(F.sum(F.col("w") * F.col("p")) / F.sum(F.col("w") * F.col("n"))).alias("judge_rate"))
+    return out
 
 
-@query("curve_bands")
-def curve_bands(frame: DataFrame) -> DataFrame:
-    """Quantiles over seeds at each share, and a band from the largest deviation of each seed."""
-    out = None
-    for s in (1, 2, 3):
-        rows = accounting.curve(frame, ranking.transcript(frame, "random_criterion", "random", s), (10, 20, 50, 80)).select(F.lit(s).alias("seed"), "share", F.col("C").cast("double").alias("v"))
-        out = rows if out is None else out.unionByName(rows)
-    mean = F.avg("v").over(W.partitionBy("share"))
-    far = F.max(F.abs(F.col("v") - F.col("mean"))).over(W.partitionBy("seed"))
-    rows = out.withColumn("mean", mean).withColumn("far", far)
-    return rows.groupBy("share").agg(_r(F.avg("v")).alias("mean"), _r(F.percentile("v", 0.05)).alias("p05"), _r(F.percentile("v", 0.95)).alias("p95"), _r(F.percentile("far", 0.95)).alias("band"))
+_BOOT = f""", fam AS (SELECT base_id, count(*) AS n, count(*) FILTER (gf = 0) AS g, count(*) FILTER (pf = 0) AS p FROM tasks GROUP BY 1),
+    bu AS (SELECT rep, n, g, p, (CAST(('0x' || left(sha256('boot|' || rep || '|' || base_id), 8)) AS BIGINT) + 0.5::DOUBLE) / 4294967296 AS u FROM fam, (SELECT unnest(range(1, {REPLICATES + 1})) AS rep)),
+    bw AS (SELECT *, {' + '.join(f'CASE WHEN u >= {x!r}::DOUBLE THEN 1 ELSE 0 END' for x in _poisson_steps())} AS w FROM bu)"""
+
+
+@query("composition_bootstrap", f"{_BOOT} SELECT CAST(rep AS INTEGER) AS rep, CAST(sum(w * n) AS BIGINT) AS tasks, round(sum(w * g) / sum(w * n), 9) AS reference_rate, round(sum(w * p) / sum(w * n), 9) AS judge_rate FROM bw GROUP BY 1")
+def composition_bootstrap(frame: DataFrame) -> DataFrame:
+    """Whole families drawn anew with Poisson weights, 399 replicates: pass rates of reference and prediction in each."""
+    tasks = accounting.tasks(frame).groupBy("base_id").agg(F.count("*").alias("n"), F.count_if(F.expr("gf = 0")).alias("g"), F.count_if(F.expr("pf = 0")).alias("p"))
+    u = (F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit("boot"), "rep", "base_id"), 256), 1, 8), 16, 10).cast("double") + 0.5) / 2**32
+    rows = tasks.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(REPLICATES)))).withColumn("u", u)
+    w = sum((F.when(F.col("u") >= x, 1).otherwise(0) for x in _poisson_steps()), F.lit(0))
+    rows = rows.withColumn("w", w)
+    return rows.groupBy("rep").agg((F.sum(F.col("w") * F.col("n"))).cast("long").alias("tasks"), _r(F.sum(F.col("w") * F.col("g")) / F.sum(F.col("w") * F.col("n"))).alias("reference_rate"), _r(F.sum(F.col("w") * F.col("p")) / F.sum(F.col("w") * F.col("n"))).alias("judge_rate"))
 
 
 # ---------------------------------------------------------------- disclosure and bounds
@@ -411,10 +414,8 @@ def pairing_bounds(frame: DataFrame) -> DataFrame:
     Scores are ranked by value and hash-free ties; ranks of both lists are joined. Buckets are values, which are few, and parts of ids.
     """
     t = accounting.tasks(frame).select("task_id", (F.col("k") - F.col("gf")).cast("long").alias("a"), (F.col("k") - F.col("pf")).cast("long").alias("b"))
-    part = F.floor(F.col("task_id") / 4096)
-    ra = ranking.global_offset(t, [F.col("a"), part], ["task_id"], name="r").select("r", "a")
-    rb = ranking.global_offset(t, [F.col("b"), part], ["task_id"], name="r").select("r", "b")
-    rd = ranking.global_offset(t, [-F.col("b"), part], ["task_id"], name="r").select("r", "b")
+    ranked = lambda score, c: ranking.global_offset(t, ranking.by_number("task_id", score), ["task_id"], name="r").select("r", c)
+    ra, rb, rd = ranked(F.col("a"), "a"), ranked(F.col("b"), "b"), ranked(-F.col("b"), "b")
     product = lambda x, name: ra.join(x, "r").agg(F.sum(F.col("a") * F.col("b")).alias(name))
     return product(rb, "most").crossJoin(product(rd, "least")).crossJoin(t.agg(F.sum(F.col("a") * F.col("b")).alias("actual")))  # one row each
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -77,14 +76,14 @@ def key_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.agg(n("c IS NOT NULL AND o IS NOT NULL").alias("shared"), n("o IS NULL").alias("only_left"), n("c IS NULL").alias("only_right"))
 
 
-@query("connected_components", """WITH RECURSIVE t AS (SELECT doc_id AS node, md5(text) AS token FROM documents UNION ALL SELECT doc_id, 'h' || left(text, 60) FROM documents WHERE length(text) >= 60),
+@query("connected_components", """WITH RECURSIVE t AS (SELECT doc_id AS node, md5(text) AS token FROM documents WHERE text IS NOT NULL UNION ALL SELECT doc_id, 'n' || md5(lower(trim(regexp_replace(text, '[ \\t\\n\\r]+', ' ', 'g')))) FROM documents WHERE text IS NOT NULL),
     hub AS (SELECT token, min(node) AS hub FROM t GROUP BY 1), e AS (SELECT DISTINCT node AS a, hub AS b FROM t JOIN hub USING (token) WHERE node <> hub), b AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
     r(node, seen) AS (SELECT doc_id, doc_id FROM documents UNION SELECT b.a, r.seen FROM r JOIN b ON r.node = b.b) SELECT node, min(seen) AS component FROM r GROUP BY 1""")
 def connected_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that share their text or how it begins, directly or over others; named after the smallest id."""
-    docs = documents(spark, sf_dir)
-    start = docs.where(F.length("text") >= 60).select(F.col("doc_id").alias("node"), F.concat(F.lit("h"), F.substring("text", 1, 60)).alias("token"))
-    return graph.by_tokens(docs.select(F.col("doc_id").alias("node"), F.md5("text").alias("token")).unionByName(start))
+    """Documents of one text, as it is or but for case and white space, directly or over others; named after the smallest id."""
+    docs = documents(spark, sf_dir).select(F.col("doc_id").alias("node"), "text")
+    plain = F.lower(F.trim(F.regexp_replace("text", "[ \\t\\n\\r]+", " ")))
+    return graph.by_tokens(docs.select("node", F.md5("text").alias("token")).unionByName(docs.select("node", F.concat(F.lit("n"), F.md5(plain)).alias("token"))))
 
 
 @query("canary_top32", f"WITH {ORDERS_SQL} SELECT producer, task_id, slot FROM (SELECT *, row_number() OVER (PARTITION BY producer ORDER BY sha256('canary|1|' || task_id || '|' || slot)) AS n FROM crit) WHERE n <= 32")
@@ -178,11 +177,25 @@ def cut_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents(spark, sf_dir).select("doc_id", text.cut_middle(F.col("text"), 450).alias("short"))
 
 
-@query("verdict_rules")
+def _verdict_sql() -> str:
+    quoted = lambda p: "'" + p.replace("'", "''") + "'"
+    words = lambda ws: ", ".join(quoted(w) for w in ws)
+    return f"""WITH a AS (SELECT lang, text, list_filter(list_transform(regexp_extract_all(text, '[A-Za-z]+')[1:5], lambda x: lower(x)), lambda x: x IN ('yes', 'no'))[1] AS plain,
+        list_filter(regexp_split_to_array(text, '\\r\\n|[\\n\\r\\x0B\\x0C\\x{{85}}\\x{{2028}}\\x{{2029}}]'), lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g')) <> '')[1] AS line FROM documents),
+    w AS (SELECT *, trim(regexp_replace(lower(regexp_replace(regexp_replace(line, {quoted(text.QUOTED)}, ' ', 'g'), {quoted(text.EMPHASIS)}, '', 'g')), '\\s+', ' ', 'g')) AS w FROM a),
+    t AS (SELECT *, regexp_extract(w, '^[^\\pL\\pN_]*(\\pL+)[,.!:;，、。،]', 1) AS first, regexp_replace(w, {quoted(text.CONDITION)}, ' ', 'g') AS told FROM w),
+    v AS (SELECT *, regexp_matches(told, {quoted(text.NEGATIVE)}) AS no, regexp_matches(regexp_replace(told, {quoted(text.NEGATIVE)}, ' ', 'g'), {quoted(text.POSITIVE)}) AS yes FROM t),
+    r AS (SELECT lang, CASE WHEN plain IS NOT NULL THEN 'v1-yes-no' WHEN coalesce(regexp_replace(text, '\\s+', '', 'g'), '') = '' THEN 'missing-empty' WHEN first IN ({words(text.YES_WORDS)}) THEN 'first-word-lexicon+'
+        WHEN first IN ({words(text.NO_WORDS)}) THEN 'first-word-lexicon-' WHEN regexp_matches(w, {quoted(text.ABSTAIN)}) THEN 'missing-abstain' WHEN regexp_matches(w, {quoted(text.PARTIAL)}) THEN 'missing-partial'
+        WHEN no AND yes THEN 'missing-conflict' WHEN yes THEN 'verdict-phrase+' WHEN no THEN 'verdict-phrase-' ELSE 'missing-no-verdict' END AS k, plain FROM v)
+    SELECT lang, rtrim(k, '+-') AS rule, CASE WHEN k = 'v1-yes-no' THEN CAST(plain = 'yes' AS INTEGER) WHEN k LIKE '%+' THEN 1 WHEN k IN ('first-word-lexicon-', 'verdict-phrase-') THEN 0 ELSE -1 END AS label, count(*) AS n FROM r GROUP BY 1, 2, 3"""
+
+
+@query("verdict_rules", _verdict_sql())
 def verdict_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rules that decide free-text answers, counted by language; small cases are held against expected labels in tests."""
     v = documents(spark, sf_dir).select("lang", text.verdict(F.col("text")).alias("v"))
-    return v.groupBy("lang", "v.rule", "v.label").agg(F.count("*").alias("n"))
+    return v.groupBy("lang", "v.rule", F.coalesce("v.label", F.lit(-1)).alias("label")).agg(F.count("*").alias("n"))
 
 
 # ---------------------------------------------------------------- runs, repairs, costs, ledgers
@@ -243,18 +256,22 @@ _NANO = "CAST(ceil(CAST(value AS DECIMAL(28, 12)) * 10000000) AS BIGINT)"
 def budget_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reservations in order of time against a cap: what was committed before each, and whether it still fits.
 
-    Sums run within hours, after the hours' totals have been summed up; no task orders the whole log.
+    Sums run within seconds, seconds' totals within hours, and the hours' totals over all; no task orders the whole log.
     """
     cost = F.ceil(F.col("value").cast("decimal(28,12)") * F.lit(10_000_000).cast("decimal(10,0)")).cast("long")
     rows = events(spark, sf_dir).select("event_id", "ts", cost.alias("cost"))
-    out = ranking.global_offset(rows, [F.date_trunc("hour", "ts")], ["ts", "event_id"], F.col("cost"), "committed")
+    out = ranking.global_offset(rows, ranking.by_time("ts"), ["ts", "event_id"], F.col("cost"), "committed")
     return out.select("event_id", "cost", "committed", (F.col("committed") + F.col("cost") <= CAP_NANO).alias("admitted"))
 
 
-@query("exactly_once_matching", "SELECT count(*) FILTER (r IS NOT NULL AND a IS NOT NULL) AS matched, count(*) FILTER (a IS NULL) AS unanswered, count(*) FILTER (r IS NULL) AS unasked, CAST(max(coalesce(n, 0)) AS BIGINT) AS most_answers FROM (SELECT o_orderkey AS r FROM orders WHERE o_orderkey % 2 = 0) FULL JOIN (SELECT l_orderkey AS a, count(*) AS n FROM lineitem WHERE l_orderkey % 3 = 0 GROUP BY 1) ON r = a")
+@query("exactly_once_matching", "SELECT count(*) FILTER (r IS NOT NULL AND a IS NOT NULL) AS matched, count(*) FILTER (a IS NULL) AS unanswered, count(*) FILTER (r IS NULL) AS unasked, CAST(max(coalesce(n, 0)) AS BIGINT) AS most_answers FROM (SELECT o_orderkey AS r FROM orders) FULL JOIN (SELECT l_orderkey AS a, count(*) AS n FROM lineitem GROUP BY 1) ON r = a")
 def exactly_once_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked = orders(spark, sf_dir).where("o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("r"))
-    answers = frames.table(spark, sf_dir, "lineitem").where("l_orderkey % 3 = 0").groupBy(F.col("l_orderkey").alias("a")).agg(F.count("*").alias("n"))
+    return match_once(orders(spark, sf_dir).select(F.col("o_orderkey").alias("r")), frames.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("a")))
+
+
+def match_once(asked: DataFrame, answers: DataFrame) -> DataFrame:
+    """Requests (r) and answers (a): how many met, how many of each side met nothing, and the most answers to one request."""
+    answers = answers.groupBy("a").agg(F.count("*").alias("n"))
     n = lambda s: F.count_if(F.expr(s))
     return asked.join(answers, F.col("r") == F.col("a"), "full_outer").agg(n("r IS NOT NULL AND a IS NOT NULL").alias("matched"), n("a IS NULL").alias("unanswered"), n("r IS NULL").alias("unasked"), F.max(F.coalesce("n", F.lit(0))).cast("long").alias("most_answers"))
 
@@ -273,23 +290,19 @@ def channel_combinations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sets.select(F.inline(pairs)).groupBy("one", "two").agg(F.count("*").alias("shared"))
 
 
-@query("shard_packing")
+@query("shard_packing", """WITH f AS (SELECT conv_id, turn, strlen(text) AS bytes, row_number() OVER (PARTITION BY text ORDER BY conv_id, turn) AS copy FROM conversations WHERE text IS NOT NULL),
+    o AS (SELECT *, row_number() OVER (ORDER BY conv_id, turn) - 1 AS place FROM f WHERE copy = 1), l AS (SELECT *, place // 100 AS lot, coalesce(sum(bytes) OVER (PARTITION BY place // 100 ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM o)
+    SELECT conv_id, turn, CAST(bytes AS BIGINT) AS bytes, CAST(lot AS BIGINT) AS lot, CAST(before // 20000 AS BIGINT) AS part FROM l""")
 def shard_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First-fit shards of requests, under caps of requests and bytes, within each conversation block of a bounded number of rows."""
-    rows = conversations(spark, sf_dir).select(F.floor(F.col("conv_id") / 256).alias("lot"), "conv_id", "turn", F.octet_length("text").alias("bytes"))
-
-    def pack(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["conv_id", "turn"])
-        used, place = [], []
-        for size in part["bytes"].fillna(0):
-            at = next((i for i, (n, b) in enumerate(used) if n < 100 and b + size <= 200_000), len(used))
-            if at == len(used):
-                used.append((0, 0))
-            used[at] = (used[at][0] + 1, used[at][1] + size)
-            place.append(at)
-        return part.assign(shard=place)[["lot", "conv_id", "turn", "bytes", "shard"]]
-
-    return rows.groupBy("lot").applyInPandas(pack, "lot long, conv_id long, turn long, bytes int, shard int")
+    """Shards (lot, part) of requests in order, over the whole table: 100 requests a lot, cut wherever another 20,000 bytes are full.
+
+    A prompt that occurs again is asked once, where it first stands.
+    """
+    rows = conversations(spark, sf_dir).where("text IS NOT NULL")
+    first = rows.groupBy(F.sha2("text", 256).alias("digest")).agg(F.min(F.struct("conv_id", "turn", F.octet_length("text").cast("long").alias("bytes"))).alias("x")).select("x.*")
+    placed = ranking.global_offset(first, ranking.by_number("conv_id"), ["conv_id", "turn"], name="place").withColumn("lot", F.floor(F.col("place") / 100))
+    before = F.coalesce(F.sum("bytes").over(W.partitionBy("lot").orderBy("place").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))  # a hundred rows each
+    return placed.select("conv_id", "turn", "bytes", "lot", F.floor(before / 20000).alias("part"))
 
 
 # ---------------------------------------------------------------- requests, responses, prices

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tesserae.operators import accounting, ranking, validation
+from tesserae.plans import grid
 from tesserae.sources import frames
 from tesserae.sources.frames import ORDERS_SQL, TASKS_SQL
 
@@ -26,10 +27,14 @@ def query(name: str, sql: str | None = None):
 
 
 def on_frame(name: str, sql: str):
-    """Register f(frame) over the orders frame; its SQL may use crit and tasks."""
+    """Register f(frame) over the orders frame; its SQL may use crit and tasks.
+
+    Where the SQL asks for a transcript, several steps read the frame, so it is stored first.
+    """
+    made = grid.stored_frame if "item_key" in sql else frames.orders_frame
 
     def add(f):
-        QUERIES[name] = lambda spark, sf_dir: f(frames.orders_frame(spark, sf_dir))
+        QUERIES[name] = lambda spark, sf_dir: f(made(spark, sf_dir))
         ORACLES[name] = f"WITH {ORDERS_SQL}, {TASKS_SQL} {sql}" if not sql.startswith("WITH") else sql
         return f
 
@@ -233,30 +238,18 @@ def budget_curve_without_base(frame: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- contrasts of policies
 
-SOME = ("random_criterion", "sc_natural", "sc_judge", "disagreement_then_random")
-POINTS = (10, 20, 50, 80)
-
-
-def curves(frame: DataFrame, policies=SOME, shares=POINTS) -> DataFrame:
-    """Curves of several policies: policy, policy_ord, share, actual_queries, certified and error counts. A small table from here on."""
-    out = None
-    for n, policy in enumerate(policies):
-        asked = ranking.transcript(frame, policy)
-        rows = accounting.at_caps(accounting.times(frame, asked).crossJoin(F.broadcast(accounting.share_caps(frame, shares))), keys=("share", "L"))
-        rows = rows.select(F.lit(policy).alias("policy"), F.lit(n).alias("policy_ord"), "share", F.least("cap", "L").alias("actual_queries"), F.col("C").alias("certified"), "eager_errors", "gate_errors")
-        out = rows if out is None else out.unionByName(rows)
-    return out
+POINTS = tuple(range(0, 101, 10))
 
 
-def _curves_sql() -> str:
-    parts, rows = [], []
-    for n, policy in enumerate(SOME):
-        parts += [ranking.transcript_sql(policy, name=f"t{n}"), accounting.curve_sql(f"t{n}", POINTS, name=f"v{n}")]
-        rows.append(f"SELECT '{policy}' AS policy, {n} AS policy_ord, share, least(cap, (SELECT L FROM v{n}_n)) AS actual_queries, C AS certified, eager_errors, gate_errors FROM v{n}")
-    return f"WITH {ORDERS_SQL}, {', '.join(parts)}, cu AS ({' UNION ALL '.join(rows)})"
+def curves(frame: DataFrame) -> DataFrame:
+    """Curves of all policies: policy, policy_ord, share, actual_queries, certified and error counts. A small table from here on."""
+    rows = grid.curves(frame, orders=("random",), shares=POINTS)
+    number = F.array_position(F.array(*[F.lit(p) for p in ranking.POLICIES]), F.col("policy")).cast("int") - 1
+    return rows.select("policy", number.alias("policy_ord"), "share", "actual_queries", F.col("C").alias("certified"), "eager_errors", "gate_errors")
 
 
-_CURVES = _curves_sql()
+_ORD = f"list_position([{', '.join(repr(p) for p in ranking.POLICIES)}], policy) - 1"
+_CURVES = f"WITH {ORDERS_SQL}, {grid.curves_sql(orders=('random',), shares=POINTS)}, cu AS (SELECT policy, CAST({_ORD} AS INTEGER) AS policy_ord, share, actual_queries, C AS certified, eager_errors, gate_errors FROM gr)"
 on_frame("policy_curves", f"{_CURVES} SELECT * FROM cu")(curves)
 
 _PAIRED = "pr AS (SELECT a.policy AS a, b.policy AS b, a.share, a.actual_queries = b.actual_queries AS active, a.certified - b.certified AS d_certified, a.eager_errors - b.eager_errors AS d_eager, a.gate_errors - b.gate_errors AS d_gate FROM cu a JOIN cu b ON a.share = b.share AND a.policy_ord < b.policy_ord)"
@@ -319,37 +312,6 @@ def new_fp_witnesses(frame: DataFrame) -> DataFrame:
     return rows.where("fails = 0 AND before > 0").orderBy("qnum").limit(5).select("qnum", "task_id", "base_id", "slot", "category")
 
 
-SEEDS = (1, 2, 3)
-
-
-def _seed_sql() -> str:
-    parts, rows = [], []
-    for s in SEEDS:
-        parts += [ranking.transcript_sql("random_criterion", seed=s, name=f"t{s}"), accounting.curve_sql(f"t{s}", POINTS, name=f"v{s}")]
-        rows.append(f"SELECT {s} AS seed, share, eager_errors, gate_errors FROM v{s}")
-    return f"WITH {ORDERS_SQL}, {', '.join(parts)}, cu AS ({' UNION ALL '.join(rows)})"
-
-
-@on_frame("seed_summary_percentiles", f"{_seed_sql()} SELECT share, count(*) AS seeds, round(quantile_cont(eager_errors, 0.05), 9) AS p05, round(quantile_cont(eager_errors, 0.5), 9) AS median, round(quantile_cont(eager_errors, 0.95), 9) AS p95, round(avg(gate_errors), 9) AS mean_gated FROM cu GROUP BY 1")
-def seed_summary_percentiles(frame: DataFrame) -> DataFrame:
-    """Exact percentiles over seeds; seed 0, the canonical one, is never among them."""
-    out = None
-    for s in SEEDS:
-        rows = accounting.curve(frame, ranking.transcript(frame, "random_criterion", "random", s), POINTS).select("share", "eager_errors", "gate_errors")
-        out = rows if out is None else out.unionByName(rows)
-    q = lambda p: F.round(F.percentile("eager_errors", p), 9)
-    return out.groupBy("share").agg(F.count("*").alias("seeds"), q(0.05).alias("p05"), q(0.5).alias("median"), q(0.95).alias("p95"), F.round(F.avg("gate_errors"), 9).alias("mean_gated"))
-
-
-@on_frame("order_sensitivity", "WITH " + ORDERS_SQL + "".join(f", {ranking.transcript_sql('sc_judge', o, 1, f't{i}')}, {accounting.curve_sql(f't{i}', (20,), name=f'v{i}')}" for i, o in enumerate(ranking.TASK_ORDERS)) + " " + " UNION ALL ".join(f"SELECT '{o}' AS task_order, C AS certified, eager_errors, gate_errors FROM v{i}" for i, o in enumerate(ranking.TASK_ORDERS)))
-def order_sensitivity(frame: DataFrame) -> DataFrame:
-    out = None
-    for o in ranking.TASK_ORDERS:
-        rows = accounting.curve(frame, ranking.transcript(frame, "sc_judge", o), (20,)).select(F.lit(o).alias("task_order"), F.col("C").alias("certified"), "eager_errors", "gate_errors")
-        out = rows if out is None else out.unionByName(rows)
-    return out
-
-
 @on_frame("crossed_reference_scores", f"WITH {ORDERS_SQL}, {ranking.transcript_sql('random_criterion')}, {accounting.curve_sql(gold='second')} SELECT share, {FIELDS} FROM cv")
 def crossed_reference_scores(frame: DataFrame) -> DataFrame:
     """Queries chosen without looking at a reference, scored by another one."""

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tesserae.operators import ranking
+
 COLUMNS = ["task_id", "slot", "base_id", "producer", "category", "gold", "prediction", "secondary"]
 
 
@@ -36,13 +38,16 @@ def orders_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def document_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labelled documents as criteria of the task source x language: gold is their quality, prediction a rule on their length."""
+    """Labelled documents as criteria of the task source x language: gold is their quality, prediction a rule on their length.
+
+    Tasks are few and large, so slots are ranks within the task by levels of ids, not by a window over the task.
+    """
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     task = F.concat_ws("/", "source", "lang")
     long = (F.col("n_chars") > 1200).cast("int")
     rows = docs.join(labels, "doc_id").where("quality IS NOT NULL").select("doc_id", task.alias("task_id"), "source", F.col("lang").alias("category"), F.col("quality").alias("gold"), long.alias("prediction"))
-    slot = F.row_number().over(W.partitionBy("task_id").orderBy("doc_id")) - 1
-    return rows.select("task_id", slot.alias("slot"), F.col("source").alias("base_id"), F.col("category").alias("producer"), "category", "gold", "prediction", F.array("prediction").alias("secondary"))
+    rows = ranking.global_offset(rows, ranking.by_number("doc_id"), ["doc_id"], name="slot", within=("task_id",))
+    return rows.select("task_id", F.col("slot").cast("int").alias("slot"), F.col("source").alias("base_id"), F.col("category").alias("producer"), "category", "gold", "prediction", F.array("prediction").alias("secondary"))
 
 
 ORDERS_SQL = """crit AS (SELECT task_id, slot, base_id, producer, category, gold, CASE WHEN fp THEN 1 - gold ELSE gold END AS prediction,

@@ -91,7 +91,7 @@ def test_global_offsets_match_one_sorted_list(spark):
     df = spark.createDataFrame(data, "id long, h string, w int")
     from pyspark.sql import functions as F
 
-    got = {r["id"]: r["offset"] for r in ranking.global_offset(df, *ranking.by_hash("h"), weight=F.col("w")).collect()}
+    got = {r["id"]: r["offset"] for r in ranking.global_offset(df, ranking.by_hash(df, "h"), ["h"], weight=F.col("w")).collect()}
     total = 0
     for i, _, w in sorted(data, key=lambda x: x[1]):
         assert got[i] == total
