@@ -22,6 +22,7 @@ BYTE_BASE = 0x9E3779B97F4A7C15 | 1
 WORD_BASE = 0xC2B2AE3D27D4EB4F | 1
 _MASK = (1 << 64) - 1
 BYTE_INV = pow(BYTE_BASE, -1, 1 << 64)
+WORD_INV = pow(WORD_BASE, -1, 1 << 64)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

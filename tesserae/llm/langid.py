@@ -15,6 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tesserae.llm import common
@@ -25,6 +26,9 @@ TRAIN_CHARS = 20_000
 LANDMARKS = 200
 #: Every language is learned. With over 64 of them (or 66), the rows of each are fewer and the landmarks more.
 ALL_ROWS = 64 * ROWS_PER_LANGUAGE
+#: Characters of the whole sample, which the driver holds; rows of many languages are cut shorter, but not below LEAST_CHARS.
+ALL_CHARS = 64_000_000
+LEAST_CHARS = 500
 LEAST_ROWS = 50
 LANDMARKS_PER_LANGUAGE = 3
 RIDGE = 1e-4
@@ -80,9 +84,10 @@ def is_held_out(doc_id) -> F.Column:
 
 
 def training_sample(docs: DataFrame, rows: int = ROWS_PER_LANGUAGE, chars: int = TRAIN_CHARS) -> list[tuple[str, str]]:
-    """A bounded sample (lang, text) of the labelled rows that aren't held out: of each language those with the smallest id hashes.
+    """A bounded sample (lang, text) of the labelled rows that aren't held out: of each language those with the smallest hashes of id and text.
 
-    Texts of over `chars` characters fill up languages that have too few others, by an excerpt from their first letter on.
+    Texts of over `chars` characters fill up languages that have too few others, by an excerpt from their first letter on. Rows are
+    chosen on the executors by a total order, `rows` of each language.
     """
     spark = docs.sparkSession
     known = docs.where(F.col("lang").isNotNull() & ~is_held_out(F.col("doc_id")) & F.col("text").rlike(r"\p{L}"))
@@ -91,23 +96,20 @@ def training_sample(docs: DataFrame, rows: int = ROWS_PER_LANGUAGE, chars: int =
     if not counts:
         return []
     rows = max(min(rows, LEAST_ROWS), min(rows, ALL_ROWS // len(counts)))
+    cut = min(chars, max(LEAST_CHARS, ALL_CHARS // (rows * len(counts))))
     shares = []
     for lang, (short, many) in counts.items():
         if short:
             shares.append((lang, False, min(1.0, (1.2 * rows + 20) / short)))
         if many and short < rows:
             shares.append((lang, True, min(1.0, (1.2 * (rows - short) + 20) / many)))
-    place = F.pmod(F.xxhash64(F.lit("train"), "doc_id"), F.lit(1 << 30))
-    known = known.join(F.broadcast(spark.createDataFrame(shares, "lang string, long boolean, share double")), ["lang", "long"])
-    excerpt = F.substring(F.regexp_replace("text", r"^\P{L}+", ""), 1, chars)
-    picked = known.withColumn("place", place).where(F.col("place") < F.col("share") * (1 << 30)).select("lang", "long", "place", F.when(F.col("long"), excerpt).otherwise(F.col("text")).alias("text"))
-    picked = picked.limit(2 * (rows + 40) * len(counts)).collect()
-    out, used = [], dict.fromkeys(counts, 0)
-    for r in sorted(picked, key=lambda r: (r["long"], r["place"], r["lang"], r["text"])):
-        if used[r["lang"]] < rows:
-            used[r["lang"]] += 1
-            out.append((r["lang"], r["text"]))
-    return out
+    place = F.pmod(F.xxhash64(F.lit("train"), "doc_id", "text"), F.lit(1 << 30))
+    known = known.join(F.broadcast(spark.createDataFrame(shares, "lang string, long boolean, share double")), ["lang", "long"])  # two rows a language
+    excerpt = F.substring(F.regexp_replace("text", r"^\P{L}+", ""), 1, cut)
+    picked = known.withColumn("place", place).where(F.col("place") < F.col("share") * (1 << 30)).select("lang", "long", "place", excerpt.alias("text"))
+    order = W.partitionBy("lang").orderBy("long", "place", "text")  # each task keeps its first rows of a language before they are shuffled
+    picked = picked.withColumn("n", F.row_number().over(order)).where(F.col("n") <= rows).collect()
+    return [(r["lang"], r["text"]) for r in sorted(picked, key=lambda r: (r["n"], r["lang"]))]
 
 
 def fit(sample: list[tuple[str, str]], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> tuple[list[str], np.ndarray]:
@@ -165,7 +167,8 @@ def identify(docs: DataFrame, languages: list[str], matrix: np.ndarray, carry: l
     columns of docs that are called lang_pred or score are replaced.
 
     lang_pred is `und` with score 0 if text is null or has no letter, or if nothing could be learned; else the language of the
-    largest decision value d, the first by name among equals, with score (d + 1) / 2 held within 0 and 1.
+    largest decision value d, the first by name among equals, with score (d + 1) / 2 held within 0 and 1. Texts are read whole,
+    however long; repeated rows get the same answer, each; a null doc_id stays; an empty table gives no rows.
     """
     carry = ["doc_id"] if carry is None else [c for c in carry if c not in ("lang_pred", "score")]
     shared = docs.sparkSession.sparkContext.broadcast((languages, matrix))

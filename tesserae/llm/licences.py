@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import regex
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tesserae.llm import common
@@ -31,6 +33,15 @@ TEMPLATES = [
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
     ("proprietary", "All rights reserved."),
+    # licence texts and standard headers
+    ("MIT", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.'),
+    ("ISC", 'Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.'),
+    ("BSD-2-Clause", 'Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.'),
+    ("BSD-3-Clause", 'Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.'),
+    ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.'),
+    ("GPL-3.0", 'This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.'),
+    ("Unlicense", 'This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.'),
+    ("MPL-2.0", 'This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.'),
 ]
 THRESHOLD = 0.8
 #: Templates are broadcast up to this number; more of them are joined by a shuffle.
@@ -48,25 +59,59 @@ def _bigrams(norm):
     return F.array_distinct(F.zip_with(F.slice(words, 1, n), F.slice(words, 2, n), lambda x, y: F.concat_ws(" ", x, y)))
 
 
+def _words(text: str) -> list[str]:
+    return regex.findall(r"[\p{L}\p{N}]+", text.lower())
+
+
+def anchors(templates: list[tuple[str, str]], threshold: float) -> list[str]:
+    """Words of which any text that reaches the threshold holds one.
+
+    It has to share threshold / (2 - threshold) of a template's bigrams, so it is enough that fewer of them are without such a word.
+    Long words are taken first, as they are rare in other texts.
+    """
+    out: set[str] = set()
+    for _, body in templates:
+        words = _words(body)
+        left = set(zip(words, words[1:], strict=False))
+        need = threshold / (2 - threshold) * len(left)
+        left = {g for g in left if not out.intersection(g)}
+        for w in sorted(set(words), key=lambda w: (-len(w), w)):
+            if len(left) < need - 1e-9 or not left:
+                break
+            out.add(w)
+            left = {g for g in left if w not in g}
+    return sorted(out)
+
+
 def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """Find segments of documents that state a licence.
 
-    Segments are the lines of a text (segment 0, 1, ...) and, for texts of several lines, the whole text (segment -1). Text is
-    lower-cased, and all but letters and digits becomes one space. A segment with a bigrams can reach the threshold t with a
-    template of b only if t / (2 - t) <= a / b <= (2 - t) / t: these bounds prune segments before their bigrams are looked up.
-    Returns a row for each segment and template with Dice coefficient >= threshold: doc_id, segment, licence, template (its place in
-    the list), n_shared, dice. Null and empty texts, and segments under two words, give none; repeated rows give rows each; further
-    columns are ignored.
+    Segments are the lines of a text (segment 0, 1, ...), for texts of several lines the whole text (-1), and of each text and template
+    the best run of as many words as the template has (-2; the first of equals), which begins with one of its bigrams at the word
+    `start` of the whole text: so notices and licence texts are found amid other words and over line ends. Text is lower-cased, and all
+    but letters and digits becomes one space. A segment with a bigrams can reach the threshold t with a template of b only if
+    t / (2 - t) <= a / b <= (2 - t) / t: these bounds prune segments before their bigrams are looked up; texts without any word that such
+    a segment needs are left out before that. Returns a row for each segment and template with Dice coefficient >= threshold: doc_id,
+    segment, start (-1 but for runs), licence, template (its place in the list), n_shared, dice. Null and empty texts, and segments
+    under two words, give none; repeated rows give rows each; a null doc_id stays; an empty table gives no rows; texts are read whole,
+    however long; further columns are ignored.
     """
     spark = docs.sparkSession
     given = spark.createDataFrame([(i, name, text) for i, (name, text) in enumerate(templates)], "template int, licence string, body string")
-    small = given.withColumn("bigrams", _bigrams(_normal(F.col("body")))).withColumn("b", F.size("bigrams")).where("b > 0")
+    norm = _normal(F.col("body"))
+    small = given.withColumn("bigrams", _bigrams(norm)).withColumn("m", F.size(F.split(norm, " "))).withColumn("b", F.size("bigrams")).where("b > 0")
     up = (2 - threshold) / threshold
     sizes = small.agg(F.min("b"), F.max("b")).first()
     least, most = (int(sizes[0] / up), int(sizes[1] * up) + 1) if sizes[0] else (1, 0)
+    probes = small.select("template", "licence", "b", "m", F.explode("bigrams").alias("bigram"))
+    probes = F.broadcast(probes) if len(templates) <= BROADCAST_TEMPLATES else probes
 
-    rows = common.pick(docs, "doc_id", "text").where(F.col("text").isNotNull()).withColumn("row", F.monotonically_increasing_id())
-    rows = rows.withColumn("lines", F.transform(F.split("text", "\n"), lambda x: _normal(x))).drop("text")
+    rows = common.pick(docs, "doc_id", "text").where(F.col("text").isNotNull())
+    needed = anchors(templates, threshold)
+    if needed and len(templates) <= BROADCAST_TEMPLATES:
+        rows = rows.where(F.lower("text").rlike("|".join(needed)))
+    rows = rows.withColumn("row", F.monotonically_increasing_id()).select("row", "doc_id", F.transform(F.split("text", "\n"), lambda x: _normal(x)).alias("lines"))
+    rows = common.materialize(rows, "licence-texts")  # few, and numbered once
     whole = F.array_join(F.filter("lines", lambda x: x != ""), " ")
     numbered = F.transform("lines", lambda x, i: F.struct(i.alias("segment"), x.alias("norm")))
     more = F.when(F.size("lines") > 1, F.array(F.struct(F.lit(-1).alias("segment"), whole.alias("norm")))).otherwise(F.array().cast("array<struct<segment:int,norm:string>>"))
@@ -76,12 +121,25 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshol
     few = (words <= most + 1) | (F.size(F.array_distinct(F.split("norm", " "))) <= most + 1)
     segs = segs.where((F.col("norm") != "") & (words > max(least, 1)) & few).withColumn("bigrams", _bigrams(F.col("norm"))).withColumn("a", F.size("bigrams"))
     segs = segs.where(F.col("a").between(max(least, 1), most)).select("row", "doc_id", "segment", "a", F.explode("bigrams").alias("bigram"))
-    probes = small.select("template", "licence", "b", F.explode("bigrams").alias("bigram"))
-    probes = F.broadcast(probes) if len(templates) <= BROADCAST_TEMPLATES else probes
     fits = (F.col("a") <= F.col("b") * F.lit(up) + 1e-9) & (F.col("b") <= F.col("a") * F.lit(up) + 1e-9)
     shared = segs.join(probes, "bigram").where(fits).groupBy("row", "doc_id", "segment", "template", "licence", "a", "b").agg(F.count("*").alias("n_shared"))
-    dice = (F.lit(2.0) * F.col("n_shared")) / (F.col("a") + F.col("b"))
-    return shared.withColumn("dice", dice).where(F.col("dice") >= threshold).select("doc_id", "segment", "licence", "template", "n_shared", "dice")
+    dice = ((F.lit(2.0) * F.col("n_shared")) / (F.col("a") + F.col("b"))).alias("dice")
+    found = shared.select("doc_id", "segment", F.lit(-1).alias("start"), "licence", "template", "n_shared", dice)
+
+    # runs: places of a template's bigrams, and how many distinct ones lie within as many words from each of them on
+    w = F.split(whole, " ")
+    pairs = F.zip_with(F.slice(w, 1, F.size(w) - 1), F.slice(w, 2, F.size(w) - 1), lambda x, y: F.concat_ws(" ", x, y))
+    places = rows.where(F.size(w) > 1).select("row", F.posexplode(pairs).alias("start", "bigram")).join(probes, "bigram")
+    # ranges of m - 1 bigrams for each template at once: places are measured in such ranges
+    ahead = F.expr("size(collect_set(bigram) OVER (PARTITION BY row, template ORDER BY start / (m - 1) RANGE BETWEEN CURRENT ROW AND 0.99999D FOLLOWING))")
+    places = places.withColumn("n_shared", ahead.cast("long")).where(F.col("n_shared") >= F.col("b") / up - 1e-9)
+    texts = rows.select("row", "doc_id", w.alias("w"))
+    run = F.slice("w", F.col("start") + 1, F.col("m"))
+    runs = places.join(texts, "row").withColumn("a", F.size(_bigrams(F.array_join(run, " "))))
+    runs = runs.select("row", "doc_id", "start", "licence", "template", "n_shared", dice)
+    first = F.row_number().over(W.partitionBy("row", "template").orderBy(F.desc("dice"), "start"))
+    runs = runs.where(F.col("dice") >= threshold).withColumn("place", first).where("place = 1").withColumn("segment", F.lit(-2))
+    return found.where(F.col("dice") >= threshold).unionByName(runs.select(*found.columns))
 
 
 def op9_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,7 +164,15 @@ t AS (SELECT template, licence, list_distinct(list_transform(range(1, len(w)), l
       FROM (SELECT template, licence, string_split(trim(regexp_replace(lower(body), '[^\p{{L}}\p{{N}}]+', ' ', 'g')), ' ') AS w FROM t0)),
 ge AS (SELECT r, doc_id, segment, len(b) AS a, unnest(b) AS bigram FROM g),
 te AS (SELECT template, licence, len(b) AS b, unnest(b) AS bigram FROM t),
-x AS (SELECT r, doc_id, segment, licence, template, a, b, count(*) AS n_shared FROM ge JOIN te USING (bigram) GROUP BY ALL)
-SELECT doc_id, CAST(segment AS INTEGER) AS segment, licence, template, n_shared, 2.0::DOUBLE * n_shared / (a + b) AS dice FROM x
+x AS (SELECT r, doc_id, segment, licence, template, a, b, count(*) AS n_shared FROM ge JOIN te USING (bigram) GROUP BY ALL),
+tm AS (SELECT template, len(string_split(trim(regexp_replace(lower(body), '[^\p{{L}}\p{{N}}]+', ' ', 'g')), ' ')) AS m FROM t0),
+pw AS (SELECT r, any_value(doc_id) AS doc_id, string_split(string_agg(norm, ' ' ORDER BY segment) FILTER (norm <> ''), ' ') AS w FROM n GROUP BY r),
+bp AS (SELECT r, p, w[p] || ' ' || w[p + 1] AS bigram FROM (SELECT r, w, unnest(range(1, len(w))) AS p FROM pw)),
+mt AS (SELECT r, p, template, licence, m, b, bigram FROM bp JOIN te USING (bigram) JOIN tm USING (template)),
+rn AS (SELECT x.r, x.p, x.template, x.licence, x.m, x.b, count(DISTINCT y.bigram) AS n_shared FROM mt x JOIN mt y ON x.r = y.r AND x.template = y.template AND y.p BETWEEN x.p AND x.p + x.m - 2 GROUP BY ALL),
+sc AS (SELECT rn.*, doc_id, 2.0::DOUBLE * n_shared / (len(list_distinct(list_transform(range(p, least(p + m - 1, len(w))), lambda i: w[i] || ' ' || w[i + 1]))) + b) AS dice FROM rn JOIN pw ON rn.r = pw.r WHERE n_shared >= 2 * b / 3.0 - 1e-6),
+bs AS (SELECT *, row_number() OVER (PARTITION BY r, template ORDER BY dice DESC, p) AS place FROM sc WHERE dice >= {THRESHOLD})
+SELECT doc_id, CAST(segment AS INTEGER) AS segment, -1 AS start, licence, template, n_shared, 2.0::DOUBLE * n_shared / (a + b) AS dice FROM x
 WHERE 2.0::DOUBLE * n_shared / (a + b) >= {THRESHOLD}
+UNION ALL SELECT doc_id, -2, CAST(p - 1 AS INTEGER), licence, template, n_shared, dice FROM bs WHERE place = 1
 """

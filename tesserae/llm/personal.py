@@ -11,7 +11,9 @@ the others.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -37,16 +39,27 @@ _LOOSE_IP = re.compile(r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,
 _LOOSE_CARD = re.compile(r"(?<![0-9])[0-9]{4}([._/])[0-9]{4}\1[0-9]{4}\1[0-9]{4}(?![0-9])")
 _LOOSE_PHONE = re.compile(r"(?<![0-9+(])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])")
 
-#: Gazetteers and context words.
-DOMAINS = frozenset("com org net edu gov mil int info biz io co uk de fr es it nl be ch at se no dk fi pl pt ie eu us ca mx br ar au nz jp cn in ru za".split())
-CALLING_CODES = ("1", "20", "27", "30", "31", "32", "33", "34", "39", "41", "43", "44", "45", "46", "47", "48", "49", "52", "54", "55", "61", "64", "7", "81", "86", "91", "351", "353", "358")
+#: Generic top-level domains in wide use. A country's domain is any two letters.
+DOMAINS = frozenset(
+    """aero app art asia audio bank bio biz blog cat cloud club com community company coop dev digital edu email events expert finance
+    gmbh gov group guru health help host info ink int io jobs law life link live ltd media mil mobi money museum name net network news ngo
+    online org page photo post press pro pub research school science services shop site social software solutions space store studio support
+    systems team tech tel today tools top travel university vip web website wiki work world xyz zone""".split()
+)
+#: Country calling codes; those of three digits as ranges of their first one and last one.
+CALLING_CODES = tuple("1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split()) + tuple(
+    str(c)
+    for a, b in ((210, 219), (220, 269), (290, 299), (350, 359), (370, 389), (420, 429), (500, 509), (590, 599), (670, 699), (800, 809), (850, 859), (870, 889), (960, 979), (992, 998))
+    for c in range(a, b + 1)
+)
+#: Words of context in English, Spanish, French, German, Italian and Portuguese.
 FOR = {
-    "email": ("mail", "contact", "write", "correo", "courriel", "kontakt"),
-    "ip": ("ip", "host", "server", "address", "login", "adresse"),
-    "card": ("card", "visa", "credit", "payment", "karte", "carte", "tarjeta"),
-    "phone": ("phone", "tel", "call", "fax", "mobile", "telefon"),
+    "email": ("mail", "contact", "write to", "reach", "correo", "contacto", "courriel", "écri", "kontakt", "schreib", "posta", "scriv", "contato", "escrev"),
+    "ip": ("ip", "host", "server", "address", "login", "adresse", "dirección", "indirizzo", "endereço", "servidor", "serveur", "gateway", "subnet", "dns", "ping", "client"),
+    "card": ("card", "visa", "credit", "debit", "payment", "mastercard", "amex", "karte", "zahlung", "carte", "paiement", "tarjeta", "pago", "carta", "pagamento", "cartão", "cvv", "expir"),
+    "phone": ("phone", "tel", "call", "fax", "mobile", "cell", "whatsapp", "sms", "telefon", "anruf", "handy", "téléphone", "appel", "portable", "teléfono", "llam", "móvil", "chiam", "ligue", "celular"),
 }
-AGAINST = ("version", "isbn", "issn", "doi", "order", "invoice", "serial", "sha", "hash", "token", "part no", "figure")
+AGAINST = ("version", "isbn", "issn", "doi", "order", "invoice", "serial", "sha", "hash", "token", "part no", "figure", "table", "chapter", "section", "page", "build", "release", "sku", "model", "patent", "case no", "ref.", "bestell", "rechnung", "commande", "facture", "pedido", "factura")
 LABELERS = ("pattern", "checked", "gazetteer", "context for", "context against", "around")
 
 
@@ -118,7 +131,7 @@ def votes(text: str, kind: int, start: int, end: int, passes: bool | None) -> li
     else:
         tail = re.split(r"[^A-Za-z0-9]+", span)[-1].lower()
         checked = 1 if ".." not in span and not span.startswith(".") else -1
-        gazetteer = 1 if tail in DOMAINS else -1 if tail.isdigit() else 0
+        gazetteer = 1 if tail in DOMAINS or len(tail) == 2 and tail.isalpha() else -1 if tail.isdigit() else 0
     before, after = text[max(0, start - CONTEXT) : start].lower(), text[end : end + CONTEXT].lower()
     near = before + " " + after
     context_for = 1 if any(w in near for w in FOR[name]) else 0
@@ -127,24 +140,30 @@ def votes(text: str, kind: int, start: int, end: int, passes: bool | None) -> li
     return [pattern, checked, gazetteer, context_for, context_against, around]
 
 
+#: Values that each feature of shape() can have.
+SHAPE = (4, 2, 2, 2, 3, 3, 3)
+
+
 def shape(text: str, start: int, end: int) -> list[int]:
-    """Features that only the classifier sees: length, and the kinds of separators."""
+    """Features that no labeler sees: length, kinds of separators, the share of digits, and what stands right before and after."""
     span = text[start:end]
-    return [min(3, (end - start) // 8), int(" " in span), int("-" in span), int("." in span)]
+    kind = lambda c: 0 if not c or c.isspace() else 1 if c.isalnum() else 2
+    digits = sum(c.isdigit() for c in span)
+    return [min(3, (end - start) // 8), int(" " in span), int("-" in span), int("." in span), 0 if not digits else 2 if 2 * digits > end - start else 1, kind(text[start - 1 : start]), kind(text[end : end + 1])]
 
 
 def _code(kind: int, v: list[int], s: list[int]) -> int:
     code = kind
     for x in v:
         code = code * 3 + x + 1
-    for x, n in zip(s, (4, 2, 2, 2), strict=True):
+    for x, n in zip(s, SHAPE, strict=True):
         code = code * n + x
     return code
 
 
 def _decode(code: int) -> tuple[int, list[int], list[int]]:
     s, v = [], []
-    for n in (2, 2, 2, 4):
+    for n in reversed(SHAPE):
         code, x = divmod(code, n)
         s.insert(0, x)
     for _ in LABELERS:
@@ -162,7 +181,7 @@ def candidates(text: str | None) -> list[dict]:
     if not text:
         return []
     first = strict(text)
-    kept = sorted((a, b) for _, a, b, ok in first if ok)
+    kept = _Taken((a, b) for _, a, b, ok in first if ok)
     out = [(k, a, b, ok, True) for k, a, b, ok in first]
     seen = {(k, a, b) for k, a, b, _ in first}
     for k, a, b in loose(text):
@@ -170,18 +189,24 @@ def candidates(text: str | None) -> list[dict]:
             out.append((k, a, b, False, False))
     spans = []
     for k, a, b, ok, is_strict in out:
-        if not ok and _overlaps(kept, a, b):
+        if not ok and kept.meets(a, b):
             continue
         code = _code(k, votes(text, k, a, b, ok if is_strict else None), shape(text, a, b))
         spans.append({"start": a, "kind": k, "end": b, "base": ok, "code": code})
     return spans
 
 
-def _overlaps(kept: list[tuple[int, int]], a: int, b: int) -> bool:
-    from bisect import bisect_left
+class _Taken:
+    """Spans that stay, and whether another one meets any of them: by the furthest end of all that start before its own end."""
+
+    def __init__(self, spans):
+        spans = sorted(spans)
+        self.starts = [a for a, _ in spans]
+        self.ends = list(accumulate((b for _, b in spans), max))
 
-    at = bisect_left(kept, (b,))
-    return any(y > a for _, y in kept[max(0, at - 4) : at])
+    def meets(self, a: int, b: int) -> bool:
+        at = bisect_left(self.starts, b)
+        return at > 0 and self.ends[at - 1] > a
 
 
 def estimate(counts: dict[int, int], rounds: int = 50) -> dict[int, float]:
@@ -212,7 +237,7 @@ def _features(code: int) -> np.ndarray:
     row = [1.0]
     for k in range(len(KINDS)):
         on = float(k == kind)
-        row += [on, *(on * x for x in v), on * s[0] / 3, *(on * x for x in s[1:])]
+        row += [on, *(on * x for x in v), on * s[0] / 3, *(on * x for x in s[1:4]), *(on * float(x == y) for x in s[4:] for y in (1, 2))]
     return np.array(row)
 
 
@@ -268,7 +293,10 @@ def written(spans: Column) -> Column:
 
 
 def mask(docs: DataFrame) -> DataFrame:
-    """docs with each accepted span of text replaced by <KIND>, spans that overlap by the first one's; same columns, n_chars counted anew."""
+    """docs with each accepted span of text replaced by <KIND>, spans that overlap by the first one's; same columns, n_chars counted anew.
+
+    Null and empty texts stay as they are, repeated rows are masked alike, an empty table gives an empty one.
+    """
     columns = docs.columns
     own = docs.select(*[F.col(f"`{c}`") for c in columns])
     found = find(own, *columns)

@@ -11,9 +11,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tesserae.llm import common
+from tesserae.operators import ranking
 
 #: Rounds of pointer doubling; 2**ROUNDS is more than any chain of replies is long.
 ROUNDS = 48
+#: Messages of a thread in one row of conversations().
+PART = 256
 _MARKS = r"^((?:[ \t]*>)*)"
 _QUOTED = r"(?m)^[ \t]*>"
 
@@ -41,11 +44,13 @@ def link_quotes(messages: DataFrame) -> DataFrame:
 
     Returns a row for each row of messages: conv_id, turn, role, n_passages, max_level, n_linked (passages with an origin),
     reply_conv, reply_turn (null if none), thread_conv, thread_turn (the message where its chain of replies starts), reply_depth,
-    and clean_text (the lines that aren't quotes). Ordered by thread_conv, thread_turn, reply_depth, turn every message comes after
-    what it replies to. Null text stays null and has no quotes; messages without a conv_id or turn keep null in thread_conv or
-    thread_turn and take no part in links; repeated rows get rows each, with the same links; further columns are ignored.
+    clean_text (the lines that aren't quotes), and position: its place, from 0, in the reply-ordered conversation of its thread, where
+    every message comes after what it replies to (by reply_depth, conv_id, turn, role, clean_text). A thread is ordered by levels, so
+    a long one isn't one task's. A very long text is one row's lines. An empty table gives no rows. Null text stays null and has no quotes; messages without a conv_id or turn keep null in thread_conv or
+    thread_turn and position, and take no part in links; repeated rows get rows each, with the same links; further columns are ignored.
     """
-    rows = common.pick(messages, "conv_id", "turn", "role", "text").withColumn("row", F.monotonically_increasing_id())
+    # numbered once and stored: a plan that is run again may number its rows otherwise
+    rows = common.materialize(common.pick(messages, "conv_id", "turn", "role", "text").withColumn("row", F.monotonically_increasing_id()), "messages")
     quoting = rows.where(F.col("text").rlike(_QUOTED)).select("row", "conv_id", "turn", F.posexplode(F.split("text", "\n")).alias("line", "raw"))
     quoting = quoting.select("row", "conv_id", "turn", "line", _depth(F.col("raw")).alias("level"), _said(F.col("raw")).alias("norm"))
     by_line = W.partitionBy("row").orderBy("line")
@@ -71,7 +76,7 @@ def link_quotes(messages: DataFrame) -> DataFrame:
     found = found.join(far, "key", "left").withColumn("far", F.when(there & F.col("near_turn").isNull(), F.col("far")))
     origin = F.when(F.col("near_turn").isNotNull(), F.struct(F.lit(1).alias("near"), F.col("conv_id").alias("c"), F.col("near_turn").alias("t")))
     origin = origin.otherwise(F.when(F.col("far").isNotNull(), F.struct(F.lit(0).alias("near"), F.col("far.conv_id").alias("c"), F.col("far.near_turn").alias("t"))))
-    links = found.withColumn("origin", origin).where(F.col("origin").isNotNull())
+    links = found.withColumn("origin", origin).where("origin IS NOT NULL AND conv_id IS NOT NULL AND turn IS NOT NULL")
     best = F.max(F.struct((-F.col("level")).alias("shallow"), "origin")).alias("best")
     replies = links.groupBy("row").agg(F.countDistinct("passage").alias("n_linked"), best)
     replies = replies.select("row", "n_linked", F.col("best.origin.c").alias("reply_conv"), F.col("best.origin.t").alias("reply_turn"))
@@ -87,18 +92,38 @@ def link_quotes(messages: DataFrame) -> DataFrame:
         joined = chain.join(above, (F.col("up.reply_conv") == F.col("up_c")) & (F.col("up.reply_turn") == F.col("up_t")), "left")
         if joined.where("next IS NOT NULL").isEmpty():
             break
+        if n == ROUNDS - 1:
+            raise RuntimeError("replies go round in a circle")
         moved = joined.select("conv_id", "turn", F.coalesce("next", "up").alias("up"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"))
         chain = common.materialize(moved, f"chain-{n}")
     tops = chain.select("conv_id", "turn", F.col("up.reply_conv").alias("top_conv"), F.col("up.reply_turn").alias("top_turn"), "depth")
     out = out.join(tops, ["conv_id", "turn"], "left")
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
-    return out.select(
+    told = out.select(
         "conv_id", "turn", "role",
         zero("n_passages").alias("n_passages"), zero("max_level").alias("max_level"), zero("n_linked").alias("n_linked"),
         "reply_conv", "reply_turn",
         F.coalesce("top_conv", "conv_id").alias("thread_conv"), F.coalesce("top_turn", "turn").alias("thread_turn"),
         zero("depth").alias("reply_depth"), "clean_text",
     )
+    told = common.materialize(told, "told")
+    placed = told.where("conv_id IS NOT NULL AND turn IS NOT NULL")
+    levels = [[F.col("reply_depth"), F.floor(F.col("conv_id") / (1 << 24))], [F.floor(F.col("conv_id") / (1 << 12))], [F.floor(F.col("turn") / (1 << 10))]]
+    order = ["reply_depth", "conv_id", "turn", "role", "clean_text"]
+    placed = ranking.global_offset(placed, levels, order, name="position", within=("thread_conv", "thread_turn"))
+    return placed.unionByName(told.where("conv_id IS NULL OR turn IS NULL").withColumn("position", F.lit(None).cast("long")))
+
+
+def conversations(linked: DataFrame) -> DataFrame:
+    """From link_quotes(): thread_conv, thread_turn, part, and messages: role and text in reply order, without quotes.
+
+    A part holds PART messages of a thread, so a thread of any length is rows of bounded size; parts follow each other. Messages
+    without a conv_id or turn belong to no thread and are left out.
+    """
+    rows = linked.where("position IS NOT NULL").withColumn("part", F.floor(F.col("position") / PART))
+    each = F.array_sort(F.collect_list(F.struct("position", "conv_id", "turn", "role", F.col("clean_text").alias("text"))))
+    rows = rows.groupBy("thread_conv", "thread_turn", "part").agg(each.alias("messages"))
+    return rows.withColumn("messages", F.transform("messages", lambda m: m.dropFields("position")))
 
 
 def op4_quotation_links(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -124,16 +149,17 @@ far AS (SELECT norm, min(ROW(conv_id, near_turn)) AS far FROM near GROUP BY 1),
 found AS (SELECT a.*, CASE WHEN n.near_turn < a.turn THEN n.near_turn END AS nt, CASE WHEN f.far < ROW(a.conv_id, a.turn) THEN f.far END AS ft
           FROM asked a LEFT JOIN near n ON a.conv_id = n.conv_id AND a.norm = n.norm LEFT JOIN far f ON a.norm = f.norm),
 links AS (SELECT r, passage, level, CASE WHEN nt IS NOT NULL THEN 1 ELSE 0 END AS near, CASE WHEN nt IS NOT NULL THEN conv_id ELSE ft[1] END AS c,
-                 coalesce(nt, ft[2]) AS t FROM found WHERE nt IS NOT NULL OR ft IS NOT NULL),
+                 coalesce(nt, ft[2]) AS t FROM found WHERE (nt IS NOT NULL OR ft IS NOT NULL) AND conv_id IS NOT NULL AND turn IS NOT NULL),
 replies AS (SELECT r, count(DISTINCT passage) AS n_linked, max(ROW(-level, near, c, t)) AS b FROM links GROUP BY r),
 o AS (SELECT m.*, n_passages, max_level, n_linked, b[3] AS reply_conv, b[4] AS reply_turn FROM m LEFT JOIN counted USING (r) LEFT JOIN replies USING (r)),
 step AS (SELECT conv_id, turn, max(ROW(reply_conv, reply_turn)) AS up FROM o WHERE reply_turn IS NOT NULL AND conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY 1, 2),
 chain(conv_id, turn, c, t, depth) AS (SELECT conv_id, turn, up[1], up[2], 1 FROM step
     UNION ALL SELECT chain.conv_id, chain.turn, s.up[1], s.up[2], depth + 1 FROM chain JOIN step s ON s.conv_id = chain.c AND s.turn = chain.t),
-tops AS (SELECT conv_id, turn, max(ROW(depth, c, t)) AS b FROM chain GROUP BY 1, 2)
-SELECT o.conv_id, o.turn, o.role, CAST(coalesce(n_passages, 0) AS BIGINT) AS n_passages, CAST(coalesce(max_level, 0) AS BIGINT) AS max_level,
+tops AS (SELECT conv_id, turn, max(ROW(depth, c, t)) AS b FROM chain GROUP BY 1, 2),
+fin AS (SELECT o.conv_id, o.turn, o.role, CAST(coalesce(n_passages, 0) AS BIGINT) AS n_passages, CAST(coalesce(max_level, 0) AS BIGINT) AS max_level,
        CAST(coalesce(n_linked, 0) AS BIGINT) AS n_linked, reply_conv, reply_turn, coalesce(b[2], o.conv_id) AS thread_conv, coalesce(b[3], o.turn) AS thread_turn,
        CAST(coalesce(b[1], 0) AS BIGINT) AS reply_depth,
        trim(array_to_string(list_filter(ls, lambda x: NOT regexp_matches(x, '^[ \t]*>')), chr(10))) AS clean_text
-FROM o LEFT JOIN tops ON o.conv_id = tops.conv_id AND o.turn = tops.turn
+FROM o LEFT JOIN tops ON o.conv_id = tops.conv_id AND o.turn = tops.turn)
+SELECT *, CASE WHEN conv_id IS NOT NULL AND turn IS NOT NULL THEN row_number() OVER (PARTITION BY thread_conv, thread_turn ORDER BY reply_depth, conv_id, turn, role NULLS FIRST, clean_text NULLS FIRST) - 1 END AS position FROM fin
 """

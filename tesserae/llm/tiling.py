@@ -96,25 +96,43 @@ def _free(marked: np.ndarray, length: int) -> np.ndarray:
     return np.flatnonzero(sums[length:] == sums[:-length])
 
 
-def longest(item: np.ndarray, text: np.ndarray, item_marked: np.ndarray, text_marked: np.ndarray, length: int) -> tuple[int, int, int] | None:
+class Running:
+    """Karp-Rabin hashes of a token sequence: of windows of any length, by one running sum."""
+
+    def __init__(self, tokens: np.ndarray):
+        n = len(tokens)
+        self.sums = np.zeros(n + 1, _U)
+        np.cumsum(tokens * common.powers(common.WORD_BASE, n), out=self.sums[1:])
+        self.inverse = common.powers(common.WORD_INV, n + 1)
+
+    def at(self, starts: np.ndarray, length: int) -> np.ndarray:
+        return (self.sums[starts + length] - self.sums[starts]) * self.inverse[starts]
+
+
+def longest(item: np.ndarray, text: np.ndarray, item_marked: np.ndarray, text_marked: np.ndarray, length: int, hashes: tuple[Running, Running] | None = None) -> tuple[int, int, int] | None:
     """The longest match (length, place in item, place in text) of unmarked tokens, of `length` tokens at least; the first of equals."""
     at_item, at_text = _free(item_marked, length), _free(text_marked, length)
     if not len(at_item) or not len(at_text):
         return None
-    h_item, h_text = common.window_hashes(item, length)[at_item], common.window_hashes(text, length)[at_text]
-    order = np.argsort(h_item, kind="stable")
-    ranked = h_item[order]
+    of_item, of_text = hashes or (Running(item), Running(text))
+    h_item, h_text = of_item.at(at_item, length), of_text.at(at_text, length)
+    ranked = np.sort(h_item)
     place = np.minimum(np.searchsorted(ranked, h_text), len(ranked) - 1)
-    at_text = at_text[ranked[place] == h_text]
+    same = ranked[place] == h_text
+    at_text, h_text = at_text[same], h_text[same]
     best = None
     if not len(at_text):
         return None
-    h_text = common.window_hashes(text, length)[at_text]
-    for p, h in zip(at_item, h_item, strict=True):
+    by_hash = np.argsort(h_text, kind="stable")
+    in_order = h_text[by_hash]
+    for p, h in zip(at_item.tolist(), h_item, strict=True):
         if best and len(item) - p <= best[0]:
             continue
-        t = at_text[h_text == h]
-        t = t[(text[t[:, None] + np.arange(length)] == item[p : p + length]).all(1)] if len(t) else t
+        t = at_text[by_hash[np.searchsorted(in_order, h) : np.searchsorted(in_order, h, "right")]]
+        for k in range(length):  # a token at a time: many matches of one repeated token need no table of their windows
+            t = t[text[t + k] == item[p + k]]
+            if not len(t):
+                break
         k = length
         while len(t) and p + k < len(item) and not item_marked[p + k]:
             inside = t[t + k < len(text)]
@@ -130,9 +148,9 @@ def longest(item: np.ndarray, text: np.ndarray, item_marked: np.ndarray, text_ma
 def coverage(item: np.ndarray, text: np.ndarray, min_match: int = MIN_MATCH, search: int = SEARCH_LENGTH) -> float:
     """Share of the item's tokens in tiles of min_match tokens or more."""
     item_marked, text_marked = np.zeros(len(item), bool), np.zeros(len(text), bool)
-    length = max(min_match, min(search, len(item)))
+    length, hashes = max(min_match, min(search, len(item))), (Running(item), Running(text))
     while True:
-        found = longest(item, text, item_marked, text_marked, length)
+        found = longest(item, text, item_marked, text_marked, length, hashes)
         if found:
             k, p, t = found
             item_marked[p : p + k] = True
@@ -215,10 +233,14 @@ class _Finder:
                 same = (every[seeds[:, None] + np.arange(length)] == hashes[text[:, None] + np.arange(length)]).all(1)
                 yield from ((d, int(i), 1.0) for i in item[same])
                 continue
-            for i in np.unique(item):
-                most = np.zeros(first[i + 1] - first[i], bool)
-                for s in seeds[item == i] - first[i]:
-                    most[s : s + MIN_MATCH] = True
+            order = np.argsort(item, kind="stable")
+            parts = np.split(order, np.flatnonzero(np.diff(item[order])) + 1) if len(order) else []
+            for part in parts:
+                i = int(item[part[0]])
+                most = np.zeros(first[i + 1] - first[i] + MIN_MATCH, bool)
+                for k in range(MIN_MATCH):
+                    most[seeds[part] - first[i] + k] = True
+                most = most[: first[i + 1] - first[i]]
                 if most.mean() >= self.threshold:
                     share = coverage(every[first[i] : first[i + 1]], hashes[starts[d] : starts[d + 1]])
                     if share >= self.threshold:
@@ -228,14 +250,18 @@ class _Finder:
 def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = COVERAGE) -> DataFrame:
     """Pairs of a document and a benchmark item whose coverage in it is at least threshold: doc_id, item_id, coverage.
 
-    Null texts and items without tokens match nothing; an item of under MIN_MATCH tokens has to stand in the document as a whole; rows that repeat give pairs each; a null doc_id stays; empty tables
-    give no rows; further columns are ignored. A pair is tiled only if the tokens of its shared seeds, which all tiles are made of,
-    reach the threshold. Documents aren't shuffled.
+    Null texts and items without tokens match nothing; an item of under MIN_MATCH tokens has to stand in the document as a whole; rows
+    that repeat give pairs each; a null doc_id stays; empty tables give no rows; further columns are ignored; texts are read whole,
+    however long; of equally long tiles the first in the item, then in the text, is taken. A pair is tiled only if the tokens of its
+    shared seeds, which all tiles are made of, reach the threshold. Documents aren't shuffled. Items are broadcast PASS_TOKENS at a
+    time; with several such passes each one's pairs are stored and its broadcast freed.
     """
     spark, schema, out = docs.sparkSession, "doc_id long, item_id long, coverage double", None
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    for ids, items in _passes(benchmark):
-        shared = spark.sparkContext.broadcast(_Finder(ids, items, threshold))
+    passes = _passes(benchmark)
+    items = next(passes, None)
+    while items is not None:
+        shared = spark.sparkContext.broadcast(_Finder(*items, threshold))
 
         def find(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -244,15 +270,24 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = COVER
                 yield pa.RecordBatch.from_arrays([doc_ids, pa.array([i for _, i, _ in rows], pa.int64()), pa.array([c for _, _, c in rows], pa.float64())], ["doc_id", "item_id", "coverage"])
 
         part = source.mapInArrow(find, schema)
+        items = next(passes, None)
+        if out is not None or items is not None:
+            part = common.materialize(part, "contaminated")
+            shared.unpersist()
         out = part if out is None else out.unionByName(part)
     return out if out is not None else spark.createDataFrame([], schema)
 
 
 def uncontaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = COVERAGE) -> DataFrame:
-    """The rows of docs, with all their columns, that contaminated() has no pair of. No shuffle."""
-    columns = docs.columns
-    for ids, items in _passes(benchmark):
-        shared = docs.sparkSession.sparkContext.broadcast(_Finder(ids, items, threshold))
+    """The rows of docs, with all their columns, that contaminated() has no pair of. No shuffle.
+
+    Null and empty texts stay; repeated rows stay or go together; an empty benchmark keeps all rows. With several passes over the
+    benchmark the rows that each one leaves are stored.
+    """
+    columns, passes = docs.columns, _passes(benchmark)
+    items, several = next(passes, None), False
+    while items is not None:
+        shared = docs.sparkSession.sparkContext.broadcast(_Finder(*items, threshold))
 
         def keep(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -262,6 +297,11 @@ def uncontaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = COV
                 yield batch.filter(pa.array(good))
 
         docs = docs.mapInArrow(keep, docs.schema)
+        items = next(passes, None)
+        several = several or items is not None
+        if several:
+            docs = common.materialize(docs, "uncontaminated")
+            shared.unpersist()
     return docs
 
 

@@ -1,14 +1,17 @@
 """Exact top-k by inner product of quantised vectors, with MaxScore.
 
-A query's terms are its dimensions; the posting of a term holds what each vector contributes on it, q * c. Within a shard of the
-vectors every term has a score bound, the largest contribution it can make. Terms are split by these bounds: the non-essential
-ones together stay below a share of the query's current k-th score, the others are essential. Essential postings are traversed for
-a block of queries and a block of vectors at once, as one matrix product; vectors whose partial score plus the bound of the
-non-essential terms still reaches the k-th score are competitive, and only for those are the other terms probed. Shards are merged.
+A query's terms are its dimensions. The posting of a term holds what each vector of a shard contributes on it, counted from the least
+contribution there is, so that contributions are never negative; the largest is the term's score bound. Postings are taken from the
+largest bound down. The last ones, whose bounds together can't lift a vector over the k-th best score so far, are non-essential: they
+are only probed, one after the other, for the vectors that are still competitive; so are essential ones for which the sum of what is
+left has become too small. Queries are broadcast in blocks of bounded size, vectors stay where they are; a task takes its vectors shard
+by shard and carries the k-th scores on, and the tasks' best are merged.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -18,11 +21,12 @@ from pyspark.sql import functions as F
 from tesserae.llm import common
 
 SHARD_ROWS = 8192
-QUERY_ROWS = 2048
-VECTOR_BLOCK = 1024
-FIRST_BLOCK = 64
-#: The bounds of the non-essential terms sum up to this share of the k-th score at most.
-SLACK = 0.25
+#: Components of queries that are broadcast at once (8 bytes each).
+QUERY_CELLS = 1 << 20
+#: Postings that are taken between two looks at who is still competitive.
+STRIDE = 8
+#: Vectors from the heads of the first postings that give a first k-th score.
+HEAD = 32
 
 
 def quantise(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", scale: float = 64.0) -> DataFrame:
@@ -33,83 +37,145 @@ def quantise(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embe
     return vectors.where(c.isNotNull() & F.coalesce(sound, F.lit(False))).select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), q.alias("q"))
 
 
-def _matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
-    flat = column.combine_chunks()
-    return np.asarray(flat.flatten(), np.int64).reshape(len(flat), width)
-
-
-def best(query_ids, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int, slack: float = SLACK):
-    """The k best vectors of each query by MaxScore: arrays (query row, vec_id, score). Own ids are left out."""
-    m, width = queries.shape
-    if m == 0 or len(ids) == 0:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    if width:
-        high, low = vectors.max(0), vectors.min(0)
-        bound = np.maximum(np.maximum(queries * high, queries * low), 0)
-        top = int((np.abs(queries).astype(object).max() if queries.size else 0) * max(abs(int(high.max())), abs(int(low.min())))) * width
-    else:
-        bound, top = np.zeros((m, 0), np.int64), 0
-    kind = np.float32 if top < 1 << 24 else np.float64 if top < 1 << 53 else np.int64  # exact for integers of that size
-    by_bound = np.argsort(bound, axis=1, kind="stable")
-    summed = np.cumsum(np.take_along_axis(bound, by_bound, 1), axis=1)
-    right = vectors.astype(kind)
-    have = [np.zeros(0, np.int64)] * 3
-    kth = np.full(m, np.iinfo(np.int64).min // 2)
-    lo = 0
-    while lo < len(ids):
-        hi = min(len(ids), lo + (FIRST_BLOCK if lo == 0 else VECTOR_BLOCK))
-        left_out = (summed <= (np.maximum(kth, 0) * slack)[:, None]).sum(1)  # non-essential terms of each query
-        optional = np.zeros((m, width), bool)
-        np.put_along_axis(optional, by_bound, np.arange(width)[None, :] < left_out[:, None], 1)
-        rest = np.where(left_out > 0, np.take_along_axis(summed, np.maximum(left_out - 1, 0)[:, None], 1)[:, 0] if width else 0, 0)
-        partial = np.where(optional, 0, queries).astype(kind) @ right[lo:hi].T
-        row, col = np.nonzero((partial >= (kth - rest)[:, None]) & (query_ids[:, None] != ids[None, lo:hi]))
-        score = partial[row, col].astype(np.int64)
-        probing = np.where(optional, queries, 0)
-        for a in range(0, len(row), 1 << 16):
-            some = slice(a, a + (1 << 16))
-            score[some] += np.einsum("ij,ij->i", probing[row[some]], vectors[lo:hi][col[some]])
-        keep = score >= kth[row]
-        merged = [np.concatenate([x, y]) for x, y in zip(have, (row[keep], ids[lo:hi][col[keep]], score[keep]), strict=True)]
-        order = np.lexsort((merged[1], -merged[2], merged[0]))
-        merged = [x[order] for x in merged]
-        first = np.searchsorted(merged[0], np.arange(m))
-        place = np.arange(len(order)) - first[merged[0]]
-        have = [x[place < k] for x in merged]
-        full = np.flatnonzero(place == k - 1)
-        kth[merged[0][full]] = merged[2][full]
-        lo = hi
-    return tuple(have)
+class Shard:
+    """Postings of a shard: a row of contributions for each dimension, and the vectors with the most extreme ones."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray):
+        self.ids, self.width = ids, vectors.shape[1]
+        self.rows = np.ascontiguousarray(vectors.T)
+        self.high, self.low = (self.rows.max(1), self.rows.min(1)) if len(ids) else (np.zeros(self.width, np.int64),) * 2
+        head = min(HEAD, len(ids))
+        order = np.argpartition(self.rows, (head - 1, len(ids) - head), axis=1) if self.width and len(ids) else np.zeros((self.width, 0), np.int64)
+        self.heads = order[:, :head], order[:, len(ids) - head :]
+
+
+def best(query_id: int, query: np.ndarray, shard: Shard, k: int, have: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, int]:
+    """The k best (vec_id, score) of a shard and of those a query has already, and how many entries of postings were read."""
+    ids, scores = (np.zeros(0, np.int64), np.zeros(0, np.int64)) if have is None else have
+    n = len(shard.ids)
+    if n == 0:
+        return ids, scores, 0
+    ends = np.stack([query * shard.low, query * shard.high])
+    least, bound = ends.min(0), ends.max(0) - ends.min(0)
+    base = int(least.sum())
+    order = np.argsort(-bound, kind="stable")
+    # rest[j]: what the postings from the j-th on can still add
+    rest = np.concatenate([np.cumsum(bound[order][::-1])[::-1], [0]])
+    kth = int(scores[k - 1]) if len(scores) >= k else None
+    if kth is None and n > 4 * k:
+        # the heads of the first postings hold likely winners, whose exact scores give a first k-th score
+        some = np.unique(np.concatenate([shard.heads[1 if query[t] > 0 else 0][t] for t in order[: max(1, 2 * k // HEAD + 2)]]))
+        some = some[shard.ids[some] != query_id]
+        if len(some) >= k:
+            kth = int(np.partition(query @ shard.rows[:, some], len(some) - k)[len(some) - k])
+    alive, partial, read = np.flatnonzero(shard.ids != query_id), None, 0
+    for j in range(0, shard.width, STRIDE):
+        terms = order[j : j + STRIDE]
+        part = shard.rows[terms] if len(alive) == n else shard.rows[np.ix_(terms, alive)]
+        more = query[terms] @ part - int(least[terms].sum())
+        partial = more if partial is None else partial + more
+        read += len(terms) * len(alive)
+        if kth is not None:
+            keep = np.flatnonzero(partial + rest[min(j + STRIDE, shard.width)] >= kth - base)
+            if len(keep) < len(alive):
+                alive, partial = alive[keep], partial[keep]
+    score = (partial if partial is not None else np.zeros(len(alive), np.int64)) + base
+    ids, scores = np.concatenate([ids, shard.ids[alive]]), np.concatenate([scores, score])
+    top = np.lexsort((ids, -scores))[:k]
+    return ids[top], scores[top], read
+
+
+def _matrix(column: pa.Array, width: int) -> np.ndarray:
+    return np.asarray(column.flatten(), np.int64).reshape(len(column), width)
+
+
+class _Queries:
+    """A block of queries by the length of their vectors: their numbers in the block, ids and vectors."""
+
+    def __init__(self, rows: list):
+        by_width: dict[int, list] = {}
+        for number, r in enumerate(rows):
+            by_width.setdefault(len(r["q"]), []).append((number, r["vec_id"], r["q"]))
+        self.groups = {w: (np.array([x[0] for x in g]), np.array([x[1] for x in g], np.int64), np.array([x[2] for x in g], np.int64).reshape(len(g), w)) for w, g in by_width.items()}
+
+    def search(self, batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+        waiting: dict[int, list] = {w: [] for w in self.groups}
+        held = dict.fromkeys(waiting, 0)
+        have: dict[int, list] = {w: [None] * len(g[0]) for w, g in self.groups.items()}
+
+        def take(width: int) -> None:
+            ids, vectors = (np.concatenate(x) for x in zip(*waiting[width], strict=True))
+            waiting[width], held[width] = [], 0
+            _, query_ids, queries = self.groups[width]
+            most = int(abs(queries).max(initial=0)) * int(abs(vectors).max(initial=0)) * max(1, width)
+            if most >= 1 << 61:
+                raise OverflowError("inner products of these vectors don't fit 64 bits")
+            for lo in range(0, len(ids), SHARD_ROWS):
+                shard = Shard(ids[lo : lo + SHARD_ROWS], vectors[lo : lo + SHARD_ROWS])
+                for i, (query_id, query) in enumerate(zip(query_ids.tolist(), queries, strict=True)):
+                    have[width][i] = best(query_id, query, shard, k, have[width][i])[:2]
+
+        for batch in batches:
+            sizes = np.asarray(batch.column(1).value_lengths(), np.int64)
+            for width in np.unique(sizes).tolist():
+                if width in self.groups:
+                    at = pa.array(np.flatnonzero(sizes == width))
+                    waiting[width].append((np.asarray(batch.column(0).take(at), np.int64), _matrix(batch.column(1).take(at), width)))
+                    held[width] += len(at)
+                    if held[width] >= SHARD_ROWS:
+                        take(width)
+        for width in waiting:
+            if waiting[width]:
+                take(width)
+        for width, (numbers, query_ids, _) in self.groups.items():
+            found = [(q, n, *h) for q, n, h in zip(query_ids.tolist(), numbers.tolist(), have[width], strict=True) if h is not None]
+            if found:
+                sizes = [len(f[2]) for f in found]
+                columns = [np.repeat([f[0] for f in found], sizes), np.repeat([f[1] for f in found], sizes), np.concatenate([f[2] for f in found]), np.concatenate([f[3] for f in found])]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["query_id", "number", "vec_id", "score"])
+
+
+def _blocks(queries: DataFrame) -> Iterator[list]:
+    """Distinct queries in order, some QUERY_CELLS components at a time."""
+    rows, cells = [], 0
+    for r in queries.where("vec_id IS NOT NULL").select("vec_id", "q").distinct().orderBy("vec_id", "q").toLocalIterator():
+        rows.append(r)
+        cells += len(r["q"]) + 1
+        if cells >= QUERY_CELLS:
+            yield rows
+            rows, cells = [], 0
+    if rows:
+        yield rows
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     """For each query row (vec_id, q) its k highest integer inner products with the rows of vectors (vec_id, q), exactly.
 
     Returns query_id, rank (from 1), vec_id, score; ties go to the smaller vec_id; rows with the query's own id are no candidates;
-    fewer candidates give fewer rows. Only vectors of a query's length are candidates. Rows with a null id take no part; repeated
-    query rows count once, repeated candidate rows each. Blocks of queries meet shards of vectors, both of bounded size, so a task's
-    memory doesn't grow with the tables.
+    fewer candidates give fewer rows, an empty table none. Only vectors of a query's length are candidates. Rows with a null id take no
+    part; repeated query rows count once, different vectors of one query id are queries of their own, each with its ranks; repeated
+    candidate rows count each. Products that could pass 64 bits are an error. A query block and a shard are of bounded size, so a task's
+    memory doesn't grow with the tables; with several blocks each one's result is stored and its broadcast freed.
     """
-    vectors = vectors.where(F.col("vec_id").isNotNull()).withColumn("width", F.size("q"))
-    queries = queries.where(F.col("vec_id").isNotNull()).dropDuplicates(["vec_id", "q"]).withColumn("width", F.size("q"))
-    shards = max(1, -(-vectors.count() // SHARD_ROWS))
-    blocks = max(1, -(-queries.count() // QUERY_ROWS))
-    dealt = vectors.withColumn("shard", F.pmod(F.xxhash64("vec_id", "q"), F.lit(shards))).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    asked = queries.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))))
-    key = ["width", "shard", "block"]
-    schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
-
-    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
-        if left.num_rows == 0 or right.num_rows == 0:
-            return schema.empty_table()
-        width = left["width"][0].as_py()
-        ids, query_ids = np.asarray(right["vec_id"]), np.asarray(left["vec_id"])
-        row, found, score = best(query_ids, _matrix(left["q"], width), ids, _matrix(right["q"], width), k)
-        return pa.table([pa.array(query_ids[row]), pa.array(found), pa.array(score)], schema=schema)
-
-    met = asked.groupBy(*key).cogroup(dealt.groupBy(*key)).applyInArrow(meet, "query_id long, vec_id long, score long")
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return met.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    spark = vectors.sparkSession
+    vectors = vectors.where(F.col("vec_id").isNotNull()).select("vec_id", "q")
+    blocks, out, schema = _blocks(queries), None, "query_id long, number long, vec_id long, score long"
+    block = next(blocks, None)
+    while block is not None:
+        shared = spark.sparkContext.broadcast(_Queries(block))
+
+        def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            yield from shared.value.search(batches, k)
+
+        met = vectors.mapInArrow(search, schema)
+        rank = F.row_number().over(W.partitionBy("number").orderBy(F.desc("score"), "vec_id"))
+        part = met.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        block = next(blocks, None)
+        if out is not None or block is not None:
+            part = common.materialize(part, "top-k")
+            shared.unpersist()
+        out = part if out is None else out.unionByName(part)
+    return out if out is not None else spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
 
 
 def op8_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
