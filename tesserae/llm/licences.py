@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -46,6 +48,8 @@ TEMPLATES = [
 THRESHOLD = 0.8
 #: Templates are broadcast up to this number; more of them are joined by a shuffle.
 BROADCAST_TEMPLATES = 10_000
+#: Beginnings of texts by which rare words are told from common ones.
+SAMPLE_TEXTS = 1000
 _OTHER = r"[^\p{L}\p{N}]+"
 
 
@@ -63,19 +67,21 @@ def _words(text: str) -> list[str]:
     return regex.findall(r"[\p{L}\p{N}]+", text.lower())
 
 
-def anchors(templates: list[tuple[str, str]], threshold: float) -> list[str]:
+def anchors(templates: list[tuple[str, str]], threshold: float, common_words: Counter | None = None) -> list[str]:
     """Words of which any text that reaches the threshold holds one.
 
     It has to share threshold / (2 - threshold) of a template's bigrams, so it is enough that fewer of them are without such a word.
-    Long words are taken first, as they are rare in other texts.
+    Words that are rare by the counts common_words are taken first, then long ones. Which words are taken changes how many texts are
+    looked at, never what is found in them.
     """
+    often = common_words or Counter()
     out: set[str] = set()
     for _, body in templates:
         words = _words(body)
         left = set(zip(words, words[1:], strict=False))
         need = threshold / (2 - threshold) * len(left)
         left = {g for g in left if not out.intersection(g)}
-        for w in sorted(set(words), key=lambda w: (-len(w), w)):
+        for w in sorted(set(words), key=lambda w: (often[w], -len(w), w)):
             if len(left) < need - 1e-9 or not left:
                 break
             out.add(w)
@@ -107,9 +113,11 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshol
     probes = F.broadcast(probes) if len(templates) <= BROADCAST_TEMPLATES else probes
 
     rows = common.pick(docs, "doc_id", "text").where(F.col("text").isNotNull())
-    needed = anchors(templates, threshold)
-    if needed and len(templates) <= BROADCAST_TEMPLATES:
-        rows = rows.where(F.lower("text").rlike("|".join(needed)))
+    if len(templates) <= BROADCAST_TEMPLATES:
+        some = rows.select(F.substring("text", 1, 4000).alias("text")).limit(SAMPLE_TEXTS).collect()
+        needed = anchors(templates, threshold, Counter(w for r in some for w in set(_words(r["text"]))))
+        # as whole words of the lower-cased text; a template without bigrams needs none
+        rows = rows.where(F.lower("text").rlike(rf"(?<![\p{{L}}\p{{N}}])(?:{'|'.join(needed)})(?![\p{{L}}\p{{N}}])") if needed else F.lit(False))
     rows = rows.withColumn("row", F.monotonically_increasing_id()).select("row", "doc_id", F.transform(F.split("text", "\n"), lambda x: _normal(x)).alias("lines"))
     rows = common.materialize(rows, "licence-texts")  # few, and numbered once
     whole = F.array_join(F.filter("lines", lambda x: x != ""), " ")
