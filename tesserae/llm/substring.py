@@ -123,6 +123,7 @@ def _ask_full(key, part: pa.Table, rows: pa.Table, window: int, base: int, bucke
 
 def _judge_full(key, rows: pa.Table) -> pa.Table:
     """A bit for each window: whether no earlier one has its words. Notes of a block to itself pass."""
+    rows = rows.sort_by([("kind", "ascending"), ("block", "ascending")])  # ties go by block, however rows arrive
     kinds = np.asarray(rows["kind"])
     sent, notes = rows.filter(pa.array(kinds == 0)), rows.filter(pa.array(kinds == 1))
     sizes, (keys, more, ids, starts) = common.receive(sent["payload"].to_pylist(), np.uint64, np.uint32, np.int64, np.int32)
@@ -170,7 +171,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, base: int = BASE) -> D
     Words are runs of bytes other than ASCII white space, unchanged. Earlier means a smaller doc_id, or an earlier start in the same
     document; windows lie within a document and are judged on the input. Returns doc_id, n_words, n_removed, kept_text (kept words
     joined by one space) for each row. Null text has no words and gives empty kept_text; repeated rows are documents of their own, of
-    which the first in the order of their texts counts as earlier; a null doc_id comes before all others; empty tables give no rows;
+    which one counts as earlier, by a hash of id and text and then by the texts; a null doc_id comes before all others; empty tables give no rows;
     further columns are ignored. Windows are compared by 96-bit hashes.
     """
     blocks = common.block_count(docs)

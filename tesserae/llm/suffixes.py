@@ -20,8 +20,6 @@ from tesserae.llm import common
 LENGTH = 400
 GRAM = 16
 SPAN = 8
-#: Cores with more occurrences are looked up window by window, by hashes that blocks merge before they send them.
-HOT = 200_000
 _U = np.uint64
 
 
@@ -179,10 +177,10 @@ def _ask_cores(key, part: pa.Table, length: int, buckets: int, **_) -> pa.Table:
     return common.packed_rows(common.send(key[0].as_py(), common.bucket_of(core, buckets), buckets, core, around, count, differ))
 
 
-ALONE, ALL, ASK, WINDOWS = range(4)
+ALONE, ALL, ASK = range(3)
 
 
-def _judge_cores(key, rows: pa.Table, hot: int) -> pa.Table:
+def _judge_cores(key, rows: pa.Table) -> pa.Table:
     sizes, (core, around, count, differ) = common.receive(rows["payload"].to_pylist(), _U, _U, np.uint32, np.uint8)
     state = np.zeros(len(core), np.uint8)
     if len(core):
@@ -192,7 +190,7 @@ def _judge_cores(key, rows: pa.Table, hot: int) -> pa.Table:
         total = np.add.reduceat(count[order].astype(np.int64), starts)
         unlike = np.maximum.reduceat(differ[order], starts).astype(bool)
         unlike |= np.minimum.reduceat(around[order], starts) != np.maximum.reduceat(around[order], starts)
-        verdict = np.where(total < 2, ALONE, np.where(~unlike, ALL, np.where(total > hot, WINDOWS, ASK))).astype(np.uint8)
+        verdict = np.where(total < 2, ALONE, np.where(~unlike, ALL, ASK)).astype(np.uint8)
         state[order] = np.repeat(verdict, np.diff(np.append(starts, len(k))))
     ends = np.cumsum(sizes)
     blocks = rows["block"].to_pylist()
@@ -246,24 +244,14 @@ def _distinct_spans(core, left, right):
     return index, inverse, count
 
 
-def _single(hashed, lo, hi, length: int):
-    """Windows one by one: their starts, distinct hashes (two for each), an index and the occurrences."""
-    many = hi - lo + 1
-    start = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many) + np.repeat(lo, many)
-    key = hashed(start, start + length)
-    distinct, index, inverse, count = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
-    return start, distinct, hashed(start[index] + 1, start[index] + length), inverse, count
-
-
 class _Asked:
     """What a block asks for at full length; made once to send it, and again to read the answer."""
 
-    def __init__(self, block: Block, a, lo, hi, lo_hot, hi_hot, length: int):
+    def __init__(self, block: Block, a, lo, hi, length: int):
         hashed = _hasher(block)
         self.of, self.first, core, left, right = _spans(block.data, hashed, a, lo, hi, length)
         self.index, self.inverse, self.count = _distinct_spans(core, left, right)
         self.core, self.left, self.right = core[self.index], left[self.index], right[self.index]
-        self.start, self.key, self.key2, self.single, self.single_count = _single(hashed, lo_hot, hi_hot, length)
 
 
 def _ask_windows(key, part: pa.Table, rows: pa.Table, length: int, buckets: int, **_) -> pa.Table:
@@ -273,11 +261,10 @@ def _ask_windows(key, part: pa.Table, rows: pa.Table, length: int, buckets: int,
     if not state.any():
         return common.packed_rows([])
     me = key[0].as_py()
-    sure, ask, hot = state == ALL, state == ASK, state == WINDOWS
-    asked = _Asked(block, block.a[ask], block.lo[ask], block.hi[ask], block.lo[hot], block.hi[hot], length)
+    sure, ask = state == ALL, state == ASK
+    asked = _Asked(block, block.a[ask], block.lo[ask], block.hi[ask], length)
     out = common.send(me, common.bucket_of(asked.core, buckets), buckets, asked.core, asked.left, asked.right, (asked.count > 1).astype(np.uint8))
-    out += [(b, k, 2, p) for b, k, _, p in common.send(me, common.bucket_of(asked.key, buckets), buckets, asked.key, asked.key2, (asked.single_count > 1).astype(np.uint8))]
-    note = [np.array([sure.sum(), ask.sum(), hot.sum()]), block.lo[sure], block.hi[sure], block.a[ask], block.lo[ask], block.hi[ask], block.lo[hot], block.hi[hot]]
+    note = [np.array([sure.sum(), ask.sum()]), block.lo[sure], block.hi[sure], block.a[ask], block.lo[ask], block.hi[ask]]
     out.append((me % buckets, me, 1, np.concatenate(note).astype(np.int64).tobytes()))
     return common.packed_rows(out)
 
@@ -285,7 +272,7 @@ def _ask_windows(key, part: pa.Table, rows: pa.Table, length: int, buckets: int,
 def _judge_windows(key, rows: pa.Table) -> pa.Table:
     kinds, blocks = np.asarray(rows["kind"]), np.asarray(rows["block"])
     payloads = rows["payload"].to_pylist()
-    of = [np.flatnonzero(kinds == k) for k in range(3)]
+    of = [np.flatnonzero(kinds == k) for k in range(2)]
     sizes, (core, left, right, multi) = common.receive([payloads[i] for i in of[0]], _U, _U, _U, np.uint8)
     bits = np.zeros(len(core), np.uint8)
     if len(core):
@@ -310,10 +297,6 @@ def _judge_windows(key, rows: pa.Table) -> pa.Table:
         bits[order] = np.repeat(found, np.diff(np.append(at, len(c))))
     ends, out = np.cumsum(sizes), []
     out += [(key[0].as_py(), int(blocks[i]), 0, bits[e - n : e].tobytes()) for i, n, e in zip(of[0], sizes, ends, strict=True)]
-    sizes, (one, two, multi) = common.receive([payloads[i] for i in of[2]], _U, _U, np.uint8)
-    again = common.repeated(common.mix(one) ^ two, 1 + multi.astype(np.int64)).astype(np.uint8)
-    ends = np.cumsum(sizes)
-    out += [(key[0].as_py(), int(blocks[i]), 2, again[e - n : e].tobytes()) for i, n, e in zip(of[2], sizes, ends, strict=True)]
     out += [(key[0].as_py(), int(blocks[i]), 1, payloads[i]) for i in of[1]]
     return common.packed_rows(out)
 
@@ -336,20 +319,16 @@ def _remove(key, part: pa.Table, rows: pa.Table, length: int, buckets: int, **_)
         if kind != 1:
             continue
         note = np.frombuffer(payload, np.int64)
-        sure, ask, hot = note[:3]
-        lo_sure, hi_sure, a, lo, hi, lo_hot, hi_hot = np.split(note[3:], np.cumsum([sure, sure, ask, ask, ask, hot]))
+        sure, ask = note[:2]
+        lo_sure, hi_sure, a, lo, hi = np.split(note[2:], np.cumsum([sure, sure, ask, ask]))
         np.add.at(change, lo_sure, 1)
         np.add.at(change, hi_sure + length, -1)
-        asked = _Asked(block, a, lo, hi, lo_hot, hi_hot, length)
+        asked = _Asked(block, a, lo, hi, length)
         bits = _bytes_back(rows, 0, common.bucket_of(asked.core, buckets), buckets)[asked.inverse]
         for j in range(SPAN):
             start = asked.first + j
             good = ((bits >> np.uint8(j)) & 1).astype(bool) & (start >= lo[asked.of]) & (start <= hi[asked.of])
             change += np.bincount(start[good], minlength=len(change)) - np.bincount(start[good] + length, minlength=len(change))
-        again = _bytes_back(rows, 2, common.bucket_of(asked.key, buckets), buckets)[asked.single].astype(bool)
-        at = asked.start[again]
-        np.add.at(change, at, 1)
-        np.add.at(change, at + length, -1)
     removed = np.cumsum(change[:-1]) > 0
     opens = removed.copy()
     opens[1:] &= ~removed[:-1]
@@ -362,13 +341,13 @@ def _remove(key, part: pa.Table, rows: pa.Table, length: int, buckets: int, **_)
     return pa.table([block.part["doc_id"], pa.array(np.diff(block.offsets)), pa.array(n_removed), pa.array(count(opens)), pa.array(kept, pa.binary())], schema=RESULT)
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """Remove each byte covered by a string of `length` bytes that also starts anywhere else, in the same document or another.
 
     Texts are UTF-8 bytes; strings lie within a document, may overlap, and are judged on the input. Returns doc_id, n_bytes,
     n_removed, n_spans (maximal removed runs) and kept (the remaining bytes, which may begin or end amid a character) for each row.
     Null counts as empty; repeated rows are copies of each other; a null doc_id stays; empty tables give no rows; further columns are
-    ignored. Cores are compared by 64-bit hashes along with hashes or bytes of what is around them.
+    ignored; texts are read whole, however long. Cores of any number of occurrences go the same way. Cores are compared by 64-bit hashes along with hashes or bytes of what is around them.
     """
     if length < 4 * GRAM or length < 4 * SPAN:
         raise ValueError("length is too short for anchors")
@@ -376,7 +355,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> Dat
     dealt = common.in_blocks(docs, blocks)
     p = {"length": length, "buckets": blocks}
     asked = dealt.groupBy("block").applyInArrow(common.grouped(_ask_cores, **p), common.PACKED)
-    cores = asked.groupBy("bucket").applyInArrow(common.grouped(_judge_cores, hot=hot), common.PACKED)
+    cores = asked.groupBy("bucket").applyInArrow(common.grouped(_judge_cores), common.PACKED)
     windows = dealt.groupBy("block").cogroup(cores.groupBy("block")).applyInArrow(common.paired(_ask_windows, **p), common.PACKED)
     judged = windows.groupBy("bucket").applyInArrow(common.grouped(_judge_windows), common.PACKED)
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"

@@ -53,6 +53,9 @@ def test_words_of_one_document_and_repeated_rows(spark):
     assert rows(substring.remove_repeats(documents(spark, texts)), "doc_id", "n_words", "n_removed", "kept_text") == brute_words(texts, 20)
     twice = documents(spark, [p, p], ids=[5, 5])
     assert sorted(r["n_removed"] for r in substring.remove_repeats(twice).collect()) == [0, 30]
+    texts = [p + f" {i}" for i in range(6)]  # one id, several texts: all but one lose the passage, or all of a null id
+    for i in (5, None):
+        assert sorted(r["n_removed"] for r in substring.remove_repeats(documents(spark, texts, ids=[i] * 6)).collect()) == [0] + [30] * 5
     alone = documents(spark, [p, p], ids=[None, 5])
     assert {r["doc_id"]: r["n_removed"] for r in substring.remove_repeats(alone).collect()} == {None: 0, 5: 30}
 
@@ -62,14 +65,29 @@ def test_window_must_double():
         substring._short_lengths(21, 5)
 
 
-@pytest.mark.parametrize(("length", "hot"), [(400, 200_000), (64, 200_000), (100, 0)])
-def test_bytes(spark, length, hot):
-    """With hot = 0 every unlike core goes the way of the hot ones, window by window."""
+@pytest.mark.parametrize("length", [400, 64, 100])
+def test_bytes(spark, length):
     texts = mixed(11)
-    out = suffixes.remove_repeats(clashing(documents(spark, texts)), length, hot)
+    out = suffixes.remove_repeats(clashing(documents(spark, texts)), length)
     assert rows(out, "doc_id", "n_bytes", "n_removed", "n_spans", "kept") == brute_bytes(texts, length)
 
 
+def test_passages_of_just_under_and_over_400_bytes(spark):
+    """Passages of over 50 words that repeat, some of 390 to 410 bytes: only those of 400 and more are repeats by the contract."""
+    rng = random.Random(15)
+    texts, under, over = [], [], []
+    for size in [*range(390, 411), 500, 700]:
+        passage = prose(rng, 120).encode()[:size].decode()
+        assert len(passage.split()) > 50
+        (over if size >= 400 else under).extend((len(texts), len(texts) + 1))
+        # other bytes on either side, so that a repeat is the passage and no more
+        texts += [prose(rng, 30) + a + passage + b + prose(rng, 30) for a, b in ("<>", "()")]
+    got = rows(suffixes.remove_repeats(documents(spark, texts)), "doc_id", "n_bytes", "n_removed", "n_spans", "kept")
+    assert got == brute_bytes(texts, 400)
+    removed = {r[0]: r[2] for r in got}
+    assert all(removed[i] > 0 for i in over) and not any(removed[i] for i in under)
+
+
 def test_bytes_with_shared_edges(spark):
     rng = random.Random(5)
     passage = prose(rng, 40)
