@@ -9,7 +9,7 @@ from tesserae import catalog
 
 DATA = "/root/testdata/sf0.001"
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
-SOME = ["task_confusion_by_producer", "rejection_modes", "order_disagreement_then_random", "budget_curve_sc_judge", "query_metrics", "expected_update_curve", "donor_pools_grouping_sets", "strata_proportional", "bounds_d0_max_window", "connected_components", "budget_ledger", "two_run_agreement", "shard_packing", "verdict_rules", "bounds_d1_min", "nested_half_random", "staged_reveal"]
+SOME = ["task_confusion_by_producer", "rejection_modes", "order_disagreement_then_random", "budget_curve_sc_judge", "query_metrics", "expected_update_curve", "donor_pools_grouping_sets", "strata_proportional", "bounds_d0_max_window", "connected_components", "budget_ledger", "two_run_agreement", "shard_packing", "verdict_rules", "bounds_d1_min", "nested_half_random", "staged_reveal", "mechanism_summary", "recovered_counts", "channel_subsets", "first_mass_position", "ledger_states", "retry_rounds"]
 
 
 @pytest.fixture(scope="module")
