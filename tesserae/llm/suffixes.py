@@ -5,7 +5,8 @@ the smallest hash. Equal windows have equal anchors at equal places, so windows
 on, half a window of them, which lie in every window of that anchor. Where all surroundings of such a core are alike, they are all
 repeated or the only ones, and no more is asked. Otherwise the windows of an anchor are taken SPAN at a time: such a group has a
 core of length - SPAN + 1 bytes and SPAN - 1 bytes on either side. Groups with equal cores become one string in which the core is a
-single symbol; its suffix array shows, by the neighbour of each suffix, which windows are repeated.
+single symbol; a group that occurs again as a whole is in it twice. Its suffix array shows, by the neighbour of each suffix, which
+windows are repeated.
 """
 
 from __future__ import annotations
@@ -284,16 +285,17 @@ def _judge_windows(key, rows: pa.Table) -> pa.Table:
         times = np.add.reduceat(1 + m.astype(np.int64), at)
         which = np.cumsum(new_core) - 1  # of a core
         strings_of = np.bincount(which[at], minlength=which[-1] + 1)
-        unlike = np.flatnonzero(strings_of[which[at]] > 1)  # distinct strings that have others with their core
-        found = np.where(times > 1, 255, 0).astype(np.uint8)
-        if len(unlike):
-            string = np.zeros((len(unlike), 2 * SPAN - 1), np.int64)
-            xs, ys = (np.ascontiguousarray(v[at[unlike]]).view(np.uint8).reshape(-1, 8) for v in (x, y))
+        fed = np.flatnonzero((strings_of[which[at]] > 1) | (times > 1))  # all but distinct strings that are alone with their core
+        found = np.zeros(len(at), np.uint8)
+        if len(fed):
+            fed = np.repeat(fed, np.where(times[fed] > 1, 2, 1))  # one that occurs again stands there twice
+            string = np.zeros((len(fed), 2 * SPAN - 1), np.int64)
+            xs, ys = (np.ascontiguousarray(v[at[fed]]).view(np.uint8).reshape(-1, 8) for v in (x, y))
             near = np.arange(SPAN - 1)
             string[:, : SPAN - 1] = np.where(near < xs[:, 7:], 1, xs[:, : SPAN - 1].astype(np.int64) + 2)
-            string[:, SPAN - 1] = 258 + which[at[unlike]]
+            string[:, SPAN - 1] = 258 + which[at[fed]]
             string[:, SPAN:] = np.where(near >= SPAN - 1 - ys[:, 7:].astype(np.int64), 1, ys[:, : SPAN - 1].astype(np.int64) + 2)
-            found[unlike] |= np.packbits(repeated_windows(string, SPAN), axis=1, bitorder="little")[:, 0]
+            found[fed] = np.packbits(repeated_windows(string, SPAN), axis=1, bitorder="little")[:, 0]
         bits[order] = np.repeat(found, np.diff(np.append(at, len(c))))
     ends, out = np.cumsum(sizes), []
     out += [(key[0].as_py(), int(blocks[i]), 0, bits[e - n : e].tobytes()) for i, n, e in zip(of[0], sizes, ends, strict=True)]

@@ -3,10 +3,12 @@
 import random
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from tests.llm.helpers import clashing, documents, mixed, prose, rows
 
-from tesserae.llm import substring, suffixes
+from tesserae.llm import common, substring, suffixes
 
 
 def brute_words(texts, window):
@@ -96,6 +98,21 @@ def test_bytes_with_shared_edges(spark):
     assert rows(out, "doc_id", "n_bytes", "n_removed", "n_spans", "kept") == brute_bytes(texts, 128)
 
 
+def test_windows_are_judged_by_the_array():
+    """Equal strings of two blocks, a string alone with its core, and two strings that share their left side and two bytes after the core."""
+    side = lambda s: np.frombuffer(s.ljust(7, b"\0") + b"\0", np.uint64)[0]
+    sent = [
+        [(1, b"abcdefg", b"hijklmn"), (2, b"abcdefg", b"hijklmn"), (3, b"abcdefg", b"hixxxxx")],
+        [(1, b"abcdefg", b"hijklmn"), (3, b"abcdefg", b"hiyyyyy")],
+    ]
+    out = []
+    for block, strings in enumerate(sent):
+        core, left, right = (np.array([f(s) for s in strings], np.uint64) for f in (lambda s: s[0], lambda s: side(s[1]), lambda s: side(s[2])))
+        out += common.send(block, np.zeros(len(strings), np.int32), 1, core, left, right, np.zeros(len(strings), np.uint8))
+    judged = suffixes._judge_windows((pa.scalar(0),), common.packed_rows(out))
+    assert [list(p) for p in judged["payload"].to_pylist()] == [[255, 0, 7], [255, 7]]
+
+
 def test_suffix_array():
     rng = random.Random(1)
     for _ in range(400):
