@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tesserae.llm import langid, licences, neardup, packing, personal, quotes, substring, suffixes, tiling, topk
+from tesserae.llm import langid, licences, neardup, packing, personal, quotes, runs, substring, suffixes, tiling, topk
 
 QUERIES = {
     "op1_near_duplicates": neardup.op1_near_duplicates,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_top_k": topk.op8_top_k,
     "op9_licences": licences.op9_licences,
     "op10_language_id": langid.op10_language_id,
+    "op13_periodic_runs": runs.op13_periodic_runs,
 }
 
 ORACLES: dict[str, str] = {
