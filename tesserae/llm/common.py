@@ -51,13 +51,18 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_dir[0]
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path of its own in the shared folder, which made() lists from now on."""
+    path = f"{shared_dir(spark)}/tesserae/{name}-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write to the shared folder and read again: cuts lineage, and survives the loss of executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tesserae/{name}-{uuid.uuid4().hex}"
+    path = new_folder(df.sparkSession, name)
     df.write.parquet(path)
-    _made.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def made() -> list[str]:
@@ -154,13 +159,13 @@ SPACES = np.zeros(256, bool)
 SPACES[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of all words, and the index of each document's first word (len + 1)."""
+def word_spans(data: np.ndarray, offsets: np.ndarray, gaps: np.ndarray = SPACES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of all words (what lies between the byte values marked in gaps), and the index of each document's first one (len + 1)."""
     n = len(data)
     if n == 0:
         zero = np.zeros(0, np.int64)
         return zero, zero, np.zeros(len(offsets), np.int64)
-    ink = ~SPACES[data]
+    ink = ~gaps[data]
     edge = np.zeros(n + 1, bool)
     edge[offsets] = True
     before = np.zeros(n, bool)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tesserae.llm import langid, licences, neardup, packing, personal, quotes, runs, substring, suffixes, tiling, topk
+from tesserae.llm import langid, licences, neardup, packing, personal, quotes, ranked, runs, substring, suffixes, tiling, topk, warc
 
 QUERIES = {
     "op1_near_duplicates": neardup.op1_near_duplicates,
@@ -15,6 +15,8 @@ QUERIES = {
     "op8_top_k": topk.op8_top_k,
     "op9_licences": licences.op9_licences,
     "op10_language_id": langid.op10_language_id,
+    "op11_web_archive": warc.op11_web_archive,
+    "op12_ranked_search": ranked.op12_ranked_search,
     "op13_periodic_runs": runs.op13_periodic_runs,
 }
 
@@ -23,4 +25,6 @@ ORACLES: dict[str, str] = {
     "op4_quotation_links": quotes.ORACLE,
     "op8_top_k": topk.ORACLE,
     "op9_licences": licences.ORACLE,
+    "op11_web_archive": warc.ORACLE,
+    "op12_ranked_search": ranked.ORACLE,
 }
