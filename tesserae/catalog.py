@@ -1,6 +1,6 @@
 """Every query of the engine and its SQL counterpart, by name."""
 
-from tesserae.plans import contrasts, estimation, grid, ingestion, policies, studies
+from tesserae.plans import contrasts, disclosure, estimation, grid, ingestion, policies, studies
 
-QUERIES: dict = {**policies.QUERIES, **grid.QUERIES, **estimation.QUERIES, **ingestion.QUERIES, **studies.QUERIES, **contrasts.QUERIES}
-ORACLES: dict = {**policies.ORACLES, **grid.ORACLES, **estimation.ORACLES, **ingestion.ORACLES, **studies.ORACLES, **contrasts.ORACLES}
+QUERIES: dict = {**policies.QUERIES, **grid.QUERIES, **estimation.QUERIES, **ingestion.QUERIES, **studies.QUERIES, **contrasts.QUERIES, **disclosure.QUERIES}
+ORACLES: dict = {**policies.ORACLES, **grid.ORACLES, **estimation.ORACLES, **ingestion.ORACLES, **studies.ORACLES, **contrasts.ORACLES, **disclosure.ORACLES}

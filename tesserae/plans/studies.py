@@ -446,11 +446,3 @@ def disclosure_orders(frame: DataFrame) -> DataFrame:
     rows = ranked.crossJoin(F.broadcast(shares)).where(F.col("offset") < F.floor(F.col("share") * F.col("N") / 100))  # four rows
     per = rows.groupBy("ord", "share").agg(F.max("N").alias("N"), F.count("*").alias("shown"), F.sum("wrong").alias("identified"))
     return per.groupBy("share").agg(_r(F.avg(1 - F.col("shown") / F.col("N"))).alias("mean_width"), _r(F.avg("identified")).alias("mean_identified"), F.min("identified").alias("least"), F.max("identified").alias("most"))
-
-
-@query("witness_check", """, b AS (SELECT task_id, min(gold) AS again FROM crit GROUP BY 1) SELECT count(*) AS tasks, count(*) FILTER ((gf = 0) <> (again = 1)) AS broken, count(*) FILTER (gf > 0 AND cf > gf) AS impossible FROM tasks JOIN b USING (task_id)""", frame=True)
-def witness_check(frame: DataFrame) -> DataFrame:
-    """Each task's verdict built again from its bits and held against its counts; nothing may be broken."""
-    again = frame.groupBy("task_id").agg(F.min("gold").alias("again"))
-    rows = accounting.tasks(frame).join(again, "task_id")
-    return rows.agg(F.count("*").alias("tasks"), n_if("(gf = 0) <> (again = 1)", "broken"), n_if("gf > 0 AND cf > gf", "impossible"))
