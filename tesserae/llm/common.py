@@ -88,6 +88,14 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{n}`") for n in names])
 
 
+def unlike(columns: list[str], *names: str) -> list[str]:
+    """The names, with as many underscores before them as it takes to be like no column, whatever its case."""
+    have = {c.lower() for c in columns}
+    while have & {n.lower() for n in names}:
+        names = tuple("_" + n for n in names)
+    return list(names)
+
+
 # ---------------------------------------------------------------- buffers
 
 

@@ -8,12 +8,12 @@ coefficients fold into one matrix (n-gram by language), and a batch of texts is
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -35,7 +35,9 @@ RIDGE = 1e-4
 #: Bits of the places for 3- and 4-grams; single bytes and pairs have a place each.
 BITS = {3: 16, 4: 17}
 PLACES = 256 + 65536 + (1 << BITS[3]) + (1 << BITS[4])
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = r"\p{L}"
+#: Bytes of a text that are folded and marked at a time.
+PIECE = 1 << 18
 
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[:0x80] = 0x20
@@ -53,13 +55,26 @@ def fold(data: np.ndarray) -> np.ndarray:
 
 
 class Presence:
-    """Finds the distinct n-gram places of one text at a time, by a table that is never cleared."""
+    """Finds the distinct n-gram places of one text at a time, by a table that is never cleared. Long texts are marked piece by piece."""
 
     def __init__(self):
         self.seen = np.full(PLACES, -1, np.int64)
         self.clock = 0
 
     def __call__(self, folded: np.ndarray) -> np.ndarray:
+        return self._new(folded, self.clock, 0)
+
+    def long(self, data: np.ndarray) -> np.ndarray:
+        """The same of a text that isn't folded yet."""
+        began, found = self.clock, []
+        for at in range(0, len(data), PIECE):
+            lead = min(at, 3)  # n-grams that reach back over the cut
+            before = min(at, lead + 1)  # and the byte before, on which folding looks
+            found.append(self._new(fold(data[at - before : at + PIECE])[before - lead :], began, lead))
+        return np.concatenate(found) if found else np.zeros(0, np.int64)
+
+    def _new(self, folded: np.ndarray, began: int, lead: int) -> np.ndarray:
+        """Places that weren't seen since `began`; the first `lead` bytes belong to the piece before."""
         b = folded.astype(np.uint32)
         n, parts = len(b), [b]
         if n > 1:
@@ -72,6 +87,8 @@ class Presence:
                     four = (three[:-1] << np.uint32(8)) | b[3:]
                     parts.append((((four ^ (four >> np.uint32(15))) * np.uint32(0x85EBCA77)) >> np.uint32(32 - BITS[4])) + np.uint32(256 + 65536 + (1 << BITS[3])))
         codes = np.concatenate(parts).astype(np.int64)
+        if began < self.clock or lead:
+            codes = codes[self.seen[codes] < began]
         stamp = np.arange(self.clock, self.clock + len(codes))
         self.clock += len(codes)
         self.seen[codes] = stamp
@@ -144,9 +161,12 @@ def fit(sample: list[tuple[str, str]], landmarks: int = LANDMARKS, ridge: float
 
 def score_batch(data: np.ndarray, offsets: np.ndarray, matrix: np.ndarray, find: Presence) -> np.ndarray:
     """Decision values of a batch of texts, a row each: sums of matrix rows over the n-grams present, over the root of their number."""
-    folded, grams = fold(data), []
-    for a, b in zip(offsets[:-1], offsets[1:], strict=True):
-        grams.append(find(folded[a:b]))
+    grams = []
+    if len(data) > 4 * PIECE:
+        grams = [find.long(data[a:b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+    else:
+        folded = fold(data)
+        grams = [find(folded[a:b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
     sizes = np.array([len(g) for g in grams], np.int64)
     out = np.zeros((len(grams), matrix.shape[1]), np.float64)
     lo = 0
@@ -162,25 +182,25 @@ def score_batch(data: np.ndarray, offsets: np.ndarray, matrix: np.ndarray, find:
     return out
 
 
-def identify(docs: DataFrame, languages: list[str], matrix: np.ndarray, carry: list[str] | None = None) -> DataFrame:
-    """Add lang_pred and score to the rows of docs; only their text is looked at. carry: the columns to keep (default doc_id);
-    columns of docs that are called lang_pred or score are replaced.
+def identify(docs: DataFrame, languages: list[str], matrix: np.ndarray, carry: list[str] | None = None, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """Add lang_pred and score, under these or other names, to the rows of docs; only their text is looked at. carry: the columns to
+    keep (default doc_id); those that are called like a name are replaced.
 
     lang_pred is `und` with score 0 if text is null or has no letter, or if nothing could be learned; else the language of the
-    largest decision value d, the first by name among equals, with score (d + 1) / 2 held within 0 and 1. Texts are read whole,
-    however long; repeated rows get the same answer, each; a null doc_id stays; an empty table gives no rows.
+    largest decision value d, the first by name among equals, with score (d + 1) / 2 held within 0 and 1. Letters are the
+    characters of Unicode class L. Texts are read whole, however long, PIECE bytes at a time; repeated rows get the same answer, each; a null doc_id stays; an empty table gives no rows.
     """
-    carry = ["doc_id"] if carry is None else [c for c in carry if c not in ("lang_pred", "score")]
+    carry = ["doc_id"] if carry is None else [c for c in carry if c.lower() not in names]
     shared = docs.sparkSession.sparkContext.broadcast((languages, matrix))
     text_at = carry.index("text") if "text" in carry else len(carry)
-    schema = docs.select(*carry).schema.add("lang_pred", "string").add("score", "double")
+    schema = common.pick(docs, *carry).schema.add(names[0], "string").add(names[1], "double")
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs, weights = shared.value
-        names, find = np.array([*langs, "und"], object), Presence()
+        labels, find = np.array([*langs, "und"], object), Presence()
         for batch in batches:
             texts = batch.column(text_at)
-            has = np.array([bool(t and _LETTER.search(t)) for t in texts.to_pylist()], bool)
+            has = np.asarray(pa.compute.match_substring_regex(texts, _LETTER).fill_null(False), bool)
             data, offsets = common.text_buffer(texts)
             best, score = np.full(len(has), len(langs)), np.zeros(len(has))
             if langs and len(has):
@@ -189,9 +209,9 @@ def identify(docs: DataFrame, languages: list[str], matrix: np.ndarray, carry: l
                 best = np.where(has, d.argmax(1), len(langs))
                 score = np.where(has, np.clip((d.max(1) + 1) / 2, 0, 1), 0.0)
             columns = [batch.column(i) for i in range(len(carry))]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(names[best], pa.string()), pa.array(score)], [*carry, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(labels[best], pa.string()), pa.array(score)], [*carry, *names])
 
-    source = docs.select(*carry) if "text" in carry else docs.select(*carry, F.col("text").alias("_text"))
+    source = common.pick(docs, *carry) if "text" in carry else docs.select(*[F.col(f"`{c}`") for c in carry], F.col("text").alias(common.unlike(carry, "text")[0]))
     return source.mapInArrow(predict, schema)
 
 

@@ -212,17 +212,15 @@ def weighted_jaccard(left: bytes, right: bytes) -> float:
 PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
-def _pairs_within(first: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """All pairs of rows (smaller, larger) within groups [first[g], first[g + 1]), some `most` of them at a time."""
-    last = np.repeat(first[1:], np.diff(first))
-    todo = last - np.arange(len(last)) - 1  # pairs that each row makes with later ones
-    ends = np.cumsum(todo)
+def _pairs(start: np.ndarray, many: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of each row with the rows start[row], start[row] + 1, ..., many[row] of them; some `most` pairs at a time."""
+    ends = np.cumsum(many)
     lo = 0
-    while lo < len(todo):
+    while lo < len(many):
         hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + most, "right")))
-        many = todo[lo:hi]
-        left = np.repeat(np.arange(lo, hi), many)
-        yield left, left + 1 + np.arange(len(left)) - np.repeat(np.cumsum(many) - many, many)
+        some = many[lo:hi]
+        row = np.repeat(np.arange(lo, hi), some)
+        yield row, np.repeat(start[lo:hi], some) + np.arange(len(row)) - np.repeat(np.cumsum(some) - some, some)
         lo = hi
 
 
@@ -256,21 +254,28 @@ def _forest(n: int, i: np.ndarray, j: np.ndarray, same: np.ndarray) -> np.ndarra
 def _candidates(key, rows: pa.Table, threshold: float, band_rows: int, every: bool) -> pa.Table:
     """Pairs (smaller key, larger key) worth verifying, within the groups (band, chunk) of a lot.
 
-    every: all pairs between different classes, each in the first band that both share, and in the chunk that is home to the one of
-    the group's largest class, or else to the larger key; otherwise the edges of a spanning forest of each group.
+    every: all pairs between different classes, each in the first band that both share. A chunk has rows that are at home there and
+    copies of the group's others (minor: not of its largest class). A row at home meets all minor ones, if it is minor itself those of
+    smaller keys only; so each pair is looked at once in a group. Otherwise the edges of a spanning forest of each group.
     """
-    rows = rows.sort_by([("band", "ascending"), ("chunk", "ascending"), ("text_key", "ascending")])
+    rows = rows.sort_by([("band", "ascending"), ("chunk", "ascending"), *([("minor", "descending")] if every else []), ("text_key", "ascending")])
     band, chunk, ids, weight, shared = (np.asarray(rows[c]) for c in ("band", "chunk", "text_key", "weight", "shared"))
     samples = np.frombuffer(b"".join(rows["samples"].to_pylist()), np.uint16).reshape(len(ids), -1)
     edge = np.flatnonzero(np.concatenate([[True], (band[1:] != band[:-1]) | (chunk[1:] != chunk[:-1])]))
     size, left, right, sames = samples.shape[1], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    comp, home, minor = (np.asarray(rows[c]) for c in ("comp", "home", "minor")) if every else (ids, None, None)
-    for i, j in _pairs_within(np.append(edge, len(ids)), 400_000):
+    comp = np.asarray(rows["comp"]) if every else ids
+    groups, at = np.diff(np.append(edge, len(ids))), np.arange(len(ids))
+    start = np.repeat(edge, groups)
+    if every:
+        home, minor = np.asarray(rows["home"]), np.asarray(rows["minor"])
+        minors = np.repeat(np.add.reduceat(minor.astype(np.int64), edge), groups) if len(ids) else start
+        many = np.where(home, np.where(minor, at - start, minors), 0)
+    else:
+        many = at - start
+    for j, i in _pairs(start, many, 400_000):
         # what both must have in common to reach the threshold, and what that is as a similarity of the sampled parts
         common_weight = (threshold - 1e-6) / (1 + threshold) * (weight[i] + weight[j])
         ok = (common_weight <= np.minimum(shared[i], shared[j])) & (comp[i] != comp[j])
-        if every:
-            ok &= np.where(minor[i], home[j], home[i])
         i, j, common_weight = i[ok], j[ok], common_weight[ok]
         unlike = size * (1 - common_weight / (shared[i] + shared[j] - common_weight))
         most = unlike + DEVIATIONS * np.sqrt(np.maximum(unlike, 0)) + 2
@@ -290,7 +295,7 @@ def _candidates(key, rows: pa.Table, threshold: float, band_rows: int, every: bo
     if not every:
         kept = _forest(len(ids), i, j, np.concatenate(sames))
         i, j = i[kept], j[kept]
-    return pa.table([pa.array(ids[i]), pa.array(ids[j])], schema=PAIRS)
+    return pa.table([pa.array(np.minimum(ids[i], ids[j])), pa.array(np.maximum(ids[i], ids[j]))], schema=PAIRS)
 
 
 def _compared(members: DataFrame, sketches: DataFrame, labels: DataFrame | None, threshold: float, band_rows: int) -> DataFrame:
@@ -298,20 +303,24 @@ def _compared(members: DataFrame, sketches: DataFrame, labels: DataFrame | None,
     spark = sketches.sparkSession
     about = sketches.select("text_key", "weight", "shared", "samples")
     chunk = F.when(F.col("chunks") > 1, F.pmod(F.xxhash64("text_key", "band"), F.col("chunks"))).otherwise(0).cast("int")
-    rows = members.withColumn("chunk", chunk)
+    rows, copies = members.withColumn("chunk", chunk), None
     if labels is not None:
         known = rows.join(labels, "text_key", "left").withColumn("comp", F.coalesce("comp", "text_key"))
         known = common.materialize(known, "members-known")
         # groups of one class have nothing left to compare
-        sizes = known.groupBy("band", "comp").agg(F.count("*").alias("n"))
-        largest = sizes.groupBy("band").agg(F.max(F.struct("n", "comp"))["comp"].alias("major"), F.count("*").alias("classes"))
-        largest = common.materialize(largest.where("classes > 1").select("band", "major"), "members-open")
-        rows = known.join(largest, "band").withColumn("minor", F.col("comp") != F.col("major")).drop("major")
+        sizes = known.groupBy("band", "comp").agg(F.count("*").alias("n"), F.first("chunks").alias("chunks"))
+        largest = sizes.groupBy("band").agg(F.max(F.struct("n", "comp")).alias("largest"), F.sum("n").alias("n"), F.first("chunks").alias("chunks"), F.count("*").alias("classes"))
+        largest = largest.where("classes > 1").select("band", F.col("largest.comp").alias("major"), (F.col("n") + (F.col("n") - F.col("largest.n")) * (F.col("chunks") - 1)).alias("copies"))
+        largest = common.materialize(largest, "members-open")
+        copies = largest.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0]
+        rows = known.join(largest.drop("copies"), "band").withColumn("minor", F.col("comp") != F.col("major")).drop("major").join(about, "text_key")
         each = F.when(F.col("minor"), F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(F.array("chunk"))
         rows = rows.withColumn("home_chunk", F.col("chunk")).withColumn("chunk", F.explode(each)).withColumn("home", F.col("chunk") == F.col("home_chunk")).drop("home_chunk")
-    # many groups go to a call together, about LOT rows of them
-    lots = max(common.shuffle_width(spark), -(-members.count() // LOT))
-    rows = rows.join(about, "text_key").withColumn("lot", F.pmod(F.xxhash64("band", "chunk"), F.lit(lots)))
+    else:
+        rows = rows.join(about, "text_key")
+    # many groups go to a call together, about LOT rows of them, copies counted
+    lots = max(common.shuffle_width(spark), -(-(members.count() if copies is None else copies) // LOT))
+    rows = rows.withColumn("lot", F.pmod(F.xxhash64("band", "chunk"), F.lit(lots)))
     call = common.grouped(_candidates, threshold=threshold, band_rows=band_rows, every=labels is not None)
     pairs = rows.groupBy("lot").applyInArrow(call, "a long, b long")
     return pairs if labels is not None else pairs.distinct()

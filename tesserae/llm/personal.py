@@ -264,27 +264,38 @@ def train(counts: dict[int, int], steps: int = 300) -> dict[int, float]:
 
 
 def find(docs: DataFrame, *carry: str) -> DataFrame:
-    """Columns carry of docs, and spans: all candidates of each text that are accepted, sorted by start and kind.
+    """Columns carry of docs, then spans: all candidates of each text that are accepted, sorted by start and kind.
 
     A span has start, kind (index into KINDS), end, base (a strict match that passes its check) and code. Offsets count code points,
     ends are exclusive. Null text counts as empty; repeated rows get the same spans; empty tables give no rows; columns that aren't in
-    carry are ignored. The corpus is read once; its candidates are kept as a table for the second step.
+    carry are ignored; where one in carry is called spans, the last column is _spans. Texts are read whole, one at a time. The corpus
+    is read once; its candidates are kept as a table for the second step, to which the accepted codes are broadcast: a code is a kind
+    and what labelers and features say, so there are no more of them than such patterns, four bytes each.
     """
-    schema = T.StructType(docs.select(*carry).schema.fields + T.StructType.fromDDL(f"spans {_SPAN_DDL}").fields)
+    name = common.unlike(list(carry), "spans")[0]
+    schema = T.StructType(common.pick(docs, *carry).schema.fields + T.StructType.fromDDL(f"{name} {_SPAN_DDL}").fields)
     width, at = len(carry), carry.index("text") if "text" in carry else len(carry)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [candidates(t) for t in batch.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(width)), pa.array(found, _SPAN)], [*carry, "spans"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(width)), pa.array(found, _SPAN)], [*carry, name])
 
-    source = docs.select(*carry) if "text" in carry else docs.select(*carry, F.col("text").alias("_text"))
+    source = common.pick(docs, *carry) if "text" in carry else docs.select(*[F.col(f"`{c}`") for c in carry], F.col("text").alias(common.unlike(list(carry), "text")[0]))
     made = common.materialize(source.mapInArrow(scan, schema), "spans")
-    counts = {r["code"]: r["count"] for r in made.select(F.explode("spans.code").alias("code")).groupBy("code").count().collect()}
-    good = [c for c, p in train(counts).items() if p >= ACCEPT]
-    accepted = F.array(*[F.lit(c) for c in good]).cast("array<int>")
-    kept = F.filter("spans", lambda s: s["base"] | F.array_contains(accepted, s["code"]))
-    return made.withColumn("spans", F.array_sort(kept))
+    counts = {r["code"]: r["count"] for r in made.select(F.explode(F.col(name)["code"]).alias("code")).groupBy("code").count().collect()}
+    accepted = docs.sparkSession.sparkContext.broadcast(np.array(sorted(c for c, p in train(counts).items() if p >= ACCEPT), np.int64))
+
+    def accept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            spans = batch.column(width)
+            each = spans.flatten()
+            good = np.asarray(each.field("base").fill_null(False), bool) | np.isin(np.asarray(each.field("code"), np.int64), accepted.value)
+            offsets = np.concatenate([[0], np.cumsum(good)])[np.concatenate([[0], np.cumsum(np.asarray(spans.value_lengths().fill_null(0)))])]
+            kept = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), each.filter(pa.array(good)))
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(width)), kept], [*carry, name])
+
+    return made.mapInArrow(accept, schema).withColumn(name, F.array_sort(F.col(name)))
 
 
 def written(spans: Column) -> Column:
@@ -295,7 +306,8 @@ def written(spans: Column) -> Column:
 def mask(docs: DataFrame) -> DataFrame:
     """docs with each accepted span of text replaced by <KIND>, spans that overlap by the first one's; same columns, n_chars counted anew.
 
-    Null and empty texts stay as they are, repeated rows are masked alike, an empty table gives an empty one.
+    Null and empty texts stay as they are, repeated rows are masked alike, an empty table gives an empty one. Texts are masked whole;
+    further columns keep their values, whatever they are called.
     """
     columns = docs.columns
     own = docs.select(*[F.col(f"`{c}`") for c in columns])

@@ -117,3 +117,53 @@ def test_sampling_estimates_the_weighted_similarity():
     drawn = [neardup.sample(hashes, w, np.array([0, 60]), 4000)[0] for w in (x, y)]
     exact = np.minimum(x, y).sum() / np.maximum(x, y).sum()
     assert abs((drawn[0] == drawn[1]).mean() - exact) < 0.03
+
+
+def _chunk_rows(n, chunks, chunk, classes):
+    """The rows of one chunk of a group of n texts: those at home there, and copies of all minor ones."""
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    comp = np.arange(n) if classes is None else classes
+    samples = rng.integers(0, 1 << 16, (n, 80)).astype(np.uint16)
+    samples[:, :4] = 7  # the band in which they meet
+    counts = np.unique(comp, return_counts=True)
+    major = counts[0][counts[1].argmax()]
+    home, minor = np.arange(n) % chunks == chunk, comp != major
+    rows = np.flatnonzero(home | minor)
+    size = len(rows)
+    table = {"band": np.zeros(size, np.int64), "chunk": np.full(size, chunk), "text_key": rows * 3 - n, "weight": np.full(size, 100.0), "shared": np.full(size, 90.0), "comp": comp[rows], "home": home[rows], "minor": minor[rows]}
+    return pa.table({**{k: pa.array(v) for k, v in table.items()}, "samples": pa.array([samples[r].tobytes() for r in rows], pa.binary())}), int(home.sum()), int(minor.sum())
+
+
+def test_each_pair_is_looked_at_once(monkeypatch):
+    """10,000 single texts in a group: all chunks together look at n * n / 2 pairs, a chunk at no more than home times minor ones."""
+    import numpy as np
+
+    looked, plain = [], neardup._pairs
+    monkeypatch.setattr(neardup, "_pairs", lambda start, many, most: looked.append(int(many.sum())) or plain(start, np.zeros_like(many), most))
+    n, chunks = 10_000, 5
+    for chunk in range(chunks):
+        rows, home, minor = _chunk_rows(n, chunks, chunk, None)
+        neardup._candidates(None, rows, 0.8, 4, True)
+        assert looked[-1] <= home * minor
+    assert sum(looked) == n * (n - 1) // 2
+
+
+def test_chunks_meet_all_pairs_of_different_classes(monkeypatch):
+    import numpy as np
+
+    rng, n, chunks = np.random.default_rng(6), 60, 3
+    classes = np.where(rng.random(n) < 0.4, 0, rng.integers(1, 20, n))
+    seen, plain = [], neardup._pairs
+    for chunk in range(chunks):
+        rows, *_ = _chunk_rows(n, chunks, chunk, classes)
+        sorted_rows = rows.sort_by([("band", "ascending"), ("chunk", "ascending"), ("minor", "descending"), ("text_key", "ascending")])
+        keys = np.asarray(sorted_rows["text_key"])
+        monkeypatch.setattr(neardup, "_pairs", lambda s, m, most, keys=keys: [seen.append((keys[i], keys[j])) for a, b in plain(s, m, most) for j, i in zip(a, b, strict=True)] and iter(()))
+        neardup._candidates(None, rows, 0.8, 4, True)
+    key = lambda r: r * 3 - n
+    want = {frozenset((key(a), key(b))) for a in range(n) for b in range(a) if classes[a] != classes[b]}
+    got = [frozenset(p) for p in seen]
+    assert want <= set(got) and len(got) == len(set(got))

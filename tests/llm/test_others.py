@@ -438,3 +438,37 @@ def test_long_texts_are_taken_by_excerpt(spark):
 
 def test_digest_of_no_spans():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
+
+
+def test_number_signs_are_no_letters(spark):
+    texts = ["½ ½ ½", "②", "Ⅷ", "12 ٣ _", "ª", "一", "a", "👍", None, ""]
+    trained = langid.fit([("en", "the cat sat on the mat"), ("de", "die katze saß auf der matte")])
+    got = {r["doc_id"]: r["lang_pred"] != "und" for r in langid.identify(documents(spark, texts), *trained).collect()}
+    assert got == {i: bool(t and __import__("regex").search(r"\p{L}", t)) for i, t in enumerate(texts)}
+
+
+def test_long_texts_are_marked_in_pieces(monkeypatch):
+    rng = random.Random(21)
+    text = "".join(rng.choice("aÄéX zß 1一ÿ×Þ") for _ in range(3000)).encode()
+    data = np.frombuffer(text, np.uint8)
+    whole = langid.Presence()(langid.fold(data))
+    for piece in (5, 64, 1000):
+        monkeypatch.setattr(langid, "PIECE", piece)
+        find = langid.Presence()
+        for part in (data, data[:100], data):
+            assert set(find.long(part).tolist()) == set(langid.Presence()(langid.fold(part)).tolist())
+            assert len(find.long(part)) == len(set(find.long(part).tolist()))
+    assert sorted(set(whole.tolist())) == sorted(whole.tolist())
+
+
+def test_memory_of_a_long_text():
+    import tracemalloc
+
+    langs, matrix = langid.fit([("en", "the cat sat on the mat"), ("de", "die katze lag auf der matte")])
+    data = np.tile(np.frombuffer(b"the cat sat on the mat and so on. ", np.uint8), 3_000_000)  # 102 MB
+    find = langid.Presence()
+    tracemalloc.start()
+    d = langid.score_batch(data, np.array([0, len(data)]), matrix, find)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert langs[int(d[0].argmax())] == "en" and peak < 200 << 20

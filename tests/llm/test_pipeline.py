@@ -58,3 +58,19 @@ def test_texts_of_a_repeated_id_are_kept(spark, tmp_path):
         kept = corpus_pipeline.near_duplicates(spark, docs, str(tmp_path))
         assert kept.dtypes == docs.dtypes
         assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=repr) == want
+
+
+def test_stages_keep_columns_that_are_called_like_their_own(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(15)
+    spark.createDataFrame([(1, "nothing like it at all here")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    names = ["spans", "_", "_spans", "score", "lang_pred", "block", "text_key", "_text", "_row", "_rest", "class_id", "n", "count", "kept"]
+    texts = [prose(rng, 30) for _ in range(6)]
+    for ids in (None, [1, 1, 2, 2, None, 3]):
+        docs = documents(spark, texts, ids=ids).withColumns({n: F.concat(F.lit(n), "text") for n in names})
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, docs, str(tmp_path))
+            assert out.dtypes == docs.dtypes
+            rows = out.collect()
+            assert len(rows) == 6 and all(r[n] == n + r["text"] for r in rows for n in names)
