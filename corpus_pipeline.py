@@ -18,27 +18,30 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Texts of every language stay, very long ones are read whole, repeated rows stay or go together, null ids stay, an empty table
     gives an empty one; further columns stay as they are.
     """
-    found = langid.identify(docs, *langid.train(docs), carry=docs.columns)
+    names = common.unlike(docs.columns, "lang_pred", "score")
+    found = langid.identify(docs, *langid.train(docs), carry=docs.columns, names=tuple(names))
     # where no labels are, nothing is learned: texts with letters stay nevertheless
-    return found.where((F.col("lang_pred") != "und") | F.col("text").rlike(r"\p{L}")).select(*docs.columns)
+    return common.pick(found.where((F.col(names[0]) != "und") | F.col("text").rlike(r"\p{L}")), *docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of near-duplicates the document with the smallest id stays. Documents without an id stay.
 
     Rows of one id and text are one document; where an id has several texts, each is a document of its own, and of a class the
-    smallest (id, text) stays.
+    smallest (id, text) stays. Of repeated rows that differ in further columns the one with the smallest values stays.
     """
     if docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").isEmpty():
         kept = neardup.classes(docs).where(F.col("doc_id") == F.col("class_id")).select("doc_id").distinct()
-        return docs.join(kept, "doc_id", "left_semi").unionByName(docs.where("doc_id IS NULL")).select(*docs.columns)
+        return docs.join(kept, "doc_id", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns]).unionByName(docs.where("doc_id IS NULL"))
     rest = [c for c in docs.columns if c not in ("doc_id", "text")]
-    known = docs.where("doc_id IS NOT NULL").groupBy("doc_id", "text").agg(F.min(F.struct(F.lit(0).alias("_"), *rest)).alias("_rest"))
-    known = known.select("doc_id", "text", *[F.col("_rest")[c].alias(c) for c in rest])
-    each = common.materialize(known.unionByName(docs.where("doc_id IS NULL")).withColumn("_row", F.monotonically_increasing_id()), "rows")
-    found = neardup.classes(each.select(F.col("_row").alias("doc_id"), "text")).select(F.col("doc_id").alias("_row"), "class_id")
-    first = each.where("doc_id IS NOT NULL").join(found, "_row").groupBy("class_id").agg(F.min_by("_row", F.struct("doc_id", "text")).alias("_row"))
-    return each.join(first.select("_row"), "_row", "left_semi").unionByName(each.where("doc_id IS NULL")).select(*docs.columns)
+    held, row, group = common.unlike(docs.columns, "_rest", "_row", "class_id")
+    fields = [F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(rest)]
+    known = docs.where("doc_id IS NOT NULL").groupBy("doc_id", "text").agg(F.min(F.struct(F.lit(0).alias("none"), *fields)).alias(held))
+    known = known.select("doc_id", "text", *[F.col(held)[f"c{k}"].alias(c) for k, c in enumerate(rest)])
+    each = common.materialize(known.unionByName(docs.where("doc_id IS NULL")).withColumn(row, F.monotonically_increasing_id()), "rows")
+    found = neardup.classes(each.select(F.col(row).alias("doc_id"), "text")).select(F.col("doc_id").alias(row), F.col("class_id").alias(group))
+    first = each.where("doc_id IS NOT NULL").join(found, row).groupBy(group).agg(F.min_by(row, F.struct("doc_id", "text")).alias(row))
+    return common.pick(each.join(first.select(row), row, "left_semi").unionByName(each.where("doc_id IS NULL")), *docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
