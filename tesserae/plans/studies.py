@@ -208,24 +208,7 @@ def canonical_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("n_nationkey").alias("id"), F.to_json(F.struct(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"), F.col("n_regionkey").alias("region"))).alias("line"))
 
 
-# ---------------------------------------------------------------- staged release and recomputation
-
-_STAGE = "CASE WHEN sha256('stage|1|' || base_id) < '4' THEN 'pilot' ELSE 'confirmation' END"
-
-
-def _stage():
-    return F.when(ranking.priority("stage", 1, "base_id") < "4", "pilot").otherwise("confirmation")
-
-
-@query("staged_reveal", f" SELECT {_STAGE} AS stage, count(*) AS criteria, CAST(sum(CASE WHEN {_STAGE} = 'pilot' THEN gold ELSE 0 END) AS BIGINT) AS revealed, count(*) FILTER ({_STAGE} <> 'pilot') AS withheld FROM crit GROUP BY 1", frame=True)
-def staged_reveal(frame: DataFrame) -> DataFrame:
-    """References are joined for the pilot families only: the filter stands before the join, so the others' are never read into it."""
-    open_ = frame.drop("gold", "secondary")
-    pilot = open_.withColumn("stage", _stage())
-    known = frame.withColumn("stage", _stage()).where("stage = 'pilot'").select("task_id", "slot", "gold")
-    rows = pilot.join(known, ["task_id", "slot"], "left")
-    return rows.groupBy("stage").agg(F.count("*").alias("criteria"), F.coalesce(F.sum("gold"), F.lit(0)).cast("long").alias("revealed"), n_if("stage <> 'pilot'", "withheld"))
-
+# ---------------------------------------------------------------- recomputation
 
 @query("label_recomputation", """SELECT lang, count(*) AS labels, count(*) FILTER (n_chars = length(text)) AS confirmed, count(*) FILTER (n_chars IS DISTINCT FROM length(text)) AS changed FROM documents JOIN labels USING (doc_id) GROUP BY 1""")
 def label_recomputation(spark: SparkSession, sf_dir: str) -> DataFrame:
