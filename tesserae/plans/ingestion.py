@@ -7,7 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tesserae.functions import text
-from tesserae.operators import graph, ranking
+from tesserae.operators import graph, ranking, shards
+from tesserae.operators.storage import stored
 from tesserae.sources import files, frames
 from tesserae.sources.frames import ORDERS_SQL
 
@@ -290,19 +291,25 @@ def channel_combinations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sets.select(F.inline(pairs)).groupBy("one", "two").agg(F.count("*").alias("shared"))
 
 
-@query("shard_packing", """WITH f AS (SELECT conv_id, turn, strlen(text) AS bytes, row_number() OVER (PARTITION BY text ORDER BY conv_id, turn) AS copy FROM conversations WHERE text IS NOT NULL),
-    o AS (SELECT *, row_number() OVER (ORDER BY conv_id, turn) - 1 AS place FROM f WHERE copy = 1), l AS (SELECT *, place // 100 AS lot, coalesce(sum(bytes) OVER (PARTITION BY place // 100 ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM o)
-    SELECT conv_id, turn, CAST(bytes AS BIGINT) AS bytes, CAST(lot AS BIGINT) AS lot, CAST(before // 20000 AS BIGINT) AS part FROM l""")
+@query("shard_packing", """WITH RECURSIVE f AS (SELECT conv_id, turn, CAST(strlen(text) AS BIGINT) AS bytes, row_number() OVER (PARTITION BY text ORDER BY conv_id, turn) AS copy FROM conversations WHERE text IS NOT NULL),
+    o AS (SELECT *, row_number() OVER (ORDER BY conv_id, turn) - 1 AS place FROM f WHERE copy = 1), q AS (SELECT bytes, place, row_number() OVER (ORDER BY place) AS i FROM o WHERE bytes <= 20000),
+    s AS (SELECT CAST(0 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS held, CAST([] AS BIGINT[]) AS n, CAST([] AS BIGINT[]) AS firsts, CAST(NULL AS BIGINT) AS place, CAST(NULL AS BIGINT) AS shard
+        UNION ALL SELECT i, CASE WHEN spot IS NULL THEN list_append(held, bytes) ELSE list_transform(held, lambda h, j: CASE WHEN j = spot THEN h + bytes ELSE h END) END,
+            CASE WHEN spot IS NULL THEN list_append(n, 1) ELSE list_transform(n, lambda c, j: CASE WHEN j = spot THEN c + 1 ELSE c END) END, CASE WHEN spot IS NULL THEN list_append(firsts, place) ELSE firsts END,
+            place, CASE WHEN spot IS NULL THEN place ELSE firsts[spot] END
+        FROM (SELECT q.i, held, n, firsts, q.place, q.bytes, list_position(list_transform(held, lambda h, j: h + q.bytes <= 20000 AND n[j] < 100), true) AS spot FROM s JOIN q ON q.i = s.i + 1))
+    SELECT conv_id, turn, bytes, shard FROM o LEFT JOIN (SELECT place, shard FROM s WHERE i > 0) USING (place)""")
 def shard_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Shards (lot, part) of requests in order, over the whole table: 100 requests a lot, cut wherever another 20,000 bytes are full.
+    """Shards of at most 100 requests and 20,000 bytes, by first fit in order over the whole table.
 
-    A prompt that occurs again is asked once, where it first stands.
+    A prompt that occurs again is asked once, where it first stands. A shard is named by the place of its first request; a request
+    over the cap has none.
     """
     rows = conversations(spark, sf_dir).where("text IS NOT NULL")
     first = rows.groupBy(F.sha2("text", 256).alias("digest")).agg(F.min(F.struct("conv_id", "turn", F.octet_length("text").cast("long").alias("bytes"))).alias("x")).select("x.*")
-    placed = ranking.global_offset(first, ranking.by_number("conv_id"), ["conv_id", "turn"], name="place").withColumn("lot", F.floor(F.col("place") / 100))
-    before = F.coalesce(F.sum("bytes").over(W.partitionBy("lot").orderBy("place").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))  # a hundred rows each
-    return placed.select("conv_id", "turn", "bytes", "lot", F.floor(before / 20000).alias("part"))
+    by = [*ranking.by_number("conv_id"), [F.col("conv_id")], [F.floor(F.col("turn") / 4096)]]  # a long conversation is numbered in parts
+    placed = stored(ranking.global_offset(first, by, ["turn"], name="place"), "requests")
+    return shards.first_fit(placed, 20_000, 100).select("conv_id", "turn", "bytes", "shard")
 
 
 # ---------------------------------------------------------------- requests, responses, prices
