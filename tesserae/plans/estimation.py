@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -45,21 +45,21 @@ def pattern_histogram(frame: DataFrame) -> DataFrame:
 
 
 def _events(patterns: DataFrame) -> DataFrame:
-    """patterns with M and m, and the chances A (a failing task passes) and D (a passing task is repaired early) under random order."""
+    """patterns with total and drawn criteria, and the chances A (a failing task passes) and D (a passing task is repaired early) under random order."""
     mixed = (F.col("pf") > 0) & (F.col("pf") < F.col("k"))
-    a = F.when(mixed & (F.col("gf") > 0) & (F.col("cf") == 0), exact.event(F.col("M"), F.col("m"), F.col("pf"), F.col("gf"))).otherwise(0.0)
-    d = F.when(mixed & (F.col("gf") == 0), exact.event(F.col("M"), F.col("m"), F.col("pf"), F.lit(0)) - exact.event(F.col("M"), F.col("m"), F.col("k"), F.lit(0))).otherwise(0.0)
+    a = F.when(mixed & (F.col("gf") > 0) & (F.col("cf") == 0), exact.event(F.col("total"), F.col("drawn"), F.col("pf"), F.col("gf"))).otherwise(0.0)
+    d = F.when(mixed & (F.col("gf") == 0), exact.event(F.col("total"), F.col("drawn"), F.col("pf"), F.lit(0)) - exact.event(F.col("total"), F.col("drawn"), F.col("k"), F.lit(0))).otherwise(0.0)
     return patterns.withColumns({"A": a, "D": F.greatest(d, F.lit(0.0))})
 
 
-_A = f"CASE WHEN pf > 0 AND pf < k AND gf > 0 AND cf = 0 THEN {exact.event_sql('M', 'm', 'pf', 'gf')} ELSE 0.0 END"
-_D = f"CASE WHEN pf > 0 AND pf < k AND gf = 0 THEN greatest({exact.event_sql('M', 'm', 'pf', '0')} - {exact.event_sql('M', 'm', 'k', '0')}, 0.0) ELSE 0.0 END"
-_CAPS = f", caps AS (SELECT s AS share, CAST(sum(k * n) AS BIGINT) AS M, CAST(round_even(s * sum(k * n) / 100.0, 0) AS BIGINT) AS m FROM hist CROSS JOIN (SELECT unnest([{', '.join(map(str, SHARES))}]) AS s) GROUP BY s)"
+_A = f"CASE WHEN pf > 0 AND pf < k AND gf > 0 AND cf = 0 THEN {exact.event_sql('total', 'drawn', 'pf', 'gf')} ELSE 0.0 END"
+_D = f"CASE WHEN pf > 0 AND pf < k AND gf = 0 THEN greatest({exact.event_sql('total', 'drawn', 'pf', '0')} - {exact.event_sql('total', 'drawn', 'k', '0')}, 0.0) ELSE 0.0 END"
+_CAPS = f", caps AS (SELECT s AS share, CAST(sum(k * n) AS BIGINT) AS total, CAST(round_even(s * sum(k * n) / 100.0, 0) AS BIGINT) AS drawn FROM hist CROSS JOIN (SELECT unnest([{', '.join(map(str, SHARES))}]) AS s) GROUP BY s)"
 
 
 def _caps(hist: DataFrame, shares=SHARES) -> DataFrame:
-    total = hist.agg(F.sum(F.col("k") * F.col("n")).cast("long").alias("M"))
-    return total.select(F.explode(F.array(*[F.lit(s) for s in shares])).alias("share"), "M").withColumn("m", F.bround(F.col("share") * F.col("M") / 100).cast("long"))
+    total = hist.agg(F.sum(F.col("k") * F.col("n")).cast("long").alias("total"))
+    return total.select(F.explode(F.array(*[F.lit(s) for s in shares])).alias("share"), "total").withColumn("drawn", F.bround(F.col("share") * F.col("total") / 100).cast("long"))
 
 
 @query("exact_task_events", f"{_HIST}{_CAPS} SELECT k, pf, gf, cf, n, round({_A}, 9) AS A, round({_D}, 9) AS D FROM hist CROSS JOIN caps WHERE share = 20")
@@ -154,17 +154,27 @@ query("forecast_support_ladder", f"{_SPLIT}{_UNITS}{_POOLS}{_LADDER} SELECT prod
     lambda f: ladder(f).select("producer", "k", "pf", "n", "level", "n_clusters", _r("q_pass").alias("q_pass"), _r("q_fail").alias("q_fail"))
 )
 
-_FRAME_CAPS = ", fc AS (SELECT producer, count(*) AS units, CAST(sum(k) AS BIGINT) AS M, CAST(round_even(0.2 * sum(k), 0) AS BIGINT) AS m FROM units WHERE NOT pilot GROUP BY 1)"
-_MARGIN = f""", cells AS (SELECT c.*, units, M, m, unnest(range(0, c.k - c.pf + 1)) AS rf FROM chosen c JOIN fc ON c.producer = fc.producer WHERE place = 1),
-    terms AS (SELECT producer, units, n, CASE WHEN rf = 0 THEN pow(1 - q_fail, pf) * pow(1 - q_pass, k - pf) * ({exact.event_sql('M', 'm', 'pf', '0')} - {exact.event_sql('M', 'm', 'k', '0')})
-        ELSE -pow(1 - q_fail, pf) * coalesce(list_product([(k - pf - j)::DOUBLE / (j + 1) FOR j IN range(rf)]), 1.0) * pow(q_pass, rf) * pow(1 - q_pass, k - pf - rf) * {exact.event_sql('M', 'm', 'pf', 'rf')} END AS v FROM cells),
+_FRAME_CAPS = ", fc AS (SELECT producer, count(*) AS units, CAST(sum(k) AS BIGINT) AS total, CAST(round_even(0.2 * sum(k), 0) AS BIGINT) AS drawn FROM units WHERE NOT pilot GROUP BY 1)"
+_MARGIN = f""", cells AS (SELECT c.*, units, total, drawn, unnest(range(0, c.k - c.pf + 1)) AS rf FROM chosen c JOIN fc ON c.producer = fc.producer WHERE place = 1),
+    terms AS (SELECT producer, units, n, CASE WHEN rf = 0 THEN pow(1 - q_fail, pf) * pow(1 - q_pass, k - pf) * ({exact.event_sql('total', 'drawn', 'pf', '0')} - {exact.event_sql('total', 'drawn', 'k', '0')})
+        ELSE -pow(1 - q_fail, pf) * coalesce(list_product([(k - pf - j)::DOUBLE / (j + 1) FOR j IN range(rf)]), 1.0) * pow(q_pass, rf) * pow(1 - q_pass, k - pf - rf) * {exact.event_sql('total', 'drawn', 'pf', 'rf')} END AS v FROM cells),
     forecast AS (SELECT producer, round(100 * sum(n * v) / max(units), 6) AS forecast FROM terms GROUP BY 1)"""
-_OBSERVED = f", observed AS (SELECT producer, round(100 * sum(({_D}) - ({_A})) / max(units), 6) AS observed FROM (SELECT u.*, units, M, m FROM units u JOIN fc ON u.producer = fc.producer WHERE NOT pilot) GROUP BY 1)"
+_OBSERVED = f", observed AS (SELECT producer, round(100 * sum(({_D}) - ({_A})) / max(units), 6) AS observed FROM (SELECT u.*, units, total, drawn FROM units u JOIN fc ON u.producer = fc.producer WHERE NOT pilot) GROUP BY 1)"
 
 
 def _targets(frame: DataFrame) -> DataFrame:
-    later = units(frame).where("NOT pilot").groupBy("producer").agg(F.count("*").alias("units"), F.sum("k").alias("M"))
-    return later.withColumn("m", F.bround(F.col("M") * F.lit(2) / 10).cast("long"))
+    later = units(frame).where("NOT pilot").groupBy("producer").agg(F.count("*").alias("units"), F.sum("k").alias("total"))
+    return later.withColumn("drawn", F.bround(F.col("total") * F.lit(2) / 10).cast("long"))
+
+
+def margin_term() -> Column:
+    """The forecast difference of one unit of k criteria, pf predicted failures, for rf reference failures among its predicted passes."""
+    pp, rf = F.col("k") - F.col("pf"), F.col("rf")
+    choose = F.when(rf == 0, F.lit(1.0)).otherwise(F.aggregate(F.sequence(F.lit(0), F.greatest(rf - 1, F.lit(0))), F.lit(1.0), lambda a, j: a * (pp - j) / (j + 1)))
+    right = F.pow(1 - F.col("q_fail"), F.col("pf"))
+    late = right * F.pow(1 - F.col("q_pass"), pp) * (exact.event(F.col("total"), F.col("drawn"), F.col("pf"), F.lit(0)) - exact.event(F.col("total"), F.col("drawn"), F.col("k"), F.lit(0)))
+    early = right * choose * F.pow(F.col("q_pass"), rf) * F.pow(1 - F.col("q_pass"), pp - rf) * exact.event(F.col("total"), F.col("drawn"), F.col("pf"), rf)
+    return F.when(rf == 0, late).otherwise(-early)
 
 
 def margin_forecast(frame: DataFrame) -> DataFrame:
@@ -173,12 +183,7 @@ def margin_forecast(frame: DataFrame) -> DataFrame:
     The number of reference failures among the predicted passes is summed out, a row for each.
     """
     cells = ladder(frame).join(F.broadcast(_targets(frame)), "producer").withColumn("rf", F.explode(F.sequence(F.lit(0), (F.col("k") - F.col("pf")).cast("int"))))  # a row for each producer
-    pp, rf = F.col("k") - F.col("pf"), F.col("rf")
-    choose = F.when(rf == 0, F.lit(1.0)).otherwise(F.aggregate(F.sequence(F.lit(0), F.greatest(rf - 1, F.lit(0))), F.lit(1.0), lambda a, j: a * (pp - j) / (j + 1)))
-    right = F.pow(1 - F.col("q_fail"), F.col("pf"))
-    late = right * F.pow(1 - F.col("q_pass"), pp) * (exact.event(F.col("M"), F.col("m"), F.col("pf"), F.lit(0)) - exact.event(F.col("M"), F.col("m"), F.col("k"), F.lit(0)))
-    early = right * choose * F.pow(F.col("q_pass"), rf) * F.pow(1 - F.col("q_pass"), pp - rf) * exact.event(F.col("M"), F.col("m"), F.col("pf"), rf)
-    return cells.groupBy("producer").agg(F.round(100 * F.sum(F.col("n") * F.when(rf == 0, late).otherwise(-early)) / F.max("units"), 6).alias("forecast"))
+    return cells.groupBy("producer").agg(F.round(100 * F.sum(F.col("n") * margin_term()) / F.max("units"), 6).alias("forecast"))
 
 
 query("margin_forecast", f"{_SPLIT}{_UNITS}{_POOLS}{_LADDER}{_FRAME_CAPS}{_MARGIN} SELECT producer, forecast FROM forecast")(margin_forecast)
