@@ -263,16 +263,22 @@ def train(counts: dict[int, int], steps: int = 300) -> dict[int, float]:
     return dict(zip(codes, p.tolist(), strict=True))
 
 
-def find(docs: DataFrame, *carry: str) -> DataFrame:
-    """Columns carry of docs, then spans: all candidates of each text that are accepted, sorted by start and kind.
+class _Accepted:
+    """The codes that the trained classifier accepts, and the spans of a batch that they or the strict rules keep."""
 
-    A span has start, kind (index into KINDS), end, base (a strict match that passes its check) and code. Offsets count code points,
-    ends are exclusive. Null text counts as empty; repeated rows get the same spans; empty tables give no rows; columns that aren't in
-    carry are ignored; where one in carry is called spans, the last column is _spans. Texts are read whole, one at a time. The corpus
-    is read once; its candidates are kept as a table for the second step, to which the accepted codes are broadcast: a code is a kind
-    and what labelers and features say, so there are no more of them than such patterns, four bytes each.
-    """
-    name = common.unlike(list(carry), "spans")[0]
+    def __init__(self, codes: list[int]):
+        self.codes = np.array(sorted(codes), np.int64)
+
+    def keep(self, spans: pa.ListArray) -> pa.ListArray:
+        each = spans.flatten()
+        good = np.asarray(each.field("base").fill_null(False), bool) | np.isin(np.asarray(each.field("code"), np.int64), self.codes)
+        offsets = np.concatenate([[0], np.cumsum(good)])[np.concatenate([[0], np.cumsum(np.asarray(spans.value_lengths().fill_null(0)))])]
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), each.filter(pa.array(good)))
+
+
+def _judged(docs: DataFrame, carry: list[str]):
+    """The stored candidates of each text, after the columns carry, the name of their column, and the accepted codes as a broadcast."""
+    name = common.unlike(carry, "spans")[0]
     schema = T.StructType(common.pick(docs, *carry).schema.fields + T.StructType.fromDDL(f"{name} {_SPAN_DDL}").fields)
     width, at = len(carry), carry.index("text") if "text" in carry else len(carry)
 
@@ -281,21 +287,28 @@ def find(docs: DataFrame, *carry: str) -> DataFrame:
             found = [candidates(t) for t in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(width)), pa.array(found, _SPAN)], [*carry, name])
 
-    source = common.pick(docs, *carry) if "text" in carry else docs.select(*[F.col(f"`{c}`") for c in carry], F.col("text").alias(common.unlike(list(carry), "text")[0]))
+    source = common.pick(docs, *carry) if "text" in carry else docs.select(*[F.col(f"`{c}`") for c in carry], F.col("text").alias(common.unlike(carry, "text")[0]))
     made = common.materialize(source.mapInArrow(scan, schema), "spans")
     counts = {r["code"]: r["count"] for r in made.select(F.explode(F.col(name)["code"]).alias("code")).groupBy("code").count().collect()}
-    accepted = docs.sparkSession.sparkContext.broadcast(np.array(sorted(c for c, p in train(counts).items() if p >= ACCEPT), np.int64))
+    return made, name, docs.sparkSession.sparkContext.broadcast(_Accepted([c for c, p in train(counts).items() if p >= ACCEPT]))
+
+
+def find(docs: DataFrame, *carry: str) -> DataFrame:
+    """Columns carry of docs, then spans: all candidates of each text that are accepted, sorted by start and kind.
+
+    A span has start, kind (index into KINDS), end, base (a strict match that passes its check) and code. Offsets count code points,
+    ends are exclusive. Null text counts as empty; repeated rows get the same spans; empty tables give no rows; columns that aren't in
+    carry are ignored; where one in carry is called spans, the last column is _spans. Texts are read whole, one at a time. The corpus
+    is read once; its candidates are kept as a table for the second step, to which the accepted codes are broadcast: a code is a kind
+    and what labelers and features say, so there are no more of them than such patterns, four bytes each.
+    """
+    made, name, accepted = _judged(docs, list(carry))
 
     def accept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            spans = batch.column(width)
-            each = spans.flatten()
-            good = np.asarray(each.field("base").fill_null(False), bool) | np.isin(np.asarray(each.field("code"), np.int64), accepted.value)
-            offsets = np.concatenate([[0], np.cumsum(good)])[np.concatenate([[0], np.cumsum(np.asarray(spans.value_lengths().fill_null(0)))])]
-            kept = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), each.filter(pa.array(good)))
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(width)), kept], [*carry, name])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], accepted.value.keep(batch.columns[-1])], batch.schema.names)
 
-    return made.mapInArrow(accept, schema).withColumn(name, F.array_sort(F.col(name)))
+    return made.mapInArrow(accept, made.schema).withColumn(name, F.array_sort(F.col(name)))
 
 
 def written(spans: Column) -> Column:
@@ -310,17 +323,16 @@ def mask(docs: DataFrame) -> DataFrame:
     further columns keep their values, whatever they are called.
     """
     columns = docs.columns
-    own = docs.select(*[F.col(f"`{c}`") for c in columns])
-    found = find(own, *columns)
+    made, _, accepted = _judged(docs, columns)
     at = columns.index("text")
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(at).to_pylist()
-            for i, spans in enumerate(batch.column(len(columns)).to_pylist()):
+            for i, spans in enumerate(accepted.value.keep(batch.column(len(columns))).to_pylist()):
                 if spans:
                     parts, pos = [], 0
-                    for s in spans:
+                    for s in sorted(spans, key=lambda s: (s["start"], s["kind"], s["end"])):
                         if s["start"] >= pos:
                             parts += [texts[i][pos : s["start"]], f"<{KINDS[s['kind']].upper()}>"]
                             pos = s["end"]
@@ -331,7 +343,7 @@ def mask(docs: DataFrame) -> DataFrame:
             arrays[at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(arrays, columns)
 
-    out = found.mapInArrow(put, docs.schema)
+    out = made.mapInArrow(put, docs.schema)  # accepted and masked in one pass, by one worker
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in columns else out
 
 
