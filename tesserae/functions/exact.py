@@ -6,8 +6,8 @@ import math
 from bisect import bisect_left
 from fractions import Fraction
 from functools import lru_cache
-from itertools import product
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -33,29 +33,87 @@ def event_sql(total: str, drawn: str, inside: str, outside: str) -> str:
         ELSE {part(drawn, total, inside)} * {part(f'({total}) - ({drawn})', f'({total}) - ({inside})', outside)} END)"""
 
 
-def _log_choose(n: int, k: int) -> float:
-    return math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1)
+#: Chances below e**-FLOOR of the largest are left out of sums; what that can miss is bounded with them.
+FLOOR = 90.0
+
+
+def support(population: int, successes: int, drawn: int) -> tuple[int, np.ndarray, float]:
+    """The chances of a hypergeometric count around its mode: the first count, their values, and a bound on what lies outside.
+
+    Neighbours follow from each other by their ratio, so nothing as large as a binomial coefficient is formed. Beyond the ends ratios
+    fall, so what is left out is less than a geometric series.
+    """
+    low, high = max(0, drawn + successes - population), min(drawn, successes)
+    mode = min(high, max(low, (drawn + 1) * (successes + 1) // (population + 2)))
+    share = successes / population if population else 0.0
+    radius = int(14 * math.sqrt(max(1.0, drawn * share * (1 - share)))) + 60
+
+    def ratios(start: int, end: int) -> np.ndarray:
+        """Of the chance of t + 1 to that of t, for t from start to end - 1."""
+        t = np.arange(start, end, dtype=np.float64)
+        return (successes - t) * (drawn - t) / ((t + 1) * (population - successes - drawn + t + 1))
+
+    while True:
+        first, last = max(low, mode - radius), min(high, mode + radius)
+        logs = np.concatenate([-np.cumsum(np.log(ratios(first, mode))[::-1])[::-1], [0.0], np.cumsum(np.log(ratios(mode, last)))])
+        if (first == low or logs[0] < -FLOOR) and (last == high or logs[-1] < -FLOOR):
+            break
+        radius *= 2
+    p = np.exp(logs)
+    outside = 0.0
+    for end, there, step in ((0, first == low, None if first == low else 1 / ratios(first - 1, first)[0]), (-1, last == high, None if last == high else ratios(last, last + 1)[0])):
+        if not there:
+            outside += p[end] * step / (1 - step) if step < 1 else 1.0
+    whole = math.fsum(p) + outside
+    return first, p / whole, outside / whole
 
 
 def upper_tail_at_least(population: int, successes: int, drawn: int, seen: int, level: Fraction) -> bool:
-    """Whether P(X >= seen) >= level for a hypergeometric X; by floats where they are clear, exactly where they aren't."""
+    """Whether P(X >= seen) >= level for a hypergeometric X; by floats where they are clear, by whole numbers where they aren't."""
     low, high = max(0, drawn + successes - population), min(drawn, successes)
     if seen <= low:
         return True
     if seen > high:
         return False
-    whole = _log_choose(population, drawn)
+    first, p, _ = support(population, successes, drawn)
+    at = min(max(0, seen - first), len(p))
     # the shorter tail is summed
-    if high - seen <= seen - low:
-        value = math.fsum(math.exp(_log_choose(successes, j) + _log_choose(population - successes, drawn - j) - whole) for j in range(seen, high + 1))
-    else:
-        value = 1 - math.fsum(math.exp(_log_choose(successes, j) + _log_choose(population - successes, drawn - j) - whole) for j in range(low, seen))
-    if abs(value - float(level)) > 1e-6 * float(level) + 1e-9:
+    value = math.fsum(p[at:]) if len(p) - at <= at else 1 - math.fsum(p[:at])
+    if abs(value - float(level)) > 1e-9 + 1e-7 * float(level):
         return value >= level
+    if population > 5000:
+        clear = _by_scaled_terms(population, successes, drawn, seen, level)
+        if clear is not None:
+            return clear
     ways = sum(math.comb(successes, j) * math.comb(population - successes, drawn - j) for j in range(seen, high + 1))
     return Fraction(ways, math.comb(population, drawn)) >= level
 
 
+def _by_scaled_terms(population: int, successes: int, drawn: int, seen: int, level: Fraction, bits: int = 400) -> bool | None:
+    """The same from the terms as multiples of 2**-bits of the largest, by ratios of neighbours; None where rounding could decide."""
+    low, high = max(0, drawn + successes - population), min(drawn, successes)
+    mode = min(high, max(low, (drawn + 1) * (successes + 1) // (population + 2)))
+    upper = whole = steps = 0
+    for step in (1, -1):
+        t, term = mode, 1 << bits
+        while low <= t <= high and term:
+            if step == 1 or t != mode:
+                whole += term
+                upper += term if t >= seen else 0
+                steps += 1
+            if step == 1:
+                term = term * (successes - t) * (drawn - t) // ((t + 1) * (population - successes - drawn + t + 1))
+            else:
+                term = term * t * (population - successes - drawn + t) // ((successes - t + 1) * (drawn - t + 1))
+            t += step
+    error = steps * steps + high - low  # each term is low by less than its distance from the mode; those left out are below one
+    if upper * level.denominator >= (whole + error) * level.numerator:
+        return True
+    if (upper + error) * level.denominator < whole * level.numerator:
+        return False
+    return None
+
+
 @lru_cache(maxsize=100_000)
 def interval(population: int, drawn: int, seen: int, alpha: str = "0.05") -> tuple[int, int]:
     """All success totals that neither tail rejects at alpha / 2 each, tails equal to it included; they are a range."""
@@ -126,33 +184,65 @@ def neyman(cap: int, sizes: list[int], pilot: list[int], agreed: list[int]) -> l
     return waterfill(cap - sum(pilot), [n * math.sqrt(r * (1 - r)) for n, r in zip(rest, rates, strict=True)], rest, [int(n > 0) for n in rest])
 
 
-#: Pilot outcomes that are summed up at most; more are an error, not an approximation.
-MOST_OUTCOMES = 2_000_000
-
-
-def design_variance(sizes: list[int], correct: list[int], cap: int, design: str) -> tuple[float, int, float]:
-    """Exact variance of the agreement estimate under a design; with the pilot outcomes that were summed up, and their mass."""
+def waterfill_many(total: int, weights: np.ndarray, capacities: list[int], least: list[int]) -> np.ndarray:
+    """waterfill() for rows of weights, all over zero where there is room. Numbers of strata are few, rows may be many."""
+    n, strata = weights.shape
+    room = np.array(capacities, np.float64) - np.array(least, np.float64)
+    value = np.broadcast_to(np.array(least, np.float64), (n, strata)).copy()
+    rate = np.where(room > 0, weights, 1.0)
+    todo = np.broadcast_to(room > 0, (n, strata)).copy()
+    left = np.full(n, float(total - sum(least)))
+    order = np.argsort(np.where(todo, room / rate, np.inf), axis=1, kind="stable")
+    for step in range(strata):
+        h = order[:, step]
+        row = np.arange(n)
+        live = todo[row, h] & (left > 0)
+        level = np.divide(left, np.where(todo, rate, 0).sum(1), out=np.zeros(n), where=live)
+        ends = live & (level * rate[row, h] < room[h])
+        value += np.where(ends[:, None] & todo, level[:, None] * rate, 0)
+        left = np.where(ends, 0.0, left)
+        fills = live & ~ends
+        value[row[fills], h[fills]] = np.array(capacities, np.float64)[h[fills]]
+        left = np.where(fills, left - room[h], left)
+        todo[row[fills], h[fills]] = False
+    whole = np.floor(value + 1e-9).astype(np.int64)
+    short = total - whole.sum(1)
+    lack = np.where(whole < np.array(capacities), whole - value, np.inf)
+    place = np.argsort(np.argsort(lack, axis=1, kind="stable"), axis=1, kind="stable")
+    return whole + (place < short[:, None])
+
+
+def known_variance(sizes: list[int], correct: list[int], cap: int, design: str) -> float | None:
+    """Exact variance of the agreement estimate under a design; None for the charged allocation, whose pilot's outcomes must be summed."""
     total = sum(sizes)
     plain = mean_variance(total, sum(correct), cap)
-    spread = lambda ns, ks, counts: math.fsum((n / total) ** 2 * mean_variance(n, k, c) for n, k, c in zip(ns, ks, counts, strict=True) if n)
-    if cap == total or design == "random":
-        return plain, 0, 1.0
+    if cap == total or design == "random" or (design == "charged_neyman" and pilot_sizes(sizes, cap) is None):
+        return plain
     if design == "proportional":
-        return (plain if cap < len(sizes) else spread(sizes, correct, waterfill(cap, [float(n) for n in sizes], sizes, [1] * len(sizes)))), 0, 1.0
-    pilot = pilot_sizes(sizes, cap)
-    if pilot is None:
-        return plain, 0, 1.0
-    supports = []
-    for n, k, a in zip(sizes, correct, pilot, strict=True):
-        whole = _log_choose(n, a)
-        supports.append([(t, math.exp(_log_choose(k, t) + _log_choose(n - k, a - t) - whole)) for t in range(max(0, a - n + k), min(a, k) + 1)])
-    if math.prod(map(len, supports)) > MOST_OUTCOMES:
-        raise ValueError(f"over {MOST_OUTCOMES} pilot outcomes")
-    terms, mass = [], []
-    for outcome in product(*supports):
-        p = math.prod(q for _, q in outcome)
-        seen = [t for t, _ in outcome]
-        rest = [n - a for n, a in zip(sizes, pilot, strict=True)]
-        terms.append(p * spread(rest, [k - t for k, t in zip(correct, seen, strict=True)], neyman(cap, sizes, pilot, seen)))
-        mass.append(p)
-    return math.fsum(terms), len(terms), math.fsum(mass)
+        if cap < len(sizes):
+            return plain
+        counts = waterfill(cap, [float(n) for n in sizes], sizes, [1] * len(sizes))
+        return math.fsum((n / total) ** 2 * mean_variance(n, k, c) for n, k, c in zip(sizes, correct, counts, strict=True) if n)
+    return None
+
+
+def pilot_terms(sizes: list[int], correct: list[int], cap: int, first: list[tuple[int, int]]) -> tuple[float, int, float]:
+    """Of the outcomes of a charged pilot whose counts lie in ranges, a range for each stratum: their part of the variance, number, mass.
+
+    Ranges count from the first count of each stratum's support(). The ranges of all strata together must hold few enough outcomes.
+    """
+    total, pilot = sum(sizes), pilot_sizes(sizes, cap)
+    axes, chances = [], []
+    for n, k, a, (lo, hi) in zip(sizes, correct, pilot, first, strict=True):
+        start, p, _ = support(n, k, a)
+        axes.append(np.arange(start + lo, start + min(hi, len(p))))
+        chances.append(p[lo:hi])
+    seen = np.stack([g.ravel() for g in np.meshgrid(*axes, indexing="ij")], 1)
+    p = np.prod(np.stack([g.ravel() for g in np.meshgrid(*chances, indexing="ij")], 1), axis=1)
+    a, rest = np.array(pilot), np.array(sizes) - np.array(pilot)
+    rates = (seen + 0.5) / (a + 1)
+    counts = waterfill_many(cap - int(a.sum()), rest * np.sqrt(rates * (1 - rates)), rest.tolist(), [int(n > 0) for n in rest.tolist()])
+    n, k, c = rest.astype(np.float64), (np.array(correct) - seen).astype(np.float64), counts.astype(np.float64)
+    open_ = (c < n) & (n > 1)
+    variance = np.where(open_, (n - c) * k * (n - k) / np.where(open_, c * n * n * (n - 1), 1), 0.0)
+    return float(p @ (variance * (n / total) ** 2).sum(1)), len(p), float(p.sum())

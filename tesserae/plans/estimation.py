@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 
 import pandas as pd
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tesserae.functions import exact
 from tesserae.operators import accounting, ranking
+from tesserae.operators.storage import stored
 from tesserae.sources import frames
 from tesserae.sources.frames import DOCUMENTS_SQL, ORDERS_SQL, TASKS_SQL
 
@@ -297,16 +299,58 @@ def neyman_allocation(frame: DataFrame) -> DataFrame:
     return _design(frame, one, "producer string, stratum int, size long, pilot long, sample long")
 
 
-@query("design_variance_exact")
-def design_variance_exact(frame: DataFrame) -> DataFrame:
-    """Exact variance of the agreement estimate under three designs for one query in a hundred, all outcomes of the pilot summed up."""
+#: Outcomes of pilots that are summed up in one piece.
+PIECE = 1 << 18
 
-    def one(producer, sizes, correct):
-        cap = max(1, sum(sizes) // 100)
-        rows = [(producer, d, *exact.design_variance(sizes, correct, cap, d)) for d in ("random", "proportional", "charged_neyman")]
-        return pd.DataFrame([(p, d, round(v, 12), n, round(m, 9)) for p, d, v, n, m in rows], columns=["producer", "design", "variance", "outcomes", "mass"])
 
-    return _design(frame, one, "producer string, design string, variance double, outcomes long, mass double")
+def design_variances(strata: DataFrame, one_in: int) -> DataFrame:
+    """Exact variances of the agreement estimate under three designs, for rows (producer, prediction, size, correct) of strata.
+
+    The budget is one query in `one_in`. The charged allocation depends on a pilot's outcome: the lattice of outcomes is cut into pieces
+    that are summed up apart, as far from the mode as chances can matter; tail bounds the mass of all that is left out. So there is
+    no number of criteria at which it ends. Columns: producer, design, variance, outcomes, tail.
+    """
+
+    def pieces(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("prediction")
+        sizes, correct = [int(x) for x in part["size"]], [int(x) for x in part["correct"]]
+        cap, rows = max(1, sum(sizes) // one_in), []
+        for design in ("random", "proportional", "charged_neyman"):
+            known = exact.known_variance(sizes, correct, cap, design)
+            if known is not None:
+                rows.append((design, known, 0.0, [], []))
+                continue
+            supports = [exact.support(n, k, a) for n, k, a in zip(sizes, correct, exact.pilot_sizes(sizes, cap), strict=True)]
+            lengths = [len(p) for _, p, _ in supports]
+            step = [min(n, max(1, int(PIECE ** (1 / len(lengths))))) for n in lengths]
+            for low in itertools.product(*(range(0, n, s) for n, s in zip(lengths, step, strict=True))):
+                rows.append((design, None, sum(x for _, _, x in supports), list(low), [min(n, a + s) for n, a, s in zip(lengths, low, step, strict=True)]))
+        out = pd.DataFrame(rows, columns=["design", "known", "tail", "low", "high"])
+        return out.assign(producer=part["producer"].iloc[0], sizes=[sizes] * len(out), correct=[correct] * len(out), cap=cap)
+
+    def sums(batches):
+        for part in batches:
+            rows = []
+            for r in part.itertuples():
+                if len(r.low) == 0:
+                    rows.append((r.producer, r.design, r.known, 0, 0.0))
+                else:
+                    value, n, _ = exact.pilot_terms([int(x) for x in r.sizes], [int(x) for x in r.correct], int(r.cap), list(zip(map(int, r.low), map(int, r.high), strict=True)))
+                    rows.append((r.producer, r.design, value, n, r.tail))
+            yield pd.DataFrame(rows, columns=["producer", "design", "variance", "outcomes", "tail"])
+
+    schema = "producer string, sizes array<long>, correct array<long>, cap long, design string, known double, tail double, low array<long>, high array<long>"
+    cut = stored(strata.groupBy("producer").applyInPandas(pieces, schema), "lattice")
+    dealt = cut.repartition(max(1, min(int(cut.sparkSession.conf.get("spark.sql.shuffle.partitions")), cut.count())))
+    each = dealt.mapInPandas(sums, "producer string, design string, variance double, outcomes long, tail double")
+    return each.groupBy("producer", "design").agg(F.sum("variance").alias("variance"), F.sum("outcomes").alias("outcomes"), F.max("tail").alias("tail"))
+
+
+@query("design_variance_exact")
+def design_variance_exact(frame: DataFrame) -> DataFrame:
+    """Exact variance of the agreement estimate under three designs for one query in a hundred."""
+    rows = design_variances(_strata(frame), 100)
+    return rows.select("producer", "design", F.round("variance", 15).alias("variance"), "outcomes", (F.col("tail") < 1e-15).alias("complete"))
 
 
 REPLICATES = 399

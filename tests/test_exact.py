@@ -4,6 +4,7 @@ import itertools
 import math
 from fractions import Fraction
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -67,9 +68,64 @@ def test_design_variance_by_enumeration():
             v += (len(rest[h]) / sum(sizes)) ** 2 * sum((m - mean) ** 2 for m in means) / len(means)
         total += v
         mass += 1
-    got, outcomes, whole = exact.design_variance(sizes, correct, cap, "charged_neyman")
+    lengths = [len(exact.support(n, k, a)[1]) for n, k, a in zip(sizes, correct, pilot, strict=True)]
+    got, outcomes, whole = exact.pilot_terms(sizes, correct, cap, [(0, n) for n in lengths])
     assert got == pytest.approx(total / mass) and whole == pytest.approx(1) and outcomes > 1
-    assert exact.design_variance(sizes, correct, 11, "random")[0] == 0
+    assert exact.known_variance(sizes, correct, 11, "random") == 0 and exact.known_variance(sizes, correct, cap, "charged_neyman") is None
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.integers(1, 60), st.data())
+def test_support_is_the_distribution(population, data):
+    successes, drawn = data.draw(st.integers(0, population)), data.draw(st.integers(0, population))
+    first, p, outside = exact.support(population, successes, drawn)
+    want = [math.comb(successes, t) * math.comb(population - successes, drawn - t) / math.comb(population, drawn) for t in range(max(0, drawn + successes - population), min(drawn, successes) + 1)]
+    assert first == max(0, drawn + successes - population) and p == pytest.approx(want) and outside == 0
+
+
+def test_support_of_large_counts():
+    first, p, outside = exact.support(10**10, 7 * 10**9, 10**8)
+    mean = first + float((np.arange(len(p)) * p).sum())
+    assert mean == pytest.approx(7 * 10**7, rel=1e-9) and math.fsum(p) == pytest.approx(1) and outside < 1e-30 and len(p) < 10**6
+    low, high = exact.interval(10**8, 10**6, 700_000)
+    assert 0 < 7 * 10**7 - low < 10**6 and 0 < high - 7 * 10**7 < 10**6
+    assert exact._by_scaled_terms(60_000, 50_000, 3_000, 2_500, Fraction(1, 2)) == (tail(60_000, 50_000, 3_000, 2_500) >= Fraction(1, 2))
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 30), st.floats(0.01, 9)), min_size=1, max_size=4), st.data())
+def test_waterfill_of_many_is_that_of_each(strata, data):
+    caps = [c for c, _ in strata]
+    least = [int(c > 0) for c in caps]
+    total = data.draw(st.integers(sum(least), sum(caps)))
+    rows = [[w * f for (_, w), f in zip(strata, data.draw(st.lists(st.floats(0.1, 3), min_size=len(caps), max_size=len(caps))), strict=True)] for _ in range(3)]
+    got = exact.waterfill_many(total, np.array(rows), caps, least)
+    assert got.tolist() == [exact.waterfill(total, r, caps, least) for r in rows]
+
+
+def test_design_variances_at_any_size(spark):
+    from tesserae.plans import estimation
+
+    def by_outcomes(sizes, correct, cap):
+        pilot = exact.pilot_sizes(sizes, cap)
+        total = sum(sizes)
+        out = 0.0
+        for t in itertools.product(*(range(max(0, a - n + k), min(a, k) + 1) for n, k, a in zip(sizes, correct, pilot, strict=True))):
+            p = math.prod(math.comb(k, x) * math.comb(n - k, a - x) / math.comb(n, a) for n, k, a, x in zip(sizes, correct, pilot, t, strict=True))
+            rest = [n - a for n, a in zip(sizes, pilot, strict=True)]
+            counts = exact.neyman(cap, sizes, pilot, list(t))
+            out += p * sum((n / total) ** 2 * exact.mean_variance(n, k - x, c) for n, k, x, c in zip(rest, correct, t, counts, strict=True) if n)
+        return out
+
+    worlds = {"a": ([3000, 9000], [2000, 8500]), "b": ([700, 1300], [10, 1299]), "c": ([5_000_000, 7_000_000], [4_000_000, 6_500_000]), "d": ([400, 0], [380, 0])}
+    strata = spark.createDataFrame([(w, h, n, k) for w, (ns, ks) in worlds.items() for h, (n, k) in enumerate(zip(ns, ks, strict=True)) if n], "producer string, prediction int, size long, correct long")
+    got = {(r["producer"], r["design"]): r for r in estimation.design_variances(strata, 100).collect()}
+    for w in "ab":
+        sizes, correct = worlds[w]
+        assert got[w, "charged_neyman"]["variance"] == pytest.approx(by_outcomes(sizes, correct, sum(sizes) // 100), rel=1e-9)
+    big = {d: got["c", d]["variance"] for d in ("random", "proportional", "charged_neyman")}
+    assert got["c", "charged_neyman"]["outcomes"] > 10**6 and got["c", "charged_neyman"]["tail"] < 1e-30
+    assert big["proportional"] < big["random"] and big["charged_neyman"] < 1.3 * big["proportional"]
 
 
 def test_event_by_subsets(spark):
