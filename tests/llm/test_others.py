@@ -472,3 +472,31 @@ def test_memory_of_a_long_text():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert langs[int(d[0].argmax())] == "en" and peak < 200 << 20
+
+
+WHOLE = {"Apache-2.0": "Apache-2.0", "Artistic": "Artistic-1.0", "BSD": "BSD-3-Clause", "CC0-1.0": "CC0-1.0", "GFDL-1.2": "GFDL-1.2", "GFDL-1.3": "GFDL-1.3", "GPL-1": "GPL-1.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2": "LGPL-2.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-1.1": "MPL-1.1", "MPL-2.0": "MPL-2.0"}
+
+
+def test_whole_licence_texts_are_named_as_themselves(spark):
+    import os
+
+    folder = "/usr/share/common-licenses"
+    files = [f for f in WHOLE if os.path.exists(f"{folder}/{f}")]
+    if not files:
+        pytest.skip("no licence texts on this machine")
+    texts = ["Some words before.\n" + open(f"{folder}/{f}", encoding="utf-8").read() for f in files]
+    got = {}
+    for r in licences.scan(documents(spark, texts)).collect():
+        got.setdefault(files[r["doc_id"]], set()).add(r["licence"])
+    assert {f: got.get(f, set()) - {"proprietary"} for f in files} == {f: {WHOLE[f]} for f in files}
+
+
+def test_versions_tell_licences_apart(spark):
+    notice = next(t for n, t in licences.TEMPLATES if n == "GPL-2.0" and t.startswith("This program is free"))
+    bsd = {n: max((t for m, t in licences.TEMPLATES if m == n), key=len) for n in ("BSD-2-Clause", "BSD-3-Clause")}
+    texts = [notice, notice.replace("version 2", "version 3"), notice.replace("version 2", "version 9"), "words " * 30 + bsd["BSD-2-Clause"] + " words" * 30, "words " * 30 + bsd["BSD-3-Clause"] + " words" * 30]
+    got = {}
+    for r in licences.scan(documents(spark, texts)).where("segment = -2").collect():
+        got.setdefault(r["doc_id"], set()).add(r["licence"])
+    assert got == {0: {"GPL-2.0"}, 1: {"GPL-3.0"}, 3: {"BSD-2-Clause"}, 4: {"BSD-3-Clause"}}
+    assert licences.telling("GNU Lesser General Public License, version 2.1") == ["2 1", "gnu lesser", "lesser general", "version 2"]
