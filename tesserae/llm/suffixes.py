@@ -5,7 +5,7 @@ the smallest hash. Equal windows have equal anchors at equal places, so windows
 on, half a window of them, which lie in every window of that anchor. Where all surroundings of such a core are alike, they are all
 repeated or the only ones, and no more is asked. Otherwise the windows of an anchor are taken SPAN at a time: such a group has a
 core of length - SPAN + 1 bytes and SPAN - 1 bytes on either side. Groups with equal cores become one string in which the core is a
-single symbol; a group that occurs again as a whole is in it twice. Its suffix array shows, by the neighbour of each suffix, which
+single symbol; those of a very frequent core go by their nearest bytes as well, for the windows that hold these; a group that occurs again as a whole is in it twice. Its suffix array shows, by the neighbour of each suffix, which
 windows are repeated.
 """
 
@@ -21,6 +21,8 @@ from tesserae.llm import common
 LENGTH = 400
 GRAM = 16
 SPAN = 8
+#: Occurrences from which a core's strings are dealt by the bytes next to it, too; strings that make an array together, about.
+HOT, ARRAY = 1 << 16, 1 << 15
 _U = np.uint64
 
 
@@ -178,10 +180,10 @@ def _ask_cores(key, part: pa.Table, length: int, buckets: int, **_) -> pa.Table:
     return common.packed_rows(common.send(key[0].as_py(), common.bucket_of(core, buckets), buckets, core, around, count, differ))
 
 
-ALONE, ALL, ASK = range(3)
+ALONE, ALL, ASK, SPLIT = range(4)
 
 
-def _judge_cores(key, rows: pa.Table) -> pa.Table:
+def _judge_cores(key, rows: pa.Table, hot: int) -> pa.Table:
     sizes, (core, around, count, differ) = common.receive(rows["payload"].to_pylist(), _U, _U, np.uint32, np.uint8)
     state = np.zeros(len(core), np.uint8)
     if len(core):
@@ -191,7 +193,7 @@ def _judge_cores(key, rows: pa.Table) -> pa.Table:
         total = np.add.reduceat(count[order].astype(np.int64), starts)
         unlike = np.maximum.reduceat(differ[order], starts).astype(bool)
         unlike |= np.minimum.reduceat(around[order], starts) != np.maximum.reduceat(around[order], starts)
-        verdict = np.where(total < 2, ALONE, np.where(~unlike, ALL, ASK)).astype(np.uint8)
+        verdict = np.where(total < 2, ALONE, np.where(~unlike, ALL, np.where(total < hot, ASK, SPLIT))).astype(np.uint8)
         state[order] = np.repeat(verdict, np.diff(np.append(starts, len(k))))
     ends = np.cumsum(sizes)
     blocks = rows["block"].to_pylist()
@@ -246,13 +248,33 @@ def _distinct_spans(core, left, right):
 
 
 class _Asked:
-    """What a block asks for at full length; made once to send it, and again to read the answer."""
+    """What a block asks for at full length; made once to send it, and again to read the answer.
 
-    def __init__(self, block: Block, a, lo, hi, length: int):
+    A string of a split core is asked for twice. The first half of its windows hold the SPAN / 2 bytes before the core, so equal ones
+    are in strings that agree in these; the other half hold as many after it. Each time only that half of the answer counts.
+    """
+
+    def __init__(self, block: Block, a, lo, hi, split, length: int):
         hashed = _hasher(block)
         self.of, self.first, core, left, right = _spans(block.data, hashed, a, lo, hi, length)
-        self.index, self.inverse, self.count = _distinct_spans(core, left, right)
-        self.core, self.left, self.right = core[self.index], left[self.index], right[self.index]
+        index, self.inverse, count = _distinct_spans(core, left, right)
+        core, left, right = core[index], left[index], right[index]
+        halves = split.astype(bool)[self.of][index]
+        plain, two = np.flatnonzero(~halves), np.flatnonzero(halves)
+        half = _U(8 * (SPAN // 2))
+        before, after = (left[two] >> _U(8 * (SPAN // 2 - 1))) & ((_U(1) << half) - _U(1)), right[two] & ((_U(1) << half) - _U(1))
+        near = [common.mix(core[two] + common.mix(x + _U(c))) for x, c in ((before, 0x51ED270B0F4D2A35), (after, 0x2545F4914F6CDD1D))]
+        self.row = np.concatenate([plain, two, two])
+        self.core, self.left, self.right, self.count = np.concatenate([core[plain], *near]), left[self.row], right[self.row], count[self.row]
+        low = (1 << SPAN // 2) - 1
+        self.mask = np.repeat(np.array([255, low, 255 ^ low], np.uint8), [len(plain), len(two), len(two)])
+        self.strings = len(index)
+
+    def bits(self, answers: np.ndarray) -> np.ndarray:
+        """For each group of windows the answers to what was asked for it."""
+        out = np.zeros(self.strings, np.uint8)
+        np.bitwise_or.at(out, self.row, answers & self.mask)
+        return out[self.inverse]
 
 
 def _ask_windows(key, part: pa.Table, rows: pa.Table, length: int, buckets: int, **_) -> pa.Table:
@@ -262,10 +284,10 @@ def _ask_windows(key, part: pa.Table, rows: pa.Table, length: int, buckets: int,
     if not state.any():
         return common.packed_rows([])
     me = key[0].as_py()
-    sure, ask = state == ALL, state == ASK
-    asked = _Asked(block, block.a[ask], block.lo[ask], block.hi[ask], length)
+    sure, ask = state == ALL, state >= ASK
+    asked = _Asked(block, block.a[ask], block.lo[ask], block.hi[ask], state[ask] == SPLIT, length)
     out = common.send(me, common.bucket_of(asked.core, buckets), buckets, asked.core, asked.left, asked.right, (asked.count > 1).astype(np.uint8))
-    note = [np.array([sure.sum(), ask.sum()]), block.lo[sure], block.hi[sure], block.a[ask], block.lo[ask], block.hi[ask]]
+    note = [np.array([sure.sum(), ask.sum()]), block.lo[sure], block.hi[sure], block.a[ask], block.lo[ask], block.hi[ask], state[ask] == SPLIT]
     out.append((me % buckets, me, 1, np.concatenate(note).astype(np.int64).tobytes()))
     return common.packed_rows(out)
 
@@ -295,7 +317,13 @@ def _judge_windows(key, rows: pa.Table) -> pa.Table:
             string[:, : SPAN - 1] = np.where(near < xs[:, 7:], 1, xs[:, : SPAN - 1].astype(np.int64) + 2)
             string[:, SPAN - 1] = 258 + which[at[fed]]
             string[:, SPAN:] = np.where(near >= SPAN - 1 - ys[:, 7:].astype(np.int64), 1, ys[:, : SPAN - 1].astype(np.int64) + 2)
-            found[fed] = np.packbits(repeated_windows(string, SPAN), axis=1, bitorder="little")[:, 0]
+            # cores share no window, so an array holds whole cores only
+            edge = np.append(np.flatnonzero(np.concatenate([[True], np.diff(string[:, SPAN - 1]) != 0])), len(fed))
+            lo = 0
+            while lo < len(fed):
+                hi = max(int(edge[np.searchsorted(edge, lo, "right")]), int(edge[np.searchsorted(edge, lo + ARRAY, "right") - 1]))
+                found[fed[lo:hi]] = np.packbits(repeated_windows(string[lo:hi], SPAN), axis=1, bitorder="little")[:, 0]
+                lo = hi
         bits[order] = np.repeat(found, np.diff(np.append(at, len(c))))
     ends, out = np.cumsum(sizes), []
     out += [(key[0].as_py(), int(blocks[i]), 0, bits[e - n : e].tobytes()) for i, n, e in zip(of[0], sizes, ends, strict=True)]
@@ -322,11 +350,11 @@ def _remove(key, part: pa.Table, rows: pa.Table, length: int, buckets: int, **_)
             continue
         note = np.frombuffer(payload, np.int64)
         sure, ask = note[:2]
-        lo_sure, hi_sure, a, lo, hi = np.split(note[2:], np.cumsum([sure, sure, ask, ask]))
+        lo_sure, hi_sure, a, lo, hi, split = np.split(note[2:], np.cumsum([sure, sure, ask, ask, ask]))
         np.add.at(change, lo_sure, 1)
         np.add.at(change, hi_sure + length, -1)
-        asked = _Asked(block, a, lo, hi, length)
-        bits = _bytes_back(rows, 0, common.bucket_of(asked.core, buckets), buckets)[asked.inverse]
+        asked = _Asked(block, a, lo, hi, split, length)
+        bits = asked.bits(_bytes_back(rows, 0, common.bucket_of(asked.core, buckets), buckets))
         for j in range(SPAN):
             start = asked.first + j
             good = ((bits >> np.uint8(j)) & 1).astype(bool) & (start >= lo[asked.of]) & (start <= hi[asked.of])
@@ -343,13 +371,14 @@ def _remove(key, part: pa.Table, rows: pa.Table, length: int, buckets: int, **_)
     return pa.table([block.part["doc_id"], pa.array(np.diff(block.offsets)), pa.array(n_removed), pa.array(count(opens)), pa.array(kept, pa.binary())], schema=RESULT)
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
     """Remove each byte covered by a string of `length` bytes that also starts anywhere else, in the same document or another.
 
     Texts are UTF-8 bytes; strings lie within a document, may overlap, and are judged on the input. Returns doc_id, n_bytes,
     n_removed, n_spans (maximal removed runs) and kept (the remaining bytes, which may begin or end amid a character) for each row.
     Null counts as empty; repeated rows are copies of each other; a null doc_id stays; empty tables give no rows; further columns are
-    ignored; texts are read whole, however long. Cores of any number of occurrences go the same way. Cores are compared by 64-bit hashes along with hashes or bytes of what is around them.
+    ignored; texts are read whole, however long. A core with `hot`
+    or more occurrences is dealt by its nearest bytes to several tasks. Cores are compared by 64-bit hashes along with hashes or bytes of what is around them.
     """
     if length < 4 * GRAM or length < 4 * SPAN:
         raise ValueError("length is too short for anchors")
@@ -357,7 +386,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     dealt = common.in_blocks(docs, blocks)
     p = {"length": length, "buckets": blocks}
     asked = dealt.groupBy("block").applyInArrow(common.grouped(_ask_cores, **p), common.PACKED)
-    cores = asked.groupBy("bucket").applyInArrow(common.grouped(_judge_cores), common.PACKED)
+    cores = asked.groupBy("bucket").applyInArrow(common.grouped(_judge_cores, hot=hot), common.PACKED)
     windows = dealt.groupBy("block").cogroup(cores.groupBy("block")).applyInArrow(common.paired(_ask_windows, **p), common.PACKED)
     judged = windows.groupBy("bucket").applyInArrow(common.grouped(_judge_windows), common.PACKED)
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"

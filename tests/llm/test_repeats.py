@@ -113,6 +113,30 @@ def test_windows_are_judged_by_the_array():
     assert [list(p) for p in judged["payload"].to_pylist()] == [[255, 0, 7], [255, 7]]
 
 
+@pytest.mark.parametrize("hot", [2, 40])
+def test_frequent_cores_are_split(spark, hot):
+    """A footer amid surroundings that agree for some bytes: equal to brute force, whether its strings are split or not."""
+    rng = random.Random(23)
+    footer = prose(rng, 60)
+    edges = ["", "a", "ba", "cba", "xcba", "yxcba", "zyxcba", "qzyxcba"]
+    texts = [prose(rng, rng.randint(0, 4)) + "." + rng.choice(edges) + footer[rng.randint(0, 3) :] + rng.choice(edges)[::-1] + "." + prose(rng, rng.randint(0, 4)) for _ in range(120)] + mixed(12)
+    out = suffixes.remove_repeats(documents(spark, texts), 96, hot=hot)
+    assert rows(out, "doc_id", "n_bytes", "n_removed", "n_spans", "kept") == brute_bytes(texts, 96)
+
+
+def test_arrays_hold_whole_cores(monkeypatch):
+    """Strings of a bucket judged in arrays of a few give what one array gives."""
+    rng = np.random.default_rng(3)
+    n = 4000
+    core = rng.integers(0, 300, n).astype(np.uint64)
+    left, right = ((rng.integers(0, 3, (n, 8)) + 65).astype(np.uint8) for _ in range(2))
+    left[:, 7] = right[:, 7] = 0
+    payload = common.packed_rows(common.send(0, np.zeros(n, np.int32), 1, core, left.view(np.uint64)[:, 0], right.view(np.uint64)[:, 0], np.zeros(n, np.uint8)))
+    whole = suffixes._judge_windows((pa.scalar(0),), payload)["payload"].to_pylist()
+    monkeypatch.setattr(suffixes, "ARRAY", 50)
+    assert suffixes._judge_windows((pa.scalar(0),), payload)["payload"].to_pylist() == whole
+
+
 def test_suffix_array():
     rng = random.Random(1)
     for _ in range(400):
