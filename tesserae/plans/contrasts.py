@@ -33,8 +33,8 @@ def big(c):
 
 _PAIR = ("sc_disagreement", "random_criterion")
 _PAIR_ORDERS = ("release", "random")
-_PAIR_SEEDS = tuple(range(1, 9))
-_PAIR_SHARES = (5, 10, 20, 50)
+_PAIR_SEEDS = grid.SEEDS
+_PAIR_SHARES = (5, 10, 20, 30, 40, 50, 60, 70, 80, 90)
 
 
 @query("mechanism_summary", f"""{grid.curves_sql(_PAIR, _PAIR_ORDERS, _PAIR_SEEDS, _PAIR_SHARES)}, ps AS (SELECT task_order, share, seed, a.C AS ca, b.C AS cb, a.eager_errors AS ea, b.eager_errors AS eb, a.C - b.C AS dc, a.eager_errors - b.eager_errors AS de, a.gate_errors - b.gate_errors AS dg, (a.C - a.CW) - (b.C - b.CW) AS di

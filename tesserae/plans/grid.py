@@ -61,27 +61,109 @@ def positions(frame: DataFrame, policies: tuple, seeds: tuple) -> DataFrame:
     asked = rows.where("NOT free").withColumn("pos", pos)
     stop = F.min(F.when(p.startswith("sc_") & (F.col("gold") == 0), F.col("pos"))).over(by_task)
     asked = asked.withColumn("stop", stop).withColumn("pos", F.when(F.col("stop").isNull() | (F.col("pos") <= F.col("stop")), F.col("pos")))
-    flagged = frame.agg(F.count_if(ranking.flagged()).alias("n_flagged"))
-    loose = ranking.global_offset(rows.where("free"), ranking.by_hash(frame, "item_key"), ["item_key"], within=("policy", "seed")).crossJoin(F.broadcast(flagged))  # one row
-    place = F.col("offset") + 1 + F.when(p == "disagreement_then_random", F.col("n_flagged")).otherwise(0)
+    both = tuple(q for q in policies if q in ("random_criterion", "disagreement_then_random"))
     keep = ["policy", "seed", "task_id", "slot", "gold", "prediction"]
     none = F.lit(None).cast("long")
-    return asked.select(*keep, F.col("pos").cast("long").alias("pos"), none.alias("place")).unionByName(loose.select(*keep, none.alias("pos"), place.alias("place")))
+    asked = asked.select(*keep, F.col("pos").cast("long").alias("pos"), none.alias("place"))
+    return asked.unionByName(_loose(frame, both, seeds)) if both else asked
 
 
-def times(frame: DataFrame, policies: tuple = ranking.POLICIES, orders: tuple = ranking.TASK_ORDERS, seeds: tuple = (1,)) -> tuple[DataFrame, DataFrame]:
-    """For each run and task the budgets at which things happen, as accounting.times() has them for one run; and a row (RUN, L) for each run."""
+#: Criteria from which a task is ordered by windows over its rows, not as one array.
+LARGE_TASK = 10_000
+_FACTS = [f"{c}_{name}" for name in ("first", "last", "fail", "fixed", "broken") for c in ("pos", "place")]
+
+
+def facts(frame: DataFrame, policies: tuple, seeds: tuple) -> DataFrame:
+    """What every policy and seed makes of each task: how many of its criteria are asked and left out, and where what happens first.
+
+    A task's criteria are gathered once; policies and seeds sort that array by themselves. What is asked in one random order over all
+    tasks is ranked once a policy and seed. Tasks of over LARGE_TASK criteria are ordered row by row.
+    """
+    sizes = frame.groupBy("task_id").agg(F.count("*").alias("k"))
+    large = storage.stored(sizes.where(F.col("k") > LARGE_TASK), "large-tasks")
+    if large.isEmpty():
+        return _gathered(frame, policies, seeds, frame)
+    small = frame.join(large, "task_id", "left_anti")
+    rows = positions(frame, policies, seeds).join(large, "task_id", "left_semi")
+    return _gathered(small, policies, seeds, frame).unionByName(_from_rows(rows))
+
+
+def _from_rows(rows: DataFrame) -> DataFrame:
     g, p = F.col("gold"), F.col("prediction")
     both = lambda f, name, cond: [f(F.when(cond, F.col(c))).alias(f"{c}_{name}") for c in ("pos", "place")]
     never_asked = F.col("pos").isNull() & F.col("place").isNull()
-    facts = positions(frame, policies, seeds).groupBy("policy", "seed", "task_id").agg(
+    return rows.groupBy("policy", "seed", "task_id").agg(
         F.count("pos").alias("n_pos"), F.count("place").alias("n_place"), F.count_if(never_asked).alias("missed"), F.count_if(never_asked & (p == 0) & (g == 1)).alias("unrepaired"),
         F.min(g).alias("g"), F.min(p).alias("p"), F.sum(1 - p).alias("fail_count"), F.max(F.when((g == 0) & (p == 0), 1).otherwise(0)).alias("shared"),
         *both(F.min, "first", F.lit(True)), *both(F.max, "last", F.lit(True)), *both(F.min, "fail", g == 0), *both(F.max, "fixed", (p == 0) & (g == 1)), *both(F.min, "broken", (p == 1) & (g == 0)),
     )
-    facts = storage.stored(facts.withColumn("task_key", F.sha2(F.concat_ws("|", F.lit("task"), "seed", "task_id"), 256)), "facts")
-    length = storage.stored(facts.groupBy("policy", "seed").agg(F.sum(F.col("n_pos") + F.col("n_place")).alias("L")), "lengths")
-    rows = facts.crossJoin(_values(frame, orders, "task_order"))
+
+
+def _gathered(frame: DataFrame, policies: tuple, seeds: tuple, whole: DataFrame) -> DataFrame:
+    """facts() of tasks that fit an array; whole has the rows of all tasks, over which one random order runs."""
+    tasks = frame.withColumn("flag", ranking.flagged()).groupBy("task_id").agg(F.sort_array(F.collect_list(F.struct("slot", "gold", "prediction", "flag"))).alias("slots"))
+    key = lambda s: F.sha2(F.concat_ws("|", F.lit("criterion"), F.col("seed").cast("string"), F.col("task_id").cast("string"), s["slot"].cast("string")), 256)
+    # a criterion's code tells both bits: 2 * prediction + gold
+    keyed = F.transform("slots", lambda s: F.struct(key(s).alias("key"), s["slot"].alias("slot"), (2 * s["prediction"] + s["gold"]).alias("code"), s["flag"].alias("flag")))
+    rows = tasks.crossJoin(_values(frame, seeds, "seed")).withColumn("slots", keyed)
+    inside = tuple(p for p in policies if p != "random_criterion")
+    rows = rows.crossJoin(_values(frame, inside, "policy")) if inside else None
+    p = F.col("policy")
+    out = None
+    if rows is not None:
+        asked = F.filter("slots", lambda s: p.startswith("sc_") | s["flag"])
+        judged = lambda s: F.when(s["code"] >= 2, 1).otherwise(0)
+        tier = lambda s: F.when(s["flag"], 0).otherwise(1 + judged(s))
+        first = lambda s: F.when(p == "sc_judge", judged(s)).when(p == "sc_disagreement", tier(s)).otherwise(0)
+        tie = lambda s: F.when((p == "sc_natural") | (F.col("seed") == 0), F.lit("")).otherwise(s["key"])
+        ordered = F.transform(F.array_sort(F.transform(asked, lambda s: F.struct(first(s).alias("a"), tie(s).alias("b"), s["slot"].alias("slot"), s["code"].alias("code")))), lambda s: s["code"])
+        at = lambda c, code: F.nullif(F.array_position(c, code), F.lit(0).cast("long"))
+        rows = rows.select("policy", "seed", "task_id", F.transform("slots", lambda s: s["code"]).alias("all"), ordered.alias("codes"))
+        fail = F.least(at("codes", 0), at("codes", 2))
+        rows = rows.withColumn("codes", F.when(p.startswith("sc_"), F.slice("codes", 1, F.coalesce(fail.cast("int"), F.size("codes")))).otherwise(F.col("codes")))
+        n = F.size("codes").cast("long")
+        some = lambda c, code: F.size(F.filter(c, lambda x: x == code)).cast("long")
+        none = F.lit(None).cast("long")
+        out = rows.select(
+            "policy", "seed", "task_id", n.alias("n_pos"), F.lit(0).cast("long").alias("n_place"),
+            (F.size("all") - n).alias("missed"), (some("all", 1) - some("codes", 1)).alias("unrepaired"), F.array_min(F.transform("all", lambda x: x % 2)).alias("g"), F.array_min(F.transform("all", lambda x: F.floor(x / 2).cast("int"))).alias("p"),
+            F.size(F.filter("all", lambda x: x < 2)).cast("long").alias("fail_count"), F.array_contains("all", 0).cast("int").alias("shared"),
+            *[c.alias(f"pos_{name}") for name, c in (("first", F.when(n > 0, F.lit(1).cast("long"))), ("last", F.when(n > 0, n)), ("fail", fail), ("fixed", n + 1 - at(F.reverse("codes"), 1)), ("broken", at("codes", 2)))],
+            *[none.alias(f"place_{name}") for name in ("first", "last", "fail", "fixed", "broken")],
+        )
+    loose = tuple(q for q in policies if q in ("random_criterion", "disagreement_then_random"))
+    if not loose:
+        return out
+    placed = _from_rows(_loose(whole, loose, seeds).join(tasks.select("task_id"), "task_id", "left_semi") if whole is not frame else _loose(frame, loose, seeds))
+    if out is None:
+        return placed
+    # of disagreement_then_random the flagged criteria of a task come from its array, the others from the random order
+    half = out.where("policy = 'disagreement_then_random'").unionByName(placed.where("policy = 'disagreement_then_random'"))
+    merged = half.groupBy("policy", "seed", "task_id").agg(
+        F.sum("n_pos").alias("n_pos"), F.sum("n_place").alias("n_place"), F.min("g").alias("g"), F.min("p").alias("p"), F.max("fail_count").alias("fail_count"), F.max("shared").alias("shared"),
+        *[(F.max if c.endswith(("last", "fixed")) else F.min)(c).alias(c) for c in _FACTS],
+    )
+    merged = merged.withColumns({"missed": F.lit(0).cast("long"), "unrepaired": F.lit(0).cast("long")})
+    return out.where("policy <> 'disagreement_then_random'").unionByName(merged).unionByName(placed.where("policy = 'random_criterion'"))
+
+
+def _loose(frame: DataFrame, policies: tuple, seeds: tuple) -> DataFrame:
+    """The criteria that policies ask in one random order over all tasks, with place; those of the others are left out."""
+    rows = frame.withColumn("flag", ranking.flagged()).crossJoin(_values(frame, seeds, "seed"))
+    rows = rows.withColumn("item_key", F.sha2(F.concat_ws("|", F.lit("criterion"), "seed", "task_id", "slot"), 256)).crossJoin(_values(frame, policies, "policy"))
+    p = F.col("policy")
+    flagged = frame.agg(F.count_if(ranking.flagged()).alias("n_flagged"))
+    rows = rows.where((p == "random_criterion") | ~F.col("flag"))
+    ranked = ranking.global_offset(rows, ranking.by_hash(frame, "item_key"), ["item_key"], within=("policy", "seed")).crossJoin(F.broadcast(flagged))  # one row
+    place = F.col("offset") + 1 + F.when(p == "disagreement_then_random", F.col("n_flagged")).otherwise(0)
+    return ranked.select("policy", "seed", "task_id", "slot", "gold", "prediction", F.lit(None).cast("long").alias("pos"), place.alias("place"))
+
+
+def times(frame: DataFrame, policies: tuple = ranking.POLICIES, orders: tuple = ranking.TASK_ORDERS, seeds: tuple = (1,)) -> tuple[DataFrame, DataFrame]:
+    """For each run and task the budgets at which things happen, as accounting.times() has them for one run; and a row (RUN, L) for each run."""
+    made = storage.stored(facts(frame, policies, seeds).withColumn("task_key", F.sha2(F.concat_ws("|", F.lit("task"), "seed", "task_id"), 256)), "facts")
+    length = storage.stored(made.groupBy("policy", "seed").agg(F.sum(F.col("n_pos") + F.col("n_place")).alias("L")), "lengths")
+    rows = made.crossJoin(_values(frame, orders, "task_order"))
     o = F.col("task_order")
     hashed = (o == "random") | ((o == "predicted_fail_count") & (F.col("seed") != 0))
     rows = rows.withColumns({"o1": F.when(o == "predicted_fail_count", F.col("fail_count")).otherwise(0), "o2": F.when(hashed, F.col("task_key")).otherwise("")})
@@ -182,6 +264,19 @@ def policy_grid(frame: DataFrame) -> DataFrame:
     return curves(frame, seeds=GRID_SEEDS)
 
 
+def policy_grid_seeds(frame: DataFrame) -> DataFrame:
+    """The whole study: every policy, task order and share over seed 0 and 32 more, summed up over the seeds."""
+    rows = curves(frame, seeds=(0, *SEEDS))
+    mean = lambda c: F.round(F.avg(c), 9).alias(f"{c}_mean")
+    ends = [f(c).alias(f"{c}_{name}") for c in ("eager_errors", "update_delta") for f, name in ((F.min, "least"), (F.max, "most"))]
+    canonical = F.max(F.when(F.col("seed") == 0, F.col("eager_errors"))).alias("canonical_eager_errors")
+    return rows.groupBy("policy", "task_order", "share").agg(F.count("*").alias("seeds"), *[mean(c) for c in accounting.FIELDS], *ends, canonical)
+
+
+# a row for each run, share and task is too much for the SQL beside it; runs of two seeds are held against it in policy_grid
+QUERIES["policy_grid_seeds"] = lambda spark, sf_dir: policy_grid_seeds(stored_frame(spark, sf_dir))
+
+
 @query("seed_summary_percentiles", f"""WITH {ORDERS_SQL}, {curves_sql(('random_criterion',), ('random',), SEEDS, (10, 20, 50, 80))} SELECT share, count(*) AS seeds, round(quantile_cont(eager_errors, 0.05), 9) AS p05, round(quantile_cont(eager_errors, 0.5), 9) AS median,
     round(quantile_cont(eager_errors, 0.95), 9) AS p95, round(avg(gate_errors), 9) AS mean_gated, min(update_delta) AS least_delta, max(update_delta) AS most_delta FROM gr GROUP BY 1""")
 def seed_summary_percentiles(frame: DataFrame) -> DataFrame:
@@ -194,11 +289,11 @@ def seed_summary_percentiles(frame: DataFrame) -> DataFrame:
 _DELTAS = "curve AS (SELECT policy, task_order, share, avg(update_delta) AS mean, min(update_delta) AS least, max(update_delta) AS most, quantile_cont(update_delta, 0.05) AS p05, quantile_cont(update_delta, 0.95) AS p95, count(*) FILTER (update_delta < 0) AS below, count(*) FILTER (update_delta = 0) AS equal, count(*) FILTER (update_delta > 0) AS above FROM gr GROUP BY 1, 2, 3)"
 
 
-@query("update_delta_summary", f"""WITH {ORDERS_SQL}, {curves_sql(('sc_random', 'sc_judge', 'disagreement_then_random'), ('random', 'release'), (1, 2, 3, 4), tuple(range(0, 101, 5)))}, {_DELTAS}
+@query("update_delta_summary", f"""WITH {ORDERS_SQL}, {curves_sql(('sc_random', 'sc_judge', 'disagreement_then_random'), ('random', 'release'), SEEDS, tuple(range(0, 101, 5)))}, {_DELTAS}
     SELECT policy, task_order, share, round(mean, 9) AS mean, least, most, round(p05, 9) AS p05, round(p95, 9) AS p95, below, equal, above FROM curve""")
 def update_delta_summary(frame: DataFrame) -> DataFrame:
     """Gated less eager errors over seeds at each share: mean, extremes, percentiles and how often each side is better."""
-    rows = curves(frame, ("sc_random", "sc_judge", "disagreement_then_random"), ("random", "release"), (1, 2, 3, 4), tuple(range(0, 101, 5)))
+    rows = curves(frame, ("sc_random", "sc_judge", "disagreement_then_random"), ("random", "release"), SEEDS, tuple(range(0, 101, 5)))
     d, n = F.col("update_delta"), lambda c: F.count_if(c)
     return rows.groupBy("policy", "task_order", "share").agg(F.round(F.avg(d), 9).alias("mean"), F.min(d).alias("least"), F.max(d).alias("most"), F.round(F.percentile(d, 0.05), 9).alias("p05"), F.round(F.percentile(d, 0.95), 9).alias("p95"), n(d < 0).alias("below"), n(d == 0).alias("equal"), n(d > 0).alias("above"))
 
@@ -212,11 +307,11 @@ def peak_plateaus(frame: DataFrame) -> DataFrame:
     return rows.groupBy("policy", "peak").agg(F.min(on).alias("first_share"), F.max(on).alias("last_share"))
 
 
-@query("order_sensitivity", f"""WITH {ORDERS_SQL}, {curves_sql(('sc_judge',), ranking.TASK_ORDERS, (1, 2, 3, 4, 5), (20,))} SELECT task_order, count(*) AS seeds, round(avg(C), 9) AS certified, round(quantile_cont(eager_errors, 0.05), 9) AS p05,
+@query("order_sensitivity", f"""WITH {ORDERS_SQL}, {curves_sql(('sc_judge',), ranking.TASK_ORDERS, SEEDS, (20,))} SELECT task_order, count(*) AS seeds, round(avg(C), 9) AS certified, round(quantile_cont(eager_errors, 0.05), 9) AS p05,
     round(quantile_cont(eager_errors, 0.95), 9) AS p95, round(avg(gate_errors), 9) AS gate_errors FROM gr GROUP BY 1""")
 def order_sensitivity(frame: DataFrame) -> DataFrame:
-    """One policy at a fifth of the budget under each order of tasks, over five seeds."""
-    rows = curves(frame, ("sc_judge",), ranking.TASK_ORDERS, (1, 2, 3, 4, 5), (20,))
+    """One policy at a fifth of the budget under each order of tasks, over 32 seeds."""
+    rows = curves(frame, ("sc_judge",), ranking.TASK_ORDERS, SEEDS, (20,))
     r = lambda c: F.round(c, 9)
     return rows.groupBy("task_order").agg(F.count("*").alias("seeds"), r(F.avg("C")).alias("certified"), r(F.percentile("eager_errors", 0.05)).alias("p05"), r(F.percentile("eager_errors", 0.95)).alias("p95"), r(F.avg("gate_errors")).alias("gate_errors"))
 

@@ -146,7 +146,7 @@ def transcript_sc_judge(frame: DataFrame) -> DataFrame:
 
 
 for _policy, _name in (("random_criterion", "budget_curve_random"), ("sc_judge", "budget_curve_sc_judge"), ("disagreement_then_random", "budget_curve_disagreement"), ("sc_disagreement", "budget_curve_sc_disagreement")):
-    on_frame(_name, f"WITH {ORDERS_SQL}, {ranking.transcript_sql(_policy)}, {accounting.curve_sql()} SELECT share, {FIELDS} FROM cv")(lambda f, p=_policy: accounting.curve(f, ranking.transcript(f, p)).select("share", *accounting.FIELDS))
+    on_frame(_name, f"WITH {ORDERS_SQL}, {ranking.transcript_sql(_policy)}, {accounting.curve_sql(shares=grid.SHARES)} SELECT share, {FIELDS} FROM cv")(lambda f, p=_policy: grid.curves(f, (p,), ("random",), (1,)).select("share", *accounting.FIELDS))
 
 
 @on_frame("eager_vs_gated", f"WITH {ORDERS_SQL}, {ranking.transcript_sql('sc_random')}, {accounting.curve_sql()} SELECT share, eager_errors, gate_errors, update_delta, CAST(abs(update_delta) <= U AS BOOLEAN) AS bounded FROM cv")
@@ -229,11 +229,12 @@ def leave_one_base_out(frame: DataFrame) -> DataFrame:
     return part.crossJoin(F.broadcast(total)).select("base_id", "tasks", "part", (F.col("total") - F.col("part")).alias("without"))  # one row
 
 
-@on_frame("budget_curve_without_base", f"""WITH {ORDERS_SQL.replace('crit AS', 'crit0 AS', 1)}, crit AS (SELECT * FROM crit0 WHERE base_id % 7 <> 0), {ranking.transcript_sql('random_criterion')}, {accounting.curve_sql()} SELECT share, {FIELDS} FROM cv""")
-def budget_curve_without_base(frame: DataFrame) -> DataFrame:
-    """Families taken out after ranking: priorities are hashes, so those of the others stay, and ranks and budgets close up."""
-    rest = frame.where(F.col("base_id") % 7 != 0)
-    return accounting.curve(rest, ranking.transcript(rest, "random_criterion")).select("share", *accounting.FIELDS)
+@on_frame("budget_curve_without_base", f"""WITH {ORDERS_SQL.replace('crit AS', 'crit0 AS', 1)}, crit AS (SELECT * FROM crit0 WHERE base_id <> (SELECT min(base_id) FROM crit0)), {ranking.transcript_sql('random_criterion')}, {accounting.curve_sql(shares=grid.SHARES)} SELECT share, {FIELDS} FROM cv""")
+def budget_curve_without_base(frame: DataFrame, base: int | None = None) -> DataFrame:
+    """A family (by default the first) taken out after ranking: priorities are hashes, so those of the others stay, and ranks and budgets close up."""
+    taken = frame.agg(F.min("base_id").alias("taken")) if base is None else frame.sparkSession.range(1).select(F.lit(base).alias("taken"))
+    rest = frame.join(F.broadcast(taken), F.col("base_id") == F.col("taken"), "left_anti")  # one row
+    return grid.curves(rest, ("random_criterion",), ("random",), (1,)).select("share", *accounting.FIELDS)
 
 
 # ---------------------------------------------------------------- contrasts of policies

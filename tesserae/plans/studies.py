@@ -416,12 +416,12 @@ def bounds_d1_max(frame: DataFrame) -> DataFrame:
     return rows.groupBy("k", "g").agg(F.sum(fit).alias("fit")).groupBy("k").agg(F.min("fit").cast("long").alias("most_passes"))
 
 
-@query("disclosure_orders", """, o AS (SELECT t.*, ord, row_number() OVER (PARTITION BY ord ORDER BY sha256('shown|' || ord || '|' || task_id), task_id) AS r, count(*) OVER (PARTITION BY ord) AS N FROM tasks t, (SELECT unnest(range(1, 9)) AS ord)),
+@query("disclosure_orders", """, o AS (SELECT t.*, ord, row_number() OVER (PARTITION BY ord ORDER BY sha256('shown|' || ord || '|' || task_id), task_id) AS r, count(*) OVER (PARTITION BY ord) AS N FROM tasks t, (SELECT unnest(range(1, 11)) AS ord)),
     p AS (SELECT ord, share, max(N) AS N, count(*) FILTER (r <= floor(share * N / 100)) AS shown, count(*) FILTER (r <= floor(share * N / 100) AND (gf = 0) <> (pf = 0)) AS identified FROM o, (SELECT unnest([10, 25, 50, 75]) AS share) GROUP BY 1, 2)
     SELECT share, round(avg(1 - shown / N), 9) AS mean_width, round(avg(identified), 9) AS mean_identified, min(identified) AS least, max(identified) AS most FROM p GROUP BY 1""", frame=True)
 def disclosure_orders(frame: DataFrame) -> DataFrame:
-    """Nested beginnings of eight random orders of the tasks: how wide the range of pass rates stays, and how many wrong verdicts show."""
-    t = accounting.tasks(frame).select("task_id", ((F.col("gf") == 0) != (F.col("pf") == 0)).cast("int").alias("wrong"), F.explode(F.sequence(F.lit(1), F.lit(8))).alias("ord"))
+    """Nested beginnings of ten random orders of the tasks: how wide the range of pass rates stays, and how many wrong verdicts show."""
+    t = accounting.tasks(frame).select("task_id", ((F.col("gf") == 0) != (F.col("pf") == 0)).cast("int").alias("wrong"), F.explode(F.sequence(F.lit(1), F.lit(10))).alias("ord"))
     t = t.withColumn("key", F.sha2(F.concat_ws("|", F.lit("shown"), "ord", "task_id"), 256))
     ranked = ranking.global_offset(t, ranking.by_hash(frame, "key"), ["key", "task_id"], within=("ord",))
     total = accounting.tasks(frame).agg(F.count("*").alias("N"))

@@ -61,3 +61,21 @@ def test_offsets_within_runs(spark):
         for r in sorted((r for r in got if r["run"] == run), key=lambda r: r["h"]):
             assert r["offset"] == total
             total += r["w"]
+
+
+def test_arrays_and_rows_give_the_same_facts(spark, monkeypatch):
+    """Tasks as arrays, tasks by windows, and some of each."""
+    import random
+
+    from tesserae.operators import ranking
+    from tesserae.plans import grid
+
+    rng = random.Random(8)
+    rows = [(t, s, t % 5, "p", "A", rng.randrange(2), rng.randrange(2), [rng.randrange(2)]) for t in range(40) for s in range(rng.randint(1, 6))]
+    frame = spark.createDataFrame(rows, "task_id long, slot int, base_id long, producer string, category string, gold int, prediction int, secondary array<int>")
+    got = []
+    for large in (10_000, 3, 0):
+        monkeypatch.setattr(grid, "LARGE_TASK", large)
+        made = grid.facts(frame, ranking.POLICIES, (0, 1, 2))
+        got.append(sorted((tuple(r[c] for c in sorted(made.columns)) for r in made.collect()), key=repr))
+    assert len(got[0]) == 40 * 7 * 3 and got[0] == got[1] == got[2]
