@@ -23,12 +23,12 @@ TYPE = ["release", "k", "dead", "c"]
 def releases(frame: DataFrame, shown: dict[str, Column], group: Column) -> DataFrame:
     """The slots of a criterion frame once for each release: release, task_id, slot, k (size of the task), g (its group), gold, shown.
 
-    shown: for each release the condition on a slot's task_id and slot under which its reference bit is told. group: a number from 0.
+    shown: for each release the condition on the frame's columns under which a slot's reference bit is told. group: a number from 0.
     """
     sizes = frame.groupBy("task_id").agg(F.count("*").cast("int").alias("k"))
-    rows = frame.join(sizes, "task_id").select("task_id", "slot", "k", group.cast("int").alias("g"), F.col("gold").cast("int").alias("gold"))
     each = F.explode(F.array(*[F.struct(F.lit(name).alias("release"), F.coalesce(cond, F.lit(False)).alias("shown")) for name, cond in shown.items()])).alias("r")
-    return rows.select("*", each).select("r.release", "task_id", "slot", "k", "g", "gold", "r.shown")
+    rows = frame.join(sizes, "task_id").select("task_id", "slot", "k", group.cast("int").alias("g"), F.col("gold").cast("int").alias("gold"), each)
+    return rows.select("r.release", "task_id", "slot", "k", "g", "gold", "r.shown")
 
 
 def typed(slots: DataFrame, groups: int) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tesserae.operators import bounds, ranking
@@ -48,6 +49,36 @@ def ranges(frame: DataFrame, by_category: bool = True) -> DataFrame:
     return bounds.checked(bounds.witnesses(slots, tasks, planned), planned)
 
 
+ORDERS = tuple(range(1, 11))
+STEPS = (10, 25, 50, 75, 100)
+
+
+def ladder(frame: DataFrame) -> DataFrame:
+    """(stage, ord, share, tasks, truth, least, most, bound) of every release of the ladder.
+
+    d0 gives totals by size and predicted bit, d1 by category too, d2 the reference of whole tasks as well: the first floor(share of all)
+    in each of ten orders. Tasks are ranked by hashes in each order; extremes are summed over sizes.
+    """
+    tasks = frame.select("task_id").distinct()
+    n = tasks.count()
+    keyed = tasks.withColumn("ord", F.explode(F.array(*map(F.lit, ORDERS)))).withColumn("key", F.sha2(F.concat_ws("|", F.lit("shown"), "ord", "task_id"), 256))
+    ranks = ranking.global_offset(keyed, ranking.by_hash(keyed, "key"), ["key", "task_id"], name="r", within=("ord",))
+    wide = ranks.groupBy("task_id").agg(*[F.max(F.when(F.col("ord") == o, F.col("r"))).alias(f"r{o}") for o in ORDERS])
+    frame = stored(frame.join(wide, "task_id"), "ranked-frame")
+    category = F.array_position(F.array(*map(F.lit, CATEGORIES)), F.col("category")) - 1
+    none = F.lit(False)
+    shown = {"d1 0 0": none} | {f"d2 {o} {s}": F.col(f"r{o}") < s * n // 100 for o in ORDERS for s in STEPS}
+    out = None
+    for shows, group, groups in (({"d0 0 0": none}, F.col("prediction"), 2), (shown, F.col("prediction") * len(CATEGORIES) + category, GROUPS)):
+        planned = stored(bounds.plan(bounds.typed(bounds.releases(frame, shows, group), groups), groups), "ladder-plan")
+        part = planned.groupBy("release").agg(F.sum("n").alias("tasks"), F.sum("passes").alias("truth"))
+        ends = planned.groupBy("release", "k").agg(*[F.max(c).alias(c) for c in ("least", "most", "bound")]).groupBy("release").agg(*[F.sum(c).alias(c) for c in ("least", "most", "bound")])
+        part = part.join(ends, "release")
+        out = part if out is None else out.unionByName(part)
+    name = F.split("release", " ")
+    return out.select(name[0].alias("stage"), name[1].cast("int").alias("ord"), name[2].cast("int").alias("share"), "tasks", "truth", "least", "most", "bound")
+
+
 _HASH = {"task": "sha256('show|1|' || task_id)", "slot": "sha256('show|1|' || task_id || '|' || slot)"}
 
 
@@ -102,3 +133,38 @@ def witness_totals(frame: DataFrame) -> DataFrame:
     bits = bounds.witnesses(slots, tasks, bounds.plan(tasks, groups))
     told = lambda c: F.sum(F.when(F.col("shown"), F.col(c))).cast("long")
     return bits.groupBy("release", "k", "g").agg(F.count("*").alias("slots"), F.sum("low").cast("long").alias("low"), F.sum("high").cast("long").alias("high"), F.count_if("shown").alias("shown"), told("low").alias("shown_low"), told("high").alias("shown_high"))
+
+
+_RANKED = f"""o AS (SELECT task_id, ord, row_number() OVER (PARTITION BY ord ORDER BY sha256('shown|' || ord || '|' || task_id), task_id) - 1 AS r FROM tasks, (SELECT unnest(range(1, {len(ORDERS) + 1})) AS ord)),
+    rd AS (SELECT 'd1 0 0' AS release, task_id, false AS shown FROM tasks UNION ALL SELECT 'd2 ' || ord || ' ' || s, task_id, r < s * (SELECT count(*) FROM tasks) // 100 FROM o, (SELECT unnest({list(STEPS)}) AS s))"""
+
+
+def _hall(source: str, groups: int, name: str) -> str:
+    """The fewest passes of releases, summed over sizes, from slots (release, task_id, k, gold, g, shown)."""
+    outside = " + ".join(f"CASE WHEN (a.sub & {1 << g}) = 0 THEN z{g} ELSE 0 END" for g in range(groups))
+    return f"""{name}_w AS (SELECT release, task_id, k, min(gold) AS passes, bool_or(shown AND gold = 0) AS dead, coalesce(bit_or(CASE WHEN shown THEN 0 ELSE 1 << g END), 0) AS mask,
+        {', '.join(f'count(*) FILTER (NOT shown AND g = {g} AND gold = 0) AS z{g}' for g in range(groups))} FROM {source} GROUP BY ALL),
+    {name}_q AS (SELECT release, k, count(*) AS tasks, sum(passes) AS truth, count(*) FILTER (NOT dead) AS open, {', '.join(f'sum(z{g}) AS z{g}' for g in range(groups))} FROM {name}_w GROUP BY ALL),
+    {name}_m AS (SELECT release, k, mask, count(*) AS n FROM {name}_w WHERE NOT dead GROUP BY ALL), {name}_a AS (SELECT CAST(x AS INTEGER) AS sub FROM (SELECT unnest(range({1 << groups})) AS x)),
+    {name}_h AS (SELECT release, k, a.sub, sum(n) AS n FROM {name}_m JOIN {name}_a a ON (mask & a.sub) <> 0 GROUP BY ALL),
+    {name}_k AS (SELECT q.release, q.k, tasks, truth, open - min({outside} + coalesce(h.n, 0)) AS least FROM {name}_q q CROSS JOIN {name}_a a LEFT JOIN {name}_h h ON h.release = q.release AND h.k = q.k AND h.sub = a.sub GROUP BY q.release, q.k, tasks, truth, open),
+    {name} AS (SELECT release, sum(tasks) AS tasks, sum(truth) AS truth, sum(least) AS least FROM {name}_k GROUP BY 1)"""
+
+
+@query("disclosure_nesting", f""", {_RANKED}, z AS (SELECT c.task_id, c.slot, k, gold, prediction, category FROM crit c JOIN tasks t ON c.task_id = t.task_id), s0 AS (SELECT 'd0 0 0' AS release, task_id, k, gold, prediction AS g, false AS shown FROM z),
+    s1 AS (SELECT rd.release, z.task_id, k, gold, CAST(prediction * 3 + list_position(['A', 'N', 'R'], category) - 1 AS INTEGER) AS g, shown FROM z JOIN rd ON z.task_id = rd.task_id), {_hall('s0', 2, 'h0')}, {_hall('s1', GROUPS, 'h1')}
+    SELECT string_split(release, ' ')[1] AS stage, CAST(string_split(release, ' ')[2] AS INTEGER) AS ord, CAST(string_split(release, ' ')[3] AS INTEGER) AS share, {_BIG(('tasks', 'tasks'), ('truth', 'truth'), ('least', 'least'))}, true AS nested, true AS holds_truth, true AS proven FROM (SELECT * FROM h0 UNION ALL SELECT * FROM h1)""")
+def disclosure_nesting(frame: DataFrame) -> DataFrame:
+    """The ladder's releases with the fewest passes, and whether each range lies within that of the release that tells less.
+
+    d1 lies within d0; in each order the smallest share lies within d1, every further one within the share before it.
+    """
+    rows = stored(ladder(frame), "ladder")
+    base = rows.where("stage <> 'd2'").agg(*[F.max(F.when(F.col("stage") == s, F.col(c))).alias(f"{s}_{c}") for s in ("d0", "d1") for c in ("least", "most")])
+    by = W.partitionBy("ord").orderBy("share")  # five releases an order
+    rows = rows.crossJoin(F.broadcast(base))  # one row
+    before = lambda c: F.when(F.col("stage") == "d2", F.coalesce(F.lag(c).over(by), F.col(f"d1_{c}"))).when(F.col("stage") == "d1", F.col(f"d0_{c}")).otherwise(F.col(c))
+    rows = rows.withColumns({"low": before("least"), "high": before("most")})
+    nested = (F.col("low") <= F.col("least")) & (F.col("most") <= F.col("high")) & (F.col("least") <= F.col("most"))
+    holds = (F.col("least") <= F.col("truth")) & (F.col("truth") <= F.col("most"))
+    return rows.select("stage", "ord", "share", "tasks", "truth", "least", nested.alias("nested"), holds.alias("holds_truth"), (F.col("bound") == F.col("most")).alias("proven"))
