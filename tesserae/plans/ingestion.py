@@ -173,6 +173,13 @@ def text_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations(spark, sf_dir).select("conv_id", "turn", F.sha2("text", 256).alias("digest"), F.trim(F.regexp_replace("text", "[ \\t\\n\\r]+", " ")).alias("collapsed"))
 
 
+@query("normal_texts", "SELECT conv_id, turn, sha256(trim(regexp_replace(nfc_normalize(text), '[ \\t\\n\\r]+', ' ', 'g'))) AS digest FROM conversations")
+def normal_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts in Unicode's composed form (NFC), white space as one space: what is one text to a reader has one digest."""
+    rows = text.composed(conversations(spark, sf_dir).select("conv_id", "turn", "text"), "text")
+    return rows.select("conv_id", "turn", F.sha2(F.trim(F.regexp_replace("text", "[ \\t\\n\\r]+", " ")), 256).alias("digest"))
+
+
 @query("cut_middle", "SELECT doc_id, CASE WHEN length(text) <= 450 THEN text ELSE left(text, 200) || chr(10) || '[...]' || chr(10) || right(text, 200) END AS short FROM documents")
 def cut_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents(spark, sf_dir).select("doc_id", text.cut_middle(F.col("text"), 450).alias("short"))

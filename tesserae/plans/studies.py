@@ -63,6 +63,21 @@ def paired_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return h.join(a, F.col("h") == F.col("a"), "full_outer").agg(F.count("*").alias("pairs"), n_if("a IS NULL", "only_scores"), n_if("h IS NULL", "only_annotations"), F.max(F.coalesce("n", F.lit(0))).alias("most"))
 
 
+_META = {"status": "CASE WHEN min(l_linestatus) <> max(l_linestatus) THEN 'P' ELSE min(l_linestatus) END", "cents": "CAST(round(100 * sum(l_extendedprice)) AS BIGINT)", "lines": "count(*)", "first_line": "min(l_linenumber)"}
+
+
+@query("paired_metadata", f"""WITH h AS (SELECT l_orderkey AS id, {', '.join(f'{e} AS {n}' for n, e in _META.items())} FROM lineitem GROUP BY 1), a AS (SELECT o_orderkey AS id, o_orderstatus AS status, CAST(round(100 * o_totalprice) AS BIGINT) AS cents, NULL AS lines, 1 AS first_line FROM orders)
+    SELECT count(*) FILTER (h.id IS NOT NULL AND a.id IS NOT NULL) AS pairs, count(*) FILTER (h.id IS NULL) AS only_annotations, count(*) FILTER (a.id IS NULL) AS only_scores, count(*) FILTER (h.id IS NOT NULL AND a.id IS NOT NULL AND h.status IS DISTINCT FROM a.status) AS status_differs,
+    count(*) FILTER (h.id IS NOT NULL AND a.id IS NOT NULL AND h.cents IS DISTINCT FROM a.cents) AS cents_differ, count(*) FILTER (h.id IS NOT NULL AND a.id IS NOT NULL AND h.first_line IS DISTINCT FROM a.first_line) AS first_line_differs FROM h FULL OUTER JOIN a ON h.id = a.id""")
+def paired_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both sources of annotations one to one, and on how many pairs each field of their metadata differs; nulls are equal to nulls."""
+    h = frames.table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("h")).agg(*[F.expr(_META[n]).alias(f"h_{n}") for n in ("status", "cents", "first_line")])
+    a = frames.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("a"), F.col("o_orderstatus").alias("a_status"), F.expr("CAST(round(100 * o_totalprice) AS BIGINT)").alias("a_cents"), F.lit(1).alias("a_first_line"))
+    both = "h IS NOT NULL AND a IS NOT NULL"
+    rows = h.join(a, F.col("h") == F.col("a"), "full_outer")
+    return rows.agg(n_if(both, "pairs"), n_if("h IS NULL", "only_annotations"), n_if("a IS NULL", "only_scores"), *[n_if(f"{both} AND NOT (h_{n} <=> a_{n})", name) for n, name in (("status", "status_differs"), ("cents", "cents_differ"), ("first_line", "first_line_differs"))])
+
+
 @query("output_metadata", "SELECT n_name AS nation, r_name AS region, count(*) AS outputs, count(DISTINCT c_mktsegment) AS segments FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1, 2")
 def output_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = lambda name: frames.table(spark, sf_dir, name)
@@ -70,13 +85,24 @@ def output_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy(F.col("n_name").alias("nation"), F.col("r_name").alias("region")).agg(F.count("*").alias("outputs"), F.count_distinct("c_mktsegment").alias("segments"))
 
 
-@query("aligned_runs", ", p AS (SELECT task_id, slot, gold, prediction FROM crit), s AS (SELECT task_id, slot, gold, second FROM crit) SELECT count(*) AS rows, count(*) FILTER (p.gold IS DISTINCT FROM s.gold) AS drifted, count(*) FILTER (p.slot IS NULL OR s.slot IS NULL) AS unmatched, count(*) FILTER (prediction <> second) AS differ FROM p FULL OUTER JOIN s ON p.task_id = s.task_id AND p.slot = s.slot", frame=True)
-def aligned_runs(frame: DataFrame) -> DataFrame:
-    """Primary and secondary run joined on task and slot, where the reference has to be the same on both sides."""
-    p = frame.select("task_id", "slot", F.col("gold").alias("g1"), "prediction")
-    s = frame.select("task_id", "slot", F.col("gold").alias("g2"), F.col("secondary")[0].alias("second"))
-    rows = p.join(s, ["task_id", "slot"], "full_outer")
-    return rows.agg(F.count("*").alias("rows"), n_if("NOT (g1 <=> g2)", "drifted"), n_if("g1 IS NULL OR g2 IS NULL", "unmatched"), n_if("prediction <> second", "differ"))
+_SHIPPED = """SELECT l_orderkey AS task_id, l_partkey AS part, l_suppkey AS supplier, l_linenumber AS line, CAST(l_quantity >= 7 AS INTEGER) AS g2, CAST(l_discount < 0.05 AS INTEGER) AS second FROM lineitem WHERE l_linestatus = 'F'"""
+
+
+@query("aligned_runs", f"""WITH p AS (SELECT l_orderkey AS task_id, l_partkey AS part, l_suppkey AS supplier, l_linenumber AS line, CAST(l_quantity > 6 AS INTEGER) AS g1, CAST(l_tax < 0.04 AS INTEGER) AS prediction FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'P')), s AS ({_SHIPPED})
+    SELECT count(*) AS rows, count(*) FILTER (g1 IS NOT NULL AND g2 IS NOT NULL AND g1 <> g2) AS drifted, count(*) FILTER (g2 IS NULL) AS only_primary, count(*) FILTER (g1 IS NULL) AS only_secondary, count(*) FILTER (prediction <> second) AS differ FROM p FULL OUTER JOIN s USING (task_id, part, supplier, line)""")
+def aligned_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two runs over different criteria joined on what names a criterion: references that drift, criteria of one run only, verdicts that differ.
+
+    The primary run has the lines of orders with one status, the secondary one the lines that are done; each has its own reference.
+    """
+    keys = {"task_id": "l_orderkey", "part": "l_partkey", "supplier": "l_suppkey", "line": "l_linenumber"}
+    lines, whole = frames.table(spark, sf_dir, "lineitem"), frames.table(spark, sf_dir, "orders").where("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("l_orderkey"))
+    named = [F.col(c).alias(n) for n, c in keys.items()]
+    bit = lambda c, name: F.expr(c).cast("int").alias(name)
+    p = lines.join(whole, "l_orderkey", "left_semi").select(*named, bit("l_quantity > 6", "g1"), bit("l_tax < 0.04", "prediction"))
+    s = lines.where("l_linestatus = 'F'").select(*named, bit("l_quantity >= 7", "g2"), bit("l_discount < 0.05", "second"))
+    rows = p.join(s, list(keys), "full_outer")
+    return rows.agg(F.count("*").alias("rows"), n_if("g1 IS NOT NULL AND g2 IS NOT NULL AND g1 <> g2", "drifted"), n_if("g2 IS NULL", "only_primary"), n_if("g1 IS NULL", "only_secondary"), n_if("prediction <> second", "differ"))
 
 
 @query("reference_drift", """WITH g AS (SELECT l_partkey AS id, count(*) AS runs, count(DISTINCT (l_returnflag, l_linestatus)) AS versions FROM lineitem GROUP BY 1) SELECT versions, count(*) AS criteria, CAST(sum(runs) AS BIGINT) AS runs FROM g GROUP BY 1""")
