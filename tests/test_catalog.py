@@ -4,12 +4,13 @@ import os
 
 import duckdb
 import pytest
+from tests.conftest import ROOT
 
 from tesserae import catalog
 
 DATA = "/root/testdata/sf0.001"
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
-SOME = ["task_confusion_by_producer", "rejection_modes", "order_disagreement_then_random", "budget_curve_sc_judge", "query_metrics", "expected_update_curve", "donor_pools_grouping_sets", "strata_proportional", "bounds_d0_max_window", "connected_components", "budget_ledger", "two_run_agreement", "shard_packing", "verdict_rules", "bounds_d1_min", "nested_half_random", "staged_reveal", "mechanism_summary", "recovered_counts", "channel_subsets", "first_mass_position", "ledger_states", "retry_rounds"]
+SOME = ["task_confusion_by_producer", "rejection_modes", "order_disagreement_then_random", "budget_curve_sc_judge", "query_metrics", "expected_update_curve", "donor_pools_grouping_sets", "strata_proportional", "bounds_d0_max_window", "connected_components", "budget_ledger", "two_run_agreement", "shard_packing", "verdict_rules", "bounds_d1_min", "nested_half_random", "staged_reveal", "mechanism_summary", "recovered_counts", "channel_subsets", "first_mass_position", "ledger_states", "retry_rounds", "witness_totals", "forecast_comparison", "content_digest", "indexed_records", "masked_labels", "positional_differences", "seed_accuracy", "normal_texts"]
 
 
 @pytest.fixture(scope="module")
@@ -44,3 +45,24 @@ def test_the_rest_stands_without_the_corpus_operators():
         for f in files:
             if f.endswith(".py"):
                 assert "llm" not in open(os.path.join(folder, f), encoding="utf-8").read(), f
+
+
+def test_the_rest_runs_without_the_corpus_folders(tmp_path):
+    """In a copy without the corpus folders and pipeline the entry imports, and every other query is there; a broken import in them shows."""
+    import shutil
+    import subprocess
+    import sys
+
+    left_out = shutil.ignore_patterns(".git", "__pycache__", "llm", "corpus_pipeline.py")
+    shutil.copytree(ROOT, tmp_path / "copy", ignore=left_out)
+    code = "import __spark_entry__ as e, sys; q = e.queries(); print(len(q), len(e.oracle_sql()), any(n.startswith('op') and n[2].isdigit() for n in q), 'pipeline' in q)"
+    run = lambda: subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "copy", capture_output=True, text=True, env={**os.environ, "PYTHONPATH": ""})
+    from tesserae import catalog
+
+    assert run().stdout.split() == [str(len(catalog.QUERIES)), str(len(catalog.ORACLES)), "False", "False"]
+    broken = tmp_path / "copy" / "tesserae" / "llm"
+    broken.mkdir()
+    (broken / "__init__.py").write_text("")
+    (broken / "queries.py").write_text("import nowhere_to_be_found")
+    (tmp_path / "copy" / "corpus_pipeline.py").write_text("")
+    assert "nowhere_to_be_found" in run().stderr
