@@ -6,7 +6,7 @@ budgets are conditional sums over tasks.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SHARES = tuple(range(0, 101, 10))
@@ -93,24 +93,35 @@ def curve_sql(tr: str = "tr", shares=SHARES, gold: str = "gold", name: str = "cv
         {n('NOT t AND i')} AS fp, {n('NOT t AND i AND cert <= u')} AS fpc FROM {name}_x GROUP BY share, cap))"""
 
 
-def unit_states(frame: DataFrame, chosen: DataFrame) -> DataFrame:
-    """Literal state of each task after the queried set chosen (task_id, slot): certificates, verdicts, errors by initial type."""
-    seen = frame.join(chosen.select("task_id", "slot", F.lit(1).alias("seen")), ["task_id", "slot"], "left").withColumn("seen", F.coalesce("seen", F.lit(0)))
-    g, p, s = F.col("gold"), F.col("prediction"), F.col("seen")
-    now = F.when(s == 1, g).otherwise(p)
-    agg = seen.groupBy("task_id").agg(
-        F.min("base_id").alias("base_id"), F.count("*").alias("n_criteria"), F.sum(s).alias("queried"), (F.min(g) == 1).alias("t"), (F.min(p) == 1).alias("i"), (F.min(now) == 1).alias("e"),
-        (F.max(F.when((s == 1) & (g == 0), 1).otherwise(0)) == 1).alias("known_fail"), F.sum(F.when((s == 1) & (g != p), 1).otherwise(0)).alias("criterion_errors_found"),
-    )
-    t, i, e = F.col("t"), F.col("i"), F.col("e")
-    cert = F.col("known_fail") | (t & (F.col("queried") == F.col("n_criteria")))
+def states(rows: DataFrame, sets: dict[str, Column]) -> DataFrame:
+    """Literal state of each task after each of several queried sets: certificates, verdicts, errors by initial type.
+
+    rows are criteria, sets the conditions under which a criterion is in a set; the columns of a set are named <set>_<field>.
+    """
+    g, p = F.col("gold"), F.col("prediction")
+    aggs = [F.min("base_id").alias("base_id"), F.count("*").alias("n_criteria"), (F.min(g) == 1).alias("t"), (F.min(p) == 1).alias("i")]
+    for name, seen in sets.items():
+        aggs += [
+            F.sum(F.when(seen, 1).otherwise(0)).alias(f"queried_{name}"), (F.min(F.when(seen, g).otherwise(p)) == 1).alias(f"e_{name}"),
+            (F.max(F.when(seen & (g == 0), 1).otherwise(0)) == 1).alias(f"failed_{name}"), F.sum(F.when(seen & (g != p), 1).otherwise(0)).alias(f"found_{name}"),
+        ]
+    tasks = rows.groupBy("task_id").agg(*aggs)
+    t, i = F.col("t"), F.col("i")
     kind = F.when(t, F.when(i, "TP").otherwise("FF")).otherwise(F.when(i, "FP").otherwise("TN"))
-    bit = lambda c: c.cast("int")
-    return agg.select(
-        "task_id", "base_id", kind.alias("kind"), "n_criteria", "queried", "criterion_errors_found", bit(cert).alias("certified_tasks"), bit(cert & t).alias("certified_pass"), bit(cert & ~t).alias("certified_fail"),
-        bit(cert & (t != i)).alias("certified_initial_wrong"), bit(e != t).alias("residual_errors"), bit(e & ~t).alias("residual_fp"), bit(~e & t).alias("residual_ff"), bit((t != i) & ~cert).alias("gated_residual_errors"),
-        bit((kind == "FP") & ~e).alias("fixed_initial_fp"), bit((kind == "FF") & e).alias("fixed_initial_ff"), bit((kind == "TN") & e).alias("introduced_fp"),
-    )
+    out = ["task_id", "base_id", kind.alias("kind"), "n_criteria"]
+    for name in sets:
+        e, queried = F.col(f"e_{name}"), F.col(f"queried_{name}")
+        cert = F.col(f"failed_{name}") | (t & (queried == F.col("n_criteria")))
+        values = (queried, F.col(f"found_{name}"), cert, cert & t, cert & ~t, cert & (t != i), e != t, e & ~t, ~e & t, (t != i) & ~cert, (kind == "FP") & ~e, (kind == "FF") & e, (kind == "TN") & e)
+        out += [(v if n < 2 else v.cast("int")).alias(f"{name}_{f}") for n, (f, v) in enumerate(zip(UNIT_FIELDS, values, strict=True))]
+    return tasks.select(*out)
+
+
+def unit_states(frame: DataFrame, chosen: DataFrame) -> DataFrame:
+    """states() of one queried set chosen (task_id, slot), without a name before the fields."""
+    seen = frame.join(chosen.select("task_id", "slot", F.lit(1).alias("seen")), ["task_id", "slot"], "left")
+    rows = states(seen, {"x": F.col("seen").isNotNull()})
+    return rows.withColumnsRenamed({f"x_{f}": f for f in UNIT_FIELDS})
 
 
 UNIT_FIELDS = ("queried", "criterion_errors_found", "certified_tasks", "certified_pass", "certified_fail", "certified_initial_wrong", "residual_errors", "residual_fp", "residual_ff", "gated_residual_errors", "fixed_initial_fp", "fixed_initial_ff", "introduced_fp")

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tesserae.operators import accounting, ranking, validation
+from tesserae.operators.storage import stored
 from tesserae.plans import grid
 from tesserae.sources import frames
 from tesserae.sources.frames import ORDERS_SQL, TASKS_SQL
@@ -134,6 +135,16 @@ for _policy, _name in (("random_criterion", "order_random"), ("sc_natural", "ord
     on_frame(_name, f"WITH {ORDERS_SQL}, {ranking.transcript_sql(_policy)} SELECT qnum, task_id, slot FROM tr")(lambda f, p=_policy: ranking.transcript(f, p).select("qnum", "task_id", "slot"))
 
 
+def order_random(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All criteria in one random order: ids and priorities are stored once and ranked by levels; nothing else is read or written."""
+    frame = frames.orders_frame(spark, sf_dir).select("task_id", "slot")
+    keyed = stored(frame.withColumn("item_key", ranking.priority("criterion", 1, "task_id", "slot")), "keyed")
+    return ranking.global_offset(keyed, ranking.by_hash(keyed, "item_key"), ["item_key"]).select((F.col("offset") + 1).alias("qnum"), "task_id", "slot")
+
+
+QUERIES["order_random"] = order_random
+
+
 @on_frame("task_order_predicted_fail", f"WITH {ORDERS_SQL}, {TASKS_SQL} SELECT task_id, row_number() OVER (ORDER BY pf, sha256('task|1|' || task_id), task_id) - 1 AS task_rank FROM tasks")
 def task_order_predicted_fail(frame: DataFrame) -> DataFrame:
     return ranking.task_order(frame, "predicted_fail_count")
@@ -191,12 +202,33 @@ def hybrid_sc50_srs(frame: DataFrame) -> DataFrame:
     return accounting.half_and_random(frame)
 
 
+def marked(frame: DataFrame, cap_share: int = 20, seed: int = 1) -> DataFrame:
+    """Criteria with m and s: whether they are in the half-and-random and in the simple random query set of one budget.
+
+    Each set is a comparison of a rank with a number, so nothing is joined to the criteria but the start of their task. The rows are
+    stored between the rankings, as each reads them twice.
+    """
+    m = frame.count()
+    cap = accounting.share_caps(frame, (cap_share,)).first()["cap"]
+    keys = {"item_key": ranking.priority("criterion", seed, "task_id", "slot"), "fresh": ranking.priority("fresh", seed, "task_id", "slot")}
+    rows = stored(frame.select("task_id", "slot", "base_id", "gold", "prediction").withColumns(keys), "keyed")
+    rows = ranking.global_offset(rows, ranking.by_hash(rows, "item_key"), ["item_key"]).withColumn("s", F.col("offset") < cap).drop("offset")
+    by_task = W.partitionBy("task_id")
+    rows = rows.withColumn("pos", F.row_number().over(by_task.orderBy("prediction", "item_key", "slot")))
+    stop = F.min(F.when(F.col("gold") == 0, F.col("pos"))).over(by_task)
+    rows = stored(rows.withColumn("asked", F.coalesce(stop, F.count("*").over(by_task))).drop("item_key"), "ordered")
+    tasks, levels, order = ranking.task_priority(rows, "random", seed)
+    starts = ranking.global_offset(tasks.join(rows.groupBy("task_id").agg(F.max("asked").alias("asked")), "task_id"), levels, order, F.col("asked"), "start").select("task_id", "start")
+    first = (F.col("pos") <= F.col("asked")) & (F.col("start") + F.col("pos") <= cap // 2)
+    rows = stored(rows.join(starts, "task_id").withColumn("first", first).drop("start", "pos", "asked"), "first-half")
+    rest = cap - rows.where("first").count() if m else 0
+    rows = ranking.global_offset(rows, ranking.by_hash(rows, "fresh"), ["fresh"], F.when(F.col("first"), 0).otherwise(1))
+    return rows.select("task_id", "slot", "base_id", "gold", "prediction", (F.col("first") | (F.col("offset") < rest)).alias("m"), "s")
+
+
 def pairs(frame: DataFrame) -> DataFrame:
-    """States of each task under the half-and-random and the simple random query set of one budget, side by side."""
-    mixed = accounting.unit_states(frame, accounting.half_and_random(frame))
-    plain = accounting.unit_states(frame, _first_share(frame, "random_criterion"))
-    fields = [f for f in accounting.UNIT_FIELDS]
-    return mixed.select("task_id", "base_id", "kind", *[F.col(f).alias(f"m_{f}") for f in fields]).join(plain.select("task_id", *[F.col(f).alias(f"s_{f}") for f in fields]), "task_id")
+    """States of each task under the half-and-random and the simple random query set of one budget, side by side, from one aggregation."""
+    return accounting.states(marked(frame), {"m": F.col("m"), "s": F.col("s")})
 
 
 _PAIRS = f"{_SRS}, {_MIX}, {accounting.unit_states_sql('srs', 'sp')}, {accounting.unit_states_sql('mix', 'sm')}"
