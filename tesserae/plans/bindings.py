@@ -135,12 +135,12 @@ def content_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
     gx AS (SELECT pos, line IN (SELECT line FROM y) AS met, coalesce(sum(CAST(line IN (SELECT line FROM y) AS INTEGER)) OVER (ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS gap FROM x),
     gy AS (SELECT pos, line IN (SELECT line FROM x) AS met, coalesce(sum(CAST(line IN (SELECT line FROM x) AS INTEGER)) OVER (ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS gap FROM y),
     ux AS (SELECT gap, row_number() OVER (PARTITION BY gap ORDER BY pos) AS at, pos FROM gx WHERE NOT met), uy AS (SELECT gap, row_number() OVER (PARTITION BY gap ORDER BY pos) AS at, pos FROM gy WHERE NOT met)
-    SELECT CASE WHEN uy.pos IS NULL THEN 'missing' WHEN ux.pos IS NULL THEN 'inserted' ELSE 'changed' END AS state, ux.pos AS left_pos, uy.pos AS right_pos FROM ux FULL JOIN uy ON ux.gap = uy.gap AND ux.at = uy.at""")
+    SELECT CASE WHEN uy.pos IS NULL THEN 'missing' WHEN ux.pos IS NULL THEN 'inserted' ELSE 'changed' END AS state, coalesce(ux.pos, -1) AS left_pos, coalesce(uy.pos, -1) AS right_pos FROM ux FULL JOIN uy ON ux.gap = uy.gap AND ux.at = uy.at""")
 def positional_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same two lists as text files without keys: lines that are missing, inserted or changed, by their places in the files."""
+    """The same two lists as text files without keys: lines that are missing, inserted or changed, by their places in the files (-1 for none)."""
     sides = []
     for rows in _statuses(spark, sf_dir):
         path = _folder(spark, "status-lines")
         rows.orderBy("key").select(F.concat_ws("|", "key", "status").alias("value")).write.text(path)
         sides.append(stored(binding.split_positions(records.lines(spark, path)).select("pos", "sha256"), "status-positions"))
-    return binding.by_position(*sides)
+    return binding.by_position(*sides).na.fill(-1, ["left_pos", "right_pos"])

@@ -124,14 +124,14 @@ def witness_check(frame: DataFrame) -> DataFrame:
     return found.select("release", "k", "tasks", "truth", "low_passes", "broken_totals", F.col("broken_links").cast("long").alias("broken_links"), missed.alias("most_missed"), holds.alias("holds_truth"))
 
 
-@query("witness_totals", f"{_D1} SELECT release, k, g, {_BIG(('count(*)', 'slots'), ('sum(gold)', 'low'), ('sum(gold)', 'high'), ('count(*) FILTER (shown)', 'shown'), ('sum(gold) FILTER (shown)', 'shown_low'), ('sum(gold) FILTER (shown)', 'shown_high'))} FROM r GROUP BY release, k, g")
+@query("witness_totals", f"{_D1} SELECT release, k, g, {_BIG(('count(*)', 'slots'), ('sum(gold)', 'low'), ('sum(gold)', 'high'), ('count(*) FILTER (shown)', 'shown'), ('coalesce(sum(gold) FILTER (shown), 0)', 'shown_low'), ('coalesce(sum(gold) FILTER (shown), 0)', 'shown_high'))} FROM r GROUP BY release, k, g")
 def witness_totals(frame: DataFrame) -> DataFrame:
     """Totals of the assignments' bits in each group and over what is shown; the SQL has the reference's, which they must keep."""
     slots, groups = slots_of(frame)
     slots = stored(slots, "released")
     tasks = stored(bounds.typed(slots, groups), "released-tasks")
     bits = bounds.witnesses(slots, tasks, bounds.plan(tasks, groups))
-    told = lambda c: F.sum(F.when(F.col("shown"), F.col(c))).cast("long")
+    told = lambda c: F.sum(F.when(F.col("shown"), F.col(c)).otherwise(0)).cast("long")
     return bits.groupBy("release", "k", "g").agg(F.count("*").alias("slots"), F.sum("low").cast("long").alias("low"), F.sum("high").cast("long").alias("high"), F.count_if("shown").alias("shown"), told("low").alias("shown_low"), told("high").alias("shown_high"))
 
 
