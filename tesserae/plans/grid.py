@@ -79,6 +79,8 @@ def facts(frame: DataFrame, policies: tuple, seeds: tuple) -> DataFrame:
     A task's criteria are gathered once; policies and seeds sort that array by themselves. What is asked in one random order over all
     tasks is ranked once a policy and seed. Tasks of over LARGE_TASK criteria are ordered row by row.
     """
+    if set(policies) == {"random_criterion"}:  # no task has an order of its own
+        return _from_rows(_loose(frame, policies, seeds))
     sizes = frame.groupBy("task_id").agg(F.count("*").alias("k"))
     large = storage.stored(sizes.where(F.col("k") > LARGE_TASK), "large-tasks")
     if large.isEmpty():
@@ -170,7 +172,11 @@ def times(frame: DataFrame, policies: tuple = ranking.POLICIES, orders: tuple =
     d = ranking.digits(frame.sparkSession)
     number = lambda bits: F.when(F.col("o2") == "", F.floor(F.col("task_id") / (1 << bits))).otherwise(0)
     levels = [[F.col("o1"), F.substring("o2", 1, d // 2), number(24)], [F.substring("o2", d // 2 + 1, d - d // 2), number(12)]]
-    rows = ranking.global_offset(rows, levels, ["o1", "o2", "task_id"], F.col("n_pos"), "start", within=RUN).join(F.broadcast(length), ["policy", "seed"])  # a row for each policy and seed
+    if set(policies) == {"random_criterion"}:
+        rows = rows.withColumn("start", F.lit(0).cast("long"))
+    else:
+        rows = ranking.global_offset(rows, levels, ["o1", "o2", "task_id"], F.col("n_pos"), "start", within=RUN)
+    rows = rows.join(F.broadcast(length), ["policy", "seed"])  # a row for each policy and seed
     never = F.col("L") + 1
     least = lambda name: F.least(F.col("start") + F.col(f"pos_{name}"), F.col(f"place_{name}"))
     most = lambda name: F.greatest(F.col("start") + F.col(f"pos_{name}"), F.col(f"place_{name}"))

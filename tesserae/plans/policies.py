@@ -206,9 +206,8 @@ def marked(frame: DataFrame, cap_share: int = 20, seed: int = 1) -> DataFrame:
     """Criteria with m and s: whether they are in the half-and-random and in the simple random query set of one budget.
 
     Each set is a comparison of a rank with a number, so nothing is joined to the criteria but the start of their task. The rows are
-    stored between the rankings, as each reads them twice.
+    stored before the rankings, as each reads them twice.
     """
-    m = frame.count()
     cap = accounting.share_caps(frame, (cap_share,)).first()["cap"]
     keys = {"item_key": ranking.priority("criterion", seed, "task_id", "slot"), "fresh": ranking.priority("fresh", seed, "task_id", "slot")}
     rows = stored(frame.select("task_id", "slot", "base_id", "gold", "prediction").withColumns(keys), "keyed")
@@ -218,10 +217,12 @@ def marked(frame: DataFrame, cap_share: int = 20, seed: int = 1) -> DataFrame:
     stop = F.min(F.when(F.col("gold") == 0, F.col("pos"))).over(by_task)
     rows = stored(rows.withColumn("asked", F.coalesce(stop, F.count("*").over(by_task))).drop("item_key"), "ordered")
     tasks, levels, order = ranking.task_priority(rows, "random", seed)
-    starts = ranking.global_offset(tasks.join(rows.groupBy("task_id").agg(F.max("asked").alias("asked")), "task_id"), levels, order, F.col("asked"), "start").select("task_id", "start")
-    first = (F.col("pos") <= F.col("asked")) & (F.col("start") + F.col("pos") <= cap // 2)
-    rows = stored(rows.join(starts, "task_id").withColumn("first", first).drop("start", "pos", "asked"), "first-half")
-    rest = cap - rows.where("first").count() if m else 0
+    sizes = tasks.join(rows.groupBy("task_id").agg(F.max("asked").alias("asked")), "task_id")
+    starts = stored(ranking.global_offset(sizes, levels, order, F.col("asked"), "start").select("task_id", "start", F.col("asked").alias("n")), "starts")
+    half = F.greatest(F.lit(0), F.least(F.col("n"), F.lit(cap // 2) - F.col("start")))  # of a task's queries, those within the first half
+    rest = cap - (starts.agg(F.sum(half)).first()[0] or 0)
+    first = F.col("pos") <= half
+    rows = rows.join(starts, "task_id").withColumn("first", first).drop("start", "pos", "asked", "n")
     rows = ranking.global_offset(rows, ranking.by_hash(rows, "fresh"), ["fresh"], F.when(F.col("first"), 0).otherwise(1))
     return rows.select("task_id", "slot", "base_id", "gold", "prediction", (F.col("first") | (F.col("offset") < rest)).alias("m"), "s")
 
