@@ -10,6 +10,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _own_dir: list[str] = []
+_made: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -26,9 +27,28 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_dir[0]
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path of its own in the shared folder, which made() lists from now on."""
+    path = f"{shared_dir(spark)}/tesserae/{name}-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """The rows of df, written once and read from there."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tesserae/{name}-{uuid.uuid4().hex}"
+    path = new_folder(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def made() -> list[str]:
+    """The folders that queries have written for themselves and nothing has removed."""
+    return list(_made)
+
+
+def release(spark: SparkSession, paths: list[str] | None = None) -> None:
+    """Remove such folders (all that there are, unless some are named), once the results that read them have been read or written."""
+    for path in made() if paths is None else paths:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+        _made.remove(path)

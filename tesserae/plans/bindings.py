@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesserae.operators import binding, ranking
-from tesserae.operators.storage import shared_dir, stored
+from tesserae.operators.storage import new_folder, stored
 from tesserae.sources import frames, records
 from tesserae.sources.frames import ORDERS_SQL, TASKS_SQL
 
@@ -24,13 +22,9 @@ def query(name: str, sql: str):
     return add
 
 
-def _folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/tesserae/{name}-{uuid.uuid4().hex}"
-
-
 def _as_lines(rows: DataFrame, name: str) -> str:
     """The rows as JSON Lines files; nulls are written as such."""
-    path = _folder(rows.sparkSession, name)
+    path = new_folder(rows.sparkSession, name)
     rows.select(F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"}).alias("value")).write.text(path)
     return path
 
@@ -77,7 +71,7 @@ def staged_reveal(spark: SparkSession, sf_dir: str) -> DataFrame:
     frame = frames.orders_frame(spark, sf_dir)
     stage = F.when(ranking.priority("stage", 1, "base_id") < "4", "pilot").otherwise("confirmation")
     staged = stored(frame.withColumn("stage", stage).select("task_id", "slot", "gold", "stage"), "references")
-    path = _folder(spark, "staged")
+    path = new_folder(spark, "staged")
     records.write_staged(staged, path)
     known = records.read_staged(spark, path, "task_id long, slot int, gold int", ["pilot"]).drop("stage")
     rows = staged.drop("gold").join(known, ["task_id", "slot"], "left")
@@ -140,7 +134,7 @@ def positional_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same two lists as text files without keys: lines that are missing, inserted or changed, by their places in the files (-1 for none)."""
     sides = []
     for rows in _statuses(spark, sf_dir):
-        path = _folder(spark, "status-lines")
+        path = new_folder(spark, "status-lines")
         rows.orderBy("key").select(F.concat_ws("|", "key", "status").alias("value")).write.text(path)
         sides.append(stored(binding.split_positions(records.lines(spark, path)).select("pos", "sha256"), "status-positions"))
     return binding.by_position(*sides).na.fill(-1, ["left_pos", "right_pos"])

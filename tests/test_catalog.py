@@ -66,3 +66,16 @@ def test_the_rest_runs_without_the_corpus_folders(tmp_path):
     (broken / "queries.py").write_text("import nowhere_to_be_found")
     (tmp_path / "copy" / "corpus_pipeline.py").write_text("")
     assert "nowhere_to_be_found" in run().stderr
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables here")
+def test_what_a_query_writes_can_be_removed(spark):
+    from tesserae.operators import storage
+
+    before = storage.made()
+    rows = catalog.QUERIES["content_differences"](spark, DATA).collect()
+    own = [p for p in storage.made() if p not in before]
+    exists = lambda p: os.path.exists(p.removeprefix("file:"))
+    assert rows and own and all(map(exists, own))
+    storage.release(spark, own)
+    assert storage.made() == before and not any(map(exists, own))
