@@ -135,7 +135,8 @@ def missing_reason_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 def masked_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What may be said of raw score literals before any value is looked at."""
     k = F.col("event_id") % 7
-    raw = F.when(k == 0, F.lit(None)).when(k == 1, '"ERR"').when(k == 2, "true").when(k == 3, '"0.8"').when(k == 4, "-1").when(k == 5, "1.0").otherwise(F.round(F.col("value") / 100, 2).cast("string"))
+    score = F.round(F.col("value") / 100 * 100, 0) / 100  # as the SQL's doubles round: 1.005 * 100 is below 100.5
+    raw = F.when(k == 0, F.lit(None)).when(k == 1, '"ERR"').when(k == 2, "true").when(k == 3, '"0.8"').when(k == 4, "-1").when(k == 5, "1.0").otherwise(score.cast("string"))
     return events(spark, sf_dir).groupBy(files.score_status(raw).alias("status")).agg(F.count("*").alias("n"))
 
 

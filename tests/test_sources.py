@@ -111,3 +111,13 @@ def test_ledger(spark, tmp_path):
     ledger.run_ledger(spark, source, out, str(tmp_path / "cp"), 100)
     got = {r["job_id"]: r["admitted"] for r in spark.read.parquet(out).collect()}
     assert got == {"1": True, "2": True, "3": False, "4": False, "5": True}
+
+
+def test_scores_round_as_doubles_do(spark, tmp_path):
+    """A score of 1.005 is below the half: its nearest double times a hundred is 100.49999999999999."""
+    from tesserae.plans import ingestion
+
+    for name, rows in (("half", [(6, 100.5)]), ("over", [(6, 101.0)])):
+        spark.createDataFrame(rows, "event_id long, value double").write.parquet(f"{tmp_path}/{name}/events.parquet")
+        (got,) = ingestion.QUERIES["masked_status"](spark, f"{tmp_path}/{name}").collect()
+        assert got["status"] == {"half": "present", "over": "unparseable"}[name]
