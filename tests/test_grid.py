@@ -79,3 +79,38 @@ def test_arrays_and_rows_give_the_same_facts(spark, monkeypatch):
         made = grid.facts(frame, ranking.POLICIES, (0, 1, 2))
         got.append(sorted((tuple(r[c] for c in sorted(made.columns)) for r in made.collect()), key=repr))
     assert len(got[0]) == 40 * 7 * 3 and got[0] == got[1] == got[2]
+
+
+def test_swept_curves_are_those_of_ranks(spark, monkeypatch):
+    """Every run at every share from cuts and from ranks of all queries; ids of any sign and distance, in blocks of a few criteria."""
+    from tesserae.operators import sweeps
+
+    rng = random.Random(11)
+    ids = [-(1 << 40), -7, *range(0, 60, 3), 1 << 50]
+    rows = [(t, s, t % 4, "p", "c", int(rng.random() < 0.6), int(rng.random() < 0.6), [int(rng.random() < 0.6)]) for t in ids for s in range(rng.randint(1, 6))]
+    frame = spark.createDataFrame(rows, SCHEMA).cache()
+    rows = lambda df: sorted(tuple(r) for r in df.collect())
+    seen = []
+    counted = sweeps.counted
+    monkeypatch.setattr(sweeps, "counted", lambda *a: seen.append(1) or counted(*a))
+    swept = rows(grid.curves(frame, seeds=(0, 3)))
+    assert seen and len(swept) == 7 * 3 * 2 * 101
+    monkeypatch.setattr(grid, "LARGE_TASK", 0)
+    assert swept == rows(grid.curves(frame, seeds=(0, 3))) and len(seen) == 1
+
+
+def test_blocks_and_cuts_do_not_depend_on_size():
+    import numpy as np
+    import pyarrow as pa
+
+    from tesserae.operators import sweeps
+
+    batch = pa.RecordBatch.from_arrays([pa.array([5, 6, 7]), pa.array([[0, 1], [0], [0, 1, 2]], pa.list_(pa.int32())), pa.array([[1, 6], [3], [0, 2, 7]], pa.list_(pa.int8()))], names=["task_id", "slots", "codes"])
+    old, sweeps.BLOCK = sweeps.BLOCK, 2
+    try:
+        parts = [(b.ids.tolist(), b.slots.tolist(), b.fails.tolist()) for b in sweeps.blocks([batch.slice(0, 1), batch.slice(1)])]
+    finally:
+        sweeps.BLOCK = old
+    assert parts == [([5], [0, 1], [1]), ([6], [0], [0]), ([7], [0, 1, 2], [1])]
+    cut = sweeps.Cut(1, *(np.array(x) for x in ([0, 0, 1], [4, 4, -2], [1, 2, 5])))
+    assert [x.tolist() for x in cut.tasks(np.array([0, 0, 1, 1]), np.array([3, 4, -2, 9]))] == [[0, 0, 2, 3], [0, 2, 3, 3]]
