@@ -104,3 +104,19 @@ def test_unknown_names_are_errors(spark):
         ranking.transcript(frame, "nothing")
     with pytest.raises(ValueError):
         ranking.task_order(frame, "nothing")
+
+
+def test_cuts_are_the_keys_at_which_weights_are_reached(spark):
+    """Every number of every run against a running sum; numbers below and above what there is."""
+    rows = [(k % 2, f"{k * 2654435761 % 2**32:08x}" * 8, k % 4) for k in range(60)]
+    df = spark.createDataFrame(rows, "run int, h string, w int")
+    totals = {run: sum(w for r, _, w in rows if r == run) for run in (0, 1)}
+    needs = [(run, 1000 * run + n, n) for run in (0, 1) for n in range(-1, totals[run] + 3)]
+    got = ranking.cuts(df, "h", needs, df["w"], within="run")
+    for run, name, n in needs:
+        want, upto = ("", 0) if n < 1 else ("g", 0), 0
+        for _, h, w in sorted((r for r in rows if r[0] == run), key=lambda r: r[1]):
+            if upto < n <= upto + w:
+                want = (h, n - upto)
+            upto += w
+        assert got[name] == want
