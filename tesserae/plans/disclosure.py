@@ -57,20 +57,24 @@ def ladder(frame: DataFrame) -> DataFrame:
     """(stage, ord, share, tasks, truth, least, most, bound) of every release of the ladder.
 
     d0 gives totals by size and predicted bit, d1 by category too, d2 the reference of whole tasks as well: the first floor(share of all)
-    in each of ten orders. Tasks are ranked by hashes in each order; extremes are summed over sizes.
+    in each of ten orders, by hashes up to the key at which they end. Extremes are summed over sizes. d2 shows whole tasks, so a task's
+    hidden slots are counted once, for d1, and each release of d2 has these or none.
     """
-    tasks = frame.select("task_id").distinct()
-    n = tasks.count()
-    keyed = tasks.withColumn("ord", F.explode(F.array(*map(F.lit, ORDERS)))).withColumn("key", F.sha2(F.concat_ws("|", F.lit("shown"), "ord", "task_id"), 256))
-    ranks = ranking.global_offset(keyed, ranking.by_hash(keyed, "key"), ["key", "task_id"], name="r", within=("ord",))
-    wide = ranks.groupBy("task_id").agg(*[F.max(F.when(F.col("ord") == o, F.col("r"))).alias(f"r{o}") for o in ORDERS])
-    frame = stored(frame.join(wide, "task_id"), "ranked-frame")
     category = F.array_position(F.array(*map(F.lit, CATEGORIES)), F.col("category")) - 1
-    none = F.lit(False)
-    shown = {"d1 0 0": none} | {f"d2 {o} {s}": F.col(f"r{o}") < s * n // 100 for o in ORDERS for s in STEPS}
+    totals = lambda name, group, groups: bounds.typed(bounds.releases(frame, {name: F.lit(False)}, group), groups)
+    d1 = stored(totals("d1 0 0", F.col("prediction") * len(CATEGORIES) + category, GROUPS), "ladder-tasks")
+    n = d1.count()
+    key = lambda o: F.sha2(F.concat_ws("|", F.lit("shown"), o.cast("string"), F.col("task_id").cast("string")), 256)
+    keyed = d1.select("task_id", F.explode(F.array(*map(F.lit, ORDERS))).alias("ord")).withColumn("key", key(F.col("ord")))
+    ends = ranking.cuts(keyed, "key", [(o, 1000 * o + s, s * n // 100) for o in ORDERS for s in STEPS], within="ord")
+    told = F.array(*[F.struct(F.lit(f"d2 {o} {s}").alias("release"), (F.col(f"key{o}") <= ends[1000 * o + s][0]).alias("shown")) for o in ORDERS for s in STEPS])
+    d2 = d1.withColumns({f"key{o}": key(F.lit(o)) for o in ORDERS}).withColumn("told", F.explode(told))
+    none = F.array_repeat(F.lit(0), GROUPS)
+    shown = F.col("told.shown")
+    d2 = d2.select("told.release", "task_id", "k", (shown & (F.col("passes") == 0)).alias("dead"), *[F.when(shown, none).otherwise(F.col(c)).alias(c) for c in "cs"], "passes")
     out = None
-    for shows, group, groups in (({"d0 0 0": none}, F.col("prediction"), 2), (shown, F.col("prediction") * len(CATEGORIES) + category, GROUPS)):
-        planned = stored(bounds.plan(bounds.typed(bounds.releases(frame, shows, group), groups), groups), "ladder-plan")
+    for typed, groups in ((totals("d0 0 0", F.col("prediction"), 2), 2), (d1.unionByName(d2), GROUPS)):
+        planned = stored(bounds.plan(typed, groups), "ladder-plan")
         part = planned.groupBy("release").agg(F.sum("n").alias("tasks"), F.sum("passes").alias("truth"))
         ends = planned.groupBy("release", "k").agg(*[F.max(c).alias(c) for c in ("least", "most", "bound")]).groupBy("release").agg(*[F.sum(c).alias(c) for c in ("least", "most", "bound")])
         part = part.join(ends, "release")

@@ -81,3 +81,28 @@ def test_bits_are_the_planned_ones(spark):
     r = bounds.checked(bits, planned).first()
     assert r["broken_totals"] == r["broken_links"] == 0 and (r["low_passes"], r["high_passes"]) == (r["least"], r["bound"])
     assert bounds.checked(bounds.witnesses(slots.limit(0), tasks.limit(0), planned.limit(0)), planned.limit(0)).count() == 0
+
+
+def test_ladder_tells_whole_tasks_up_to_its_keys(spark, monkeypatch):
+    """Every d2 release of a ladder against its own slots; slots are typed twice, not once for each of 52 releases."""
+    import hashlib
+
+    from tesserae.operators import bounds
+    from tesserae.plans import disclosure
+
+    rng = random.Random(4)
+    rows = [(t, s, t % 3, "p", rng.choice("ANR"), rng.randrange(2), rng.randrange(2), [0]) for t in range(12) for s in range(rng.randint(1, 3))]
+    frame = spark.createDataFrame(rows, "task_id long, slot int, base_id long, producer string, category string, gold int, prediction int, secondary array<int>")
+    typed, calls = bounds.typed, []
+    monkeypatch.setattr(bounds, "typed", lambda slots, groups: calls.append(1) or typed(slots, groups))
+    monkeypatch.setattr(disclosure, "ORDERS", (1, 2))
+    monkeypatch.setattr(disclosure, "STEPS", (25, 50))
+    got = {(r["stage"], r["ord"], r["share"]): r for r in disclosure.ladder(frame).collect()}
+    assert len(got) == 6 and len(calls) == 2
+    for o in (1, 2):
+        order = sorted(range(12), key=lambda t: hashlib.sha256(b"shown|%d|%d" % (o, t)).hexdigest())
+        for s in (25, 50):
+            shown = order[: s * 12 // 100]
+            slots, groups = bounds.releases(frame, {"x": frame["task_id"].isin(shown)}, frame["prediction"] * 3 + (frame["category"] == "N").cast("int") + 2 * (frame["category"] == "R").cast("int")), 6
+            plan = bounds.plan(typed(slots, groups), groups).groupBy("k").agg({"least": "max", "most": "max"}).collect()
+            assert (got["d2", o, s]["least"], got["d2", o, s]["most"]) == (sum(r["max(least)"] for r in plan), sum(r["max(most)"] for r in plan))
