@@ -55,8 +55,8 @@ def plan(tasks: DataFrame, groups: int) -> DataFrame:
     extremes for the release and size; bound is a proven bound on most, larger only where the search was ended.
     """
     kinds = tasks.groupBy(*TYPE).agg(F.count("*").alias("n"), F.sum("passes").cast("long").alias("passes"), F.array(*[F.sum(F.col("s")[g]) for g in range(groups)]).alias("s"))
-
-    return kinds.groupBy("release", "k").applyInPandas(solved, PLAN)
+    width = int(tasks.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # asked for, as few small rows would be merged into few tasks
+    return kinds.repartition(width, "release", "k").groupBy("release", "k").applyInPandas(solved, PLAN)
 
 
 def solved(part: pd.DataFrame) -> pd.DataFrame:
