@@ -31,7 +31,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     smallest (id, text) stays. Of repeated rows that differ in further columns the one with the smallest values stays.
     """
     if docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").isEmpty():
-        kept = neardup.classes(docs).where(F.col("doc_id") == F.col("class_id")).select("doc_id").distinct()
+        kept = neardup.classes(docs, level=True).where(F.col("doc_id") == F.col("class_id")).select("doc_id").distinct()
         return docs.join(kept, "doc_id", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns]).unionByName(docs.where("doc_id IS NULL"))
     rest = [c for c in docs.columns if c not in ("doc_id", "text")]
     held, row, group = common.unlike(docs.columns, "_rest", "_row", "class_id")
@@ -39,7 +39,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     known = docs.where("doc_id IS NOT NULL").groupBy("doc_id", "text").agg(F.min(F.struct(F.lit(0).alias("none"), *fields)).alias(held))
     known = known.select("doc_id", "text", *[F.col(held)[f"c{k}"].alias(c) for k, c in enumerate(rest)])
     each = common.materialize(known.unionByName(docs.where("doc_id IS NULL")).withColumn(row, F.monotonically_increasing_id()), "rows")
-    found = neardup.classes(each.select(F.col(row).alias("doc_id"), "text")).select(F.col("doc_id").alias(row), F.col("class_id").alias(group))
+    found = neardup.classes(each.select(F.col(row).alias("doc_id"), "text"), level=True).select(F.col("doc_id").alias(row), F.col("class_id").alias(group))
     first = each.where("doc_id IS NOT NULL").join(found, row).groupBy(group).agg(F.min_by(row, F.struct("doc_id", "text")).alias(row))
     return common.pick(each.join(first.select(row), row, "left_semi").unionByName(each.where("doc_id IS NULL")), *docs.columns)
 

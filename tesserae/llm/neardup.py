@@ -33,6 +33,7 @@ DEVIATIONS = 4.0
 #: Members of a band's group, or of a chunk of it, that one call compares; members of all groups that go to a call, about.
 GROUP = 2048
 LOT = 50_000
+LOT_BYTES = 1 << 24
 _U = np.uint64
 
 
@@ -151,7 +152,13 @@ def tf_idf(times: np.ndarray, df: np.ndarray, n_texts: int) -> np.ndarray:
     return times * (1 + np.log((1 + n_texts) / (1 + df)))
 
 
-def _sketch(key, part: pa.Table, rows: pa.Table, size: int, buckets: int, n_texts: int, threshold: float, bands: int, band_rows: int) -> pa.Table:
+def levelled(weight: np.ndarray, times: np.ndarray, shared: np.ndarray, doc: np.ndarray, docs: int) -> np.ndarray:
+    """Weights in which shingles of one text alone weigh as much as the text's others do on average."""
+    own = np.bincount(doc[shared], weight[shared], docs) / np.maximum(1, np.bincount(doc[shared], times[shared], docs))
+    return np.where(shared | (own[doc] == 0), weight, times * own[doc])
+
+
+def _sketch(key, part: pa.Table, rows: pa.Table, size: int, buckets: int, n_texts: int, threshold: float, bands: int, band_rows: int, level: bool) -> pa.Table:
     block = Block(part, size)
     keys, inverse, _, bucket = block.sent(buckets)
     order, bounds = common.split_by(bucket, buckets)
@@ -169,6 +176,8 @@ def _sketch(key, part: pa.Table, rows: pa.Table, size: int, buckets: int, n_text
     df = df[inverse]
     weight = tf_idf(block.times, df, n_texts)
     shared = df > 1
+    if level:
+        weight = levelled(weight, block.times, shared, block.doc, len(block.text_key))
     sums = lambda x: np.diff(np.concatenate([[0], np.cumsum(x)])[block.first])
     total, in_common = sums(weight), sums(np.where(shared, weight, 0))
     going = mine & (in_common > 0) & (in_common >= threshold * total - 1e-6)
@@ -252,9 +261,10 @@ def _forest(n: int, i: np.ndarray, j: np.ndarray, same: np.ndarray) -> np.ndarra
 
 
 def _candidates(key, rows: pa.Table, threshold: float, band_rows: int, every: bool) -> pa.Table:
-    """Pairs (smaller key, larger key) worth verifying, within the groups (band, chunk) of a lot.
+    """Pairs (smaller key, larger key) within the groups (band, chunk) of a lot: those worth verifying, or all that are similar enough.
 
-    every: all pairs between different classes, each in the first band that both share. A chunk has rows that are at home there and
+    every: all pairs between different classes, each in the first band that both share, verified here by the vectors that came along:
+    pairs just under the threshold may be as many as a group's square, so no table is made of them. A chunk has rows that are at home there and
     copies of the group's others (minor: not of its largest class). A row at home meets all minor ones, if it is minor itself those of
     smaller keys only; so each pair is looked at once in a group. Otherwise the edges of a spanning forest of each group.
     """
@@ -295,13 +305,18 @@ def _candidates(key, rows: pa.Table, threshold: float, band_rows: int, every: bo
     if not every:
         kept = _forest(len(ids), i, j, np.concatenate(sames))
         i, j = i[kept], j[kept]
+    elif len(i):
+        used, at = np.unique(np.concatenate([i, j]), return_inverse=True)
+        vectors = rows["vector"].take(pa.array(used)).to_pylist()
+        kept = np.array([weighted_jaccard(vectors[x], vectors[y]) >= threshold for x, y in zip(at[: len(i)].tolist(), at[len(i) :].tolist(), strict=True)], bool)
+        i, j = i[kept], j[kept]
     return pa.table([pa.array(np.minimum(ids[i], ids[j])), pa.array(np.maximum(ids[i], ids[j]))], schema=PAIRS)
 
 
 def _compared(members: DataFrame, sketches: DataFrame, labels: DataFrame | None, threshold: float, band_rows: int) -> DataFrame:
-    """Candidate pairs from all groups: forests of the best estimates without labels, else all between different classes."""
+    """Pairs from all groups: candidates that make up forests of the best estimates without labels, else all links between different classes."""
     spark = sketches.sparkSession
-    about = sketches.select("text_key", "weight", "shared", "samples")
+    about = sketches.select("text_key", "weight", "shared", "samples", *(["vector"] if labels is not None else []))
     chunk = F.when(F.col("chunks") > 1, F.pmod(F.xxhash64("text_key", "band"), F.col("chunks"))).otherwise(0).cast("int")
     rows, copies = members.withColumn("chunk", chunk), None
     if labels is not None:
@@ -320,6 +335,8 @@ def _compared(members: DataFrame, sketches: DataFrame, labels: DataFrame | None,
         rows = rows.join(about, "text_key")
     # many groups go to a call together, about LOT rows of them, copies counted
     lots = max(common.shuffle_width(spark), -(-(members.count() if copies is None else copies) // LOT))
+    if copies:  # and vectors of about LOT_BYTES
+        lots = max(lots, int(copies * sketches.agg(F.avg(F.octet_length("vector"))).first()[0]) // LOT_BYTES)
     rows = rows.withColumn("lot", F.pmod(F.xxhash64("band", "chunk"), F.lit(lots)))
     call = common.grouped(_candidates, threshold=threshold, band_rows=band_rows, every=labels is not None)
     pairs = rows.groupBy("lot").applyInArrow(call, "a long, b long")
@@ -369,7 +386,7 @@ def links(sketches: DataFrame, threshold: float = THRESHOLD, band_rows: int = RO
     sketches = common.materialize(sketches.drop("bands").join(members.select("text_key").distinct(), "text_key", "left_semi"), "candidates")
     found = _verified(_compared(members, sketches, None, threshold, band_rows), sketches, threshold, "links-best")
     labels = components(found)
-    more = _verified(_compared(members, sketches, labels, threshold, band_rows), sketches, threshold, "links-rest")
+    more = common.materialize(_compared(members, sketches, labels, threshold, band_rows), "links-rest")
     ends = more
     for k in "ab":
         ends = ends.join(labels.select(F.col("text_key").alias(k), F.col("comp").alias(f"c{k}")), k, "left")
@@ -402,7 +419,7 @@ def _first_seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.take(pa.array(new, pa.int64()))
 
 
-def classes(docs: DataFrame, threshold: float = THRESHOLD, size: int = SHINGLE, bands: int = BANDS, band_rows: int = ROWS) -> DataFrame:
+def classes(docs: DataFrame, threshold: float = THRESHOLD, size: int = SHINGLE, bands: int = BANDS, band_rows: int = ROWS, level: bool = False) -> DataFrame:
     """One row for each row of docs: doc_id and class_id, the smallest doc_id of its class of near-duplicates.
 
     Tokens are lower-cased runs of letters and digits, shingles are `size` of them; a text of fewer tokens is one shingle. Texts of
@@ -410,6 +427,9 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, size: int = SHINGLE,
     others. Null, empty and token-less texts are alone. Repeated rows get the same class; a null doc_id gets the class of its text,
     which is null if no row of it has an id; empty tables give no rows; further columns are ignored. A very long text is taken whole,
     in a block of its own size.
+
+    level: shingles that no other text holds weigh what the text's others do on average. Else they weigh most of all, so that the
+    edits of a near copy count for more the larger its group is, as what the group shares is common then.
     """
     keyed = _hashed(docs)
     texts = keyed.where("h1 IS NOT NULL").groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.max(F.octet_length("text")).alias("bytes"))
@@ -421,7 +441,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, size: int = SHINGLE,
     p = {"size": size, "buckets": blocks}
     asked = dealt.groupBy("block").applyInArrow(common.grouped(_ask, **p), common.PACKED)
     counted = asked.groupBy("bucket").applyInArrow(common.grouped(_count), common.PACKED)
-    sketch = common.paired(_sketch, n_texts=max(1, n_texts), threshold=threshold, bands=bands, band_rows=band_rows, **p)
+    sketch = common.paired(_sketch, n_texts=max(1, n_texts), threshold=threshold, bands=bands, band_rows=band_rows, level=level, **p)
     rows = common.materialize(dealt.groupBy("block").cogroup(counted.groupBy("block")).applyInArrow(sketch, SKETCH), "sketches")
     _, labels = links(rows.where("bands IS NOT NULL").select("text_key", "weight", "shared", "bands", "samples", "vector"), threshold, band_rows)
     known = texts.join(rows.where("text_key >= 0").select("h1", "h2", "text_key"), ["h1", "h2"])
@@ -433,4 +453,4 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, size: int = SHINGLE,
 
 
 def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return classes(common.table(spark, sf_dir, "documents"))
+    return classes(common.table(spark, sf_dir, "documents"), level=True)

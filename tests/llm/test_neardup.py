@@ -167,3 +167,24 @@ def test_chunks_meet_all_pairs_of_different_classes(monkeypatch):
     want = {frozenset((key(a), key(b))) for a in range(n) for b in range(a) if classes[a] != classes[b]}
     got = [frozenset(p) for p in seen]
     assert want <= set(got) and len(got) == len(set(got))
+
+
+def test_copies_of_a_large_group_stay_together(spark):
+    """160 copies of a text with two edits each, among 500 other texts: pairs share 0.83 of their shingles. Levelled, they are of one class."""
+    rng = random.Random(12)
+    base = [f"b{i}" for i in range(220)]
+    texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(20)) for _ in range(500)]
+    for k in range(160):
+        t = list(base)
+        t[10 + k % 90], t[110 + (7 * k) % 100] = f"x{k}", f"y{k}"
+        texts.append(" ".join(t))
+    of = dict(rows(neardup.classes(documents(spark, texts), level=True), "doc_id", "class_id"))
+    assert {of[i] for i in range(500, 660)} == {500} and all(of[i] == i for i in range(500))
+    plain = dict(rows(neardup.classes(documents(spark, texts)), "doc_id", "class_id"))
+    assert len({plain[i] for i in range(500, 660)}) > 1
+
+
+def test_levelled_weights_leave_shared_shingles_alone():
+    weight, times = np.array([2.0, 9.0, 6.0, 9.0]), np.array([1, 1, 2, 1])
+    got = neardup.levelled(weight, times, np.array([True, False, True, False]), np.array([0, 0, 0, 1]), 2)
+    assert got.tolist() == [2.0, 8 / 3, 6.0, 9.0]
