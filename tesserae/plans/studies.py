@@ -116,14 +116,20 @@ def reference_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     WHERE dataset < 3 OR (dataset < 6 AND k BETWEEN 2 AND 8) OR (dataset >= 6 AND category <> 'N'))
     SELECT CAST(dataset AS INTEGER) AS dataset, universe, count(*) AS criteria, count(DISTINCT task_id) AS tasks, CAST(sum(CASE dataset % 3 WHEN 0 THEN prediction WHEN 1 THEN second ELSE CASE WHEN prediction + second > 0 THEN 1 ELSE 0 END END) AS BIGINT) AS positive FROM u GROUP BY 1, 2""", frame=True)
 def nine_cells(frame: DataFrame) -> DataFrame:
-    """Three universes by three primaries as one table with the cell as a column: each row goes to the cells it belongs to."""
-    rows = frame.join(frame.groupBy("task_id").agg(F.count("*").alias("k")), "task_id").withColumn("dataset", F.explode(F.sequence(F.lit(0), F.lit(8))))
-    d = F.col("dataset")
-    rows = rows.where((d < 3) | ((d < 6) & F.col("k").between(2, 8)) | ((d >= 6) & (F.col("category") != "N")))
-    universe = F.when(d < 3, "all").when(d < 6, "small").otherwise("binary")
-    second = F.col("secondary")[0]
-    primary = F.when(d % 3 == 0, F.col("prediction")).when(d % 3 == 1, second).otherwise(F.greatest("prediction", second))
-    return rows.groupBy("dataset", universe.alias("universe")).agg(F.count("*").alias("criteria"), F.count_distinct("task_id").alias("tasks"), F.sum(primary).cast("long").alias("positive"))
+    """Three universes by three primaries as one table with the cell as a column.
+
+    Tasks are whole in one row before cells are told apart, so they are counted as rows, not as distinct ids.
+    """
+    second, small = F.col("secondary")[0], F.col("k").between(2, 8)
+    primaries = [F.col("prediction"), second, F.greatest("prediction", second)]
+    binary = F.col("category") != "N"
+    sums = [F.sum(c).alias(f"p{i}") for i, c in enumerate(primaries)] + [F.sum(F.when(binary, c)).alias(f"b{i}") for i, c in enumerate(primaries)]
+    tasks = frame.groupBy("task_id").agg(F.count("*").alias("k"), n_if(binary, "kb"), *sums)
+    cell = lambda d, universe, there, n, c: F.struct(F.lit(d).alias("dataset"), F.lit(universe).alias("universe"), there.alias("there"), F.col(n).alias("criteria"), F.col(c).alias("positive"))
+    universes = [("all", F.lit(True), "k", "p"), ("small", small, "k", "p"), ("binary", F.col("kb") > 0, "kb", "b")]
+    cells = [cell(3 * u + i, name, there, n, f"{c}{i}") for u, (name, there, n, c) in enumerate(universes) for i in range(3)]
+    rows = tasks.select(F.explode(F.array(*cells)).alias("cell")).select("cell.*").where("there")
+    return rows.groupBy("dataset", "universe").agg(F.sum("criteria").alias("criteria"), F.count("*").alias("tasks"), F.sum("positive").cast("long").alias("positive"))
 
 
 @query("binary_only_frame", " SELECT task_id, CAST(row_number() OVER (PARTITION BY task_id ORDER BY slot) - 1 AS INTEGER) AS slot, slot AS old_slot, gold, prediction FROM crit WHERE category <> 'N'", frame=True)
