@@ -273,6 +273,24 @@ def mask_line(line: str, hidden: Callable[[str], bool], numbers: bool = False) -
     return "".join(out)
 
 
+def mask_batches(batches: Iterator[pa.RecordBatch], hidden: Callable[[str], bool], numbers: bool = False) -> Iterator[pa.RecordBatch]:
+    """Batches of masked lines; one is handed over as soon as it has BUFFER characters or HANDOVER lines, whatever comes in at once."""
+    held: list[str] = []
+    size = 0
+    for batch in batches:
+        for value in batch.column(0):
+            text = value.as_py()
+            if not text.strip():
+                continue
+            held.append(mask_line(text, hidden, numbers))
+            size += len(held[-1])
+            if size >= BUFFER or len(held) >= HANDOVER:
+                yield pa.RecordBatch.from_arrays([pa.array(held, pa.string())], ["value"])
+                held, size = [], 0
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(held, pa.string())], ["value"])
+
+
 def masked_scan(spark: SparkSession, path: str, schema: str, hidden: tuple[str, ...] = (), suffixes: tuple[str, ...] = (), numbers: bool = False) -> DataFrame:
     """The records of JSON Lines files by `schema`, with the values of keys named in hidden, or ending in a suffix, masked ahead of parsing.
 
@@ -281,10 +299,7 @@ def masked_scan(spark: SparkSession, path: str, schema: str, hidden: tuple[str,
     """
 
     def mask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        is_hidden = lambda key: key in hidden or (bool(suffixes) and key.endswith(suffixes))
-        for batch in batches:
-            lines = [mask_line(t, is_hidden, numbers) for t in batch.column(0).to_pylist() if t.strip()]
-            yield pa.RecordBatch.from_arrays([pa.array(lines, pa.string())], ["value"])
+        return mask_batches(batches, lambda key: key in hidden or (bool(suffixes) and key.endswith(suffixes)), numbers)
 
     masked = spark.read.text(path).mapInArrow(mask, "value string")
     return masked.select(F.from_json("value", schema, {"mode": "FAILFAST"}).alias("r")).select("r.*")

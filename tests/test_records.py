@@ -183,3 +183,21 @@ def test_a_sealed_stage_is_not_opened(spark, tmp_path):
         records.read_staged(spark, path, "id long", ["confirmation"]).collect()
     with pytest.raises(ValueError):
         records.require_pruned(spark.read.schema("id long, stage string").parquet(path).where("id > 3"), "stage")
+
+
+def test_masked_lines_are_handed_over_in_bounded_batches():
+    """A batch of 4000 long lines, some blank, goes out in parts that Python holds one at a time."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    line = '{"score": 1, "text": "%s"}' % ("x" * 10_000)
+    batch = pa.RecordBatch.from_arrays([pa.array([line if n % 4 else " " for n in range(4000)])], ["value"])
+    rows = most = 0
+    tracemalloc.start()
+    for part in records.mask_batches(iter([batch]), lambda key: key == "score"):
+        rows, most = rows + part.num_rows, max(most, part.nbytes)
+        assert '"valid_binary": true' in part.column(0)[0].as_py()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows == 3000 and most < 2 * records.BUFFER and peak < 8 * records.BUFFER
