@@ -87,36 +87,67 @@ def differences(left: DataFrame, right: DataFrame, keys: list[str], depth: int =
     return found.select(*keys, state.alias("state"))
 
 
+#: Positions that are numbered together.
+_SPAN = 12
+
+
 def by_position(left: DataFrame, right: DataFrame) -> DataFrame:
     """What turns one sequence of rows into another: state (missing, inserted, changed), left_pos and right_pos.
 
-    Both have pos (from 0) and sha256 of a row. Equal rows are matched, the k-th of one side with the k-th of the other. Rows without a
-    match that stand between the same matched ones are changed as far as both sides have them, in order; what is left over on
-    the left is missing, on the right inserted. Rows that only moved count as matched. Ranks go by levels of positions, so neither a
-    row that repeats everywhere nor sequences without a common row are gathered in one place.
+    Both have pos (from 0, without gaps) and sha256 of a row. Equal rows are matched, the k-th of one side with the k-th of the other.
+    Rows without a match that stand between the same matched ones are changed as far as both sides have them, in order; what is left over
+    on the left is missing, on the right inserted. Rows that only moved count as matched.
+
+    Contents that occur once a side meet in one aggregation; only those that repeat are numbered. Ranks go by levels of positions, so
+    neither a row that repeats everywhere nor sequences without a common row are gathered in one place.
     """
+    digest = F.unhex("sha256").alias("sha256")
+    side = lambda rows, n: rows.select(F.lit(n).cast("tinyint").alias("side"), "pos", digest)
+    rows = side(left, 0).unionByName(side(right, 1))
+    on = lambda n, c: F.when(F.col("side") == n, c)
+    ends = rows.groupBy("sha256").agg(F.count(on(0, F.lit(1))).alias("lefts"), F.count(on(1, F.lit(1))).alias("rights"), F.min(on(0, F.col("pos"))).alias("left_pos"), F.min(on(1, F.col("pos"))).alias("right_pos"))
+    repeats = (F.col("lefts") > 1) | (F.col("rights") > 1)
+    ends = stored(ends.select(F.when(repeats, F.col("sha256")).alias("sha256"), "left_pos", "right_pos"), "contents")
+    once = ends.where("sha256 IS NULL").select(F.explode(F.array(F.struct(F.lit(0).cast("tinyint").alias("side"), F.col("left_pos").alias("pos"), F.col("right_pos").isNotNull().alias("met")), F.struct(F.lit(1).cast("tinyint").alias("side"), F.col("right_pos").alias("pos"), F.col("left_pos").isNotNull().alias("met")))).alias("x")).select("x.*").where("pos IS NOT NULL")
+    known = ends.where("sha256 IS NOT NULL").select("sha256")
+    if not known.isEmpty():
+        often = stored(ranking.global_offset(rows.join(known, "sha256", "left_semi"), ranking.by_number("pos"), ["pos"], name="nth", within=("sha256", "side")), "numbered")
+        pairs = often.groupBy("sha256", "nth").agg(F.min(on(0, F.col("pos"))).alias("l"), F.min(on(1, F.col("pos"))).alias("r"))
+        both = F.col("l").isNotNull() & F.col("r").isNotNull()
+        met = pairs.select(F.explode(F.array(F.struct(F.lit(0).cast("tinyint").alias("side"), F.col("l").alias("pos"), both.alias("met")), F.struct(F.lit(1).cast("tinyint").alias("side"), F.col("r").alias("pos"), both.alias("met")))).alias("x")).select("x.*").where("pos IS NOT NULL")
+        once = once.unionByName(met)
+    alone = _alone(once)
+    pick = lambda n, name: alone.where(F.col("side") == n).select("gap", "at", F.col("pos").alias(name))
+    both = pick(0, "left_pos").join(pick(1, "right_pos"), ["gap", "at"], "full_outer")
+    state = F.when(F.col("right_pos").isNull(), "missing").when(F.col("left_pos").isNull(), "inserted").otherwise("changed")
+    return both.select(state.alias("state"), "left_pos", "right_pos")
 
-    def nth(rows: DataFrame) -> DataFrame:
-        return stored(ranking.global_offset(rows.select("pos", "sha256"), ranking.by_number("pos"), ["pos"], name="nth", within=("sha256",)), "numbered")
 
-    def left_over(rows: DataFrame, other: DataFrame, name: str) -> DataFrame:
-        known = rows.join(other.select("sha256", "nth", F.lit(1).alias("met")), ["sha256", "nth"], "left")
-        known = ranking.global_offset(known, ranking.by_number("pos"), ["pos"], F.coalesce("met", F.lit(0)), "gap")
-        alone = known.where("met IS NULL").select("pos", "gap")
-        return ranking.global_offset(alone, ranking.by_number("pos"), ["pos"], name="at", within=("gap",)).select("gap", "at", F.col("pos").alias(name))
+def _alone(rows: DataFrame) -> DataFrame:
+    """Of rows (side, pos, met), stored, those not met: gap, the met ones before them, and at, their place after the last of these.
 
-    a, b = nth(left), nth(right)
-    both = left_over(a, b, "left_pos").join(left_over(b, a, "right_pos"), ["gap", "at"], "full_outer")
-    state = F.when(F.col("right_pos").isNull(), "missing").when(F.col("left_pos").isNull(), "inserted").otherwise("changed")
-    return both.select(state.alias("state"), "left_pos", "right_pos")
+    What comes before a span of positions is found from the counts and last met rows of spans, in two levels; all spans have rows.
+    """
+    near, far = F.shiftright("pos", _SPAN), F.shiftright("span", _SPAN)
+    rows = rows.withColumn("span", near).withColumn("end", F.when(F.col("met"), F.col("pos") + 1))
+    n, last = F.count("end"), F.max("end")
+    spans = rows.groupBy("side", "span").agg(n.alias("n"), last.alias("last")).withColumn("part", far)
+    parts = spans.groupBy("side", "part").agg(F.sum("n").alias("n"), F.max("last").alias("last"))
+    before = lambda by, *keys: W.partitionBy("side", *keys).orderBy(by).rowsBetween(W.unboundedPreceding, -1)
+    over = lambda t, w, i: t.withColumns({f"n{i}": F.coalesce(F.sum("n").over(w), F.lit(0)), f"l{i}": F.coalesce(F.max("last").over(w), F.lit(0))}).drop("n", "last")
+    base = over(spans, before("span", "part"), 1).join(over(parts, before("part"), 0), ["side", "part"])
+    base = base.select("side", "span", (F.col("n0") + F.col("n1")).alias("n_before"), F.greatest("l0", "l1").alias("l_before"))
+    w = before("pos", "span")
+    inside = rows.withColumns({"n_in": n.over(w), "l_in": last.over(w)}).where("NOT met")
+    found = inside.join(base, ["side", "span"])
+    return stored(found.select("side", (F.col("n_before") + F.col("n_in")).alias("gap"), (F.col("pos") - F.greatest("l_before", F.coalesce("l_in", F.lit(0)))).alias("at"), "pos"), "left-over")
 
 
 def split_positions(lines: DataFrame) -> DataFrame:
-    """pos of each row of lines (file, start, offset, ...): files by name, ranges by start, rows by offset.
+    """pos of each row of lines (file, start, number, ...): files by name, ranges by start, rows by number.
 
-    Only the counts of ranges are summed up over the table: within files, then over files.
+    Only the counts of ranges are summed up over the table: within files, then over files. They are as few as the ranges.
     """
-    counts = lines.groupBy("file", "start").agg(F.count("*").alias("n"))
+    counts = lines.groupBy("file", "start").agg((F.max("number") + 1).alias("n"))
     base = ranking.global_offset(counts, [[F.col("file")]], ["start"], F.col("n"), "base").select("file", "start", "base")
-    inside = lines.withColumn("_at", F.row_number().over(W.partitionBy("file", "start").orderBy("offset")) - 1)
-    return inside.join(base, ["file", "start"]).withColumn("pos", F.col("base") + F.col("_at")).drop("_at", "base")
+    return lines.join(F.broadcast(base), ["file", "start"]).withColumn("pos", F.col("base") + F.col("number")).drop("base")

@@ -136,5 +136,6 @@ def positional_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
     for rows in _statuses(spark, sf_dir):
         path = new_folder(spark, "status-lines")
         rows.orderBy("key").select(F.concat_ws("|", "key", "status").alias("value")).write.text(path)
-        sides.append(stored(binding.split_positions(records.lines(spark, path)).select("pos", "sha256"), "status-positions"))
+        read = stored(records.lines(spark, path).select("file", "start", "number", "sha256"), "status-lines-read")
+        sides.append(binding.split_positions(read).select("pos", "sha256"))
     return binding.by_position(*sides).na.fill(-1, ["left_pos", "right_pos"])

@@ -42,23 +42,23 @@ def _lines(file: str, start: int, end: int) -> Iterator[tuple[int, bytes]]:
     with fs.open_input_file(place) as raw:
         at = start - 1 if start else 0  # the byte before tells whether a line starts here
         raw.seek(at)
-        held, skip = b"", start > 0
+        held, done, skip = b"", 0, start > 0  # done: bytes of held that are behind
         while True:
-            cut = held.find(b"\n")
+            cut = held.find(b"\n", done)
             if cut < 0:
                 more = raw.read(BUFFER)
                 if not more:
                     break
-                held += more
+                held, done = held[done:] + more, 0
                 continue
-            line, held = held[: cut + 1], held[cut + 1 :]
+            line, done = held[done : cut + 1], cut + 1
             if not skip:
                 if at >= end:
                     return
                 yield at, line
             at, skip = at + len(line), False
-        if held and not skip and at < end:
-            yield at, held
+        if done < len(held) and not skip and at < end:
+            yield at, held[done:]
 
 
 def _batches(rows: Iterator[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
@@ -343,18 +343,21 @@ def files_read(rows: DataFrame) -> list[str]:
 
 
 def lines(spark: SparkSession, path: str, size: int = RANGE) -> DataFrame:
-    """(file, start, offset, length, sha256) of every line of the files at path, empty ones too, its end left out."""
-    schema = pa.schema([("file", pa.string()), ("start", pa.int64()), ("offset", pa.int64()), ("length", pa.int64()), ("sha256", pa.string())])
+    """(file, start, offset, length, number, sha256) of every line of the files at path, empty ones too, its end left out.
+
+    number counts the lines of a range, from 0 in the order of the file.
+    """
+    schema = pa.schema([("file", pa.string()), ("start", pa.int64()), ("offset", pa.int64()), ("length", pa.int64()), ("number", pa.int64()), ("sha256", pa.string())])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
             for batch in batches:
                 for r in batch.to_pylist():
-                    for offset, raw in _lines(r["file"], r["start"], r["end"]):
+                    for number, (offset, raw) in enumerate(_lines(r["file"], r["start"], r["end"])):
                         line = raw.rstrip(b"\r\n")
-                        yield r["file"], r["start"], offset, len(line), hashlib.sha256(line).hexdigest()
+                        yield r["file"], r["start"], offset, len(line), number, hashlib.sha256(line).hexdigest()
 
         yield from _batches(rows(), schema)
 
     parts = ranges(spark, path, size)
-    return parts.repartition(max(1, parts.count())).mapInArrow(scan, "file string, start long, offset long, length long, sha256 string")
+    return parts.repartition(max(1, parts.count())).mapInArrow(scan, "file string, start long, offset long, length long, number long, sha256 string")

@@ -88,3 +88,22 @@ def test_positions(spark, tmp_path):
     assert binding.by_position(sides[0], sides[0]).collect() == []
     empty = sides[0].limit(0)
     assert {r["state"] for r in binding.by_position(sides[0], empty).collect()} == {"missing"}
+
+
+def test_positions_of_rows_that_occur_once_are_not_numbered(spark, monkeypatch):
+    """Contents that don't repeat are matched without ranks of them; spans of four positions, in parts of four spans, carry over."""
+    rng = random.Random(6)
+    left = [f"row{k}" for k in range(400)]
+    right = [x for x in left if rng.random() < 0.9]
+    right[100:100] = [f"new{k}" for k in range(90)]
+    del right[250:330]
+    right = [f"other{k}" if rng.random() < 0.2 else x for k, x in enumerate(right)]
+
+    def numbered(*args, **kwargs):
+        raise AssertionError("rows that occur once are numbered")
+
+    monkeypatch.setattr(binding.ranking, "global_offset", numbered)
+    monkeypatch.setattr(binding, "_SPAN", 2)
+    sides = [spark.createDataFrame(list(enumerate(rows)), "pos long, x string").selectExpr("pos", "sha2(x, 256) AS sha256") for rows in (left, right)]
+    got = sorted((tuple(r) for r in binding.by_position(*sides).collect()), key=repr)
+    assert got == brute(left, right) and {g[0] for g in got} == {"missing", "inserted", "changed"}
