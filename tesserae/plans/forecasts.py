@@ -45,14 +45,17 @@ def _rates(pools: DataFrame) -> DataFrame:
 
 
 def predictions(frame: DataFrame, shares: tuple[int, ...] = SHARES) -> DataFrame:
-    """(producer, share, predictor, early, late, forecast) per hundred later units, from the pilot's fit and unlabelled units.
+    return predictions_of(stored(estimation.units(frame), "units"), shares)
+
+
+def predictions_of(u: DataFrame, shares: tuple[int, ...] = SHARES) -> DataFrame:
+    """(producer, share, predictor, early, late, forecast) per hundred later units, from the pilot's fit and unlabelled units; u: stored units.
 
     task_linked averages the event chances of the patterns in a target's pool; matched_margin takes the pool's two rates as
     independent; producer_margin takes those of the producer's pool, or of all where it has too few families; zero forecasts nothing.
     """
-    u = stored(estimation.units(frame), "units")
-    fitted = stored(estimation.ladder(frame), "fitted")
-    pools = stored(_rates(estimation.pools(frame)), "pools")
+    fitted = stored(estimation.ladder_of(u), "fitted")
+    pools = stored(_rates(estimation.pools_of(u)), "pools")
     later = u.where("NOT pilot").groupBy("producer").agg(F.count("*").alias("units"), F.sum("k").alias("total"))
     caps = later.withColumn("share", F.explode(F.array(*map(F.lit, shares)))).withColumn("drawn", F.bround(F.col("share") * F.col("total") / 100).cast("long"))
     caps = F.broadcast(caps)  # a row for each producer and share
@@ -99,7 +102,7 @@ _PREDICT = f"""{estimation._SPLIT}{estimation._UNITS}{estimation._POOLS}{estimat
 
 @query("forecast_frame", f"{_PREDICT} SELECT producer, share, predictor, round(early, 6) AS early, round(late, 6) AS late, round(late - early, 6) AS forecast FROM pr")
 def forecast_frame(frame: DataFrame) -> DataFrame:
-    """Four predictors of the update margin for every producer and share; see predictions()."""
+    """Four predictors of the update margin for every producer and share; see predictions_of()."""
     rows = predictions(frame)
     return rows.select("producer", "share", "predictor", *[F.round(c, 6).alias(c) for c in ("early", "late", "forecast")])
 
@@ -111,12 +114,13 @@ _OUTCOMES = f""", oc AS (SELECT producer, share, 100 * sum(({_D}) - ({_A})) / ma
     count(*) FILTER (abs(late - early) >= 1 AND (late - early) * observed < 0) AS opposite_sign FROM pr JOIN oc USING (producer, share) GROUP BY 1""")
 def forecast_comparison(frame: DataFrame) -> DataFrame:
     """Each predictor held against the exact outcomes over producers and shares: error, bias, and forecasts near zero, material, of the wrong sign."""
-    u = stored(estimation.units(frame).where("NOT pilot"), "later-units")
+    every = stored(estimation.units(frame), "units")
+    u = every.where("NOT pilot")
     later = u.groupBy("producer").agg(F.count("*").alias("units"), F.sum("k").alias("total"))
     caps = later.withColumn("share", F.explode(F.array(*map(F.lit, SHARES)))).withColumn("drawn", F.bround(F.col("share") * F.col("total") / 100).cast("long"))
     hist = u.groupBy("producer", "k", "pf", "gf", "cf").agg(F.count("*").alias("n"))
     seen = estimation._events(hist.join(F.broadcast(caps), "producer")).groupBy("producer", "share").agg((100 * F.sum(F.col("n") * (F.col("D") - F.col("A"))) / F.max("units")).alias("observed"))
-    rows = predictions(frame).join(seen, ["producer", "share"])
+    rows = predictions_of(every).join(seen, ["producer", "share"])
     off, size = F.col("forecast") - F.col("observed"), F.abs("forecast")
     return rows.groupBy("predictor").agg(
         F.count("*").alias("cells"), F.round(F.avg(F.abs(off)), 6).alias("mae"), F.round(F.avg(off), 6).alias("bias"), F.count_if(size < 1).alias("near_zero"), F.count_if(size >= 1).alias("material"),

@@ -59,3 +59,15 @@ def test_permuted_gold_ranks_narrow_rows(spark, monkeypatch):
         for to, of in zip(order(1), order(2), strict=True):
             dealt[to["task_id"]] = min(dealt[to["task_id"]], of["gold"])
     assert got == Counter((dealt[t], min(r["prediction"] for r in rows)) for t, rows in tasks.items())
+
+
+def test_forecasts_make_units_once(spark, monkeypatch):
+    made, real = [], estimation.units
+
+    def counted(frame):
+        made.append(frame)
+        return real(frame)
+
+    monkeypatch.setattr(estimation, "units", counted)
+    rows = forecasts.forecast_comparison(some_frame(spark, 14, 60)).collect()
+    assert len(made) == 1 and "zero" in {r["predictor"] for r in rows}
