@@ -85,7 +85,7 @@ def configuration_contrast(frame: DataFrame) -> DataFrame:
 def saved_controls(frame: DataFrame) -> DataFrame:
     """The control of a study made anew, against the same control saved by another plan, joined one to one."""
     fields = ["C", "eager_errors", "gate_errors"]
-    saved = storage.stored(accounting.curve(frame, ranking.transcript(frame, "random_criterion")).select("share", *fields), "controls")
+    saved = storage.stored(accounting.random_curve(frame).select("share", *fields), "controls")
     saved = saved.groupBy("share").agg(F.count("*").alias("saved"), *[F.max(c).alias(f"s_{c}") for c in fields])
     new = grid.curves(frame, ("random_criterion",), ("random",), (1,), accounting.SHARES).select("share", *fields)
     same = F.expr(" AND ".join(f"{c} <=> s_{c}" for c in fields))

@@ -5,7 +5,7 @@ from collections import Counter
 
 from tests.test_grid import some_frame
 
-from tesserae.operators import ranking
+from tesserae.operators import accounting, ranking
 from tesserae.plans import estimation, forecasts
 
 
@@ -71,3 +71,19 @@ def test_forecasts_make_units_once(spark, monkeypatch):
     monkeypatch.setattr(estimation, "units", counted)
     rows = forecasts.forecast_comparison(some_frame(spark, 14, 60)).collect()
     assert len(made) == 1 and "zero" in {r["predictor"] for r in rows}
+
+
+def test_random_curve_ranks_nothing(spark, monkeypatch):
+    """The curve of the random order is the transcript's, at budgets in any order and with ends amid the frame, and without its ranks."""
+    frame = some_frame(spark, 15).cache()
+    shares = (50, 0, 7, 93)
+    want = {r["share"]: r for r in accounting.curve(frame, ranking.transcript(frame, "random_criterion"), shares).collect()}
+
+    def ranked(*args, **kwargs):
+        raise AssertionError("all criteria are ranked")
+
+    monkeypatch.setattr(ranking, "global_offset", ranked)
+    got = accounting.random_curve(frame, shares).collect()
+    assert len(got) == 4
+    for r in got:
+        assert all(r[f] == want[r["share"]][f] for f in accounting.FIELDS), r["share"]
