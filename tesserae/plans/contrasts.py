@@ -14,11 +14,12 @@ QUERIES: dict = {}
 ORACLES: dict = {}
 
 
-def query(name: str, sql: str, frame: bool = False):
-    """Register f(spark, sf_dir), or f(frame) over the stored orders frame, whose SQL may use crit."""
+def query(name: str, sql: str, frame: bool = False, swept: bool = False):
+    """Register f(spark, sf_dir), or f(frame) over the stored orders frame, whose SQL may use crit; swept: f takes nothing but curves of it."""
+    made = grid.packed_orders if swept else grid.stored_frame
 
     def add(f):
-        QUERIES[name] = (lambda spark, sf_dir: f(grid.stored_frame(spark, sf_dir))) if frame else f
+        QUERIES[name] = (lambda spark, sf_dir: f(made(spark, sf_dir))) if frame else f
         ORACLES[name] = f"WITH {ORDERS_SQL}, {sql}" if frame else sql
         return f
 
@@ -42,7 +43,7 @@ _PAIR_SHARES = (5, 10, 20, 30, 40, 50, 60, 70, 80, 90)
     SELECT task_order, share, count(*) AS seeds, round(avg(dc), 9) AS certified_mean, round(quantile_cont(dc, 0.5), 9) AS certified_paired_median, round(quantile_cont(ca, 0.5) - quantile_cont(cb, 0.5), 9) AS certified_marginal_medians,
     round(avg(de), 9) AS eager_mean, round(quantile_cont(de, 0.5), 9) AS eager_paired_median, round(quantile_cont(ea, 0.5) - quantile_cont(eb, 0.5), 9) AS eager_marginal_medians, round(avg(dg), 9) AS gated_mean,
     round(CASE WHEN sum(dc) > 0 THEN sum(di) / sum(dc) END, 9) AS initial_correct_share, CASE WHEN sum(dc) > 0 THEN sum(di) / sum(dc) > 0.5 END AS initial_correct_majority, count(*) FILTER (dc > 0) AS gains, count(*) FILTER (dc > 0 AND de >= 0) AS gains_without_fewer_errors,
-    count(*) FILTER (dc > 0 AND de > 0) AS gains_with_more_errors, count(*) FILTER (de < 0) AS better, count(*) FILTER (de = 0) AS equal, count(*) FILTER (de > 0) AS worse FROM ps GROUP BY 1, 2""", frame=True)
+    count(*) FILTER (dc > 0 AND de > 0) AS gains_with_more_errors, count(*) FILTER (de < 0) AS better, count(*) FILTER (de = 0) AS equal, count(*) FILTER (de > 0) AS worse FROM ps GROUP BY 1, 2""", frame=True, swept=True)
 def mechanism_summary(frame: DataFrame) -> DataFrame:
     """Two policies paired by seed: means, paired medians against differences of marginal medians, and how seeds divide.
 

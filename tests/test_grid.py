@@ -114,3 +114,44 @@ def test_blocks_and_cuts_do_not_depend_on_size():
     assert parts == [([5], [0, 1], [1]), ([6], [0], [0]), ([7], [0, 1, 2], [1])]
     cut = sweeps.Cut(1, *(np.array(x) for x in ([0, 0, 1], [4, 4, -2], [1, 2, 5])))
     assert [x.tolist() for x in cut.tasks(np.array([0, 0, 1, 1]), np.array([3, 4, -2, 9]))] == [[0, 0, 2, 3], [0, 2, 3, 3]]
+
+
+def _orders(spark, path):
+    """Orders with lines in any order of rows, equal line numbers with like and unlike codes, an order without lines and lines without one."""
+    rng, lines = random.Random(4), []
+    for t in range(60):
+        numbers = [rng.choice((-2, -1, 2, 3, 1 << 22, 1 << 24)) for _ in range(rng.randint(2, 5))] if t % 5 == 0 else range(1, rng.randint(2, 7))
+        lines += [(t * 7 - 40, n, rng.choice((5, 9, 1 << 37, 1 << 50, -3)), rng.randint(1, 9), float(rng.randint(1, 50)), float(rng.randint(1, 9)), None, "A") for n in numbers]
+    rng.shuffle(lines)
+    lines += [(None, 1, 1, 1, 1.0, 1.0, None, "A"), (5000, 1, 1, 1, 1.0, 1.0, None, "A")]
+    schema = "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double, l_extendedprice double, l_shipdate date, l_returnflag string"
+    spark.createDataFrame(lines, schema).repartition(3).write.parquet(f"{path}/lineitem.parquet")
+    orders = [(t * 7 - 40, t % 4, "1-URGENT") for t in range(60)] + [(6000, 1, "2-HIGH"), (None, 1, "2-HIGH")]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_orderpriority string").write.parquet(f"{path}/orders.parquet")
+
+
+def test_tasks_dealt_once_are_those_of_the_frame(spark, tmp_path, monkeypatch):
+    """Curves don't store the frame with all its columns: its tasks meet in one shuffle. Batches are of few rows, so tasks go on in the next."""
+    from tesserae.operators import sweeps
+    from tesserae.plans import policies
+    from tesserae.sources import frames
+
+    _orders(spark, tmp_path)
+    rows = lambda df: sorted(map(repr, df.collect()))
+    frame = frames.orders_frame(spark, str(tmp_path)).cache()
+    want, tasks = rows(policies.objective_optimum_sets(frame)), rows(sweeps.packed(frame))
+    again = []
+    arrays = sweeps._arrays
+    monkeypatch.setattr(sweeps, "_arrays", lambda df: again.append(df.select("task_id").distinct().count()) or arrays(df))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        assert rows(grid.packed_orders(spark, str(tmp_path))) == tasks and len(again) == 1 and 0 < again[0] < 30
+        monkeypatch.setattr(grid, "stored_frame", lambda *a: 1 / 0)
+        assert rows(policies.QUERIES["objective_optimum_sets"](spark, str(tmp_path))) == want
+        # a task of many criteria
+        monkeypatch.setattr(grid, "stored_frame", frames.orders_frame)
+        monkeypatch.setattr(grid, "LARGE_TASK", 5)
+        assert rows(policies.QUERIES["objective_optimum_sets"](spark, str(tmp_path))) == want
+        assert "gold" in grid.packed_orders(spark, str(tmp_path)).columns
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
