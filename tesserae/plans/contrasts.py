@@ -15,7 +15,7 @@ ORACLES: dict = {}
 
 
 def query(name: str, sql: str, frame: bool = False, swept: bool = False):
-    """Register f(spark, sf_dir), or f(frame) over the stored orders frame, whose SQL may use crit; swept: f takes nothing but curves of it."""
+    """Register f(spark, sf_dir), or f(frame) over the stored orders frame, whose SQL may use crit; swept: f takes curves of it or packed tasks."""
     made = grid.packed_orders if swept else grid.stored_frame
 
     def add(f):
@@ -98,10 +98,14 @@ _SIGN = "CASE WHEN 100 * lo > 1e-9 THEN 'positive' WHEN 100 * hi < -1e-9 THEN 'n
 
 
 @query("correction_signs", f"""{grid.curves_sql(_SIGN_POLICIES, ('random',), (1,))}, tk AS (SELECT min(prediction) AS p FROM crit GROUP BY task_id), t AS (SELECT count(*) AS n, sum(p) AS passed FROM tk),
-    x AS (SELECT policy, share, (certified_pass - passed) / n AS lo, (n - certified_fail - passed) / n AS hi FROM gr, t) SELECT policy, share, round(100 * lo, 9) AS least, round(100 * hi, 9) AS most, {_SIGN} AS sign FROM x""", frame=True)
+    x AS (SELECT policy, share, (certified_pass - passed) / n AS lo, (n - certified_fail - passed) / n AS hi FROM gr, t) SELECT policy, share, round(100 * lo, 9) AS least, round(100 * hi, 9) AS most, {_SIGN} AS sign FROM x""", frame=True, swept=True)
 def correction_signs(frame: DataFrame) -> DataFrame:
     """Which way the primary's pass rate would have to be corrected, as far as the certified tasks of each budget tell."""
-    tasks = frame.groupBy("task_id").agg(F.min("prediction").alias("p")).agg(F.count("*").alias("n"), F.sum("p").alias("passed"))
+    if "codes" in frame.columns:  # 2: the prediction's bit
+        tasks = frame.select(F.forall("codes", lambda c: c.bitwiseAND(F.lit(2).cast("tinyint")) == 2).cast("int").alias("p"))
+    else:
+        tasks = frame.groupBy("task_id").agg(F.min("prediction").alias("p"))
+    tasks = tasks.agg(F.count("*").alias("n"), F.sum("p").alias("passed"))
     rows = grid.curves(frame, _SIGN_POLICIES, ("random",), (1,)).crossJoin(F.broadcast(tasks))  # one row
     rows = rows.selectExpr("policy", "share", "(certified_pass - passed) / n AS lo", "(n - certified_fail - passed) / n AS hi")
     return rows.selectExpr("policy", "share", "round(100 * lo, 9) AS least", "round(100 * hi, 9) AS most", f"{_SIGN} AS sign")

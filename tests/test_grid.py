@@ -133,13 +133,14 @@ def _orders(spark, path):
 def test_tasks_dealt_once_are_those_of_the_frame(spark, tmp_path, monkeypatch):
     """Curves don't store the frame with all its columns: its tasks meet in one shuffle. Batches are of few rows, so tasks go on in the next."""
     from tesserae.operators import sweeps
-    from tesserae.plans import policies
+    from tesserae.plans import contrasts, policies
     from tesserae.sources import frames
 
     _orders(spark, tmp_path)
     rows = lambda df: sorted(map(repr, df.collect()))
     frame = frames.orders_frame(spark, str(tmp_path)).cache()
     want, tasks = rows(policies.objective_optimum_sets(frame)), rows(sweeps.packed(frame))
+    signs = rows(contrasts.correction_signs(frame))
     again = []
     arrays = sweeps._arrays
     monkeypatch.setattr(sweeps, "_arrays", lambda df: again.append(df.select("task_id").distinct().count()) or arrays(df))
@@ -148,6 +149,7 @@ def test_tasks_dealt_once_are_those_of_the_frame(spark, tmp_path, monkeypatch):
         assert rows(grid.packed_orders(spark, str(tmp_path))) == tasks and len(again) == 1 and 0 < again[0] < 30
         monkeypatch.setattr(grid, "stored_frame", lambda *a: 1 / 0)
         assert rows(policies.QUERIES["objective_optimum_sets"](spark, str(tmp_path))) == want
+        assert rows(contrasts.QUERIES["correction_signs"](spark, str(tmp_path))) == signs
         # a task of many criteria
         monkeypatch.setattr(grid, "stored_frame", frames.orders_frame)
         monkeypatch.setattr(grid, "LARGE_TASK", 5)
