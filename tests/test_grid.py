@@ -157,3 +157,21 @@ def test_tasks_dealt_once_are_those_of_the_frame(spark, tmp_path, monkeypatch):
         assert "gold" in grid.packed_orders(spark, str(tmp_path)).columns
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_a_random_order_is_hashed_once(spark, monkeypatch):
+    """One pass over the tasks finds the places of a random order and counts; windows that miss a place are widened."""
+    from tesserae.operators import sweeps
+
+    frame = sweeps.packed(some_frame(spark, 21, 60))
+    rows = lambda: sorted(tuple(r) for r in grid.curves(frame, ("random_criterion", "disagreement_then_random"), ("random",), (1, 2), (0, 10, 45, 90, 100)).collect())
+    passes, kind = [], type(frame)
+    mapped = kind.mapInArrow
+    monkeypatch.setattr(kind, "mapInArrow", lambda *a, **k: passes.append(1) or mapped(*a, **k))
+    once = sorted(tuple(r) for r in grid.curves(frame, ("random_criterion",), ("random",), (1, 2), (0, 10, 45, 90, 100)).collect())
+    assert len(passes) == 1 and len(once) == 10
+    want = rows()
+    assert [r for r in want if r[0] == "random_criterion"] == once
+    passes.clear()
+    monkeypatch.setattr(sweeps, "WIDTH", 0.01)
+    assert rows() == want and len(passes) > 3
