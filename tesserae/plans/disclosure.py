@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import hashlib
+
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tesserae.operators import bounds, ranking
+from tesserae.operators import bounds, ranking, sweeps
 from tesserae.operators.storage import stored
+from tesserae.plans import grid
 from tesserae.sources import frames
 from tesserae.sources.frames import ORDERS_SQL, TASKS_SQL
 
@@ -21,9 +25,15 @@ GROUPS = 2 * len(CATEGORIES)
 SHOWN = {"totals": None, "tasks 25": ("task", "4"), "tasks 50": ("task", "8"), "tasks 75": ("task", "c"), "slots 25": ("slot", "4"), "slots 50": ("slot", "8")}
 
 
-def query(name: str, sql: str | None = None):
+def query(name: str, sql: str | None = None, chunked: bool = False):
+    """Register f(frame); chunked: where tasks fit into arrays, f takes their chunks()."""
+
     def add(f):
-        QUERIES[name] = lambda spark, sf_dir: f(frames.orders_frame(spark, sf_dir))
+        def run(spark, sf_dir):
+            made = chunks(spark, sf_dir) if chunked else None
+            return f(frames.orders_frame(spark, sf_dir) if made is None else made)
+
+        QUERIES[name] = run
         if sql:
             ORACLES[name] = f"WITH {ORDERS_SQL}, {TASKS_SQL}{sql}"
         return f
@@ -40,8 +50,38 @@ def slots_of(frame: DataFrame, by_category: bool = True) -> tuple[DataFrame, int
     return bounds.releases(frame, shown, group), GROUPS if by_category else 2
 
 
+def chunks(spark: SparkSession, sf_dir: str) -> DataFrame | None:
+    """The slots of the orders frame in chunks for bounds.totals(), stored once; None where a task is too large or a slot has no group or bit."""
+    rows, known = frames.orders_codes(spark, sf_dir, CATEGORIES)
+    tasks = sweeps.gathered(rows, known, grid.LARGE_TASK, lambda ids: grid.numbered(rows, known, ids), 4)
+    if tasks is None or not tasks.where(F.exists("codes", lambda c: c >= 2 * GROUPS)).isEmpty():
+        return None
+    return stored(bounds.chunks(tasks, told), "released")
+
+
+def told(ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """For each slot of tasks the bits of the releases that show it."""
+    digit = lambda tails: np.array([hashlib.sha256(b"show|1|" + x).digest()[0] >> 4 for x in tails], np.uint8)
+    slots = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    digits = {"task": np.repeat(digit(b"%d" % t for t in ids.tolist()), sizes), "slot": digit(b"%d|%d" % x for x in zip(np.repeat(ids, sizes).tolist(), slots.tolist(), strict=True))}
+    out = np.zeros(len(slots), np.uint8)
+    for i, how in enumerate(SHOWN.values()):
+        if how is not None:
+            out |= (digits[how[0]] < int(how[1], 16)).astype(np.uint8) << i
+    return out
+
+
+def summed(made: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Totals of both assignments from chunks(), and the plan of types."""
+    kinds = stored(bounds.kinds(made, tuple(SHOWN), GROUPS), "released-types")
+    planned = stored(bounds.planned_kinds(kinds, GROUPS), "released-plan")
+    return bounds.totals(made, kinds, planned, tuple(SHOWN), GROUPS), planned
+
+
 def ranges(frame: DataFrame, by_category: bool = True) -> DataFrame:
-    """The checked extremes of each release and size; types and slots are stored once, as several steps read them."""
+    """The checked extremes of each release and size, from a frame or chunks(); types and slots are stored once, as several steps read them."""
+    if "chunk" in frame.columns:
+        return bounds.checked_totals(*summed(frame))
     slots, groups = slots_of(frame, by_category)
     slots = stored(slots, "released")
     tasks = stored(bounds.typed(slots, groups), "released-tasks")
@@ -104,7 +144,7 @@ _D1 = _released("prediction * 3 + list_position(['A', 'N', 'R'], category) - 1",
 _BIG = lambda *cs: ", ".join(f"CAST({c} AS BIGINT) AS {n}" for c, n in cs)
 
 
-@query("sharp_ranges")
+@query("sharp_ranges", chunked=True)
 def sharp_ranges(frame: DataFrame) -> DataFrame:
     """Fewest and most tasks that can pass, of each release and size, given totals by size, predicted bit and category and what is shown.
 
@@ -115,7 +155,7 @@ def sharp_ranges(frame: DataFrame) -> DataFrame:
     return found.select("release", "k", "tasks", "truth", F.col("low_passes").alias("low"), F.col("high_passes").alias("high"), (F.col("high_passes") == F.col("bound")).alias("proven"))
 
 
-@query("witness_check", f"{_D1} SELECT release, k, {_BIG(('tasks', 'tasks'), ('truth', 'truth'), ('least', 'low_passes'), ('0', 'broken_totals'), ('0', 'broken_links'), ('0', 'most_missed'))}, true AS holds_truth FROM hall")
+@query("witness_check", f"{_D1} SELECT release, k, {_BIG(('tasks', 'tasks'), ('truth', 'truth'), ('least', 'low_passes'), ('0', 'broken_totals'), ('0', 'broken_links'), ('0', 'most_missed'))}, true AS holds_truth FROM hall", chunked=True)
 def witness_check(frame: DataFrame) -> DataFrame:
     """Assignments of both extremes held against the release, from their bits: group totals, shown bits, conjunctions and the truth.
 
@@ -128,9 +168,11 @@ def witness_check(frame: DataFrame) -> DataFrame:
     return found.select("release", "k", "tasks", "truth", "low_passes", "broken_totals", F.col("broken_links").cast("long").alias("broken_links"), missed.alias("most_missed"), holds.alias("holds_truth"))
 
 
-@query("witness_totals", f"{_D1} SELECT release, k, g, {_BIG(('count(*)', 'slots'), ('sum(gold)', 'low'), ('sum(gold)', 'high'), ('count(*) FILTER (shown)', 'shown'), ('coalesce(sum(gold) FILTER (shown), 0)', 'shown_low'), ('coalesce(sum(gold) FILTER (shown), 0)', 'shown_high'))} FROM r GROUP BY release, k, g")
+@query("witness_totals", f"{_D1} SELECT release, k, g, {_BIG(('count(*)', 'slots'), ('sum(gold)', 'low'), ('sum(gold)', 'high'), ('count(*) FILTER (shown)', 'shown'), ('coalesce(sum(gold) FILTER (shown), 0)', 'shown_low'), ('coalesce(sum(gold) FILTER (shown), 0)', 'shown_high'))} FROM r GROUP BY release, k, g", chunked=True)
 def witness_totals(frame: DataFrame) -> DataFrame:
     """Totals of the assignments' bits in each group and over what is shown; the SQL has the reference's, which they must keep."""
+    if "chunk" in frame.columns:
+        return summed(frame)[0].where("g >= 0").select("release", "k", "g", "slots", "low", "high", "shown", "shown_low", "shown_high")
     slots, groups = slots_of(frame)
     slots = stored(slots, "released")
     tasks = stored(bounds.typed(slots, groups), "released-tasks")

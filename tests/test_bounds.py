@@ -106,3 +106,39 @@ def test_ladder_tells_whole_tasks_up_to_its_keys(spark, monkeypatch):
             slots, groups = bounds.releases(frame, {"x": frame["task_id"].isin(shown)}, frame["prediction"] * 3 + (frame["category"] == "N").cast("int") + 2 * (frame["category"] == "R").cast("int")), 6
             plan = bounds.plan(typed(slots, groups), groups).groupBy("k").agg({"least": "max", "most": "max"}).collect()
             assert (got["d2", o, s]["least"], got["d2", o, s]["most"]) == (sum(r["max(least)"] for r in plan), sum(r["max(most)"] for r in plan))
+
+
+def _orders(spark, path, categories="ANR"):
+    """Orders with lines in any order of rows, of which some share their number and part; an order without lines and a line without one."""
+    rng, lines = random.Random(31), []
+    for t in range(150):
+        numbers = [rng.choice((1, 2)) for _ in range(3)] if t % 5 == 0 else range(1, rng.randint(2, 6))
+        lines += [(t * 7 - 40, n, rng.choice((5, 9)), rng.randint(1, 9), float(rng.choice((3, 9, 20, 30))), float(rng.randint(1, 9)), None, rng.choice(categories)) for n in numbers]
+    rng.shuffle(lines)
+    lines.append((5000, 1, 1, 1, 1.0, 1.0, None, "A"))
+    schema = "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double, l_extendedprice double, l_shipdate date, l_returnflag string"
+    spark.createDataFrame(lines, schema).repartition(3).write.parquet(f"{path}/lineitem.parquet")
+    spark.createDataFrame([(t * 7 - 40, t % 4, "p") for t in range(150)] + [(6000, 1, "p")], "o_orderkey long, o_custkey long, o_orderpriority string").write.parquet(f"{path}/orders.parquet")
+    return str(path)
+
+
+def test_chunks_give_what_slots_do(spark, tmp_path, monkeypatch):
+    """Ranges, checks and totals from chunks of a few tasks against those from rows by slot, of which none is made for a release any more."""
+    from tesserae.plans import disclosure
+    from tesserae.sources import frames
+
+    place = _orders(spark, tmp_path)
+    rows = lambda df: sorted(map(repr, df.collect()))
+    names = ("sharp_ranges", "witness_check", "witness_totals")
+    frame = frames.orders_frame(spark, place).cache()
+    want = [rows(getattr(disclosure, name)(frame)) for name in names]
+    monkeypatch.setattr(bounds, "CHUNK", 20)
+    monkeypatch.setattr(bounds, "releases", lambda *a: 1 / 0)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        made = disclosure.chunks(spark, place)
+        assert made.count() > 10 and made.select("chunk").distinct().count() == made.count()
+        assert [rows(disclosure.QUERIES[name](spark, place)) for name in names] == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert disclosure.chunks(spark, _orders(spark, tmp_path / "other", "ANRX")) is None
