@@ -144,7 +144,7 @@ def checked(bits: DataFrame, planned: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- tasks that fit into arrays
 
 #: Criteria after which a chunk ends with its batch.
-CHUNK = 1 << 21
+CHUNK = 1 << 20
 _CHUNK = "chunk long, ids binary, sizes binary, codes binary, shown binary"
 _KINDS = "chunk long, release string, k int, dead boolean, c array<int>, n long, passes long, s array<long>"
 _TOTALS = ("slots", "gold", "low", "high", "links", "shown", "shown_low", "shown_high")
